@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import bpe
+from starfold.llm import bpe, langid, quality, toxicity
+from starfold.llm.common import fold_of
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +26,33 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document for toxicity; labels of fold 0 of 5 are never learned."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels").filter(~held_out))
+    scored = toxicity.score(docs, model).drop("text")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document for quality; labels of fold 2 of 4 are never learned."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    model = quality.fit(docs, _read(spark, sf_dir, "labels").filter(~held_out))
+    scored = quality.score(docs, model).drop("text")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the main language of every document; fold 0 of 5 is never learned."""
+    docs = _read(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 5) == 0
+    model = langid.fit(docs.filter(~held_out))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), *langid.first_language(F.col("languages")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_roundtrip]
+    found = [op1_bpe_roundtrip, op5_toxicity, op8_quality, op10_language]
     return {f.__name__: f for f in found}
