@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import bpe, langid, quality, toxicity
+from starfold.llm import bpe, langid, packing, quality, token_counts, toxicity
 from starfold.llm.common import fold_of
 
 
@@ -26,6 +26,14 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token across two lines counts for the one with most of it."""
+    ranks = dict(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_counts.count_tokens(docs, ranks, public_tokenizers.PATTERN)
+    return found.withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document for toxicity; labels of fold 0 of 5 are never learned."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,6 +52,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack the tokens of all documents into sequences of at most 4096."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        pieces = packing.pieces(docs, f.read(), with_ids=False)
+    groups = max(1, docs.count() // packing.GROUP_ROWS)
+    return packing.pack(pieces, groups, spread=("doc_id", "piece", "ids_crc32"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict the main language of every document; fold 0 of 5 is never learned."""
     docs = _read(spark, sf_dir, "documents")
@@ -54,5 +71,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_roundtrip, op5_toxicity, op8_quality, op10_language]
+    found = [op1_bpe_roundtrip, op3_token_counts, op5_toxicity, op8_quality, op9_packing, op10_language]
     return {f.__name__: f for f in found}
