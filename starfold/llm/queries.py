@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import bpe, langid, packing, quality, token_counts, toxicity
+from starfold.llm import bpe, jaccard, langid, packing, quality, token_counts, toxicity
 from starfold.llm.common import fold_of
 
 
@@ -43,6 +43,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a Jaccard similarity of at least 0.85."""
+    return jaccard.join_components(_read(spark, sf_dir, "documents"), jaccard.Threshold(85, 100), width=4)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document for quality; labels of fold 2 of 4 are never learned."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,5 +76,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_roundtrip, op3_token_counts, op5_toxicity, op8_quality, op9_packing, op10_language]
+    found = [op1_bpe_roundtrip, op3_token_counts, op5_toxicity, op6_ngram_jaccard, op8_quality, op9_packing, op10_language]
     return {f.__name__: f for f in found}
