@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import bpe, jaccard, langid, packing, quality, token_counts, toxicity
+from starfold.llm import bpe, jaccard, langid, packing, quality, repeats, token_counts, toxicity
 from starfold.llm.common import fold_of
 
 
@@ -34,6 +34,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_tokens", F.col("n_tokens").cast("long"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove bytes of documents covered by 100-byte strings that occur earlier."""
+    found = repeats.remove_repeats(_read(spark, sf_dir, "documents"), length=100)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document for toxicity; labels of fold 0 of 5 are never learned."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,5 +88,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_roundtrip, op3_token_counts, op5_toxicity, op6_ngram_jaccard, op8_quality, op9_packing, op10_language]
+    found = [op1_bpe_roundtrip, op3_token_counts, op4_suffix_dedup, op5_toxicity, op6_ngram_jaccard, op8_quality, op9_packing, op10_language]
     return {f.__name__: f for f in found}
