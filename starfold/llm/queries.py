@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import bpe, jaccard, langid, packing, quality, repeats, token_counts, toxicity
+from starfold.llm import bpe, embedding_dedup, jaccard, langid, nearest, packing, quality, repeats, token_counts, toxicity
 from starfold.llm.common import fold_of
 
 
@@ -26,6 +26,12 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth vector, among all."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document; a token across two lines counts for the one with most of it."""
     ranks = dict(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
@@ -60,6 +66,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(_read(spark, sf_dir, "documents"), jaccard.Threshold(85, 100), width=4)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label with a cosine of at least 0.93."""
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every document for quality; labels of fold 2 of 4 are never learned."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,5 +99,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_roundtrip, op3_token_counts, op4_suffix_dedup, op5_toxicity, op6_ngram_jaccard, op8_quality, op9_packing, op10_language]
+    found = [op1_bpe_roundtrip, op2_nearest, op3_token_counts, op4_suffix_dedup, op5_toxicity, op6_ngram_jaccard, op7_embedding_dedup, op8_quality, op9_packing, op10_language]
     return {f.__name__: f for f in found}
