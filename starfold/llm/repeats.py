@@ -303,14 +303,15 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[new], end[last]
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, gram: int = 36, anchor_runs: int = ANCHOR_RUNS) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, gram: int = 36, anchor_runs: int = ANCHOR_RUNS, whole_characters: bool = False) -> DataFrame:
     """(key, n_bytes, spans, kept) of every row: the stretches removed, and the bytes left.
 
     A byte goes if a window of ``length`` bytes (at most 255 more than ``gram``) that covers it also
     starts earlier. Null and empty texts have no bytes; texts shorter than ``length`` stay whole.
     The key is a long and names a document: rows that repeat a key and its text are one document
     and get the same result. Rows with a null key stay whole and remove nothing. Other columns
-    aren't read. No window is skipped, whatever its anchor's number of runs.
+    aren't read. No window is skipped, whatever its anchor's number of runs. With ``whole_characters``
+    a removed stretch shrinks to the characters that lie in it as a whole, so that what is left is text.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -439,6 +440,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 data = value.as_buffer().to_pybytes() if value.is_valid else b""
                 low, high = (np.searchsorted(cuts["doc"], doc, side) for side in ("left", "right")) if doc is not None else (0, 0)
                 begin, end = merged(cuts["begin"][low:high], cuts["end"][low:high])
+                if whole_characters and len(begin):
+                    starts = np.append(np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80), len(data))
+                    begin, end = starts[np.searchsorted(starts, begin, "left")], starts[np.searchsorted(starts, end, "right") - 1]
                 spans = list(zip(begin.tolist(), end.tolist(), strict=True))
                 places = [0, *(x for s in spans for x in s), len(data)]
                 out.append((doc, len(data), [{"begin": b, "end": e} for b, e in spans], b"".join([data[a:b] for a, b in zip(places[::2], places[1::2], strict=True)])))
