@@ -1,8 +1,90 @@
-"""Corpus pipeline."""
+"""The corpus pipeline: language ID, quality, n-gram near-duplicates, repeated passages, packing.
 
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept,
+and returns a DataFrame; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from starfold.llm import jaccard, langid, packing, quality, repeats
+from starfold.llm.common import fold_of
+from starfold.session import ship
+
+#: A document is rejected if its main language has less than this share of it, or if it has no letter.
+LEAST_SHARE = 0.5
+#: A document is rejected if the probability of good quality is lower.
+LEAST_QUALITY = 0.5
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or without a language of at least half of their text go. Learns from all folds but 0 of 5."""
+    ship(spark)
+    model = langid.fit(docs.filter(fold_of(F.col("doc_id"), 5) != 0))
+    found = langid.identify(docs.select(*COLUMNS), model, out="_languages")
+    share = langid.first_language(F.col("_languages"))[1]
+    return found.filter((F.size("_languages") > 0) & (share >= LEAST_SHARE)).drop("_languages")
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of poor quality go. Learns from all labels but those of fold 2 of 4."""
+    ship(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold_of(F.col("doc_id"), 4) != 2)
+    model = quality.fit(docs, labels)
+    return quality.score(docs.select(*COLUMNS), model, out="_score").filter(F.col("_score") >= LEAST_QUALITY).drop("_score")
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles with a similarity of 0.8 or more, the one with the smallest id stays."""
+    ship(spark)
+    found = jaccard.join_components(docs, jaccard.Threshold(8, 10), width=5)
+    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Characters all of whose bytes are covered by 100-byte strings that occur earlier go; a document left without text goes."""
+    ship(spark)
+    cleaned = repeats.remove_repeats(docs, length=100, whole_characters=True).select("doc_id", F.col("kept").cast("string").alias("_text")).dropDuplicates(["doc_id"])
+    joined = docs.select("doc_id", "lang", "source").join(cleaned, "doc_id")
+    return joined.filter(F.length("_text") > 0).select("doc_id", F.col("_text").alias("text"), "lang", "source", F.length("_text").cast("long").alias("n_chars"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens, with their sequence and place in it."""
+    ship(spark)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        pieces = packing.pieces(docs.select("doc_id", "text"), f.read(), with_ids=False)
+    return packing.pack(pieces, max(1, docs.count() // packing.GROUP_ROWS), spread=("doc_id", "piece", "ids_crc32"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("quality_classifier", classify_quality),
+    ("ngram_jaccard_join", join_near_duplicates),
+    ("suffix_array_dedup", remove_repeated_passages),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: Models and suffix order aren't SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each one's rows written to the shared checkpoint folder and read again by the next."""
+    ship(spark)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = f"{shared or tempfile.mkdtemp(prefix='spark-pipeline-')}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
