@@ -1,15 +1,13 @@
-"""The registered queries and their oracle SQL, gathered from the operator modules."""
+"""The registered queries and their oracle SQL, gathered from the query modules."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from starfold.queries import QUERIES, SQL, Query, cohort, curves, metrics, searches
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

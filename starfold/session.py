@@ -19,6 +19,7 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("SPARK_DRIVER_MEMORY", "8g"),
         "spark.driver.host": "127.0.0.1",
     } | conf
