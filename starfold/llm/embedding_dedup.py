@@ -108,6 +108,15 @@ class Graph:
             self.neighbours[row] = np.union1d(self.neighbours[row], rows[local.neighbours[i]])
         return medoid
 
+    def both_ways(self) -> None:
+        """Add each link's reverse, so that no vector is out of reach: among near copies, which are all about
+        equally far apart, pruning leaves some that no list names."""
+        sizes = [len(n) for n in self.neighbours]
+        source, target = np.repeat(np.arange(len(sizes)), sizes), np.concatenate(self.neighbours)
+        pairs = np.unique(np.stack([np.concatenate([source, target]), np.concatenate([target, source])], axis=1), axis=0)
+        cuts = np.searchsorted(pairs[:, 0], np.arange(len(sizes) + 1))
+        self.neighbours = [pairs[a:b, 1] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def in_range(self, node: int, starts: np.ndarray, most: float, beam: int) -> np.ndarray:
         """Vectors found within the distance: the greedy search's, then all that in-range vectors lead to."""
         x = self.vectors[node]
@@ -135,6 +144,7 @@ def search_region(unit: np.ndarray, queries: np.ndarray, least: float, beam: int
     else:
         near = nearest_centroids(unit, centroids(unit, shards), OVERLAP)
         starts = np.unique([graph.build(rows) for s in range(shards) if len(rows := np.flatnonzero((near == s).any(axis=1)))])
+    graph.both_ways()
     out = []
     for q in queries:
         found = graph.in_range(int(q), starts, 1 - least + 1e-9, beam)
