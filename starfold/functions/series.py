@@ -157,5 +157,5 @@ def normalized_id(text: Column) -> Column:
 
 def sector_list(text: Column) -> Column:
     """Sorted distinct sectors from 1 to 200 of a comma list; other tokens don't count."""
-    tokens = F.filter(F.transform(F.split(text, ","), F.trim), lambda t: t.rlike(r"^\d{1,3}$"))
+    tokens = F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t.rlike(r"^\d{1,3}$"))
     return F.array_sort(F.array_distinct(F.filter(F.transform(tokens, lambda t: t.cast("int")), lambda n: (n >= 1) & (n <= 200))))

@@ -128,7 +128,7 @@ def minimum_data_guard(spark, d):
 
 # --- folds ------------------------------------------------------------------------------
 
-CANDIDATES_SQL = """cand AS (SELECT s_suppkey AS target_id, 3.21 + s_suppkey % 5 AS epoch, 20.137 + s_suppkey % 37 AS period, 4.3 + (s_suppkey % 3) AS duration, 0.05 AS depth,
+CANDIDATES_SQL = """cand AS (SELECT s_suppkey AS target_id, 3.21::DOUBLE + s_suppkey % 5 AS epoch, 20.137::DOUBLE + s_suppkey % 37 AS period, 4.33::DOUBLE + (s_suppkey % 3) AS duration, 0.05::DOUBLE AS depth,
  0.1 + (s_suppkey % 8) * 0.1 AS ingress, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 30 - 12.5 END AS delta_bic, CASE WHEN s_suppkey % 6 > 0 THEN s_suppkey % 50 + 0.5 END AS snr,
  CASE WHEN s_suppkey % 7 > 0 THEN 0.7 + (s_suppkey % 31) * 0.01 END AS crowding, 10.5 + s_suppkey % 41 AS ls_period, (s_suppkey % 100) / 100.0 AS ls_power FROM supplier)"""
 
@@ -141,7 +141,7 @@ def supplier_candidates(spark: SparkSession, d: str) -> DataFrame:
         k.alias("target_id"),
         (3.21 + k % 5).alias("epoch"),
         (20.137 + k % 37).alias("period"),
-        (4.3 + k % 3).alias("duration"),
+        (4.33 + k % 3).alias("duration"),
         F.lit(0.05).alias("depth"),
         (0.1 + k % 8 * 0.1).alias("ingress"),
         some(4, k % 30 - 12.5).alias("delta_bic"),
