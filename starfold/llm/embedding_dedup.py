@@ -194,7 +194,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     placed = distinct.mapInArrow(place, f"label {kind}, vector array<double>, id long, weight long, region int, own boolean")
     sample = distinct.orderBy(F.desc(F.xxhash64("id") % 7 == 0), F.xxhash64("id", F.lit(3)), "id").limit(audit_rows)
     checked = sample.select("label", "vector", "id").toPandas()
-    asked = df.sparkSession.sparkContext.broadcast((checked["label"].tolist(), np.array(checked["vector"].tolist(), float).reshape(len(checked), -1), checked["id"].tolist()))
+    asked = df.sparkSession.sparkContext.broadcast((checked["label"].tolist(), np.array(checked["vector"].tolist(), float), checked["id"].tolist()))
 
     def brute(stream):
         names, vectors, ids = asked.value

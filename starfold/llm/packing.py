@@ -303,7 +303,7 @@ def pack(rows: DataFrame, groups: int, length: str = "length", capacity: int = 4
         fits = part[length].between(1, capacity).to_numpy()
         part["_bin"] = -1
         if fits.any():
-            at, offset, fill = _place(part.loc[fits, length].to_numpy(), capacity)
+            at, offset, fill = _place(part.loc[fits, length].to_numpy().astype(np.int64), capacity)
             still_open = np.array(fill) < capacity - capacity // 512
             part.loc[fits, "_bin"] = np.where(still_open[at], -2, 0)
             part.loc[fits, "sequence_id"] = part.loc[fits, "_group"].to_numpy() * (1 << 32) + at
@@ -313,7 +313,7 @@ def pack(rows: DataFrame, groups: int, length: str = "length", capacity: int = 4
     def again(part: pd.DataFrame) -> pd.DataFrame:
         opened = (part["_bin"] == -2).to_numpy()
         if opened.any():
-            at, offset, fill = _place(part.loc[opened, length].to_numpy(), capacity)
+            at, offset, fill = _place(part.loc[opened, length].to_numpy().astype(np.int64), capacity)
             if len(fill) < part.loc[opened, "sequence_id"].nunique():
                 part.loc[opened, "sequence_id"] = (part.loc[opened, "_group"].to_numpy() // merge) * (1 << 32) + (1 << 31) + at
                 part.loc[opened, "offset"] = offset

@@ -203,7 +203,7 @@ def windows_seen_before(rows: list[tuple[int, int, int, int, int, bytes]], lengt
     that agree for ``length - reach`` bytes from the anchor on, which stand together in suffix
     order, those with equal bytes to the left have the same window.
     """
-    rows = sorted(rows)
+    rows = sorted({r[:2]: r for r in rows}.values())
     suffixes = [r[5][r[1] - r[4] : r[1] - r[4] + length] for r in rows]
     order, common = deep_shallow_sort(suffixes)
     docs = np.array([r[0] for r in rows])
@@ -265,13 +265,13 @@ def _unpacked(blobs: list[bytes], kind: list) -> dict[str, np.ndarray]:
 
 
 def _earlier(runs: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (anchor, content, doc, place), and which of the ordered runs repeat the first one with their content."""
+    """Runs that come first with their content, and those that repeat such a run elsewhere; the same run given twice is neither."""
     order = np.lexsort((runs["place"], runs["doc"], runs["content"], runs["anchor"]))
     anchor, content, doc, place = (runs[n][order] for n in ("anchor", "content", "doc", "place"))
     new = np.ones(len(order), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
     lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.empty(0, np.int64)
-    return order, (doc != doc[lead]) | (place != place[lead])
+    return order[new], order[(doc != doc[lead]) | (place != place[lead])]
 
 
 def _doc_part(doc: np.ndarray, parts: int) -> np.ndarray:
@@ -333,9 +333,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 if not found["doc"]:
                     continue
                 values = {n: np.concatenate(v) for n, v in found.items()}
-                order, repeats = _earlier(values)
-                yield from _cuts(values, order[repeats], length, parts)
-                values = {n: v[order[~repeats]] for n, v in values.items()}
+                left, repeats = _earlier(values)
+                yield from _cuts(values, repeats, length, parts)
+                values = {n: v[left] for n, v in values.items()}
                 yield from _out("run", _columns(values, _RUN, (values["anchor"] % np.uint64(parts)).astype(np.int32)))
 
     def blobs_of(stream: Iterator[pa.RecordBatch], own: str) -> Iterator[bytes | pa.RecordBatch]:
@@ -354,9 +354,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             else:
                 yield x
         runs = _unpacked(blobs, _RUN)
-        order, repeats = _earlier(runs)
-        yield from _cuts(runs, order[repeats], length, parts)
-        left = order[~repeats]
+        left, repeats = _earlier(runs)
+        yield from _cuts(runs, repeats, length, parts)
         anchor = runs["anchor"][left]
         if exact or not len(left):  # single windows: equal content is all there is to know
             return
@@ -404,9 +403,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             yield from _out("context", ((p, pickle.dumps(c, 5)) for p, c in packed.items()))
             if windows["doc"]:
                 values = {n: np.concatenate(v) for n, v in windows.items()}
-                order, repeats = _earlier(values)
-                yield from _cuts(values, order[repeats], length, parts)
-                values = {n: v[order[~repeats]] for n, v in values.items()}
+                left, repeats = _earlier(values)
+                yield from _cuts(values, repeats, length, parts)
+                values = {n: v[left] for n, v in values.items()}
                 yield from _out("run", _columns(values, _RUN, (values["anchor"] % np.uint64(parts)).astype(np.int32)))
 
     def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
