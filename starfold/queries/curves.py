@@ -128,7 +128,7 @@ def minimum_data_guard(spark, d):
 
 # --- folds ------------------------------------------------------------------------------
 
-CANDIDATES_SQL = """cand AS (SELECT s_suppkey AS target_id, 3.21::DOUBLE + s_suppkey % 5 AS epoch, 20.137::DOUBLE + s_suppkey % 37 AS period, 4.33::DOUBLE + (s_suppkey % 3) AS duration, 0.05::DOUBLE AS depth,
+CANDIDATES_SQL = """cand AS (SELECT s_suppkey AS target_id, 3.2137713::DOUBLE + s_suppkey % 5 AS epoch, 20.137::DOUBLE + s_suppkey % 37 AS period, 4.33::DOUBLE + (s_suppkey % 3) AS duration, 0.05::DOUBLE AS depth,
  0.1 + (s_suppkey % 8) * 0.1 AS ingress, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 30 - 12.5 END AS delta_bic, CASE WHEN s_suppkey % 6 > 0 THEN s_suppkey % 50 + 0.5 END AS snr,
  CASE WHEN s_suppkey % 7 > 0 THEN 0.7 + (s_suppkey % 31) * 0.01 END AS crowding, 10.5 + s_suppkey % 41 AS ls_period, (s_suppkey % 100) / 100.0 AS ls_power FROM supplier)"""
 
@@ -139,7 +139,7 @@ def supplier_candidates(spark: SparkSession, d: str) -> DataFrame:
     some = lambda n, x: F.when(k % n > 0, x)
     return s.select(
         k.alias("target_id"),
-        (3.21 + k % 5).alias("epoch"),
+        (3.2137713 + k % 5).alias("epoch"),
         (20.137 + k % 37).alias("period"),
         (4.33 + k % 3).alias("duration"),
         F.lit(0.05).alias("depth"),
@@ -353,7 +353,7 @@ def harmonic_distance(spark, d):
     return rounded(spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("id"), S.harmonic_distance(1.0 + k % 17, 1.5 + k % 11).alias("distance")))
 
 
-@query("""SELECT c_custkey AS id, round(CASE WHEN x > 0 AND x <= 1 THEN 0.01 / x END, 6) AS depth, CASE WHEN t IS NULL OR t <= 0 THEN 0.30 WHEN t < 3800 THEN 0.48 WHEN t < 4500 THEN 0.40 WHEN t < 6000 THEN 0.32 WHEN t < 7500 THEN 0.25 ELSE 0.18 END AS u1,
+@query("""SELECT c_custkey AS id, round(CASE WHEN x > 0 AND x <= 1 THEN 0.01 / x END, 6) AS depth, CASE WHEN t IS NULL OR t <= 0 THEN 0.30::DOUBLE WHEN t < 3800 THEN 0.48 WHEN t < 4500 THEN 0.40 WHEN t < 6000 THEN 0.32 WHEN t < 7500 THEN 0.25 ELSE 0.18 END AS u1,
  CAST('0x' || substr(sha256(c_name), 1, 8) AS BIGINT) AS seed FROM (SELECT *, c_acctbal / 8000 AS x, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS t FROM customer)""")
 def stellar_parameters(spark, d):
     """Dilution, temperature, limb darkening and stable seeds."""
