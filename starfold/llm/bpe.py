@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from starfold.llm.common import others
+
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 
@@ -204,8 +206,8 @@ class Encoder:
 
 
 def _with_binary(df: DataFrame, column: str, out: str, make: callable) -> DataFrame:
-    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.BinaryType())])
-    keep = [c for c in df.columns if c != out]
+    keep = others(df, out)
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.BinaryType())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -223,7 +225,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
     """Add ``ids``: the whole text's ids as packed little-endian unsigned 32-bit integers.
 
     A null or empty text has no ids. Special-token strings are ordinary text. Every
-    other column stays as it is, whatever its name; a column called ``ids`` is replaced.
+    other column stays as it is; a column called ``ids``, in any letter case, is replaced.
     Rows never meet, so ties, repeated rows and hot keys need no rule.
     """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)

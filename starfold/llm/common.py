@@ -72,6 +72,12 @@ def fold_of_id(doc_id: int, folds: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns other than the named ones, whose letter case doesn't count."""
+    replaced = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in replaced]
+
+
 def spare_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, in any letter case."""
     taken = {c.lower() for c in df.columns}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starfold.llm.common import mix64
+from starfold.llm.common import mix64, others
 
 
 @cache
@@ -127,7 +127,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str
     text. Other columns stay; a column called ``out`` is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c != out]
+    keep = others(docs, out)
     pair = T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(pair))])
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starfold.llm.bpe import _Remembered
+from starfold.llm.common import others, spare_name
 
 
 class WordTokenizer:
@@ -78,7 +79,7 @@ def pieces(docs: DataFrame, spec: str, text: str = "text", end_id: int = 1, capa
     """
     shared = docs.sparkSession.sparkContext.broadcast(spec)
     made = {"piece": T.IntegerType(), "start": T.LongType(), "length": T.LongType(), "ids_crc32": T.LongType()} | ({"ids": T.BinaryType()} if with_ids else {})
-    keep = [c for c in docs.columns if c != text and c not in made]
+    keep = others(docs, text, *made)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, t) for n, t in made.items()])
     tail = np.array([end_id], "<u4").tobytes()
 
@@ -295,27 +296,28 @@ def pack(rows: DataFrame, groups: int, length: str = "length", capacity: int = 4
     part empty. Lengths run from 1 to ``capacity``; rows with other or null lengths get null.
     Columns called ``sequence_id`` or ``offset`` are replaced.
     """
-    rows = rows.drop("sequence_id", "offset")
-    dealt = rows.withColumns({"_group": F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(groups)).cast("long"), "_bin": F.lit(0).cast("long"), "sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
+    rows = rows.select(*others(rows, "sequence_id", "offset"))
+    group, state, joint = (spare_name(rows, n) for n in ("_group", "_bin", "_merged"))
+    dealt = rows.withColumns({group: F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(groups)).cast("long"), state: F.lit(0).cast("long"), "sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     schema = dealt.schema
 
     def first(part: pd.DataFrame) -> pd.DataFrame:
         fits = part[length].between(1, capacity).to_numpy()
-        part["_bin"] = -1
+        part[state] = -1
         if fits.any():
             at, offset, fill = _place(part.loc[fits, length].to_numpy().astype(np.int64), capacity)
             still_open = np.array(fill) < capacity - capacity // 512
-            part.loc[fits, "_bin"] = np.where(still_open[at], -2, 0)
-            part.loc[fits, "sequence_id"] = part.loc[fits, "_group"].to_numpy() * (1 << 32) + at
+            part.loc[fits, state] = np.where(still_open[at], -2, 0)
+            part.loc[fits, "sequence_id"] = part.loc[fits, group].to_numpy() * (1 << 32) + at
             part.loc[fits, "offset"] = offset
         return part
 
     def again(part: pd.DataFrame) -> pd.DataFrame:
-        opened = (part["_bin"] == -2).to_numpy()
+        opened = (part[state] == -2).to_numpy()
         if opened.any():
             at, offset, fill = _place(part.loc[opened, length].to_numpy().astype(np.int64), capacity)
             if len(fill) < part.loc[opened, "sequence_id"].nunique():
-                part.loc[opened, "sequence_id"] = (part.loc[opened, "_group"].to_numpy() // merge) * (1 << 32) + (1 << 31) + at
+                part.loc[opened, "sequence_id"] = (part.loc[opened, group].to_numpy() // merge) * (1 << 32) + (1 << 31) + at
                 part.loc[opened, "offset"] = offset
         return part
 
@@ -324,6 +326,6 @@ def pack(rows: DataFrame, groups: int, length: str = "length", capacity: int = 4
     def ordered(work):
         return lambda part: work(part.sort_values(order, kind="stable").reset_index(drop=True))
 
-    packed = dealt.groupBy("_group").applyInPandas(ordered(first), schema)
-    packed = packed.groupBy(F.floor(F.col("_group") / merge).alias("_merged")).applyInPandas(ordered(again), schema)
-    return packed.drop("_group", "_bin")
+    packed = dealt.groupBy(group).applyInPandas(ordered(first), schema)
+    packed = packed.groupBy(F.floor(F.col(group) / merge).alias(joint)).applyInPandas(ordered(again), schema)
+    return packed.drop(group, state)

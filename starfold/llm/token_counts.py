@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from starfold.llm.common import others
+
 #: How a token that crosses a boundary counts: for the section of its first or last
 #: character, for the one with most of its characters (the earlier of equals), or for each by its share.
 RULES = ("start", "end", "most", "share")
@@ -76,7 +78,7 @@ def count_tokens(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: s
     """
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
     made = {"section": T.IntegerType(), "start": T.LongType(), "stop": T.LongType(), "n_tokens": T.DoubleType(), "n_crossing": T.LongType()}
-    keep = [c for c in docs.columns if c != text and c not in made]
+    keep = others(docs, text, *made)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, t) for n, t in made.items()])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starfold.llm.common import WordHashes, hash_bytes, mix64
+from starfold.llm.common import WordHashes, hash_bytes, mix64, others
 
 _TRIM = bytes(set(range(0x21, 0x80)) - set(b"0123456789abcdefghijklmnopqrstuvwxyz"))
 
@@ -128,7 +128,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str =
 
 def with_score(docs: DataFrame, text: str, out: str, make) -> DataFrame:
     """Add a double column made from each row's text by the function that ``make`` returns in the task."""
-    keep = [c for c in docs.columns if c != out]
+    keep = others(docs, out)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

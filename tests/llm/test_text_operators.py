@@ -43,6 +43,7 @@ def test_bpe_equals_the_library_and_round_trips(spark, vocabulary, texts):
         assert bytes(row["decoded"]) == text.encode()
         assert row["IDS"] in ("kept", None)
     assert bpe.encode(texts.limit(0), vocabulary, ids="packed").count() == 0
+    assert bpe.encode(texts, vocabulary).columns == ["doc_id", "text", "piece", "ids"]  # IDS is replaced
 
 
 def test_token_counts_add_up_under_every_rule(spark, texts):
@@ -86,7 +87,7 @@ def test_pieces_equal_the_library(spark, texts):
 def test_packing_is_gapless_and_near_the_bound(spark):
     rng = np.random.default_rng(0)
     lengths = [int(x) for x in rng.integers(1, 900, 3000)] + [4096] * 5
-    rows = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)] + [(9001, None), (9002, 0), (9003, 5000)], "id int, length long")
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)] + [(9001, None), (9002, 0), (9003, 5000)], "id int, length long").withColumns({"_group": F.lit("own"), "OFFSET": F.lit(1)})
     out = packing.pack(rows, groups=5, merge=5).collect()
     bins = {}
     for r in out:
