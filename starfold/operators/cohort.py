@@ -151,7 +151,7 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.exceptAll(right).withColumn("side", F.lit("left")).union(right.exceptAll(left).withColumn("side", F.lit("right")))
 
 
-def content_id(entries: DataFrame, columns: list[str]) -> DataFrame:
-    """A manifest's id: 16 digits of the hash of its sorted entries."""
+def content_id(entries: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """The id of each manifest: 16 digits of the hash of its sorted entries. A manifest lists one target's products."""
     text = F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]))), "\n")
-    return entries.agg(F.substring(F.sha2(text, 256), 1, 16).alias("manifest_id"), F.count("*").alias("entries"))
+    return entries.groupBy(by).agg(F.substring(F.sha2(text, 256), 1, 16).alias("manifest_id"), F.count("*").alias("entries"))

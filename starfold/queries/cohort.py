@@ -170,9 +170,11 @@ def latest_product(spark, d):
     return C.latest(o, "target_id", "o_orderdate", "product_id").select("target_id", "product_id")
 
 
-@query("SELECT substr(sha256(string_agg(o_orderkey || '|' || o_custkey || '|' || o_orderstatus, chr(10) ORDER BY o_orderkey || '|' || o_custkey || '|' || o_orderstatus)), 1, 16) AS manifest_id, count(*) AS entries FROM orders WHERE o_custkey % 10 = 3")
+@query("SELECT o_custkey AS target_id, substr(sha256(string_agg(o_orderkey || '|' || o_orderstatus, chr(10) ORDER BY o_orderkey || '|' || o_orderstatus)), 1, 16) AS manifest_id, count(*) AS entries FROM orders GROUP BY 1")
 def manifest_id(spark, d):
-    return C.content_id(table(spark, d, "orders").filter("o_custkey % 10 = 3"), ["o_orderkey", "o_custkey", "o_orderstatus"])
+    """A manifest for each target's products."""
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "target_id")
+    return C.content_id(o, "target_id", ["o_orderkey", "o_orderstatus"])
 
 
 @query("SELECT o_orderkey AS product_id, 'left' AS side FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0 UNION ALL SELECT o_orderkey, 'right' FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0")

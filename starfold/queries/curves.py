@@ -319,13 +319,12 @@ def trapezoid_flux(spark, d):
     return rounded(events_curve(spark, d).select("target_id", "cadence", S.trapezoid(S.phase_days(F.col("time_days"), 1.3, 3.7), 0.01, 0.4, 0.3).alias("model")), 9)
 
 
-@query(f"""WITH {EVENTS_SQL}, p AS (SELECT target_id, cadence, (i + 0.5) / 2000.0 * 0.02 - 0.01 AS o, time_days FROM curve, range(2000) r(i) WHERE target_id % 25 = 0),
+@query(f"""WITH {EVENTS_SQL}, p AS (SELECT target_id, cadence, (i + 0.5) / 1000.0 * 0.02 - 0.01 AS o, time_days FROM curve, range(1000) r(i)),
  q AS (SELECT target_id, cadence, time_days + o - 1.3 + 3.7 / 2.0 AS s FROM p), h AS (SELECT target_id, cadence, s - 3.7 * floor(s / 3.7) - 3.7 / 2.0 AS ph FROM q)
- SELECT target_id, cadence, round(avg({TRAP_SQL.format(depth=0.01, dur=0.4, ing=0.3, phase='ph')}), 5) AS model FROM h GROUP BY 1, 2""")
+ SELECT target_id, cadence, round(avg({TRAP_SQL.format(depth=0.01, dur=0.4, ing=0.3, phase='ph')}), 4) AS model FROM h GROUP BY 1, 2""")
 def trapezoid_exposure_flux(spark, d):
-    """The closed form against 2000 instants of each exposure."""
-    c = events_curve(spark, d).filter("target_id % 25 = 0")
-    return rounded(c.select("target_id", "cadence", S.trapezoid_exposed(F.col("time_days"), 1.3, 3.7, 0.01, 0.4, 0.3, 0.02).alias("model")), 5)
+    """The closed form against 1000 instants of each exposure."""
+    return rounded(events_curve(spark, d).select("target_id", "cadence", S.trapezoid_exposed(F.col("time_days"), 1.3, 3.7, 0.01, 0.4, 0.3, 0.02).alias("model")), 4)
 
 
 @query(f"WITH {EVENTS_SQL} SELECT target_id, cadence, round({TRAP_SQL.format(depth=0.02, dur=0.5, ing=0.9, phase=_phase_sql('1.3', '3.7'))} + {TRAP_SQL.format(depth=0.01, dur=0.5, ing=0.9, phase=_phase_sql('1.3 + 0.5 * 3.7', '3.7'))} - 1 - 0.001 * cos(4 * pi() * (time_days - 1.3) / 3.7), 9) AS model FROM curve")
