@@ -110,6 +110,12 @@ def multikey_quicksort(keys: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
         if depth == keys.shape[1] or len(rows) == 1:
             out.append(rows)
             continue
+        if len(rows) <= 16:  # too few for a pivot to pay
+            by_key: dict[tuple, list[int]] = {}
+            for i, key in zip(rows.tolist(), keys[rows].tolist(), strict=True):
+                by_key.setdefault(tuple(key), []).append(i)
+            out += [np.array(by_key[key]) for key in sorted(by_key)]
+            continue
         column = keys[rows, depth]
         pivot = np.partition(column, len(column) // 2)[len(column) // 2]
         less, more = rows[column < pivot], rows[column > pivot]
@@ -195,45 +201,80 @@ def deep_shallow_sort(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(order, np.int64), common
 
 
-def windows_seen_before(rows: list[tuple[int, int, int, int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
-    """(doc, begin, end) of stretches covered by windows that an earlier run of the rows also has.
+#: Groups up to this size are compared by walking the suffix order; larger ones by reach.
+SMALL_GROUP = 12
+
+Row = tuple[int, int, int, int, int, bytes]
+
 
-    Rows are the different runs of one anchor: (doc, place, first, last, begin of bytes, bytes).
-    A window is given by how far it reaches to the left of its anchor, ``reach``: of the runs
-    that agree for ``length - reach`` bytes from the anchor on, which stand together in suffix
-    order, those with equal bytes to the left have the same window.
+def windows_seen_before(rows: list[Row], length: int, gram: int) -> list[tuple[int, int, int]]:
+    """(doc, begin, end) of stretches covered by windows that an earlier row also has.
+
+    Rows are runs (doc, place of the anchor, first, last, begin of bytes, bytes). A window is given
+    by how far it reaches to the left of its anchor, ``reach``: rows that agree for ``length - reach``
+    bytes from the anchor on stand together in suffix order, and those of them with equal bytes to
+    the left have the same window. All rows are ordered at once; those of one anchor agree for
+    ``gram`` bytes, so they are neighbours.
     """
-    rows = sorted({r[:2]: r for r in rows}.values())
-    suffixes = [r[5][r[1] - r[4] : r[1] - r[4] + length] for r in rows]
-    order, common = deep_shallow_sort(suffixes)
-    docs = np.array([r[0] for r in rows])
-    place, first, last = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
-    lowest, highest = place - last, place - first  # reaches that a row has windows for
+    rows = list({r[:2]: r for r in rows}.values())
+    order, common = deep_shallow_sort([r[5][r[1] - r[4] : r[1] - r[4] + length] for r in rows])
+    starts = np.append(np.flatnonzero(common < gram), len(rows)).tolist()
+    order, common = order.tolist(), common.tolist()
+    out: list[tuple[int, int, int]] = []
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        group = [rows[i] for i in order[a:b]]
+        if 1 < b - a <= SMALL_GROUP:
+            out += _walk(group, common[a:b], length)
+        elif b - a > 1:
+            out += _by_reach(group, np.array(common[a:b]), length)
+    return out
+
+
+def _walk(group: list[Row], common: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+    """Each row with those behind it in suffix order, as long as what they share to the right can still do."""
+    left = [r[5][: r[1] - r[4]][::-1] for r in group]
+    for i, (doc, place, first, last, _, _) in enumerate(group):
+        right = length
+        for j in range(i + 1, len(group)):
+            right = min(right, common[j])
+            if right + place - first < length:
+                break
+            other = group[j]
+            low = max(length - right, place - last, other[1] - other[3])
+            high = min(place - first, other[1] - other[2])
+            if low <= high and (high := min(high, common_prefix(left[i], left[j]))) >= low:
+                later = max((doc, place), other[:2])
+                yield later[0], later[1] - high, later[1] - low + length
+
+
+def _by_reach(group: list[Row], common: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
+    """For every reach, rows that agree to the right and to the left; all but the first have the window again."""
+    docs, place, first, last = (np.array([r[k] for r in group]) for k in range(4))
+    lowest, highest = place - last, place - first
     width = int(highest.max())
-    left = np.zeros((len(rows), max(width, 1)), np.uint8)  # bytes to the left of the anchor, nearest first
-    for i, r in enumerate(rows):
+    left = np.zeros((len(group), max(width, 1)), np.uint8)  # bytes to the left of the anchor, nearest first
+    for i, r in enumerate(group):
         before = np.frombuffer(r[5][: r[1] - r[4]], np.uint8)[::-1][:width]
         left[i, : len(before)] = before
-    found = np.zeros((len(rows), width + 1), bool)
-    left_key = np.zeros(len(rows), np.uint64)
+    rank = np.empty(len(group), np.int64)
+    rank[np.lexsort((place, docs))] = np.arange(len(group))
+    found = np.zeros((len(group), width + 1), bool)
+    left_key = np.zeros(len(group), np.uint64)
     for reach in range(width + 1):
         if reach:
             left_key = mix64(left_key * np.uint64(31) + left[:, reach - 1] + np.uint64(1))
-        has = (lowest <= reach) & (reach <= highest)
-        if has.sum() < 2:
+        at = np.flatnonzero((lowest <= reach) & (reach <= highest))
+        if len(at) < 2:
             continue
-        group = np.empty(len(rows), np.uint64)
-        group[order] = np.cumsum(common < length - reach).astype(np.uint64)
-        at = np.flatnonzero(has)  # rows are in order of (doc, place)
-        name = mix64(group[at] * np.uint64(0x9E3779B97F4A7C15) ^ left_key[at])
+        right_key = np.cumsum(common < length - reach).astype(np.uint64)
+        at = at[np.argsort(rank[at])]
+        name = mix64(right_key[at] * np.uint64(0x9E3779B97F4A7C15) ^ left_key[at])
         _, earliest, inverse = np.unique(name, return_index=True, return_inverse=True)
         found[at[earliest[inverse] != np.arange(len(at))], reach] = True
-    out = []
     for i in np.flatnonzero(found.any(axis=1)):
         edge = np.diff(np.concatenate([[0], found[i].astype(np.int8), [0]]))
         for low, high in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1, strict=True):
-            out.append((int(docs[i]), int(place[i] - high), int(place[i] - low + length)))
-    return out
+            yield int(docs[i]), int(place[i] - high), int(place[i] - low + length)
 
 
 #: Different runs of one anchor that are ordered in one task; those of an anchor with more are dealt by single windows.
@@ -274,6 +315,14 @@ def _earlier(runs: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order[new], order[(doc != doc[lead]) | (place != place[lead])]
 
 
+#: Bits that tell which documents have rows to meet: one megabyte, sent to every executor.
+DOC_BITS = 23
+
+
+def _bit(doc: np.ndarray) -> np.ndarray:
+    return (mix64(doc.astype(np.int64).view(np.uint64) + np.uint64(77)) >> np.uint64(64 - DOC_BITS)).astype(np.int64)
+
+
 def _doc_part(doc: np.ndarray, parts: int) -> np.ndarray:
     return (mix64(doc.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
@@ -399,7 +448,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                             windows[name].append(v)
                     else:
                         anchor = int(asked["anchor"][k])
-                        packed.setdefault(anchor % parts, []).append((anchor, doc, place, first, last, data[first : last + length]))
+                        packed.setdefault(anchor % parts, []).append((doc, place, first, last, data[first : last + length]))
             yield from _out("context", ((p, pickle.dumps(c, 5)) for p, c in packed.items()))
             if windows["doc"]:
                 values = {n: np.concatenate(v) for n, v in windows.items()}
@@ -409,14 +458,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 yield from _out("run", _columns(values, _RUN, (values["anchor"] % np.uint64(parts)).astype(np.int32)))
 
     def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_anchor: dict[int, list] = {}
+        members: list[Row] = []
         for x in blobs_of(stream, "context"):
             if isinstance(x, bytes):
-                for anchor, *rest in pickle.loads(x):
-                    by_anchor.setdefault(anchor, []).append((rest[0], rest[1], rest[2], rest[3], rest[2], rest[4]))
+                members += [(doc, place, first, last, first, data) for doc, place, first, last, data in pickle.loads(x)]
             else:
                 yield x
-        cuts = [c for members in by_anchor.values() for c in windows_seen_before(members, length)]
+        cuts = windows_seen_before(members, length, gram)
         if cuts:
             values = dict(zip(("doc", "begin", "end"), np.array(cuts, np.int64).T, strict=True))
             yield from _out("cut", _columns(values, _CUT, _doc_part(values["doc"], parts)))
@@ -449,26 +497,71 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc", "n_bytes", "spans", "kept"])
 
-    def of_documents(blobs: DataFrame, work, out: str) -> DataFrame:
-        """Documents meet the rows for their part, which come first."""
-        texts = rows.mapInArrow(with_part, "kind int, doc long, data binary, text string, part int")
-        first = blobs.select(F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc"), "data", F.lit(None).cast("string").alias("text"), "part")
-        met = first.union(texts).repartition(parts, "part").sortWithinPartitions("kind")
-        return met.select("kind", "doc", "data", "text").mapInArrow(work, out)
+    def bits_of(kind: list):
+        """The documents named in blobs, as set bits; pieces that are all zero aren't sent."""
+
+        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(1 << DOC_BITS, bool)
+            for batch in stream:
+                bits[_bit(_unpacked(batch.column(0).to_pylist(), kind)["doc"])] = True
+            yield from pieces(np.packbits(bits))
 
-    def with_part(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run
+
+    def pieces(bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        used = [k for k in range(0, len(bits), 4096) if bits[k : k + 4096].any()]
+        if used:
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([bits[k : k + 4096].tobytes() for k in used], pa.binary())], names=["at", "bits"])
+
+    def joined(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros((1 << DOC_BITS) // 8, np.uint8)
         for batch in stream:
-            n = batch.num_rows
-            doc = batch.column(0)
-            known = pa.compute.fill_null(doc, 0).to_numpy()
-            part = np.where(doc.is_valid().to_numpy(zero_copy_only=False), _doc_part(known, parts), np.arange(n) % parts).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), doc, pa.nulls(n, pa.binary()), batch.column(1), pa.array(part)], names=["kind", "doc", "data", "text", "part"])
+            for at, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                bits[at : at + 4096] |= np.frombuffer(piece, np.uint8)
+        yield from pieces(bits)
+
+    def concerned(blobs: DataFrame, kind: list):
+        """A broadcast of 2**DOC_BITS bits, whatever the corpus; a bit set by another document only costs a look."""
+        found = blobs.select("data").mapInArrow(bits_of(kind), "at int, bits binary").repartition(8, "at").mapInArrow(joined, "at int, bits binary")
+        bits = np.zeros((1 << DOC_BITS) // 8, np.uint8)
+        for at, piece in found.collect():
+            bits[at : at + 4096] = np.frombuffer(piece, np.uint8)
+        return spark.sparkContext.broadcast(bits)
+
+    def placed(bits, wanted: bool):
+        """Rows whose document has its bit set, or those that haven't, with their part."""
+
+        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known_bits = np.unpackbits(bits.value).view(bool)
+            for batch in stream:
+                doc = batch.column(0)
+                number = pa.compute.fill_null(doc, 0).to_numpy()
+                named = doc.is_valid().to_numpy(zero_copy_only=False) & known_bits[_bit(number)]
+                batch = batch.filter(pa.array(named == wanted))
+                n = batch.num_rows
+                if n:
+                    part = _doc_part(number[named == wanted], parts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), batch.column(0), pa.nulls(n, pa.binary()), batch.column(1), pa.array(part)], names=["kind", "doc", "data", "text", "part"])
+
+        return rows.mapInArrow(run, "kind int, doc long, data binary, text string, part int")
+
+    def of_documents(blobs: DataFrame, bits, work, out: str) -> DataFrame:
+        """The documents concerned meet the rows for their part, which come first."""
+        first = blobs.select(F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc"), "data", F.lit(None).cast("string").alias("text"), "part")
+        met = first.union(placed(bits, True)).repartition(parts, "part").sortWithinPartitions("kind")
+        return met.select("kind", "doc", "data", "text").mapInArrow(work, out)
 
     def dealt(blobs: DataFrame, work) -> DataFrame:
         return blobs.repartition(parts, "part").mapInArrow(work, schema)
 
     firsts = materialize(dealt(rows.mapInArrow(runs_of, schema), lambda s: first_runs(s, False)))
-    fetched = of_documents(firsts.filter("kind = 'ask'"), fetch, schema)
+    ask = firsts.filter("kind = 'ask'")
+    fetched = of_documents(ask, concerned(ask, _ASK), fetch, schema)
     compared = materialize(dealt(dealt(fetched, lambda s: first_runs(s, True)), compare))
     cut = firsts.filter("kind = 'cut'").union(compared.filter("kind = 'cut'"))
-    return of_documents(cut, finish, "doc long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary").withColumnRenamed("doc", key)
+    bits = concerned(cut, _CUT)
+    result = "doc long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary"
+    whole = placed(bits, False).select(
+        "doc", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.from_json(F.lit("[]"), "array<struct<begin:long,end:long>>").alias("spans"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("kept")
+    )
+    return of_documents(cut, bits, finish, result).union(whole).withColumnRenamed("doc", key)
