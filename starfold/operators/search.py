@@ -13,13 +13,18 @@ from starfold.functions import series as S
 from starfold.operators import kernels as K
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows by key to as many tasks as the session shuffles to: kernels cost time, not bytes, by which tasks would be merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def by_target(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Run a kernel on each target's rows, in time order. A target is one star's series, so its size is bounded by the survey."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return work(part.sort_values(["time_days", "cadence"], kind="stable").reset_index(drop=True))
 
-    return df.groupBy("target_id").applyInPandas(run, schema)
+    return spread(df, "target_id").groupBy("target_id").applyInPandas(run, schema)
 
 
 def detrended(prep: DataFrame, window: float, masked: str | None = None) -> DataFrame:
@@ -122,7 +127,7 @@ def bootstrap(curve: DataFrame, fits: DataFrame, flux: str = "flux_norm", replic
     f = fits.filter("status <> 'failed'").select("target_id", *[F.col(c).alias(f"f_{c}") for c in (*names, "ingress")])
     rows = curve.join(f, "target_id").withColumn("task", F.explode(F.sequence(F.lit(1), F.lit(tasks))))
     rows = rows.withColumn("seed", S.hash_number(F.concat_ws("_", F.col("target_id").cast("string"), F.col("task").cast("string"))))
-    values = rows.groupBy("target_id", "task").applyInPandas(work, "target_id long, parameter string, value double")
+    values = spread(rows, "target_id", "task").groupBy("target_id", "task").applyInPandas(work, "target_id long, parameter string, value double")
     q = F.percentile("value", F.array(*[F.lit(v) for v in (0.16, 0.84, 0.025, 0.975)]))
     g = values.groupBy("target_id", "parameter").agg(F.count("*").alias("n_success"), q.alias("q"))
     bound = lambda k: F.when(F.col("n_success") >= 10, F.col("q")[k])
