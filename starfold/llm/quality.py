@@ -9,8 +9,10 @@ whether it repeats the word before), so that layout counts as well as vocabulary
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starfold.llm.common import hash_bytes, mix64
+from starfold.llm.bpe import _Remembered
+from starfold.llm.common import mix64
 from starfold.llm.toxicity import bounded_labels, with_score
 
 
@@ -36,31 +39,44 @@ class Indexing:
         return (h % np.uint64(self.width)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
 
 
-class Slots(dict):
+class Slots:
     """word -> (core slot, shape slot); shapes use the upper half of the numbers, a repeat the next shape over."""
 
     _lower, _upper = re.compile("[a-zß-öø-ÿ]+"), re.compile("[A-ZÀ-ÖØ-Þ]+")
 
-    def __init__(self, slots: int, limit: int = 200_000):
-        super().__init__()
-        self.slots, self.limit = slots, limit
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        core = hash_bytes(word.lower().strip(".,;:!?|*$%&#\"'()[]").encode("utf-8", "surrogatepass")) % self.slots
-        shape = re.sub(r"\d+", "9", self._upper.sub(lambda m: "A" if len(m[0]) == 1 else "AA", self._lower.sub("a", word)))[:12]
-        value = self[word] = core * self.slots + hash_bytes(shape.encode("utf-8", "surrogatepass")) % (self.slots // 2)
-        return value
+    def __init__(self, slots: int, limit: int = 250_000):
+        self.slots = slots
+        self.known = _Remembered(self._number, limit)
+
+    def _shape(self, word: str) -> str:
+        body, end = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
+        if body.isalpha():
+            if body.islower():
+                return "a" + end
+            if body.isupper():
+                return ("AA" if len(body) > 1 else "A") + end
+            if body.istitle():
+                return "Aa" + end
+        return re.sub(r"\d+", "9", self._upper.sub(lambda m: "A" if len(m[0]) == 1 else "AA", self._lower.sub("a", word)))[:12]
+
+    def _number(self, word: str) -> int:
+        core = zlib.crc32(word.lower().strip(".,;:!?|*$%&#\"'()[]").encode("utf-8", "surrogatepass")) % self.slots
+        return core * self.slots + zlib.crc32(self._shape(word).encode("utf-8", "surrogatepass")) % (self.slots // 2)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = text.split() if text else []
-        both = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        both = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         core, shape = both // self.slots, both % self.slots
         shape[1:] += (both[1:] == both[:-1]) * (self.slots // 2)
         return core, shape + self.slots
 
 
+@cache
+def slots_of(slots: int) -> Slots:
+    """One a worker: what it remembers is worth more than one task."""
+    return Slots(slots)
+
+
 def word_vectors(docs: DataFrame, text: str = "text", indexing: Indexing = Indexing()) -> np.ndarray:
     """Unit word vectors of all slots, from every word of every text.
 
@@ -70,7 +86,7 @@ def word_vectors(docs: DataFrame, text: str = "text", indexing: Indexing = Index
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sign = indexing.spike()
-        slots, width = Slots(indexing.slots), indexing.width
+        slots, width = slots_of(indexing.slots), indexing.width
         total = np.zeros(2 * indexing.slots * width)
         seen = np.zeros(2 * indexing.slots)
 
@@ -132,7 +148,7 @@ class Pool:
     """A text's vector: means of its core and shape vectors, and the logarithm of its length."""
 
     def __init__(self, vectors: np.ndarray, slots: int):
-        self.vectors, self.slots = vectors, Slots(slots)
+        self.vectors, self.slots = vectors, slots_of(slots)
 
     def of(self, text: str | None) -> np.ndarray:
         core, shape = self.slots.of(text)
