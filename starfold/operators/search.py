@@ -226,7 +226,7 @@ def cadence_width(curve: DataFrame, keys: list[str]) -> DataFrame:
     """Lower median of the positive steps between distinct times, of products with three of them at least."""
     t = curve.select(*keys, "time_days").distinct()
     step = F.col("time_days") - F.lag("time_days").over(Window.partitionBy(*keys).orderBy("time_days"))
-    g = t.withColumn("_d", step).groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_disc("_d", 0.5).alias("w") if hasattr(F, "percentile_disc") else F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _d)").alias("w"))
+    g = t.withColumn("_d", step).groupBy(*keys).agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _d)").alias("w"))
     return g.select(*keys, F.when(F.col("n") >= 3, F.col("w")).alias("width_days"))
 
 
