@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ def hash_bytes(data: bytes) -> int:
 class WordHashes(dict):
     """word bytes -> 64-bit hash, computed once for a word; emptied when it grows past ``limit``."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
@@ -98,13 +98,8 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def batches(rows: Iterable[dict], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Rows as dicts to record batches of ``size`` rows."""
-    block: list[dict] = []
-    for row in rows:
-        block.append(row)
-        if len(block) >= size:
-            yield pa.RecordBatch.from_pylist(block, schema=schema)
-            block = []
-    if block:
-        yield pa.RecordBatch.from_pylist(block, schema=schema)
+def small(stream: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that what a task holds and sends at once stays small."""
+    for batch in stream:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

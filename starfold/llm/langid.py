@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starfold.llm.common import mix64, others
+from starfold.llm.common import mix64, others, small
 
 
 @cache
@@ -134,7 +134,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = shared.value.languages_of
-        for batch in stream:
+        for batch in small(stream):
             texts = batch.column(batch.schema.get_field_index(text))
             found = [[{"lang": name, "share": s} for name, s in find(t.as_py())] for t in texts]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(found, kind)], names=[*keep, out])

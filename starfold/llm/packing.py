@@ -28,7 +28,7 @@ class WordTokenizer:
 
     _separators = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
 
-    def __init__(self, spec: str, pattern: str, limit: int = 300_000):
+    def __init__(self, spec: str, pattern: str, limit: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -84,10 +84,10 @@ def pieces(docs: DataFrame, spec: str, text: str = "text", end_id: int = 1, capa
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(shared.value, pattern).encode
+        encode = WordTokenizer(shared.value, pattern).encode  # what it remembers goes with the task
         for whole in stream:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 rows, out = [], {n: [] for n in made}
                 for i, t in enumerate(batch.column(batch.schema.get_field_index(text))):
                     ids = encode(t.as_py()) + tail
@@ -103,18 +103,6 @@ def pieces(docs: DataFrame, spec: str, text: str = "text", end_id: int = 1, capa
     return docs.mapInArrow(run, schema)
 
 
-_tokenizers: dict[tuple[int, str], WordTokenizer] = {}
-
-
-def _tokenizer(spec: str, pattern: str) -> WordTokenizer:
-    """One tokenizer a worker: its memory is worth more than one task."""
-    key = (hash(spec), pattern)
-    if key not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[key] = WordTokenizer(spec, pattern)
-    return _tokenizers[key]
-
-
 class _Stock:
     """Items by length. ``lengths`` has bit l set while an item of length l is left."""
 

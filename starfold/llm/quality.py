@@ -12,7 +12,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +43,7 @@ class Slots:
 
     _lower, _upper = re.compile("[a-zß-öø-ÿ]+"), re.compile("[A-ZÀ-ÖØ-Þ]+")
 
-    def __init__(self, slots: int, limit: int = 250_000):
+    def __init__(self, slots: int, limit: int = 100_000):
         self.slots = slots
         self.known = _Remembered(self._number, limit)
 
@@ -71,12 +70,6 @@ class Slots:
         return core, shape + self.slots
 
 
-@cache
-def slots_of(slots: int) -> Slots:
-    """One a worker: what it remembers is worth more than one task."""
-    return Slots(slots)
-
-
 def word_vectors(docs: DataFrame, text: str = "text", indexing: Indexing = Indexing()) -> np.ndarray:
     """Unit word vectors of all slots, from every word of every text.
 
@@ -86,7 +79,7 @@ def word_vectors(docs: DataFrame, text: str = "text", indexing: Indexing = Index
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sign = indexing.spike()
-        slots, width = slots_of(indexing.slots), indexing.width
+        slots, width = Slots(indexing.slots), indexing.width
         total = np.zeros(2 * indexing.slots * width)
         seen = np.zeros(2 * indexing.slots)
 
@@ -148,7 +141,7 @@ class Pool:
     """A text's vector: means of its core and shape vectors, and the logarithm of its length."""
 
     def __init__(self, vectors: np.ndarray, slots: int):
-        self.vectors, self.slots = vectors, slots_of(slots)
+        self.vectors, self.slots = vectors, Slots(slots)
 
     def of(self, text: str | None) -> np.ndarray:
         core, shape = self.slots.of(text)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starfold.llm.common import WordHashes, hash_bytes, mix64, others
+from starfold.llm.common import WordHashes, hash_bytes, mix64, others, small
 
 _TRIM = bytes(set(range(0x21, 0x80)) - set(b"0123456789abcdefghijklmnopqrstuvwxyz"))
 
@@ -133,9 +133,8 @@ def with_score(docs: DataFrame, text: str, out: str, make) -> DataFrame:
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in stream:
-            texts = batch.column(batch.schema.get_field_index(text))
-            values = [work(t.as_py()) for t in texts]
+        for batch in small(stream):
+            values = [work(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(values, pa.float64())], names=[*keep, out])
 
     return docs.mapInArrow(run, schema)
