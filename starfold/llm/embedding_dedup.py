@@ -3,6 +3,9 @@
 Vectors of one label are cut into overlapping clusters, a graph is built on each, and
 the adjacency lists are united. Every vector then searches the union: greedily from the
 medoids to its neighbourhood, and from there through all vectors in range.
+
+A label too large for one graph is cut into regions. Vectors whose links may reach over the
+border of two regions are compared in blocks, so that no link depends on where a border lies.
 """
 
 from __future__ import annotations
@@ -12,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starfold.llm.common import materialize
+from starfold.llm.common import materialize, small
 from starfold.llm.components import connected_components, smallest_reachable
 from starfold.llm.vectors import matrix, usable
 
-#: Vectors of a graph that is built by itself, and of a region that one task searches, on average; clusters a vector is in.
+#: Vectors of a graph that is built by itself, and of a region that one task searches, on average; clusters of a graph a vector is in.
 SHARD_ROWS, REGION_ROWS, OVERLAP = 1000, 6000, 2
 #: Most neighbours that building leaves a vector in one shard, and the slack of pruning.
 DEGREE, ALPHA, BEAM = 20, 1.2, 24
@@ -40,6 +43,24 @@ def nearest_centroids(vectors: np.ndarray, centre: np.ndarray, count: int) -> np
     return np.argsort(-(vectors @ centre.T), axis=1, kind="stable")[:, :count]
 
 
+def reached(unit: np.ndarray, centre: np.ndarray, least: float) -> np.ndarray:
+    """Regions (vector, region) that can hold a vector with a cosine of at least ``least``; its own among them.
+
+    A region's vectors are nearer to its centroid than to any other, so they lie beyond the plane
+    halfway to each other centroid; a vector farther in front of one of these planes than the
+    sine of the angle has no link there.
+    """
+    near = unit @ centre.T
+    if least <= 0:
+        return np.ones(near.shape, bool)
+    sine = np.sqrt(max(0.0, 1 - least * least))
+    apart = np.sqrt(np.maximum(0, 2 - 2 * centre @ centre.T)) if len(centre) else np.zeros((0, 0))
+    out = np.ones(near.shape, bool)
+    for c in range(len(centre)):
+        out &= near[:, c : c + 1] - near <= sine * apart[c] + 1e-9
+    return out
+
+
 class Graph:
     """Adjacency lists over unit vectors; distance is one minus the cosine."""
 
@@ -135,10 +156,10 @@ class Graph:
         return out[out != node]
 
 
-def search_region(unit: np.ndarray, queries: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
+def search_region(unit: np.ndarray, queries: np.ndarray, least: float, beam: int, shard_rows: int) -> list[np.ndarray]:
     """For each query row, the rows with a cosine of at least ``least`` to it, verified on the vectors."""
     graph = Graph(unit)
-    shards = -(-len(unit) // SHARD_ROWS)
+    shards = -(-len(unit) // shard_rows)
     if shards == 1:
         starts = np.array([graph.build(np.arange(len(unit)))])
     else:
@@ -161,11 +182,13 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     a key are separate, and link with each other if their vectors do. The links
     of ``audit_rows`` rows are counted by brute force; the search is repeated with a wider beam
     while fewer than ``target`` of them were found. Labels that fill more than one region are
-    cut by centroids of a bounded sample, every vector going to its two nearest.
+    cut by centroids of a bounded sample; a pair of regions meets with those of their vectors
+    that can have links across (see ``reached``), which are compared exactly.
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     good = usable(rows.dropna(subset=["id", "label"]), "vector")
-    distinct = materialize(good.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
+    distinct = good.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
+    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))  # ids may repeat
     large = {r["label"]: -(-r["n"] // REGION_ROWS) for r in distinct.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > REGION_ROWS).collect()}
     centre: dict = {}
     if large:
@@ -175,26 +198,34 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             unit = np.array(group["vector"].tolist())
             centre[name] = centroids(unit / np.linalg.norm(unit, axis=1, keepdims=True), large[name])
     shared = df.sparkSession.sparkContext.broadcast(centre)
+    shard_rows = SHARD_ROWS
     kind = distinct.schema["label"].dataType.simpleString()
 
     def place(stream):
-        for batch in stream:
+        """Each row once for each pair of its own region and one that it may have links in."""
+        for batch in small(stream):
             if not batch.num_rows:
                 continue
             vectors = matrix(batch.column(1))
-            out, regions, own = [], [], []
-            for i, name in enumerate(batch.column(0).to_pylist()):
-                near = nearest_centroids(vectors[i : i + 1], shared.value[name], OVERLAP)[0] if name in shared.value else (0,)
-                for k, region in enumerate(near):
-                    out.append(i)
-                    regions.append(int(region))
-                    own.append(k == 0)
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(out, pa.int64())).columns, pa.array(regions, pa.int32()), pa.array(own)], names=["label", "vector", "id", "weight", "region", "own"])
-
-    placed = distinct.mapInArrow(place, f"label {kind}, vector array<double>, id long, weight long, region int, own boolean")
+            unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+            names = np.array(batch.column(0).to_pylist(), object)
+            out, own, met = [], [], []
+            for name in set(names.tolist()):
+                at = np.flatnonzero(names == name)
+                places = shared.value.get(name, unit[:1])
+                row, other = np.nonzero(reached(unit[at], places, least) if name in shared.value else np.ones((len(at), 1), bool))
+                out.append(at[row])
+                own.append(nearest_centroids(unit[at], places, 1)[:, 0][row])
+                met.append(other)
+            own, met = np.concatenate(own), np.concatenate(met)
+            columns = batch.take(pa.array(np.concatenate(out))).columns
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.minimum(own, met)), pa.array(np.maximum(own, met)), pa.array(own)], names=["label", "vector", "node", "weight", "low", "high", "own"])
+
+    nodes = distinct.select("label", "vector", "node", "weight")
+    placed = nodes.mapInArrow(place, f"label {kind}, vector array<double>, node long, weight long, low long, high long, own long")
     sample = distinct.orderBy(F.desc(F.xxhash64("id") % 7 == 0), F.xxhash64("id", F.lit(3)), "id").limit(audit_rows)
-    checked = sample.select("label", "vector", "id").toPandas()
-    asked = df.sparkSession.sparkContext.broadcast((checked["label"].tolist(), np.array(checked["vector"].tolist(), float), checked["id"].tolist()))
+    checked = sample.select("label", "vector", "node").toPandas()
+    asked = df.sparkSession.sparkContext.broadcast((checked["label"].tolist(), np.array(checked["vector"].tolist(), float), checked["node"].tolist()))
 
     def brute(stream):
         names, vectors, ids = asked.value
@@ -209,37 +240,47 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
                 weight = batch.column(3).to_numpy()
                 other = batch.column(2).to_numpy() != np.array(ids)[:, None]
                 counts = ((cosine >= least) & same & other) @ weight
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts)], names=["id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts)], names=["node", "n"])
 
-    truth = {r["id"]: r["n"] for r in distinct.mapInArrow(brute, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    truth = {r["node"]: r["n"] for r in nodes.mapInArrow(brute, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()}
 
     def links_with(width: int) -> DataFrame:
         def run(table: pa.Table) -> pa.Table:
             table = table.combine_chunks()
-            ids, weight = table["id"].to_numpy(), table["weight"].to_numpy()
+            ids, weight, own = table["node"].to_numpy(), table["weight"].to_numpy(), table["own"].to_numpy()
+            low, high = table["low"][0].as_py(), table["high"][0].as_py()
             vectors = matrix(table["vector"])
             unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-            queries = np.flatnonzero(table["own"].to_numpy(zero_copy_only=False))
-            found = search_region(unit, queries, least, width)
+            if low == high:
+                found = search_region(unit, np.arange(len(ids)), least, width, shard_rows)
+            else:
+                left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+                hits = unit[left] @ unit[right].T >= least
+                found = [np.empty(0, np.int64)] * len(ids)
+                for i, q in enumerate(left):
+                    found[q] = right[hits[i]]
+                for i, q in enumerate(right):
+                    found[q] = left[hits[:, i]]
             counts = [int(weight[f].sum()) for f in found]
-            a, b = np.repeat(ids[queries], [len(f) for f in found]), ids[np.concatenate([np.empty(0, np.int64), *found])]
+            a, b = np.repeat(ids, [len(f) for f in found]), ids[np.concatenate([np.empty(0, np.int64), *found])]
             node, root = smallest_reachable(a, b) if len(a) else (a, b)
             nothing = pa.nulls(len(node), pa.int64())
-            return pa.concat_tables([pa.table({"id": pa.array(ids[queries]), "n": pa.array(counts, pa.int64()), "other": pa.nulls(len(queries), pa.int64())}), pa.table({"id": pa.array(node, pa.int64()), "n": nothing, "other": pa.array(root, pa.int64())})])
+            return pa.concat_tables([pa.table({"node": pa.array(ids), "n": pa.array(counts, pa.int64()), "other": pa.nulls(len(ids), pa.int64())}), pa.table({"node": pa.array(node, pa.int64()), "n": nothing, "other": pa.array(root, pa.int64())})])
 
-        return materialize(placed.groupBy("label", "region").applyInArrow(run, "id long, n long, other long"))
+        return materialize(placed.groupBy("label", "low", "high").applyInArrow(run, "node long, n long, other long"))
 
     while True:
         found = links_with(beam)
-        have = {r["id"]: r["n"] for r in found.filter(F.col("n").isNotNull() & F.col("id").isin(list(truth))).select("id", "n").collect()}
+        counts = found.filter("n is not null").groupBy("node").agg(F.sum("n").alias("n"))
+        have = {r["node"]: r["n"] for r in counts.filter(F.col("node").isin(list(truth))).collect()}
         missing = sum(max(0, n - have.get(i, 0)) for i, n in truth.items())
         if missing <= (1 - target) * sum(truth.values()) or beam >= 1024:
             break
         beam *= 4
-    joined = connected_components(found.filter("other is not null"), "id", "other")
-    counts = found.filter("n is not null").select(F.col("id").alias("rep"), "n")
-    groups = distinct.select(F.col("label").alias("l"), F.col("vector").alias("v"), F.col("id").alias("rep"), "weight")
-    groups = groups.join(counts, "rep", "left").join(joined.withColumnsRenamed({"node": "rep", "component": "least"}), "rep", "left")
+    joined = connected_components(found.filter("other is not null"), "node", "other")
+    least_ids = joined.join(distinct.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("least"))
+    groups = distinct.select(F.col("label").alias("l"), F.col("vector").alias("v"), F.col("id").alias("rep"), "weight", "node")
+    groups = groups.join(counts, "node", "left").join(joined.join(least_ids, "component"), "node", "left")
     groups = groups.select("l", "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     out = rows.join(groups, (rows["label"] == groups["l"]) & (rows["vector"] == groups["v"]) & rows["id"].isNotNull(), "left")
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))

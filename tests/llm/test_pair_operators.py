@@ -181,3 +181,47 @@ def test_embedding_links_against_brute_force(spark):
             assert (r["n_links"], r["component_id"], r["kept"]) == (0, i, True)
     assert missing <= 0.05 * 2 * len(links)
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
+
+
+def degrees_and_components(x, labels, least=0.93):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = (unit @ unit.T >= least) & (labels[:, None] == labels)
+    np.fill_diagonal(hits, False)
+    a, b = np.nonzero(hits)
+    root = dict(zip(*(v.tolist() for v in smallest_reachable(a, b)), strict=True))
+    return hits, [root.get(i, i) for i in range(len(x))]
+
+
+def hot_table(spark, copies=500, rest=300, seed=5):
+    """A label of near copies, which draw several centroids, pairs, and single vectors; and a small label."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(copies + 2 * rest, 16))
+    x[:copies] = x[0] + rng.normal(size=(copies, 16)) * 0.14
+    x[copies + rest :] = x[copies : copies + rest] + rng.normal(size=(rest, 16)) * 0.1
+    labels = np.where(np.arange(len(x)) % 40 == 39, 2, 1)
+    return spark.createDataFrame([(i, v.tolist(), int(n)) for i, (v, n) in enumerate(zip(x, labels, strict=True))], "vec_id long, embedding array<double>, label int"), x, labels
+
+
+def test_embedding_links_cross_regions_and_shards(spark, monkeypatch):
+    table, x, labels = hot_table(spark)
+    hits, component = degrees_and_components(x, labels)
+    monkeypatch.setattr(embedding_dedup, "REGION_ROWS", 150)
+    monkeypatch.setattr(embedding_dedup, "SHARD_ROWS", 60)
+    out = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(table).collect()}
+    degree = hits.sum(axis=1)
+    assert len(out) == len(x) and all(out[i]["n_links"] <= degree[i] for i in out)
+    assert sum(r["n_links"] for r in out.values()) >= 0.99 * degree.sum()
+    assert [out[i]["component_id"] for i in range(len(x))] == component
+
+
+def test_no_region_with_a_link_is_left_out():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 8))
+    x[500:1000] = x[0] + rng.normal(size=(500, 8)) * 0.2
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for count in (2, 7, 30):
+        centre = embedding_dedup.centroids(unit, count)
+        own = embedding_dedup.nearest_centroids(unit, centre, 1)[:, 0]
+        near = embedding_dedup.reached(unit, centre, 0.93)
+        a, b = np.nonzero(unit @ unit.T >= 0.93)
+        assert near[a, own[b]].all() and not near.all()
