@@ -156,8 +156,36 @@ class Graph:
         return out[out != node]
 
 
-def search_region(unit: np.ndarray, queries: np.ndarray, least: float, beam: int, shard_rows: int) -> list[np.ndarray]:
-    """For each query row, the rows with a cosine of at least ``least`` to it, verified on the vectors."""
+def exact(left: np.ndarray, right: np.ndarray, least: float, rows: np.ndarray | None = None) -> np.ndarray:
+    """Whether each pair (left, right) has a cosine of at least ``least``. With ``rows``, ``left`` are these rows of ``right``."""
+    hits = left @ right.T >= least
+    if rows is not None:
+        hits[np.arange(len(rows)), rows] = False
+    return hits
+
+
+def lacks(unit: np.ndarray, hits: np.ndarray, least: float, audit_rows: int, target: float) -> bool:
+    """Whether an audited row has less than ``target`` of its links.
+
+    Audited are ``audit_rows`` rows of each magnitude of links found, so that rows of large
+    groups don't speak for others.
+    """
+    rng = np.random.default_rng(7)
+    size = np.ceil(np.log10(hits.sum(axis=1) + 1)).astype(int)
+    for magnitude in np.unique(size):
+        rows = np.flatnonzero(size == magnitude)
+        rows = rng.choice(rows, min(audit_rows, len(rows)), replace=False)
+        true = exact(unit[rows], unit, least, rows)
+        if ((true & hits[rows]).sum(axis=1) < target * true.sum(axis=1)).any():
+            return True
+    return False
+
+
+def search_region(unit: np.ndarray, least: float, beam: int, shard_rows: int, audit_rows: int, target: float) -> np.ndarray:
+    """Whether each pair of rows was found to have a cosine of at least ``least``, verified on the vectors.
+
+    If the audit fails, all pairs are compared.
+    """
     graph = Graph(unit)
     shards = -(-len(unit) // shard_rows)
     if shards == 1:
@@ -166,11 +194,13 @@ def search_region(unit: np.ndarray, queries: np.ndarray, least: float, beam: int
         near = nearest_centroids(unit, centroids(unit, shards), OVERLAP)
         starts = np.unique([graph.build(rows) for s in range(shards) if len(rows := np.flatnonzero((near == s).any(axis=1)))])
     graph.both_ways()
-    out = []
-    for q in queries:
-        found = graph.in_range(int(q), starts, 1 - least + 1e-9, beam)
-        out.append(found[unit[found] @ unit[q] >= least])
-    return out
+    hits = np.zeros((len(unit), len(unit)), bool)
+    for q in range(len(unit)):
+        found = graph.in_range(q, starts, 1 - least + 1e-9, beam)
+        hits[q, found[unit[found] @ unit[q] >= least]] = True
+    if lacks(unit, hits, least, audit_rows, target):
+        return exact(unit, unit, least, np.arange(len(unit)))
+    return hits
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, beam: int = 24, audit_rows: int = 200, target: float = 0.95) -> DataFrame:
@@ -179,9 +209,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     Rows of one label link at a cosine of at least ``least``. Rows with null labels or unusable
     vectors (see ``usable``) link with nothing and are their own component. Rows with equal label
     and vector are searched as one. A row with a null key is returned without links. Rows that repeat
-    a key are separate, and link with each other if their vectors do. The links
-    of ``audit_rows`` rows are counted by brute force; the search is repeated with a wider beam
-    while fewer than ``target`` of them were found. Labels that fill more than one region are
+    a key are separate, and link with each other if their vectors do. In each
+    region, the links of ``audit_rows`` rows of each magnitude of links are counted by brute force;
+    if one of them lacks more than the share that ``target`` leaves, all pairs of the region are
+    compared, so that the target always holds for the audited. Labels that fill more than one region are
     cut by centroids of a bounded sample; a pair of regions meets with those of their vectors
     that can have links across (see ``reached``), which are compared exactly.
     """
@@ -223,60 +254,31 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     nodes = distinct.select("label", "vector", "node", "weight")
     placed = nodes.mapInArrow(place, f"label {kind}, vector array<double>, node long, weight long, low long, high long, own long")
-    sample = distinct.orderBy(F.desc(F.xxhash64("id") % 7 == 0), F.xxhash64("id", F.lit(3)), "id").limit(audit_rows)
-    checked = sample.select("label", "vector", "node").toPandas()
-    asked = df.sparkSession.sparkContext.broadcast((checked["label"].tolist(), np.array(checked["vector"].tolist(), float), checked["node"].tolist()))
-
-    def brute(stream):
-        names, vectors, ids = asked.value
-        if not ids:
-            return
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, weight, own = table["node"].to_numpy(), table["weight"].to_numpy(), table["own"].to_numpy()
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        vectors = matrix(table["vector"])
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        for batch in stream:
-            if batch.num_rows:
-                x = matrix(batch.column(1))
-                cosine = unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-                same = np.array([[a == b for b in batch.column(0).to_pylist()] for a in names])
-                weight = batch.column(3).to_numpy()
-                other = batch.column(2).to_numpy() != np.array(ids)[:, None]
-                counts = ((cosine >= least) & same & other) @ weight
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts)], names=["node", "n"])
-
-    truth = {r["node"]: r["n"] for r in nodes.mapInArrow(brute, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")).collect()}
-
-    def links_with(width: int) -> DataFrame:
-        def run(table: pa.Table) -> pa.Table:
-            table = table.combine_chunks()
-            ids, weight, own = table["node"].to_numpy(), table["weight"].to_numpy(), table["own"].to_numpy()
-            low, high = table["low"][0].as_py(), table["high"][0].as_py()
-            vectors = matrix(table["vector"])
-            unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-            if low == high:
-                found = search_region(unit, np.arange(len(ids)), least, width, shard_rows)
-            else:
-                left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-                hits = unit[left] @ unit[right].T >= least
-                found = [np.empty(0, np.int64)] * len(ids)
-                for i, q in enumerate(left):
-                    found[q] = right[hits[i]]
-                for i, q in enumerate(right):
-                    found[q] = left[hits[:, i]]
-            counts = [int(weight[f].sum()) for f in found]
-            a, b = np.repeat(ids, [len(f) for f in found]), ids[np.concatenate([np.empty(0, np.int64), *found])]
-            node, root = smallest_reachable(a, b) if len(a) else (a, b)
-            nothing = pa.nulls(len(node), pa.int64())
-            return pa.concat_tables([pa.table({"node": pa.array(ids), "n": pa.array(counts, pa.int64()), "other": pa.nulls(len(ids), pa.int64())}), pa.table({"node": pa.array(node, pa.int64()), "n": nothing, "other": pa.array(root, pa.int64())})])
-
-        return materialize(placed.groupBy("label", "low", "high").applyInArrow(run, "node long, n long, other long"))
-
-    while True:
-        found = links_with(beam)
-        counts = found.filter("n is not null").groupBy("node").agg(F.sum("n").alias("n"))
-        have = {r["node"]: r["n"] for r in counts.filter(F.col("node").isin(list(truth))).collect()}
-        missing = sum(max(0, n - have.get(i, 0)) for i, n in truth.items())
-        if missing <= (1 - target) * sum(truth.values()) or beam >= 1024:
-            break
-        beam *= 4
+        if low == high:
+            found = [np.flatnonzero(h) for h in search_region(unit, least, beam, shard_rows, audit_rows, target)]
+        else:
+            left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+            hits = exact(unit[left], unit[right], least)
+            found = [np.empty(0, np.int64)] * len(ids)
+            for i, q in enumerate(left):
+                found[q] = right[hits[i]]
+            for i, q in enumerate(right):
+                found[q] = left[hits[:, i]]
+        counts = [int(weight[f].sum()) for f in found]
+        a, b = np.repeat(ids, [len(f) for f in found]), ids[np.concatenate([np.empty(0, np.int64), *found])]
+        node, root = smallest_reachable(a, b) if len(a) else (a, b)
+        nothing = pa.nulls(len(node), pa.int64())
+        return pa.concat_tables([pa.table({"node": pa.array(ids), "n": pa.array(counts, pa.int64()), "other": pa.nulls(len(ids), pa.int64())}), pa.table({"node": pa.array(node, pa.int64()), "n": nothing, "other": pa.array(root, pa.int64())})])
+
+    found = materialize(placed.groupBy("label", "low", "high").applyInArrow(run, "node long, n long, other long"))
+    counts = found.filter("n is not null").groupBy("node").agg(F.sum("n").alias("n"))
     joined = connected_components(found.filter("other is not null"), "node", "other")
     least_ids = joined.join(distinct.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("least"))
     groups = distinct.select(F.col("label").alias("l"), F.col("vector").alias("v"), F.col("id").alias("rep"), "weight", "node")

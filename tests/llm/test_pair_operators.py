@@ -225,3 +225,16 @@ def test_no_region_with_a_link_is_left_out():
         near = embedding_dedup.reached(unit, centre, 0.93)
         a, b = np.nonzero(unit @ unit.T >= 0.93)
         assert near[a, own[b]].all() and not near.all()
+
+
+def test_embedding_audit_sees_small_groups(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 16))
+    x[:300] = x[0] + rng.normal(size=(300, 16)) * 0.05
+    x[400:] = x[300:400] + rng.normal(size=(100, 16)) * 0.05  # pairs: 200 of 89,900 links
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    search = embedding_dedup.Graph.in_range
+    hits, _ = degrees_and_components(x, np.ones(len(x)))
+    monkeypatch.setattr(embedding_dedup.Graph, "in_range", lambda *a: found if len(found := search(*a)) > 20 else found[:0])
+    found = embedding_dedup.search_region(unit, 0.93, 24, 1000, 200, 0.95)
+    assert (found == hits).all()
