@@ -184,7 +184,7 @@ def lacks(unit: np.ndarray, hits: np.ndarray, least: float, audit_rows: int, tar
 def search_region(unit: np.ndarray, least: float, beam: int, shard_rows: int, audit_rows: int, target: float) -> np.ndarray:
     """Whether each pair of rows was found to have a cosine of at least ``least``, verified on the vectors.
 
-    If the audit fails, all pairs are compared.
+    A pair that either end found counts at both. If the audit fails, all pairs are compared.
     """
     graph = Graph(unit)
     shards = -(-len(unit) // shard_rows)
@@ -198,6 +198,7 @@ def search_region(unit: np.ndarray, least: float, beam: int, shard_rows: int, au
     for q in range(len(unit)):
         found = graph.in_range(q, starts, 1 - least + 1e-9, beam)
         hits[q, found[unit[found] @ unit[q] >= least]] = True
+    hits |= hits.T
     if lacks(unit, hits, least, audit_rows, target):
         return exact(unit, unit, least, np.arange(len(unit)))
     return hits

@@ -238,3 +238,15 @@ def test_embedding_audit_sees_small_groups(monkeypatch):
     monkeypatch.setattr(embedding_dedup.Graph, "in_range", lambda *a: found if len(found := search(*a)) > 20 else found[:0])
     found = embedding_dedup.search_region(unit, 0.93, 24, 1000, 200, 0.95)
     assert (found == hits).all()
+
+
+def test_embedding_links_found_one_way_count_at_both_ends(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 16))
+    x[100:] = x[:100] + rng.normal(size=(100, 16)) * 0.1
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    search = embedding_dedup.Graph.in_range
+    monkeypatch.setattr(embedding_dedup.Graph, "in_range", lambda self, node, *a: (found := search(self, node, *a))[found > node])
+    found = embedding_dedup.search_region(unit, 0.93, 24, 1000, 0, 0.95)
+    hits, _ = degrees_and_components(x, np.ones(len(x)))
+    assert (found == found.T).all() and (found == hits).all()
