@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starfold.llm.common import materialize, small
-from starfold.llm.components import connected_components, smallest_reachable
+from starfold.llm.common import materialize, mix64, small
+from starfold.llm.components import connected_components
 from starfold.llm.vectors import matrix, usable
 
-#: Vectors of a graph that is built by itself, and of a region that one task searches, on average; clusters of a graph a vector is in.
+#: Vectors of a graph that is built by itself on average, and of a region or a part of it that one task searches; clusters of a graph a vector is in.
 SHARD_ROWS, REGION_ROWS, OVERLAP = 1000, 6000, 2
+#: Rows whose hits are counted at once.
+BLOCK_ROWS = 512
 #: Most neighbours that building leaves a vector in one shard, and the slack of pruning.
 DEGREE, ALPHA, BEAM = 20, 1.2, 24
 
@@ -200,87 +202,140 @@ def search_region(unit: np.ndarray, least: float, beam: int, shard_rows: int, au
         hits[q, found[unit[found] @ unit[q] >= least]] = True
     hits |= hits.T
     if lacks(unit, hits, least, audit_rows, target):
-        return exact(unit, unit, least, np.arange(len(unit)))
+        for at in range(0, len(unit), BLOCK_ROWS):
+            rows = np.arange(at, min(at + BLOCK_ROWS, len(unit)))
+            hits[rows] = exact(unit[rows], unit, least, rows)
     return hits
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, beam: int = 24, audit_rows: int = 200, target: float = 0.95) -> DataFrame:
-    """(key, n_links, component_id, kept) for every row.
+class Links:
+    """How many rows each row links with, by weight, and a spanning forest, from hits that come in blocks."""
 
-    Rows of one label link at a cosine of at least ``least``. Rows with null labels or unusable
-    vectors (see ``usable``) link with nothing and are their own component. Rows with equal label
-    and vector are searched as one. A row with a null key is returned without links. Rows that repeat
-    a key are separate, and link with each other if their vectors do. In each
-    region, the links of ``audit_rows`` rows of each magnitude of links are counted by brute force;
-    if one of them lacks more than the share that ``target`` leaves, all pairs of the region are
-    compared, so that the target always holds for the audited. Labels that fill more than one region are
-    cut by centroids of a bounded sample; a pair of regions meets with those of their vectors
-    that can have links across (see ``reached``), which are compared exactly.
+    def __init__(self, weight: np.ndarray):
+        self.weight, self.counts, self.root = weight.astype(float), np.zeros(len(weight), np.int64), np.arange(len(weight))
+
+    def add(self, left: np.ndarray, right: np.ndarray, hits: np.ndarray, both: bool = False) -> None:
+        """Count the hits (left, right) at the left rows, and on request at the right ones, and join them."""
+        for at in range(0, len(left), BLOCK_ROWS):
+            rows, block = left[at : at + BLOCK_ROWS], hits[at : at + BLOCK_ROWS]
+            self.counts[rows] += (block @ self.weight[right]).astype(np.int64)
+            if both:
+                self.counts[right] += (self.weight[rows] @ block).astype(np.int64)
+            for i in np.flatnonzero(block.any(axis=1)):
+                self._join(int(rows[i]), right[block[i]])
+
+    def _join(self, row: int, others: np.ndarray) -> None:
+        roots = self.root[others]
+        roots = np.unique(np.append(roots[roots != self.root[row]], self.root[row]))
+        if len(roots) > 1:
+            to = np.arange(len(self.root))
+            to[roots] = roots[0]
+            self.root = to[self.root]
+
+
+def deal(distinct: DataFrame, least: float) -> DataFrame:
+    """(label, vector, node, weight, low, high, own): the rows of each pair of parts that one task compares.
+
+    Labels over ``REGION_ROWS`` are cut into regions, and regions over it, as near copies
+    make them, into parts by hash. A row of part ``own`` comes once for each part of each region it reaches.
     """
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
-    good = usable(rows.dropna(subset=["id", "label"]), "vector")
-    distinct = good.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
-    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))  # ids may repeat
     large = {r["label"]: -(-r["n"] // REGION_ROWS) for r in distinct.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > REGION_ROWS).collect()}
     centre: dict = {}
     if large:
         share = min(1.0, 64 * sum(large.values()) / max(distinct.count(), 1))
-        part = distinct.filter(F.col("label").isin(list(large))).filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(share * 1_000_000)).select("label", "vector").toPandas()
+        part = distinct.filter(F.col("label").isin(list(large))).filter(F.pmod(F.xxhash64("id", "vector"), F.lit(1_000_000)) < F.lit(share * 1_000_000)).select("label", "vector").toPandas()
         for name, group in part.groupby("label"):
             unit = np.array(group["vector"].tolist())
             centre[name] = centroids(unit / np.linalg.norm(unit, axis=1, keepdims=True), large[name])
-    shared = df.sparkSession.sparkContext.broadcast(centre)
-    shard_rows = SHARD_ROWS
     kind = distinct.schema["label"].dataType.simpleString()
+    nodes = distinct.select("label", "vector", "node", "weight")
+    context = distinct.sparkSession.sparkContext
+    shared = context.broadcast(centre)
+
+    def by_label(batch: pa.RecordBatch):
+        vectors = matrix(batch.column(1))
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        names = np.array(batch.column(0).to_pylist(), object)
+        for name in set(names.tolist()):
+            at = np.flatnonzero(names == name)
+            places = shared.value.get(name)
+            yield name, at, unit[at], places, np.zeros(len(at), np.int64) if places is None else nearest_centroids(unit[at], places, 1)[:, 0]
+
+    def regions(stream):
+        for batch in small(stream):
+            for _, at, _, _, home in by_label(batch) if batch.num_rows else ():
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(home)], names=["label", "region"])
+
+    parts = {name: np.ones(len(centre[name]), np.int64) if name in centre else np.array([n]) for name, n in large.items()}
+    if large:
+        sizes = nodes.filter(F.col("label").isin(list(large))).mapInArrow(regions, f"label {kind}, region long")
+        for r in sizes.groupBy("label", "region").agg(F.count("*").alias("n")).collect():
+            if r["label"] in parts:
+                parts[r["label"]][r["region"]] = -(-r["n"] // REGION_ROWS)
+    dealt = context.broadcast(parts)
 
     def place(stream):
-        """Each row once for each pair of its own region and one that it may have links in."""
         for batch in small(stream):
             if not batch.num_rows:
                 continue
-            vectors = matrix(batch.column(1))
-            unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-            names = np.array(batch.column(0).to_pylist(), object)
+            node = batch.column(2).to_numpy()
             out, own, met = [], [], []
-            for name in set(names.tolist()):
-                at = np.flatnonzero(names == name)
-                places = shared.value.get(name, unit[:1])
-                row, other = np.nonzero(reached(unit[at], places, least) if name in shared.value else np.ones((len(at), 1), bool))
+            for name, at, unit, places, home in by_label(batch):
+                count = dealt.value.get(name, np.ones(1, np.int64))
+                near = np.ones((len(at), 1), bool) if places is None else reached(unit, places, least)
+                row, other = np.nonzero(np.repeat(near, count, axis=1))
+                part = (np.cumsum(count) - count)[home] + (mix64(node[at]) % count[home].astype(np.uint64)).astype(np.int64)
                 out.append(at[row])
-                own.append(nearest_centroids(unit[at], places, 1)[:, 0][row])
+                own.append(part[row])
                 met.append(other)
             own, met = np.concatenate(own), np.concatenate(met)
             columns = batch.take(pa.array(np.concatenate(out))).columns
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.minimum(own, met)), pa.array(np.maximum(own, met)), pa.array(own)], names=["label", "vector", "node", "weight", "low", "high", "own"])
 
-    nodes = distinct.select("label", "vector", "node", "weight")
-    placed = nodes.mapInArrow(place, f"label {kind}, vector array<double>, node long, weight long, low long, high long, own long")
+    return nodes.mapInArrow(place, f"label {kind}, vector array<double>, node long, weight long, low long, high long, own long")
+
+
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, beam: int = 24, audit_rows: int = 200, target: float = 0.95) -> DataFrame:
+    """(key, n_links, component_id, kept) for every row.
+
+    Rows of one label link at a cosine of at least ``least``. Rows with null labels or unusable
+    vectors (see ``usable``) link with nothing and are their own component. Rows with equal label
+    and vector are searched as one. A row with a null key is returned without links. Rows that repeat
+    a key are separate, and link with each other if their vectors do. In each
+    region, the links of ``audit_rows`` rows of each magnitude of links are counted by brute force;
+    if one of them lacks more than the share that ``target`` leaves, all pairs of the region are
+    compared, so that the target always holds for the audited. Labels that fill more than one region are
+    cut by centroids of a bounded sample, and regions that fill more than one task by hash; a pair of
+    parts meets with those of their vectors that can have links across (see ``reached``), which
+    are compared exactly.
+    """
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
+    good = usable(rows.dropna(subset=["id", "label"]), "vector")
+    distinct = good.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
+    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()))  # ids may repeat
+    shard_rows = SHARD_ROWS
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, weight, own = table["node"].to_numpy(), table["weight"].to_numpy(), table["own"].to_numpy()
+        ids, own = table["node"].to_numpy(), table["own"].to_numpy()
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         vectors = matrix(table["vector"])
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        links = Links(table["weight"].to_numpy())
         if low == high:
-            found = [np.flatnonzero(h) for h in search_region(unit, least, beam, shard_rows, audit_rows, target)]
+            rows = np.arange(len(ids))
+            links.add(rows, rows, search_region(unit, least, beam, shard_rows, audit_rows, target))
         else:
             left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-            hits = exact(unit[left], unit[right], least)
-            found = [np.empty(0, np.int64)] * len(ids)
-            for i, q in enumerate(left):
-                found[q] = right[hits[i]]
-            for i, q in enumerate(right):
-                found[q] = left[hits[:, i]]
-        counts = [int(weight[f].sum()) for f in found]
-        a, b = np.repeat(ids, [len(f) for f in found]), ids[np.concatenate([np.empty(0, np.int64), *found])]
-        node, root = smallest_reachable(a, b) if len(a) else (a, b)
-        nothing = pa.nulls(len(node), pa.int64())
-        return pa.concat_tables([pa.table({"node": pa.array(ids), "n": pa.array(counts, pa.int64()), "other": pa.nulls(len(ids), pa.int64())}), pa.table({"node": pa.array(node, pa.int64()), "n": nothing, "other": pa.array(root, pa.int64())})])
-
-    found = materialize(placed.groupBy("label", "low", "high").applyInArrow(run, "node long, n long, other long"))
-    counts = found.filter("n is not null").groupBy("node").agg(F.sum("n").alias("n"))
-    joined = connected_components(found.filter("other is not null"), "node", "other")
+            for at in range(0, len(left), BLOCK_ROWS):
+                rows = left[at : at + BLOCK_ROWS]
+                links.add(rows, right, exact(unit[rows], unit[right], least), both=True)
+        linked = np.flatnonzero(links.counts)
+        return pa.table({"node": pa.array(ids[linked]), "n": pa.array(links.counts[linked]), "other": pa.array(ids[links.root[linked]])})
+
+    found = materialize(deal(distinct, least).groupBy("label", "low", "high").applyInArrow(run, "node long, n long, other long"))
+    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
+    joined = connected_components(found, "node", "other")
     least_ids = joined.join(distinct.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("least"))
     groups = distinct.select(F.col("label").alias("l"), F.col("vector").alias("v"), F.col("id").alias("rep"), "weight", "node")
     groups = groups.join(counts, "node", "left").join(joined.join(least_ids, "component"), "node", "left")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -250,3 +251,31 @@ def test_embedding_links_found_one_way_count_at_both_ends(monkeypatch):
     found = embedding_dedup.search_region(unit, 0.93, 24, 1000, 0, 0.95)
     hits, _ = degrees_and_components(x, np.ones(len(x)))
     assert (found == found.T).all() and (found == hits).all()
+
+
+def test_embedding_tasks_stay_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(1300, 16))
+    x[:1000] = x[0] + rng.normal(size=(1000, 16)) * 1e-3
+    monkeypatch.setattr(embedding_dedup, "REGION_ROWS", 200)
+    monkeypatch.setattr(embedding_dedup, "centroids", lambda vectors, count: x[999:999 + count] / np.linalg.norm(x[999:999 + count], axis=1, keepdims=True))
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    distinct = table.selectExpr("label", "embedding as vector", "vec_id as id", "vec_id as node", "1L as weight")
+    sizes = embedding_dedup.deal(distinct, 0.93).groupBy("low", "high").count().toPandas()
+    alone = sizes[sizes.low == sizes.high]["count"]
+    assert alone.sum() == len(x) and alone.max() <= 300 and sizes["count"].max() <= 600
+    hits, component = degrees_and_components(x, np.ones(len(x)))
+    out = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(table).collect()}
+    assert [out[i]["n_links"] for i in range(len(x))] == hits.sum(axis=1).tolist()
+    assert [out[i]["component_id"] for i in range(len(x))] == component
+
+
+def test_links_of_near_copies_take_no_pairs():
+    hits = ~np.eye(3000, dtype=bool)
+    rows = np.arange(3000)
+    links = embedding_dedup.Links(np.full(3000, 2))
+    tracemalloc.start()
+    links.add(rows, rows, hits)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (links.counts == 5998).all() and (links.root == 0).all() and peak < 40e6  # 9 million pairs of longs are 144 MB
