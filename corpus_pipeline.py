@@ -62,7 +62,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of at most 4096 tokens, with their sequence and place in it."""
     ship(spark)
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        pieces = packing.pieces(docs.select("doc_id", "text"), f.read(), with_ids=False)
+        pieces = packing.pieces(docs.select("doc_id", "text"), f.read(), with_ids=False, added=True)
     return packing.pack(pieces, max(1, docs.count() // packing.GROUP_ROWS), spread=("doc_id", "piece", "ids_crc32"))
 
 

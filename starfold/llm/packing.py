@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -23,16 +24,20 @@ class WordTokenizer:
     """Packed ids of a ``tokenizers`` file whose pre-tokens never hold white space.
 
     Such a text's ids are those of its words, and a word's those of its pre-tokens, so
-    each is asked of the library once and remembered, within a bound.
+    each is asked of the library once and remembered, within a bound. With ``added``, the file's
+    added tokens get their own ids, as by the library's default, and texts that hold one go
+    whole to the library; else they are spelled as ordinary text.
     """
 
     _separators = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
 
-    def __init__(self, spec: str, pattern: str, limit: int = 150_000):
+    def __init__(self, spec: str, pattern: str, limit: int = 150_000, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t["content"] for t in json.loads(spec).get("added_tokens") or []] if added else []
+        if not added:
+            self.tokenizer.encode_special_tokens = True
         self.split = regex.compile(pattern).findall
         self.pieces = _Remembered(self._library, limit)
         self.words = _Remembered(self._word, limit)
@@ -52,7 +57,7 @@ class WordTokenizer:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self._separators.search(text):
+        if self._separators.search(text) or any(t in text for t in self.added):
             return self._library(text)
         try:
             text.encode("latin-1")
@@ -69,10 +74,10 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 GROUP_ROWS = 4096
 
 
-def pieces(docs: DataFrame, spec: str, text: str = "text", end_id: int = 1, capacity: int = 4096, pattern: str = WORD_PATTERN, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, spec: str, text: str = "text", end_id: int = 1, capacity: int = 4096, pattern: str = WORD_PATTERN, with_ids: bool = True, added: bool = False) -> DataFrame:
     """One row for each piece of at most ``capacity`` tokens of each row's ids, ``end_id`` appended.
 
-    ``spec`` is the tokenizer file's content. The row's columns but the text stay; added are
+    ``spec`` is the tokenizer file's content; with ``added``, its added tokens get their own ids. The row's columns but the text stay; added are
     ``piece`` (from 0), ``start``, ``length``, ``ids_crc32`` and, on request, ``ids`` (packed).
     A null or empty text is the one piece [end_id]. Only texts longer than ``capacity`` are cut.
     Columns of these names are replaced.
@@ -84,7 +89,7 @@ def pieces(docs: DataFrame, spec: str, text: str = "text", end_id: int = 1, capa
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokenizer(shared.value, pattern).encode  # what it remembers goes with the task
+        encode = WordTokenizer(shared.value, pattern, added=added).encode  # what it remembers goes with the task
         for whole in stream:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)

@@ -84,7 +84,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack the tokens of all documents into sequences of at most 4096."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        pieces = packing.pieces(docs, f.read(), with_ids=False)
+        pieces = packing.pieces(docs, f.read(), with_ids=False, added=True)
     groups = max(1, docs.count() // packing.GROUP_ROWS)
     return packing.pack(pieces, groups, spread=("doc_id", "piece", "ids_crc32"))
 

@@ -84,6 +84,26 @@ def test_pieces_equal_the_library(spark, texts):
     assert sorted(got.values()) == expected
 
 
+def test_packing_gives_added_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from starfold.llm import queries
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [*TEXTS, "see <|endoftext|> here", "x<|startoftext|>Y<|endoftext|>", "<|ENDOFTEXT|> <|endoftext| >", "é<|endoftext|>日本語", "<|ENDOFTEXT|> 日本", "a\x1c<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    expected = {}
+    for i, t in enumerate(texts):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        for k in range(0, len(ids), 4096):
+            expected[i, k // 4096] = (k, len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096].tobytes()))
+    assert expected[len(TEXTS), 0][1] == 4
+    for out in (queries.op9_packing(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))):
+        assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in out.collect()} == expected
+
+
 def test_packing_is_gapless_and_near_the_bound(spark):
     rng = np.random.default_rng(0)
     lengths = [int(x) for x in rng.integers(1, 900, 3000)] + [4096] * 5
