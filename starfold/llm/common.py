@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -98,6 +98,31 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def even_keys(spark: SparkSession, parts: int) -> np.ndarray:
+    """Integers, one for each partition, that ``repartition(parts, column)`` deals to it: a hash of 0 .. parts - 1 would leave gaps.
+
+    At most ``parts`` rows come to the driver.
+    """
+    tries = int(parts * (np.log(parts) + 12))
+    dealt = spark.range(tries).select(F.col("id").cast("int").alias("key")).groupBy(F.pmod(F.hash("key"), F.lit(parts)).alias("part")).agg(F.min("key").alias("key"))
+    keys = np.arange(parts, dtype=np.int32)  # a partition that no number hits has its own number, which another one takes
+    for part, key in dealt.collect():
+        keys[part] = key
+    return keys
+
+
+_held: tuple | None = None
+
+
+def worker_memory(name: tuple, make: Callable):
+    """What a Python worker keeps from one task to the next: one thing, of whichever operator asked last."""
+    global _held
+    if _held is None or _held[0] != name:
+        _held = None  # the one before goes first
+        _held = (name, make())
+    return _held[1]
+
+
 def small(stream: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that what a task holds and sends at once stays small."""
     for batch in stream:

@@ -5,8 +5,10 @@ least t = num/den differ in at most k elements, where k follows from the band. T
 element domain is cut into n1 parts by hash, and each part into n2 smaller ones; one of
 the n1 parts holds at most k2 differences, so that some n2 - k2 of its smaller parts hold
 equal elements in both sets. A set's signatures are the hashes of its elements in every
-such choice: linked sets share one. Sets that share a signature form families, and each
-family is verified exactly, by intersection sizes from its own inverted lists.
+such choice: linked sets share one. Sets that share a signature are compared by small
+histograms of their elements, whose distance is never more than the number of differing
+elements; pairs within the threshold by that bound form families, and each family is
+verified exactly, by intersection sizes from its own inverted lists.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starfold.llm.common import WordHashes, materialize, mix64, shingle_hashes, words_of
+from starfold.llm.common import WordHashes, even_keys, materialize, mix64, shingle_hashes, small, words_of
 from starfold.llm.components import connected_components
 
 
@@ -57,6 +59,10 @@ class Threshold:
         """Whether sets of sizes ``left`` and ``right`` with ``both`` elements in common link."""
         return self.den * both >= self.num * (left + right - both)
 
+    def possible(self, apart, left, right):
+        """Whether sets of these sizes can link if at least ``apart`` elements are in one of them only."""
+        return (self.den + self.num) * apart <= (self.den - self.num) * (left + right)
+
 
 #: A set may leave out signatures of no elements, as long as it has at most this many parts with such ones.
 SPARE_PARTS = 2
@@ -121,6 +127,50 @@ def signatures(elements: np.ndarray, threshold: Threshold, effort: float = 1.0)
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
+def histogram(elements: np.ndarray) -> bytes:
+    """Counts of elements by their leading bits, four bits each: as many buckets, a power of two, as elements at least.
+
+    Counts stop at 15; the distance of two such histograms is still at most the number of differing elements.
+    """
+    bits = max(4, (len(elements) - 1).bit_length())
+    counts = np.minimum(np.bincount((elements >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
+
+
+def _counts(packed: list[bytes]) -> np.ndarray:
+    """The histograms as rows, all folded to the buckets of the shortest."""
+    width = min(map(len, packed))
+    rows = np.empty((len(packed), 2 * width), np.int16)
+    for i, p in enumerate(packed):
+        both = np.frombuffer(p, np.uint8)
+        counts = np.empty(2 * len(both), np.int16)
+        counts[::2], counts[1::2] = both & 15, both >> 4
+        rows[i] = counts.reshape(2 * width, -1).sum(axis=1)
+    return rows
+
+
+def possible_forest(packed: list[bytes], sizes: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
+    """Pairs of places that span the components of all pairs whose histograms allow a link."""
+    counts = _counts(packed)
+    left = np.arange(len(packed))
+    found, todo = [], []
+    while len(left):
+        if not todo:
+            todo.append(int(left[0]))
+            left = left[1:]
+        x = todo.pop()
+        near = np.zeros(len(left), bool)
+        step = max(1, (1 << 22) // counts.shape[1])
+        for at in range(0, len(left), step):
+            rows = left[at : at + step]
+            near[at : at + step] = threshold.possible(np.abs(counts[rows] - counts[x]).sum(axis=1), sizes[x], sizes[rows])
+        reached = left[near].tolist()
+        found += [(x, y) for y in reached]
+        todo += reached
+        left = left[~near]
+    return found
+
+
 def linked_within(keys: np.ndarray, sizes: np.ndarray, elements: np.ndarray, threshold: Threshold, left: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join a family's sets, by exact intersection sizes; of each component only a spanning tree.
 
@@ -167,6 +217,30 @@ def linked_within(keys: np.ndarray, sizes: np.ndarray, elements: np.ndarray, thr
 
 #: Elements of a family that are verified in one task; a larger family goes in blocks, each pair of blocks by itself.
 BLOCK_ELEMENTS = 3_000_000
+#: Different sets of one signature whose histograms one task compares; more of them go in blocks, each pair of blocks by itself.
+BLOCK_SETS = 8192
+
+
+def meetings(signs: np.ndarray, sets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(name, sets) of every different group of sets that share a signature."""
+    order = np.lexsort((sets, signs))
+    signs, sets = signs[order], sets[order]
+    new = np.ones(len(signs), bool)
+    new[1:] = (signs[1:] != signs[:-1]) | (sets[1:] != sets[:-1])
+    signs, sets = signs[new], sets[new]
+    starts = np.flatnonzero(np.diff(signs, prepend=~signs[:1]))
+    ends = np.append(starts[1:], len(signs))
+    several = ends - starts > 1
+    named = set()
+    for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+        blocks = [sets[k : min(k + BLOCK_SETS, b)] for k in range(a, b, BLOCK_SETS)]
+        for i in range(len(blocks)):
+            for j in range(i + (len(blocks) > 1), len(blocks)):
+                members = blocks[i] if i == j else np.concatenate([blocks[i], blocks[j]])
+                name = set_key(members.view(np.uint64))
+                if name not in named:
+                    named.add(name)
+                    yield name, members
 
 
 def join_components(docs: DataFrame, threshold: Threshold, width: int, key: str = "doc_id", text: str = "text", effort: float = 1.5) -> DataFrame:
@@ -183,43 +257,44 @@ def join_components(docs: DataFrame, threshold: Threshold, width: int, key: str
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    keys = even_keys(spark, parts)
+
     def sign(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for whole in stream:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                doc_keys, set_keys, set_sizes, found, owners = [], [], [], [], []
-                seen: set[int] = set()
-                for value in batch.column(1):
-                    elements = shingle_hashes(hashes.of(words_of(value.as_py())), width)
-                    name = set_key(elements)
-                    set_keys.append(name)
-                    set_sizes.append(len(elements))
-                    if len(elements) and name not in seen:
-                        seen.add(name)
-                        signs = signatures(elements, threshold, effort)
-                        found.append(signs)
-                        owners.append(np.full(len(signs), name, np.int64))
-                doc_keys = batch.column(0)
-                n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) % parts, pa.int32()), doc_keys, pa.array(set_keys, pa.int64()), pa.array(set_sizes, pa.int64()), pa.nulls(n, pa.binary())], names=["part", "doc", "set", "size", "entries"])
-                if found:
-                    signs, names = np.concatenate(found), np.concatenate(owners)
-                    part = (signs % np.uint64(parts)).astype(np.int32)
-                    order = np.argsort(part, kind="stable")
-                    cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
-                    blobs = [np.concatenate([signs[o], names[o].view(np.uint64)]).tobytes() for o in (order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
-                    m = len(blobs)
-                    yield pa.RecordBatch.from_arrays([pa.array(part[order][cuts[:-1]], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "doc", "set", "size", "entries"])
+        for batch in small(stream, 4096):
+            set_keys, set_sizes, shapes, found, owners = [], [], [], [], []
+            seen: set[int] = set()
+            for value in batch.column(1):
+                elements = shingle_hashes(hashes.of(words_of(value.as_py())), width)
+                name = set_key(elements)
+                set_keys.append(name)
+                set_sizes.append(len(elements))
+                shapes.append(None)
+                if len(elements) and name not in seen:
+                    seen.add(name)
+                    shapes[-1] = histogram(elements)
+                    signs = signatures(elements, threshold, effort)
+                    found.append(signs)
+                    owners.append(np.full(len(signs), name, np.int64))
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(keys[np.arange(n) % parts]), batch.column(0), pa.array(set_keys, pa.int64()), pa.array(set_sizes, pa.int64()), pa.array(shapes, pa.binary())], names=["part", "doc", "set", "size", "data"])
+            if found:
+                signs, names = np.concatenate(found), np.concatenate(owners)
+                part = (signs % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
+                blobs = [np.concatenate([signs[o], names[o].view(np.uint64)]).tobytes() for o in (order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
+                empty = pa.nulls(len(blobs), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part[order][cuts[:-1]]]), empty, empty, empty, pa.array(blobs, pa.binary())], names=["part", "doc", "set", "size", "data"])
 
     def meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs, names = [], []
         for batch in stream:
-            entries = batch.column(4)
-            kept = batch.filter(pa.compute.is_null(entries))
+            packed = pa.compute.is_null(batch.column(3))
+            kept = batch.filter(pa.compute.invert(packed))
             if kept.num_rows:
-                yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(2), kept.column(3), pa.nulls(kept.num_rows, pa.int64())], names=["doc", "set", "size", "other"])
-            for blob in entries.drop_null():
+                yield pa.RecordBatch.from_arrays([*kept.columns[1:], pa.nulls(kept.num_rows, pa.int64())], names=["doc", "set", "size", "data", "meeting"])
+            for blob in batch.filter(packed).column(4):
                 values = np.frombuffer(blob.as_buffer(), np.uint64)
                 signs.append(values[: len(values) // 2])
                 names.append(values[len(values) // 2 :].view(np.int64))
@@ -227,32 +302,50 @@ def join_components(docs: DataFrame, threshold: Threshold, width: int, key: str
             return
         sign, name = np.concatenate(signs), np.concatenate(names)
         del signs, names
-        order = np.lexsort((name, sign))
-        sign, name = sign[order], name[order]
-        first = np.flatnonzero(np.diff(sign, prepend=sign[0] ^ np.uint64(1)))
-        lead = np.repeat(name[first], np.diff(np.append(first, len(sign))))
-        apart = lead != name
-        pairs = np.unique(np.stack([lead[apart], name[apart]], axis=1), axis=0)
-        for at in range(0, len(pairs), 65536):
-            block = pairs[at : at + 65536]
-            empty = pa.nulls(len(block), pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, pa.array(block[:, 0]), empty, pa.array(block[:, 1])], names=["doc", "set", "size", "other"])
-
-    signed = rows.mapInArrow(sign, "part int, doc long, set long, size long, entries binary")
-    met = materialize(signed.repartition(parts, "part").mapInArrow(meet, "doc long, set long, size long, other long"))
-    own = met.filter("other is null").select("doc", "set", "size")
-    families = materialize(connected_components(met.filter("other is not null"), "set", "other"))
+        for meeting, members in meetings(sign, name):
+            m = len(members)
+            empty = pa.nulls(m, pa.int64())
+            yield pa.RecordBatch.from_arrays([empty, pa.array(members), empty, pa.nulls(m, pa.binary()), pa.array(np.full(m, meeting))], names=["doc", "set", "size", "data", "meeting"])
+
+    def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Meetings come one after the other; only one is held at a time."""
+        held: list[tuple[int, int, bytes]] = []
+        now = None
+
+        def links() -> pa.RecordBatch:
+            names = [h[0] for h in held]
+            pairs = possible_forest([h[2] for h in held], np.array([h[1] for h in held]), threshold)
+            return pa.RecordBatch.from_arrays([pa.array([names[x] for x, _ in pairs], pa.int64()), pa.array([names[y] for _, y in pairs], pa.int64())], names=["a", "b"])
+
+        for batch in small(stream, 4096):
+            for meeting, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if meeting != now and held:
+                    yield links()
+                    held.clear()
+                now = meeting
+                held.append(tuple(row))
+        if held:
+            yield links()
+
+    signed = rows.mapInArrow(sign, "part int, doc long, set long, size long, data binary")
+    met = materialize(signed.repartition(parts, "part").mapInArrow(meet, "doc long, set long, size long, data binary, meeting long"))
+    own = met.filter("meeting is null").select("doc", "set", "size")
     sets = own.filter("size > 0 and doc is not null").groupBy("set").agg(F.min("doc").alias("doc"), F.first("size").alias("size"))
+    shapes = met.filter("meeting is null and data is not null").groupBy("set").agg(F.first("size").alias("size"), F.first("data").alias("data"))
+    together = met.filter("meeting is not null").select("meeting", "set").distinct().join(shapes, "set").select("meeting", "set", "size", "data")
+    near = together.repartition(parts, "meeting").sortWithinPartitions("meeting").mapInArrow(compare, "a long, b long")
+    families = materialize(connected_components(near, "a", "b"))
     members = materialize(families.select(F.col("node").alias("set"), F.col("component").alias("family")).join(sets, "set"))
     blocks = members.groupBy("family").agg(F.ceil(F.sum("size") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
 
     def reread(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for whole in stream:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                packed = [shingle_hashes(hashes.of(words_of(t.as_py())), width).tobytes() for t in batch.column(3)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(packed, pa.binary())], names=["set", "family", "blocks", "elements"])
+        for batch in small(stream):
+            found = [shingle_hashes(hashes.of(words_of(t.as_py())), width) for t in batch.column(3)]
+            same = [set_key(e) == s for e, s in zip(found, batch.column(0).to_pylist(), strict=True)]  # a repeated key can have another text
+            kept = batch.filter(pa.array(same, pa.bool_()))
+            packed = [e.tobytes() for e, good in zip(found, same, strict=True) if good]
+            yield pa.RecordBatch.from_arrays([*kept.columns[:3], pa.array(packed, pa.binary())], names=["set", "family", "blocks", "elements"])
 
     wanted = members.join(blocks, "family").select("set", "family", "blocks", "doc")
     texts = rows.join(wanted.hint("shuffle_hash"), "doc").select("set", "family", "blocks", "text")

@@ -49,6 +49,7 @@ def family_texts(rng):
 @pytest.mark.parametrize("num,den,width", [(85, 100, 4), (8, 10, 5), (1, 2, 2)])
 def test_jaccard_join_is_exact(spark, num, den, width, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", 900)  # families go in blocks
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 5)  # and so do the sets of a signature
     texts = family_texts(random.Random(num))
     docs = spark.createDataFrame([(i * 3, t, "s", 1) for i, t in enumerate(texts)] + [(None, texts[0], None, None)], "doc_id long, text string, size string, part int")
     sets = {}
@@ -79,6 +80,22 @@ def test_signatures_meet_for_every_linked_pair():
                 assert len(np.intersect1d(jaccard.signatures(a, t), jaccard.signatures(b, t)))
 
 
+def test_histograms_never_part_a_linked_pair():
+    rng = np.random.default_rng(6)
+    t = jaccard.Threshold(8, 10)
+    for size in (1, 5, 16, 17, 40, 300, 3000):
+        for _ in range(20):
+            common = rng.integers(0, 2**64, size, dtype=np.uint64)
+            extra = rng.integers(0, 2**64, max(1, int(size * rng.random() * 0.6)), dtype=np.uint64)
+            cut = rng.integers(0, len(extra) + 1)
+            a, b = np.unique(np.concatenate([common, extra[:cut]])), np.unique(np.concatenate([common, extra[cut:]]))
+            pairs = jaccard.possible_forest([jaccard.histogram(a), jaccard.histogram(b)], np.array([len(a), len(b)]), t)
+            if t.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+                assert pairs == [(0, 1)]
+    far = [np.unique(rng.integers(0, 2**64, 200, dtype=np.uint64)) for _ in range(5)]
+    assert jaccard.possible_forest([jaccard.histogram(f) for f in far], np.full(5, 200), t) == []
+
+
 def removed_by_brute_force(texts, length):
     seen, out = set(), {}
     for key in sorted(texts):
