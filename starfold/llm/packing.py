@@ -16,54 +16,123 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starfold.llm.bpe import _Remembered
-from starfold.llm.common import others, spare_name
+from starfold.llm.common import others, small, spare_name, worker_memory
+
+
+#: Characters of text whose words are looked up together, and bytes of a word's entry besides its text and ids.
+AT_ONCE, ENTRY = 1_000_000, 220
+#: Whether all letters are of Latin-1.
+LATIN = re.compile("[\x00-\xff]*").fullmatch
 
 
 class WordTokenizer:
-    """Packed ids of a ``tokenizers`` file whose pre-tokens never hold white space.
+    """Packed ids of a ``tokenizers`` file whose pre-tokens never hold white space and end in tokens of their own.
 
-    Such a text's ids are those of its words, and a word's those of its pre-tokens, so
-    each is asked of the library once and remembered, within a bound. With ``added``, the file's
-    added tokens get their own ids, as by the library's default, and texts that hold one go
-    whole to the library; else they are spelled as ordinary text.
+    Such a text's ids are those of its words, and a word's those of its pre-tokens. The distinct pre-tokens of many
+    texts that aren't remembered go to the library together, and the tokens that end pre-tokens tell whose ids are
+    whose. Words and pre-tokens are remembered in two generations of ``limit`` bytes, so that what is asked for again outlives the rest.
+    With ``added``, the file's added tokens get their own ids, as by the library's default, and texts that hold
+    one go whole to the library; else they are spelled as ordinary text.
     """
 
     _separators = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
 
-    def __init__(self, spec: str, pattern: str, limit: int = 150_000, added: bool = False):
-        from tokenizers import Tokenizer
+    def __init__(self, spec: str, pattern: str, limit: int = 24_000_000, added: bool = False):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.added = [t["content"] for t in json.loads(spec).get("added_tokens") or []] if added else []
+        described = json.loads(spec)
+        self.added = [t["content"] for t in described.get("added_tokens") or []] if added else []
         if not added:
             self.tokenizer.encode_special_tokens = True
+        self.joint = Tokenizer.from_str(spec)  # the same model, for pre-tokens that are normalized and cut already
+        self.joint.encode_special_tokens = True
+        self.joint.normalizer = normalizers.Sequence([])
+        self.joint.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(described["model"]["end_of_word_suffix"])]] = True
         self.split = regex.compile(pattern).findall
-        self.pieces = _Remembered(self._library, limit)
-        self.words = _Remembered(self._word, limit)
-        self.others = _Remembered(self._library, limit // 8)
+        self.limit, self.used = limit, 0
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Of a lower-cased Latin-1 word, which needs no other normalizing."""
+    def _pieces(self, word: str) -> list[str]:
+        """Pre-tokens of a lower-cased Latin-1 word, which needs no other normalizing."""
         if word.isalpha():
-            return self.pieces[word]
-        if word[-1] in ".," and word[:-1].isalpha():
-            return self.pieces[word[:-1]] + self.pieces[word[-1]]
-        return b"".join([self.pieces[p] for p in self.split(word)])
+            return [word]
+        return [word[:-1], word[-1]] if word[-1] in ".," and word[:-1].isalpha() else self.split(word)
+
+    def _resolve(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, encoded as one text; each has one token that ends it."""
+        ids = np.array(self.joint.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.int64)
+        stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        packed = ids.astype("<u4").tobytes()
+        return [packed[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def _recall(self, words: set[str]) -> list[str]:
+        """Bring back what the old generation has of the words, and return the others."""
+        known, old, new = self.known, self.old, []
+        for word in words.difference(known):
+            if (ids := old.get(word)) is None:
+                new.append(word)
+            else:
+                known[word] = ids
+                self.used += ENTRY + len(word) + len(ids)
+        return new
+
+    def _learn(self, words: set[str]) -> None:
+        known = self.known
+        whole, cut = set(), {}
+        for word in self._recall(words):
+            if not (word.isascii() or LATIN(word)):
+                known[word] = ids = self._library(word)
+                self.used += ENTRY + 4 * len(word) + len(ids)
+            elif len(pieces := self._pieces(word)) == 1:
+                whole.add(word)
+            else:
+                cut[word] = pieces
+        alone = self._recall(whole.union(*cut.values()))
+        for at in range(0, len(alone), 1000):
+            some = alone[at : at + 1000]
+            found = self._resolve(some)
+            known.update(zip(some, found, strict=True))
+            self.used += sum(map(len, some)) + sum(map(len, found)) + ENTRY * len(some)
+        for word, pieces in cut.items():
+            known[word] = ids = b"".join([known[p] for p in pieces])
+            self.used += ENTRY + len(word) + len(ids)
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self._separators.search(text) or any(t in text for t in self.added):
-            return self._library(text)
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return b"".join(map(self.others.__getitem__, text.split()))
-        return b"".join(map(self.words.__getitem__, text.lower().split()))
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and size < AT_ONCE:
+                size += len(texts[end] or "")
+                end += 1
+            yield from self._encode_some(texts[at:end])
+            at = end
+
+    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
+        cut: list[list[str] | None] = []
+        for text in texts:
+            if text and (self._separators.search(text) or any(t in text for t in self.added)):
+                cut.append(None)
+            elif not text or text.isascii() or LATIN(text):
+                cut.append(text.lower().split() if text else [])
+            else:  # the library normalizes words with other letters
+                cut.append([w.lower() if w.isascii() or LATIN(w) else w for w in text.split()])
+        self._learn(set().union(*filter(None, cut)))
+        get = self.known.__getitem__
+        out = [self._library(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut, strict=True)]
+        if self.used > self.limit:
+            self.old, self.known, self.used = self.known, {}, 0
+        return out
 
 
 #: Fixed value: the pre-token pattern of the word-end tokenizer's file.
@@ -89,21 +158,19 @@ def pieces(docs: DataFrame, spec: str, text: str = "text", end_id: int = 1, capa
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokenizer(shared.value, pattern, added=added).encode  # what it remembers goes with the task
-        for whole in stream:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                rows, out = [], {n: [] for n in made}
-                for i, t in enumerate(batch.column(batch.schema.get_field_index(text))):
-                    ids = encode(t.as_py()) + tail
-                    for k, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[start : start + 4 * capacity]
-                        rows.append(i)
-                        for n, v in zip(made, (k, start // 4, len(part) // 4, zlib.crc32(part), part), strict=False):
-                            out[n].append(v)
-                kept = batch.select(keep).take(pa.array(rows, pa.int64())) if keep else None
-                made_columns = [pa.array(out[n], {"piece": pa.int32(), "ids": pa.binary()}.get(n, pa.int64())) for n in made]
-                yield pa.RecordBatch.from_arrays([*(kept.columns if kept else []), *made_columns], names=[*keep, *made])
+        tokenizer = worker_memory(("words", zlib.crc32(shared.value.encode()), pattern, added), lambda: WordTokenizer(shared.value, pattern, added=added))
+        for batch in small(stream):
+            rows, out = [], {n: [] for n in made}
+            for i, body in enumerate(tokenizer.encode_all(batch.column(batch.schema.get_field_index(text)).to_pylist())):
+                ids = body + tail
+                for k, start in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[start : start + 4 * capacity]
+                    rows.append(i)
+                    for n, v in zip(made, (k, start // 4, len(part) // 4, zlib.crc32(part), part), strict=False):
+                        out[n].append(v)
+            kept = batch.select(keep).take(pa.array(rows, pa.int64())) if keep else None
+            made_columns = [pa.array(out[n], {"piece": pa.int32(), "ids": pa.binary()}.get(n, pa.int64())) for n in made]
+            yield pa.RecordBatch.from_arrays([*(kept.columns if kept else []), *made_columns], names=[*keep, *made])
 
     return docs.mapInArrow(run, schema)
 
@@ -168,107 +235,129 @@ def _covers(better: tuple[int, ...], worse: tuple[int, ...]) -> bool:
     return True
 
 
-def _fillings(stock: _Stock, room: int, width: int, breadth: tuple[int, ...] = (6, 4, 2)) -> list[tuple[int, tuple[int, ...]]]:
-    """(waste, items) of maximal fillings of ``room``, least waste first, none dominated by another."""
-    found: list[tuple[int, tuple[int, ...]]] = []
+#: Fillings that are looked at together, so that the fuller ones come first.
+BURST = 32
+
+
+class _Search:
+    """Steps left, and whether everything that the bounds left open has been looked at."""
+
+    def __init__(self, steps: int):
+        self.steps, self.complete = steps, True
 
-    def grow(chosen: tuple[int, ...], left: int, most: int) -> bool:
+    def spend(self) -> bool:
+        self.steps -= 1
+        self.complete &= self.steps >= 0
+        return self.steps >= 0
+
+
+def _fillings(stock: _Stock, room: int, slack: int, search: _Search) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, items) of all maximal fillings of ``room`` with at most ``slack`` of waste, none dominated by one before it.
+
+    Depth first, the largest items first; each burst of fillings is handed out by its waste.
+    Between fillings the stock is as it was.
+    """
+    kept: list[tuple[int, ...]] = []
+    burst: list[tuple[int, tuple[int, ...]]] = []
+    chosen: list[int] = []
+    left = most = room
+    going = True
+    while going and search.spend():
         n = stock.largest(min(left, most))
-        if n < 0:
-            found.append((left, chosen))
-            return left == 0
-        if len(chosen) >= len(breadth):
-            taken = []
-            while n >= 0:
-                stock.take(n)
-                taken.append(n)
-                left -= n
-                n = stock.largest(min(left, n))
-            for x in taken:
-                stock.give(x)
-            found.append((left, (*chosen, *taken)))
-            return left == 0
-        for _ in range(breadth[len(chosen)]):
-            if n < 0:
-                break
+        if n >= 0:
             stock.take(n)
-            exact = grow((*chosen, n), left - n, n)
+            chosen.append(n)
+            left, most = left - n, n
+            continue
+        if left <= slack and stock.largest(left) < 0:  # else an item could be added
+            burst.append((left, tuple(chosen)))
+        if chosen:
+            n = chosen.pop()
             stock.give(n)
-            if exact:
-                return True
-            n = stock.largest(n - 1)
-        return False
-
-    grow((), room, room)
-    kept: list[tuple[int, tuple[int, ...]]] = []
-    for waste, items in sorted(set(found), key=lambda f: (f[0], len(f[1]), tuple(-n for n in f[1]))):
-        if not any(_covers(k, items) for _, k in kept):
-            kept.append((waste, items))
-            if len(kept) == width:
-                break
-    return kept
+            left, most = left + n, n - 1
+        else:
+            going = False
+        if burst and (not going or len(burst) == BURST or burst[-1][0] == 0):
+            for n in chosen:
+                stock.give(n)
+            for waste, items in sorted(burst, key=lambda f: (f[0], len(f[1]))):
+                if not any(_covers(k, items) for k in kept):
+                    kept.append(items)
+                    yield waste, items
+            burst.clear()
+            for n in chosen:
+                stock.take(n)
+    for n in chosen:
+        stock.give(n)
+    yield from sorted(burst)
+
 
+def bin_completion(lengths: list[int], capacity: int) -> list[list[int]]:
+    """As few bins of at most ``capacity`` as the search finds."""
+    return proven_bins(lengths, capacity)[0]
 
-def bin_completion(lengths: list[int], capacity: int, nodes: int = 4000, width: int = 3) -> list[list[int]]:
-    """As few bins as the search finds. The best-fit solution is the incumbent from the start.
 
-    Bins are completed around the largest item left. A branch ends once its waste exceeds
-    what a solution with one bin less than the incumbent's may have. The search stops at
-    the volume bound, where no solution can be better, or after ``nodes`` bins beyond one descent.
+def proven_bins(lengths: list[int], capacity: int, steps: int = 20_000) -> tuple[list[list[int]], bool]:
+    """As few bins as the search finds, and whether no solution can have less. Best fit is the incumbent from the start.
+
+    Bins are completed around the largest item left, with every undominated filling whose waste a
+    solution of one bin less than the incumbent's could still have. The search ends at the volume bound,
+    where no solution can be better, when nothing is left open, or after ``steps`` items tried beyond
+    one descent; then the incumbent is returned as not proven.
     """
     best = best_fit(lengths, capacity)
     total = sum(lengths)
     bound = max(-(-total // capacity), sum(1 for n in lengths if 2 * n > capacity))
     if len(best) <= bound:
-        return best
+        return best, True
     stock = _Stock(lengths, capacity)
-    budget = nodes + len(best)
+    search = _Search(steps + 2 * len(lengths))
     done: list[list[int]] = []
     wasted = 0
     allowed = (len(best) - 1) * capacity - total
-    trail: list[tuple[int, list[tuple[int, tuple[int, ...]]], int]] = []
+    trail: list[tuple[int, Iterator[tuple[int, tuple[int, ...]]]]] = []
 
     def open_bin() -> None:
         first = stock.largest(capacity)
         stock.take(first)
-        trail.append((first, _fillings(stock, capacity - first, width)[::-1], 0))
+        trail.append((first, _fillings(stock, capacity - first, allowed - wasted, search)))
 
     open_bin()
-    while trail and budget > 0:
-        first, options, used = trail[-1]
+    while trail:
+        first, fillings = trail[-1]
         if len(done) == len(trail):  # back from below: undo this bin's filling
             items = done.pop()
             for n in items[1:]:
                 stock.give(n)
             wasted -= capacity - sum(items)
-        if not options:
+        filling = next(fillings, None)
+        if filling is None:
             stock.give(first)
             trail.pop()
             continue
-        waste, items = options.pop()
-        budget -= 1
+        waste, items = filling
         if wasted + waste > allowed:
             continue
         for n in items:
             stock.take(n)
         done.append([first, *items])
         wasted += waste
-        if not stock.lengths:
-            best = [list(b) for b in done]
-            allowed = (len(best) - 1) * capacity - total
-            if len(best) <= bound:
-                return best
+        if stock.lengths:
+            open_bin()
             continue
-        open_bin()
-    return best
+        best = [list(b) for b in done]
+        allowed = (len(best) - 1) * capacity - total
+        if len(best) <= bound:
+            return best, True
+    return best, search.complete
 
 
-def _place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Bin and offset of each item, and the fill of each bin."""
+def _place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int], bool]:
+    """Bin and offset of each item, the fill of each bin, and whether no packing has fewer bins."""
     queues: dict[int, list[int]] = {}
     for i in range(len(lengths) - 1, -1, -1):
         queues.setdefault(int(lengths[i]), []).append(i)
-    bins = bin_completion(lengths.tolist(), capacity)
+    bins, proven = proven_bins(lengths.tolist(), capacity)
     at, offset, fill = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), []
     for b, items in enumerate(bins):
         used = 0
@@ -277,41 +366,46 @@ def _place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
             at[i], offset[i] = b, used
             used += n
         fill.append(used)
-    return at, offset, fill
+    return at, offset, fill, proven
 
 
 def pack(rows: DataFrame, groups: int, length: str = "length", capacity: int = 4096, merge: int = 16, spread: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``sequence_id`` and ``offset``: sequences of at most ``capacity``, gapless from 0.
-
-    Rows are dealt by the hash of the columns in ``spread`` (all columns if none is named)
-    to ``groups`` groups, each packed by itself. Then the sequences left open by ``merge``
-    groups at a time are packed anew, so that about one sequence in ``merge`` groups stays
-    part empty. Lengths run from 1 to ``capacity``; rows with other or null lengths get null.
-    Columns called ``sequence_id`` or ``offset`` are replaced.
+    """Add ``sequence_id`` and ``offset``: sequences of at most ``capacity``, gapless from 0; and ``proven``.
+
+    Rows are dealt by their place and the hash of the columns in ``spread`` (all columns if none is named) to
+    ``groups`` groups, each packed by itself, so that repeated rows don't meet in one. Then the sequences left
+    open by ``merge`` groups at a time are packed anew, so that about one sequence in ``merge`` groups stays part
+    empty. Lengths run from 1 to ``capacity``; rows with other or null lengths get null. ``proven`` tells
+    whether the group that packed the row last can't do with fewer sequences; elsewhere the search ran out of steps.
+    Columns of these three names are replaced. Rows must come in an order that a lost task's second run
+    repeats, as files and checkpoints give it.
     """
-    rows = rows.select(*others(rows, "sequence_id", "offset"))
+    rows = rows.select(*others(rows, "sequence_id", "offset", "proven"))
     group, state, joint = (spare_name(rows, n) for n in ("_group", "_bin", "_merged"))
-    dealt = rows.withColumns({group: F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(groups)).cast("long"), state: F.lit(0).cast("long"), "sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
+    place = F.xxhash64(*(spread or rows.columns), F.monotonically_increasing_id())
+    dealt = rows.withColumns({group: F.pmod(place, F.lit(groups)).cast("long"), state: F.lit(0).cast("long"), "sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long"), "proven": F.lit(None).cast("boolean")})
     schema = dealt.schema
 
     def first(part: pd.DataFrame) -> pd.DataFrame:
         fits = part[length].between(1, capacity).to_numpy()
         part[state] = -1
         if fits.any():
-            at, offset, fill = _place(part.loc[fits, length].to_numpy().astype(np.int64), capacity)
+            at, offset, fill, proven = _place(part.loc[fits, length].to_numpy().astype(np.int64), capacity)
             still_open = np.array(fill) < capacity - capacity // 512
             part.loc[fits, state] = np.where(still_open[at], -2, 0)
             part.loc[fits, "sequence_id"] = part.loc[fits, group].to_numpy() * (1 << 32) + at
             part.loc[fits, "offset"] = offset
+            part.loc[fits, "proven"] = proven
         return part
 
     def again(part: pd.DataFrame) -> pd.DataFrame:
         opened = (part[state] == -2).to_numpy()
         if opened.any():
-            at, offset, fill = _place(part.loc[opened, length].to_numpy().astype(np.int64), capacity)
+            at, offset, fill, proven = _place(part.loc[opened, length].to_numpy().astype(np.int64), capacity)
             if len(fill) < part.loc[opened, "sequence_id"].nunique():
                 part.loc[opened, "sequence_id"] = (part.loc[opened, group].to_numpy() // merge) * (1 << 32) + (1 << 31) + at
                 part.loc[opened, "offset"] = offset
+            part.loc[opened, "proven"] = proven
         return part
 
     order = [c for c in (*spread, length) if c in rows.columns]

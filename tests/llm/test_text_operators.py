@@ -1,5 +1,6 @@
 """Per-document operators: round trips, brute force, edge cases, held-out accuracy."""
 
+import random
 import zlib
 from itertools import pairwise
 
@@ -130,6 +131,51 @@ def test_bin_completion_beats_best_fit():
     assert packing.bin_completion([4, 4, 4, 3, 3, 3, 3, 3, 3], 10) and len(packing.bin_completion([5, 4, 4, 3, 3, 2, 2, 1], 8)) == 3
 
 
+def fewest_bins(lengths, capacity):
+    least = len(lengths)
+
+    def place(i, rooms):
+        nonlocal least
+        if len(rooms) >= least:
+            return
+        if i == len(lengths):
+            least = len(rooms)
+            return
+        for j, room in enumerate(rooms):
+            if room >= lengths[i]:
+                place(i + 1, [*rooms[:j], room - lengths[i], *rooms[j + 1 :]])
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return least
+
+
+def test_bin_completion_equals_trying_everything():
+    rng = random.Random(5)
+    worse = 0
+    for _ in range(400):
+        capacity = rng.choice([10, 20, 50, 100])
+        lengths = sorted((rng.randrange(max(1, capacity // rng.choice([4, 8, 20])), capacity // rng.choice([1, 2]) + 1) for _ in range(rng.randrange(1, 10))), reverse=True)
+        found, proven = packing.proven_bins(lengths, capacity)
+        assert sorted(x for b in found for x in b) == sorted(lengths) and all(sum(b) <= capacity for b in found)
+        assert proven and len(found) == fewest_bins(lengths, capacity)
+        worse += len(packing.best_fit(lengths, capacity)) > len(found)
+    assert worse  # the search is needed
+    lengths = [rng.randrange(900, 1900) for _ in range(300)]
+    found, proven = packing.proven_bins(lengths, 4096, steps=50)
+    assert len(found) <= len(packing.best_fit(lengths, 4096)) and (not proven or len(found) >= -(-sum(lengths) // 4096))
+
+
+def test_packing_takes_repeated_rows_and_empty_tables(spark):
+    rows = spark.range(9000).select(F.lit(7).alias("doc_id"), F.lit(1500).cast("long").alias("length"))
+    out = packing.pack(rows, groups=4, spread=("doc_id",))
+    assert out.groupBy("sequence_id").count().agg(F.max("count"), F.count("*")).first()[:] == (2, 4500)
+    assert out.filter("not proven").count() == 0
+    assert packing.pack(rows.limit(0), groups=1).count() == 0
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        assert packing.pieces(spark.createDataFrame([], "doc_id long, text string"), f.read()).count() == 0
+
+
 def labeled(spark):
     word = lambda i, k: f"word{(i * 7 + k * 13) % 40}"
     rows, labels = [], []
