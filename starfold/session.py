@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _PACKAGE = Path(__file__).resolve().parent
 
 
@@ -29,8 +30,14 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per context, so that their Python workers can import it."""
+    """Send this package to the executors once per context, so that their Python workers can import it.
+
+    Arrow batches go down to 8 MB, unless the session asks for another size than Spark's default: a batch is
+    held several times over, by the executor and by each of its Python workers.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH).lower() in ("64mb", "67108864b", "67108864"):  # Spark's default
+        spark.conf.set(_BATCH, "8m")
     if getattr(context, "_starfold_shipped", False):
         return spark
     archive = Path(tempfile.mkdtemp(prefix="starfold-")) / "starfold.zip"
