@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from starfold.llm.common import others
+from starfold.llm.common import lean, others
 
 _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
@@ -218,7 +218,7 @@ def _with_binary(df: DataFrame, column: str, out: str, make: callable) -> DataFr
                 columns = [part.column(part.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.binary())], names=[*keep, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:

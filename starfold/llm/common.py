@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
@@ -123,6 +125,19 @@ def worker_memory(name: tuple, make: Callable):
     return _held[1]
 
 
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work, after which its worker gives the memory that it no longer uses back to the system."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(stream)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return run
+
+
 def small(stream: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that what a task holds and sends at once stays small."""
     for batch in stream:

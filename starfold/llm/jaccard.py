@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starfold.llm.common import WordHashes, even_keys, materialize, mix64, shingle_hashes, small, words_of
+from starfold.llm.common import WordHashes, even_keys, lean, materialize, mix64, shingle_hashes, small, words_of
 from starfold.llm.components import connected_components
 
 
@@ -221,6 +221,19 @@ BLOCK_ELEMENTS = 3_000_000
 BLOCK_SETS = 8192
 
 
+def _bursts(found: Iterator[tuple[int, np.ndarray]], rows: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Lists of groups with about so many sets."""
+    some, held = [], 0
+    for group in found:
+        some.append(group)
+        held += len(group[1])
+        if held >= rows:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def meetings(signs: np.ndarray, sets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(name, sets) of every different group of sets that share a signature."""
     order = np.lexsort((sets, signs))
@@ -255,13 +268,13 @@ def join_components(docs: DataFrame, threshold: Threshold, width: int, key: str
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a task sorts its signatures in memory
 
     keys = even_keys(spark, parts)
 
     def sign(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in small(stream, 4096):
+        for batch in small(stream, 2048):
             set_keys, set_sizes, shapes, found, owners = [], [], [], [], []
             seen: set[int] = set()
             for value in batch.column(1):
@@ -302,38 +315,48 @@ def join_components(docs: DataFrame, threshold: Threshold, width: int, key: str
             return
         sign, name = np.concatenate(signs), np.concatenate(names)
         del signs, names
-        for meeting, members in meetings(sign, name):
-            m = len(members)
-            empty = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, pa.array(members), empty, pa.nulls(m, pa.binary()), pa.array(np.full(m, meeting))], names=["doc", "set", "size", "data", "meeting"])
+        for found in _bursts(meetings(sign, name), 65536):
+            members = np.concatenate([m for _, m in found])
+            empty = pa.nulls(len(members), pa.int64())
+            meeting = np.repeat(np.array([n for n, _ in found], np.int64), [len(m) for _, m in found])
+            yield pa.RecordBatch.from_arrays([empty, pa.array(members), empty, pa.nulls(len(members), pa.binary()), pa.array(meeting)], names=["doc", "set", "size", "data", "meeting"])
 
     def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Meetings come one after the other; only one is held at a time."""
         held: list[tuple[int, int, bytes]] = []
         now = None
 
-        def links() -> pa.RecordBatch:
-            names = [h[0] for h in held]
+        links: list[tuple[int, int]] = []
+
+        def look() -> None:
             pairs = possible_forest([h[2] for h in held], np.array([h[1] for h in held]), threshold)
-            return pa.RecordBatch.from_arrays([pa.array([names[x] for x, _ in pairs], pa.int64()), pa.array([names[y] for _, y in pairs], pa.int64())], names=["a", "b"])
+            links.extend((held[x][0], held[y][0]) for x, y in pairs)
+            held.clear()
 
-        for batch in small(stream, 4096):
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            links.clear()
+            return made
+
+        for batch in small(stream):
             for meeting, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if meeting != now and held:
-                    yield links()
-                    held.clear()
+                    look()
                 now = meeting
                 held.append(tuple(row))
+            if len(links) > 65536:
+                yield out()
         if held:
-            yield links()
+            look()
+        yield out()
 
-    signed = rows.mapInArrow(sign, "part int, doc long, set long, size long, data binary")
-    met = materialize(signed.repartition(parts, "part").mapInArrow(meet, "doc long, set long, size long, data binary, meeting long"))
+    signed = rows.mapInArrow(lean(sign), "part int, doc long, set long, size long, data binary")
+    met = materialize(signed.repartition(parts, "part").mapInArrow(lean(meet), "doc long, set long, size long, data binary, meeting long"))
     own = met.filter("meeting is null").select("doc", "set", "size")
     sets = own.filter("size > 0 and doc is not null").groupBy("set").agg(F.min("doc").alias("doc"), F.first("size").alias("size"))
     shapes = met.filter("meeting is null and data is not null").groupBy("set").agg(F.first("size").alias("size"), F.first("data").alias("data"))
     together = met.filter("meeting is not null").select("meeting", "set").distinct().join(shapes, "set").select("meeting", "set", "size", "data")
-    near = together.repartition(parts, "meeting").sortWithinPartitions("meeting").mapInArrow(compare, "a long, b long")
+    near = together.repartition(parts, "meeting").sortWithinPartitions("meeting").mapInArrow(lean(compare), "a long, b long")
     families = materialize(connected_components(near, "a", "b"))
     members = materialize(families.select(F.col("node").alias("set"), F.col("component").alias("family")).join(sets, "set"))
     blocks = members.groupBy("family").agg(F.ceil(F.sum("size") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
@@ -349,7 +372,7 @@ def join_components(docs: DataFrame, threshold: Threshold, width: int, key: str
 
     wanted = members.join(blocks, "family").select("set", "family", "blocks", "doc")
     texts = rows.join(wanted.hint("shuffle_hash"), "doc").select("set", "family", "blocks", "text")
-    dealt = texts.mapInArrow(reread, "set long, family long, blocks int, elements binary")
+    dealt = texts.mapInArrow(lean(reread), "set long, family long, blocks int, elements binary")
     mine = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set", "elements")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starfold.llm.common import mix64, others, small
+from starfold.llm.common import lean, mix64, others, small
 
 
 @cache
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
             yield pa.RecordBatch.from_pydict({"lang": [name], "counts": pa.array([values.astype("<f4").tobytes()], pa.binary())})
 
     table = np.zeros((1 << bits, len(languages)))
-    for name, counts in sample.mapInArrow(run, "lang string, counts binary").toLocalIterator():
+    for name, counts in sample.mapInArrow(lean(run), "lang string, counts binary").toLocalIterator():
         table[:, languages.index(name)] += np.frombuffer(counts, "<f4")
     table += smoothing
     return LanguageModel(languages, table / table.sum(axis=0), bits)
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str
             found = [[{"lang": name, "share": s} for name, s in find(t.as_py())] for t in texts]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(found, kind)], names=[*keep, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def first_language(found) -> tuple:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starfold.llm.common import others, small, spare_name, worker_memory
+from starfold.llm.common import lean, others, small, spare_name, worker_memory
 
 
 #: Characters of text whose words are looked up together, and bytes of a word's entry besides its text and ids.
@@ -172,7 +172,7 @@ def pieces(docs: DataFrame, spec: str, text: str = "text", end_id: int = 1, capa
             made_columns = [pa.array(out[n], {"piece": pa.int32(), "ids": pa.binary()}.get(n, pa.int64())) for n in made]
             yield pa.RecordBatch.from_arrays([*(kept.columns if kept else []), *made_columns], names=[*keep, *made])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 class _Stock:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starfold.llm.bpe import _Remembered
-from starfold.llm.common import mix64
+from starfold.llm.common import lean, mix64
 from starfold.llm.toxicity import bounded_labels, with_score
 
 
@@ -123,8 +123,8 @@ def word_vectors(docs: DataFrame, text: str = "text", indexing: Indexing = Index
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "sums": pa.array([values.astype("<f4")], pa.list_(pa.float32()))})
 
     schema = "block int, sums array<float>"
-    pieces = docs.select(text).mapInArrow(run, schema)
-    rows = pieces.repartition(8, "block").mapInArrow(fold, schema).collect()
+    pieces = docs.select(text).mapInArrow(lean(run), schema)
+    rows = pieces.repartition(8, "block").mapInArrow(lean(fold), schema).collect()
     vectors = np.zeros((2 * indexing.slots, indexing.width))
     seen = np.zeros(2 * indexing.slots)
     for block, values in rows:
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             rows = [pool.of(t.as_py()).astype("<f4").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["_key", "_label", "vector"])
 
-    rows = sorted(tuple(r) for r in texts.mapInArrow(run, T.StructType([texts.schema["_key"], T.StructField("_label", T.IntegerType()), T.StructField("vector", T.BinaryType())])).collect())
+    rows = sorted(tuple(r) for r in texts.mapInArrow(lean(run), T.StructType([texts.schema["_key"], T.StructField("_label", T.IntegerType()), T.StructField("vector", T.BinaryType())])).collect())
     y = np.array([r[1] for r in rows], float)
     if len(set(y.tolist())) < 2:
         return QualityModel(indexing, vectors, None)

@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starfold.llm.common import materialize, mix64
+from starfold.llm.common import even_keys, lean, materialize, mix64
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -323,8 +323,12 @@ def _bit(doc: np.ndarray) -> np.ndarray:
     return (mix64(doc.astype(np.int64).view(np.uint64) + np.uint64(77)) >> np.uint64(64 - DOC_BITS)).astype(np.int64)
 
 
-def _doc_part(doc: np.ndarray, parts: int) -> np.ndarray:
-    return (mix64(doc.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+def _doc_part(doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return keys[(mix64(doc.astype(np.int64).view(np.uint64)) % np.uint64(len(keys))).astype(np.int64)]
+
+
+def _anchor_part(anchor: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return keys[(anchor % np.uint64(len(keys))).astype(np.int64)]
 
 
 def _out(kind: str, pairs: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -334,12 +338,12 @@ def _out(kind: str, pairs: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in block], pa.int32()), pa.array([kind] * len(block)), pa.array([b for _, b in block], pa.binary())], names=["part", "kind", "data"])
 
 
-def _cuts(runs: dict[str, np.ndarray], rows: np.ndarray, length: int, parts: int) -> Iterator[pa.RecordBatch]:
+def _cuts(runs: dict[str, np.ndarray], rows: np.ndarray, length: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Removals of whole runs, for the parts of their documents."""
     if len(rows):
         place = runs["place"][rows].astype(np.int64)
         values = {"doc": runs["doc"][rows], "begin": place - runs["before"][rows], "end": place - runs["after"][rows] + length}
-        yield from _out("cut", _columns(values, _CUT, _doc_part(values["doc"], parts)))
+        yield from _out("cut", _columns(values, _CUT, _doc_part(values["doc"], keys)))
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -363,7 +367,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     a removed stretch shrinks to the characters that lie in it as a whole, so that what is left is text.
     """
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a task holds its runs
+    keys = even_keys(spark, parts)
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     schema = "part int, kind string, data binary"
 
@@ -383,9 +388,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     continue
                 values = {n: np.concatenate(v) for n, v in found.items()}
                 left, repeats = _earlier(values)
-                yield from _cuts(values, repeats, length, parts)
+                yield from _cuts(values, repeats, length, keys)
                 values = {n: v[left] for n, v in values.items()}
-                yield from _out("run", _columns(values, _RUN, (values["anchor"] % np.uint64(parts)).astype(np.int32)))
+                yield from _out("run", _columns(values, _RUN, _anchor_part(values["anchor"], keys)))
 
     def blobs_of(stream: Iterator[pa.RecordBatch], own: str) -> Iterator[bytes | pa.RecordBatch]:
         """The data of one kind of row; batches of the other rows pass."""
@@ -404,7 +409,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 yield x
         runs = _unpacked(blobs, _RUN)
         left, repeats = _earlier(runs)
-        yield from _cuts(runs, repeats, length, parts)
+        yield from _cuts(runs, repeats, length, keys)
         anchor = runs["anchor"][left]
         if exact or not len(left):  # single windows: equal content is all there is to know
             return
@@ -412,7 +417,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         several = counts[group] > 1
         values = {n: runs[n][left][several] for n in ("anchor", "doc", "place", "before", "after")} | {"hot": counts[group][several] > anchor_runs}
         if several.any():
-            yield from _out("ask", _columns(values, _ASK, _doc_part(values["doc"], parts)))
+            yield from _out("ask", _columns(values, _ASK, _doc_part(values["doc"], keys)))
 
     def fetch(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes of runs asked for; windows of anchors with very many runs go one by one."""
@@ -448,14 +453,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                             windows[name].append(v)
                     else:
                         anchor = int(asked["anchor"][k])
-                        packed.setdefault(anchor % parts, []).append((doc, place, first, last, data[first : last + length]))
+                        packed.setdefault(int(keys[anchor % parts]), []).append((doc, place, first, last, data[first : last + length]))
             yield from _out("context", ((p, pickle.dumps(c, 5)) for p, c in packed.items()))
             if windows["doc"]:
                 values = {n: np.concatenate(v) for n, v in windows.items()}
                 left, repeats = _earlier(values)
-                yield from _cuts(values, repeats, length, parts)
+                yield from _cuts(values, repeats, length, keys)
                 values = {n: v[left] for n, v in values.items()}
-                yield from _out("run", _columns(values, _RUN, (values["anchor"] % np.uint64(parts)).astype(np.int32)))
+                yield from _out("run", _columns(values, _RUN, _anchor_part(values["anchor"], keys)))
 
     def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members: list[Row] = []
@@ -467,7 +472,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         cuts = windows_seen_before(members, length, gram)
         if cuts:
             values = dict(zip(("doc", "begin", "end"), np.array(cuts, np.int64).T, strict=True))
-            yield from _out("cut", _columns(values, _CUT, _doc_part(values["doc"], parts)))
+            yield from _out("cut", _columns(values, _CUT, _doc_part(values["doc"], keys)))
 
     def finish(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts: dict[str, np.ndarray] | None = None
@@ -522,7 +527,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     def concerned(blobs: DataFrame, kind: list):
         """A broadcast of 2**DOC_BITS bits, whatever the corpus; a bit set by another document only costs a look."""
-        found = blobs.select("data").mapInArrow(bits_of(kind), "at int, bits binary").repartition(8, "at").mapInArrow(joined, "at int, bits binary")
+        found = blobs.select("data").mapInArrow(lean(bits_of(kind)), "at int, bits binary").repartition(8, "at").mapInArrow(lean(joined), "at int, bits binary")
         bits = np.zeros((1 << DOC_BITS) // 8, np.uint8)
         for at, piece in found.collect():
             bits[at : at + 4096] = np.frombuffer(piece, np.uint8)
@@ -540,21 +545,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 batch = batch.filter(pa.array(named == wanted))
                 n = batch.num_rows
                 if n:
-                    part = _doc_part(number[named == wanted], parts)
+                    part = _doc_part(number[named == wanted], keys)
                     yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), batch.column(0), pa.nulls(n, pa.binary()), batch.column(1), pa.array(part)], names=["kind", "doc", "data", "text", "part"])
 
-        return rows.mapInArrow(run, "kind int, doc long, data binary, text string, part int")
+        return rows.mapInArrow(lean(run), "kind int, doc long, data binary, text string, part int")
 
     def of_documents(blobs: DataFrame, bits, work, out: str) -> DataFrame:
         """The documents concerned meet the rows for their part, which come first."""
         first = blobs.select(F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc"), "data", F.lit(None).cast("string").alias("text"), "part")
         met = first.union(placed(bits, True)).repartition(parts, "part").sortWithinPartitions("kind")
-        return met.select("kind", "doc", "data", "text").mapInArrow(work, out)
+        return met.select("kind", "doc", "data", "text").mapInArrow(lean(work), out)
 
     def dealt(blobs: DataFrame, work) -> DataFrame:
-        return blobs.repartition(parts, "part").mapInArrow(work, schema)
+        return blobs.repartition(parts, "part").mapInArrow(lean(work), schema)
 
-    firsts = materialize(dealt(rows.mapInArrow(runs_of, schema), lambda s: first_runs(s, False)))
+    firsts = materialize(dealt(rows.mapInArrow(lean(runs_of), schema), lambda s: first_runs(s, False)))
     ask = firsts.filter("kind = 'ask'")
     fetched = of_documents(ask, concerned(ask, _ASK), fetch, schema)
     compared = materialize(dealt(dealt(fetched, lambda s: first_runs(s, True)), compare))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from starfold.llm.common import others
+from starfold.llm.common import lean, others
 
 #: How a token that crosses a boundary counts: for the section of its first or last
 #: character, for the one with most of its characters (the earlier of equals), or for each by its share.
@@ -105,4 +105,4 @@ def count_tokens(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: s
                 columns = [pa.array(np.concatenate([p[k] for p in parts]), kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*(kept.columns if kept else []), *columns], names=[*keep, *made])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

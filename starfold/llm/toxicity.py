@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starfold.llm.common import WordHashes, hash_bytes, mix64, others, small
+from starfold.llm.common import WordHashes, hash_bytes, lean, mix64, others, small
 
 _TRIM = bytes(set(range(0x21, 0x80)) - set(b"0123456789abcdefghijklmnopqrstuvwxyz"))
 
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             slots = [features.of(t).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(slots, pa.binary())], names=["_key", "_label", "slots"])
 
-    rows = sorted(tuple(r) for r in texts.mapInArrow(run, T.StructType([texts.schema["_key"], T.StructField("_label", T.IntegerType()), T.StructField("slots", T.BinaryType())])).collect())
+    rows = sorted(tuple(r) for r in texts.mapInArrow(lean(run), T.StructType([texts.schema["_key"], T.StructField("_label", T.IntegerType()), T.StructField("slots", T.BinaryType())])).collect())
     if not rows:
         return ToxicityModel(bits, np.empty(0, np.int64), np.empty(0), 0.0)
     slots, weights, bias = ftrl.fit([np.frombuffer(r[2], "<i4").astype(np.int64) for r in rows], np.array([r[1] for r in rows]), 1 << bits)
@@ -137,4 +137,4 @@ def with_score(docs: DataFrame, text: str, out: str, make) -> DataFrame:
             values = [work(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(values, pa.float64())], names=[*keep, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
