@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starfold.functions import series as S
+from starfold.session import materialize
 
 ORDER = ("time_days", "cadence")
 #: Fixed value: quality bits that exclude a cadence of the second mission.
@@ -86,14 +87,35 @@ def cdpp(prep: DataFrame, hours: float, out: str, scatter: DataFrame | None = No
     return both.select("target_id", F.when(F.col("blocks") >= 3, F.col("mad") * 1e6).otherwise(F.col("scatter_ptp_ppm") / F.sqrt("block")).alias(out))
 
 
+def median_of(values):
+    """Median of an array; null for none."""
+    ordered, n = F.sort_array(values), F.size(values)
+    return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+
+
+def mad_of(values):
+    """1.4826 * MAD of an array of numbers."""
+    middle = median_of(values)
+    return S.MAD_SCALE * median_of(F.transform(values, lambda v: F.abs(v - middle)))
+
+
 def summary(curve: DataFrame, gap_days: float = 0.25, hours: tuple[float, ...] = (1, 2, 6), **quality) -> DataFrame:
-    """One row a target: cadences, valid ones, excluded ones, segments and scatter."""
-    flagged = quality_flags(curve, **quality)
+    """One row a target: cadences, valid ones, excluded ones, segments and scatter.
+
+    Steps and places are derived once, and kept; two aggregations by target read them: one of
+    medians, and one of block means for all ``hours`` together with the deviations from the medians.
+    """
+    flagged = quality_flags(curve, **quality).withColumn("_initial", F.count("*").over(Window.partitionBy("target_id")))
     prep = normalize(segments(flagged.filter("exclusion_flags = 0"), gap_days))
-    counts = flagged.groupBy("target_id").agg(F.count("*").alias("initial"), F.count_if(F.col("exclusion_flags") == 0).alias("valid"), F.count_if(F.col("exclusion_flags") != 0).alias("excluded"))
-    out = counts.join(prep.groupBy("target_id").agg(F.count_distinct("segment_id").alias("segment_count")), "target_id")
-    scatter = ptp_scatter(prep)
-    out = out.join(scatter, "target_id")
-    for h in hours:
-        out = out.join(cdpp(prep, h, f"cdpp_{h:g}h", scatter), "target_id")
-    return out
+    by_time = Window.partitionBy("target_id").orderBy(*ORDER)
+    in_segment = Window.partitionBy("target_id", "segment_id").orderBy(*ORDER)
+    wide = materialize(prep.select("target_id", "segment_id", "flux_norm", "_initial", (F.col("time_days") - F.lag("time_days").over(by_time)).alias("dt"), (F.col("flux_norm") - F.lag("flux_norm").over(in_segment)).alias("step"), (F.row_number().over(in_segment) - 1).alias("_row")))
+    first = wide.groupBy("target_id").agg(F.max("_initial").alias("initial"), F.count("*").alias("valid"), (F.max("_initial") - F.count("*")).alias("excluded"), F.count_distinct("segment_id").alias("segment_count"), F.median("step").alias("_m"), F.median("dt").alias("_dt"))
+    steps = wide.filter("step is not null").select("target_id", "step").join(first.select("target_id", "_m"), "target_id").groupBy("target_id").agg((S.MAD_SCALE * F.median(F.abs(F.col("step") - F.col("_m")))).alias("mad"))
+    size = lambda h: F.greatest(F.lit(1), F.coalesce(F.rint(F.lit(h / 24) / F.when(F.col("_dt") > 0, F.col("_dt"))), F.lit(1)).cast("int"))
+    each = wide.join(first.select("target_id", "_dt"), "target_id").withColumn("_h", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), size(h).alias("size")) for k, h in enumerate(hours)])))
+    means = each.groupBy("target_id", "_h", "segment_id", F.floor(F.col("_row") / F.col("_h.size")).alias("_b")).agg(F.avg("flux_norm").alias("mean"), F.count("*").alias("n")).filter("n = _h.size")
+    kept = means.groupBy("target_id").agg(*[F.collect_list(F.when(F.col("_h.k") == k, F.col("mean"))).alias(f"_means{k}") for k in range(len(hours))])
+    both = first.join(steps, "target_id", "left").join(kept, "target_id", "left").withColumn("scatter_ptp_ppm", F.coalesce(F.col("mad") / sqrt(2) * 1e6, F.lit(0.0)))
+    cdpps = [F.when(F.size(f"_means{k}") >= 3, mad_of(F.col(f"_means{k}")) * 1e6).otherwise(F.col("scatter_ptp_ppm") / F.sqrt(size(h))).alias(f"cdpp_{h:g}h") for k, h in enumerate(hours)]
+    return both.select("target_id", "initial", "valid", "excluded", "segment_count", "scatter_ptp_ppm", *cdpps)

@@ -7,13 +7,14 @@ grouped aggregates over the fold.
 
 from __future__ import annotations
 
-from functools import reduce
 from math import pi
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starfold.functions import series as S
+from starfold.operators.prepare import mad_of, median_of
+from starfold.session import materialize
 
 KEY = ["target_id"]
 X = "flux_norm"
@@ -162,11 +163,12 @@ def lag_autocorrelation(fold: DataFrame) -> DataFrame:
     A cadence's partner is the first one at or after its time plus a period, or the last one
     of all, if it lies within the larger of 0.01 days and a fifth of the duration.
     """
-    left = fold.select(*KEY, (F.col("time_days") + F.col("period")).alias("at"), F.lit(0).alias("kind"), F.col("cadence"), F.col(X).alias("x"), "duration")
-    right = fold.select(*KEY, F.col("time_days").alias("at"), F.lit(1).alias("kind"), F.col("cadence"), F.col(X).alias("x"), "duration")
-    w = Window.partitionBy(*KEY).orderBy("at", "kind", "cadence").rowsBetween(0, Window.unboundedFollowing)
-    ahead = F.first(F.when(F.col("kind") == 1, F.struct("at", "x")), ignorenulls=True).over(w)
-    both = left.union(right).withColumn("ahead", ahead).filter("kind = 0")
+    spot = lambda at, kind: F.struct(at.alias("at"), F.lit(kind).alias("kind"))
+    t = F.col("time_days")
+    spots = fold.select(*KEY, "cadence", F.col(X).alias("x"), "duration", F.explode(F.array(spot(t + F.col("period"), 0), spot(t, 1))).alias("s")).select(*KEY, "cadence", "x", "duration", "s.*")
+    w = Window.partitionBy(*KEY).orderBy(F.desc("at"), F.desc("kind"), F.desc("cadence")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = F.last(F.when(F.col("kind") == 1, F.struct("at", "x")), ignorenulls=True).over(w)  # from the end on, so that one value is carried along
+    both = spots.withColumn("ahead", ahead).filter("kind = 0")
     near = F.abs(F.col("ahead.at") - F.col("at")) <= F.greatest(F.lit(0.01), 0.2 * F.col("duration"))
     pairs = both.filter(near).groupBy(*KEY).agg(F.count("*").alias("pairs"), F.avg((F.col("x") - 1) * (F.col("ahead.x") - 1)).alias("cov"))
     base = fold.groupBy(*KEY).agg(F.count("*").alias("n"), F.var_pop(X).alias("v"))
@@ -257,11 +259,102 @@ def candidate_columns(fold: DataFrame) -> DataFrame:
     return fold.groupBy(*KEY).agg(F.max("ls_power").alias("ls_max_power"), S.cycle_harmonic(F.max("ls_period"), F.max("period")).alias("ls_to_bls_period_harmonic_distance"), F.max("snr").alias("detection_snr"), F.max("crowding").alias("crowdsap_value"))
 
 
-def feature_vector(fold: DataFrame) -> DataFrame:
-    """All 25 features by target: defaults for what isn't finite, each within its bounds."""
-    parts = [morphology, odd_even, depth_scatter, phase_coverage, lambda f: duty_cycle(f).drop("observed", "expected"), secondary_scan, ellipsoidal, candidate_columns, outside_rms, lambda f: lag_autocorrelation(f).drop("pairs"), red_noise_beta, flagged_fraction, gap_proximity, lambda f: centroid_shift(f).drop("shift_pixels"), delivered_depth_ratio]
-    raw = reduce(lambda a, b: a.join(b, KEY, "left"), [p(fold) for p in parts])
-    return raw.select(*KEY, *[S.sanitized(F.col(n).cast("double"), d, lo, hi).alias(n) for n, d, lo, hi in FEATURES])
+def enriched(fold: DataFrame) -> DataFrame:
+    """Add what needs order or segments: the step from the cadence before, the distance to the segment's ends, the place out of transit."""
+    w = Window.partitionBy(*KEY).orderBy("time_days", "cadence")
+    segment = Window.partitionBy(*KEY, "segment_id")
+    near = F.least(F.col("time_days") - F.min("time_days").over(segment), F.max("time_days").over(segment) - F.col("time_days"))
+    place = F.count_if(~F.col("inside")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return fold.withColumns({"_step": F.col("time_days") - F.lag("time_days").over(w), "_near": near, "_place": place})
+
+
+def _moments(centres: int) -> list:
+    """Aggregates by target that later columns are made of: counts, sums and medians of the cadences in and out of transit."""
+    x, t = F.col(X), F.col("time_days")
+    inside, outside = F.col("inside"), F.col("outside")
+    odd = F.pmod(F.col("cycle"), F.lit(2)) == 1
+    before, after = F.when(inside & (F.col("fraction") < 0), x), F.when(inside & (F.col("fraction") >= 0), x)
+    ones, twos, out = F.when(inside & odd, x), F.when(inside & ~odd, x), F.when(outside, x)
+    far = outside & (F.abs("fraction") >= 0.35)
+    wave = F.when(outside, F.cos(4 * pi * F.col("fraction")))
+    half = F.col("phase") / (F.col("duration") / 2)
+    bins = F.count_distinct(F.when(F.abs(half) <= 1, F.least(F.floor((half + 1) / 2 * 20), F.lit(19))))
+    cols = [F.max(c).alias(c) for c in ("period", "epoch", "duration", "depth", "ingress", "delta_bic", "ls_power", "ls_period", "snr", "crowding")]
+    cols += [F.min(t).alias("begin"), F.max(t).alias("end"), F.count("*").alias("n"), F.var_pop(x).alias("variance"), bins.alias("bins"), F.median(F.when(F.col("_step") > 0, F.col("_step"))).alias("dt")]
+    for name, c in (("before", before), ("after", after), ("ones", ones), ("twos", twos), ("out", out)):
+        cols += [F.count(c).alias(f"{name}_n"), F.avg(c).alias(f"{name}_avg"), F.var_pop(c).alias(f"{name}_var")]
+    cols += [F.median(out).alias("out_median"), F.median(x).alias("median"), F.count_if(far).alias("far_n"), F.count_if(inside).alias("inside_n")]
+    cols += [F.sum(wave * wave).alias("wave2"), F.sum(wave * x).alias("wave_x"), F.sum(wave).alias("wave")]
+    for k in range(centres):
+        spot = F.when(far & (F.abs(F.abs("fraction") - (0.35 + k * 0.15 / (centres - 1))) <= F.col("half")), x)
+        cols += [F.count(spot).alias(f"far{k}_n"), F.avg(spot).alias(f"far{k}_avg")]
+    cols += [F.count_if(inside & (F.col("quality") != 0)).alias("flagged_n"), F.count_if(inside & (F.col("_near") <= 1 / 24)).alias("near_n")]
+    located = F.col("centroid_column").isNotNull() & F.col("centroid_row").isNotNull()
+    for axis in ("column", "row"):
+        for name, where in (("in", inside), ("off", ~inside)):
+            c = F.when(located & where, F.col(f"centroid_{axis}"))
+            cols += [F.avg(c).alias(f"{axis}_{name}"), F.try_divide(F.var_pop(c), F.count(c)).alias(f"{axis}_{name}_e"), F.count(c).alias(f"{axis}_{name}_n")]
+    return cols + [F.median(F.when(inside, F.col("flux_delivered"))).alias("delivered"), F.median(F.when(inside, x)).alias("inside_median")]
+
+
+def feature_vector(fold: DataFrame, centres: int = 9) -> DataFrame:
+    """All 25 features by target: defaults for what isn't finite, each within its bounds.
+
+    The fold is enriched once and kept, by target. One aggregation gives what needs no other result;
+    deviations from its medians, block means, event depths and partners a period apart are four small
+    aggregations of the same rows, which lie by target already, so that none of them shuffles.
+    """
+    wide = materialize(enriched(fold).repartition(*KEY))
+    base = wide.groupBy(*KEY).agg(*_moments(centres))
+    base = base.withColumn("size", F.greatest(F.lit(1), F.rint(F.greatest(F.lit(1.0), F.col("duration") / F.greatest(F.lit(1e-5), F.coalesce("dt", F.lit(2 / 1440)))))).cast("int"))
+    base = materialize(base)
+    x = F.col(X)
+    rows = wide.select(*KEY, X, "inside", "outside", "_place").join(base.select(*KEY, "out_median", "median", "size"), KEY)
+    spread = rows.groupBy(*KEY).agg(F.median(F.when(F.col("outside"), F.abs(x - F.col("out_median")))).alias("out_mad"), F.median(F.abs(x - F.col("median"))).alias("mad"))
+    means = rows.filter("NOT inside").groupBy(*KEY, "size", F.floor(F.col("_place") / F.col("size")).alias("_b")).agg(F.avg(X).alias("m"), F.count("*").alias("k")).filter("k = size")
+    blocks = means.groupBy(*KEY).agg(F.count("*").alias("blocks"), F.stddev_pop("m").alias("blocks_sigma"))
+    depths = event_depths(wide).groupBy(*KEY).agg(F.collect_list("event_depth").alias("depths"))
+    made = base.join(spread, KEY).join(blocks, KEY, "left").join(depths, KEY, "left").join(lag_autocorrelation(wide).drop("pairs"), KEY, "left")
+    deep, scatter, events = F.greatest(F.col("depth"), F.lit(1e-5)), F.greatest(F.lit(1e-6), F.when(F.col("out_n") > 10, S.MAD_SCALE * F.col("out_mad")).otherwise(1e-3)), F.coalesce(F.size("depths"), F.lit(0))
+    made = made.withColumns({"deep": deep, "scatter": scatter, "events": events})
+    dip = lambda k: 1 - F.col(f"far{k}_avg")
+    spots = F.array(*[F.struct(F.round(dip(k) / (F.col("scatter") / F.sqrt(f"far{k}_n")), 9).alias("snr"), F.lit(-k).alias("back"), dip(k).alias("dip"), F.col(f"far{k}_n").alias("n")) for k in range(centres)])
+    made = made.withColumn("best", F.when(F.col("far_n") >= 5, F.array_max(F.filter(spots, lambda s: (s["n"] >= 3) & (s["snr"] > 0)))))
+    c = F.col
+    error = F.sqrt(F.greatest(F.lit(1e-12), c("ones_var") / c("ones_n") + c("twos_var") / c("twos_n")))
+    expected = F.greatest(F.lit(1), F.floor((c("end") - c("epoch")) / c("period")) - F.ceil((c("begin") - c("epoch")) / c("period")) + 1)
+    dx, dy = c("column_in") - c("column_off"), c("row_in") - c("row_off")
+    shift_error = F.sqrt(F.greatest(F.lit(1e-12), c("column_in_e") + c("column_off_e") + c("row_in_e") + c("row_off_e")))
+    white = F.greatest(F.lit(1e-6), S.MAD_SCALE * c("mad"))
+    share = lambda n: F.coalesce(F.try_divide(c(n), c("inside_n")), F.lit(0.0))
+    values = {
+        "v_shape_ratio": c("ingress"),
+        "duration_to_period_ratio": c("duration") / c("period"),
+        "boxiness_index": 1 - c("ingress"),
+        "asymmetry_score": F.when((c("before_n") >= 2) & (c("after_n") >= 2), F.abs(c("before_avg") - c("after_avg")) / c("deep")).otherwise(0.0),
+        "batman_vs_trapezoid_delta_bic": F.coalesce(c("delta_bic"), F.lit(0.0)),
+        "odd_even_depth_sigma": F.when((c("ones_n") >= 3) & (c("twos_n") >= 3), F.abs(c("ones_avg") - c("twos_avg")) / error).otherwise(0.0),
+        "per_transit_depth_mad_ratio": F.when(c("events") > 0, F.when(c("events") >= 2, mad_of(c("depths")) / F.greatest(F.lit(1e-5), median_of(c("depths")))).otherwise(0.1)),
+        "phase_coverage_fraction": c("bins") / 20,
+        "in_transit_duty_cycle": F.least(c("events") / expected, F.lit(1.0)),
+        "observed_event_count": F.when(c("events") > 0, c("events")),
+        "max_secondary_snr": F.coalesce(c("best.snr"), F.lit(0.0)),
+        "secondary_to_primary_depth_ratio": F.coalesce(F.greatest(c("best.dip"), F.lit(0.0)) / c("deep"), F.lit(0.0)),
+        "secondary_phase_offset_from_half": F.coalesce(0.15 + c("best.back") * 0.15 / (centres - 1), F.lit(0.0)),
+        "ellipsoidal_amplitude_ratio": F.when((c("out_n") >= 20) & (c("wave2") > 1e-6), F.greatest((c("out_avg") * c("wave") - c("wave_x")) / c("wave2"), F.lit(0.0)) / c("deep")).otherwise(0.0),
+        "ls_max_power": c("ls_power"),
+        "ls_to_bls_period_harmonic_distance": S.cycle_harmonic(c("ls_period"), c("period")),
+        "out_of_transit_rms_to_depth_ratio": F.when(c("out_n") >= 10, F.sqrt("out_var") / c("deep")).otherwise(1.0),
+        "autocorrelation_at_period": c("autocorrelation_at_period"),
+        "red_noise_beta_factor": F.when(c("blocks") >= 5, c("blocks_sigma") / F.greatest(F.lit(1e-6), white / F.sqrt("size"))).when(c("blocks").isNotNull(), 1.0),
+        "detection_snr": c("snr"),
+        "in_transit_flagged_fraction": share("flagged_n"),
+        "gap_proximity_fraction": share("near_n"),
+        "centroid_shift_sigma": F.when((c("column_in_n") >= 3) & (c("column_off_n") >= 10), F.sqrt(dx * dx + dy * dy) / shift_error),
+        "sap_to_pdcsap_depth_ratio": F.when(c("inside_n") >= 3, F.greatest(F.lit(0.0), 1 - c("delivered")) / F.greatest(F.lit(1e-5), 1 - c("inside_median"))).otherwise(1.0),
+        "crowdsap_value": c("crowding"),
+    }
+    return made.select(*KEY, *[S.sanitized(values[n].cast("double"), d, lo, hi).alias(n) for n, d, lo, hi in FEATURES])
 
 
 #: Words that a feature's name must not be, or hold between underscores.

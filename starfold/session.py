@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _PACKAGE = Path(__file__).resolve().parent
@@ -47,3 +47,19 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(str(archive))
     context._starfold_shipped = True
     return spark
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage: rows go to the shared folder of ``spark.checkpoint.dir``, which a lost executor doesn't take along.
+
+    Without that setting only a local master may use a temporary folder. Spark deletes the files of
+    tables out of use where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint(eager=True)
