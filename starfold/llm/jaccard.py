@@ -221,6 +221,35 @@ BLOCK_ELEMENTS = 3_000_000
 BLOCK_SETS = 8192
 
 
+#: Sets whose signatures are packed together; their places among them take 16 bits.
+SIGNED_ROWS = 512
+
+
+def packed_signatures(found: list[np.ndarray], names: list[int], parts: int) -> tuple[np.ndarray, list[bytes]]:
+    """(part, blob) for each part: signatures by remainder; of the rest 32 bits are kept, and a clash costs one comparison."""
+    signs = np.concatenate(found)
+    place = np.repeat(np.arange(len(found), dtype=np.uint16), [len(f) for f in found])
+    part = (signs % np.uint64(parts)).astype(np.int32)
+    short = (signs // np.uint64(parts)).astype(np.uint32)
+    order = np.argsort(part, kind="stable")
+    part, short, place = part[order], short[order], place[order]
+    cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist()
+    sets = np.array(names, np.int64)
+    blobs = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        used, at = np.unique(place[a:b], return_inverse=True)
+        blobs.append(np.uint32(b - a).tobytes() + short[a:b].tobytes() + sets[used].tobytes() + at.astype(np.uint16).tobytes())
+    return part[cuts[:-1]], blobs
+
+
+def unpacked_signatures(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, sets) of a blob."""
+    n = int(np.frombuffer(blob, np.uint32, 1)[0])
+    used = (len(blob) - 4 - 6 * n) // 8
+    sets = np.frombuffer(blob, np.int64, used, 4 + 4 * n)
+    return np.frombuffer(blob, np.uint32, n, 4), sets[np.frombuffer(blob, np.uint16, n, 4 + 4 * n + 8 * used)]
+
+
 def _bursts(found: Iterator[tuple[int, np.ndarray]], rows: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     """Lists of groups with about so many sets."""
     some, held = [], 0
@@ -274,9 +303,11 @@ def join_components(docs: DataFrame, threshold: Threshold, width: int, key: str
 
     def sign(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in small(stream, 2048):
-            set_keys, set_sizes, shapes, found, owners = [], [], [], [], []
-            seen: set[int] = set()
+        seen: set[int] = set()
+        for batch in small(stream, SIGNED_ROWS):
+            if len(seen) > 500_000:
+                seen.clear()
+            set_keys, set_sizes, shapes, found, names = [], [], [], [], []
             for value in batch.column(1):
                 elements = shingle_hashes(hashes.of(words_of(value.as_py())), width)
                 name = set_key(elements)
@@ -286,19 +317,14 @@ def join_components(docs: DataFrame, threshold: Threshold, width: int, key: str
                 if len(elements) and name not in seen:
                     seen.add(name)
                     shapes[-1] = histogram(elements)
-                    signs = signatures(elements, threshold, effort)
-                    found.append(signs)
-                    owners.append(np.full(len(signs), name, np.int64))
+                    found.append(signatures(elements, threshold, effort))
+                    names.append(name)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(keys[np.arange(n) % parts]), batch.column(0), pa.array(set_keys, pa.int64()), pa.array(set_sizes, pa.int64()), pa.array(shapes, pa.binary())], names=["part", "doc", "set", "size", "data"])
             if found:
-                signs, names = np.concatenate(found), np.concatenate(owners)
-                part = (signs % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
-                blobs = [np.concatenate([signs[o], names[o].view(np.uint64)]).tobytes() for o in (order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
+                part, blobs = packed_signatures(found, names, parts)
                 empty = pa.nulls(len(blobs), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part[order][cuts[:-1]]]), empty, empty, empty, pa.array(blobs, pa.binary())], names=["part", "doc", "set", "size", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), empty, empty, empty, pa.array(blobs, pa.binary())], names=["part", "doc", "set", "size", "data"])
 
     def meet(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs, names = [], []
@@ -308,9 +334,9 @@ def join_components(docs: DataFrame, threshold: Threshold, width: int, key: str
             if kept.num_rows:
                 yield pa.RecordBatch.from_arrays([*kept.columns[1:], pa.nulls(kept.num_rows, pa.int64())], names=["doc", "set", "size", "data", "meeting"])
             for blob in batch.filter(packed).column(4):
-                values = np.frombuffer(blob.as_buffer(), np.uint64)
-                signs.append(values[: len(values) // 2])
-                names.append(values[len(values) // 2 :].view(np.int64))
+                some, sets = unpacked_signatures(blob.as_buffer())
+                signs.append(some)
+                names.append(sets)
         if not signs:
             return
         sign, name = np.concatenate(signs), np.concatenate(names)

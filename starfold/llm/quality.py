@@ -103,7 +103,7 @@ def word_vectors(docs: DataFrame, text: str = "text", indexing: Indexing = Index
                 for stream_of in slots.of(value.as_py()):
                     parts += [stream_of, apart]
                     held += len(stream_of)
-                if held > 2_000_000:
+                if held > 400_000:
                     add(parts)
                     parts, held = [], 0
             add(parts)
