@@ -38,20 +38,21 @@ def unanimous_label(matches: DataFrame, product: str) -> DataFrame:
     return g.select(product, "matches", status.alias("label_status"), F.when(status == "labeled", F.col("labels")[0]).alias("label"))
 
 
-def events_in_intervals(events: DataFrame, intervals: DataFrame, on: str, sigmas: float = 0.0, cycles: int = 500) -> DataFrame:
+def events_in_intervals(events: DataFrame, intervals: DataFrame, on: str, sigmas: float = 0.0) -> DataFrame:
     """First event of each periodic ephemeris that meets each interval of the same id.
 
     Events have ``epoch, period, duration`` and the uncertainties ``epoch_error, period_error``;
     intervals have ``start, stop``. With ``sigmas`` an event n is uncertain by sigmas * hypot of
     the two, n times the second; without, by their sum, n times the second. The first cycle is
-    reached in closed form, so a pair needs a few cycles unless its uncertainty is larger than its period.
+    reached in closed form, so a pair needs a few cycles unless its uncertainty is larger than its period;
+    then it needs as many as fit into the uncertainty, without a bound.
     """
     pairs = events.join(intervals, on)
     # the earliest cycle that can reach the interval with the widest uncertainty among those tried
     first = F.floor((F.col("start") - F.col("epoch")) / F.col("period")).cast("bigint") - 1
     slack = F.col("epoch_error") + (F.abs(first) + 2) * F.col("period_error")
-    begin = first - F.least(F.ceil((F.col("duration") / 2 + F.greatest(F.lit(1.0), F.lit(sigmas)) * slack) / F.col("period")), F.lit(cycles)).cast("bigint")
-    end = F.least(F.floor((F.col("stop") - F.col("epoch")) / F.col("period")).cast("bigint") + (first - begin) + 1, begin + cycles)
+    begin = first - F.ceil((F.col("duration") / 2 + F.greatest(F.lit(1.0), F.lit(sigmas)) * slack) / F.col("period")).cast("bigint")
+    end = F.floor((F.col("stop") - F.col("epoch")) / F.col("period")).cast("bigint") + (first - begin) + 1
     x = pairs.filter((F.col("period") > 0) & (F.col("duration") > 0)).withColumn("cycle", F.explode(F.sequence(begin, end)))
     n = F.abs("cycle")
     bound = sigmas * F.hypot(F.col("epoch_error"), n * F.col("period_error")) if sigmas else F.col("epoch_error") + n * F.col("period_error")

@@ -295,13 +295,17 @@ def fit_physical(t: np.ndarray, x: np.ndarray, error: np.ndarray, epoch: float,
     return found, float((r * r).sum() + 5 * np.log(len(t))), good
 
 
-def find_candidates(t: np.ndarray, x: np.ndarray, error: np.ndarray | None, most: int, least_snr: float, least: float, largest: float, least_duration: float, most_duration: float, durations: int = 8, budget: int = 4000) -> list[dict]:
-    """Up to ``most`` dips: search, measure, hide, search again; ends below the SNR or under 100 open cadences (half, if fewer than 200)."""
+def find_candidates(t: np.ndarray, x: np.ndarray, error: np.ndarray | None, most: int, least_snr: float, least: float, largest: float, least_duration: float, most_duration: float, durations: int = 8, budget: int | None = 4000, trials: int | None = None) -> list[dict]:
+    """Up to ``most`` dips: search, measure, hide, search again; ends below the SNR or under 100 open cadences (half, if fewer than 200).
+
+    A grid of more periods than ``budget`` is an error. ``trials`` asks for a coarser search instead: at most
+    so many periods, evenly spaced in frequency over the same range.
+    """
     y, hidden, out = x.copy(), np.zeros(len(t), bool), []
     grid = duration_grid(least_duration, most_duration, durations, least)
-    periods = period_grid(float(np.ptp(t)), least, largest, least_duration)
-    if len(periods) > budget:
-        periods = 1 / np.linspace(1 / periods[0], 1 / periods[-1], budget)
+    periods = period_grid(float(np.ptp(t)), least, largest, least_duration, budget=budget if trials is None else None)
+    if trials is not None and len(periods) > trials:
+        periods = 1 / np.linspace(1 / periods[0], 1 / periods[-1], trials)
     for k in range(most):
         if (~hidden).sum() < min(100, len(t) // 2):
             break

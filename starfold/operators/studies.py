@@ -53,7 +53,7 @@ def injection_trials(trials: DataFrame, days: float, per_day: int, noise: float,
                 t = np.linspace(0, days, int(days * per_day))
                 x = K.trapezoid(t, 0.3 * r.period, r.period, r.depth, 0.2, 0.2) + rng.normal(0, noise, len(t))
                 try:
-                    found = K.find_candidates(t, x, None, 1, least_snr, 1.0, days / 2, 0.1, 0.3, durations=3, budget=400)
+                    found = K.find_candidates(t, x, None, 1, least_snr, 1.0, days / 2, 0.1, 0.3, durations=3, trials=400)
                 except ValueError as why:
                     rows.append((r.trial_id, r.period, r.depth, None, None, str(why), False))
                     continue

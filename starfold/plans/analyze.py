@@ -21,7 +21,7 @@ class Settings:
     least_hours: float = 0.5
     most_hours: float = 12.0
     durations: int = 15
-    budget: int = 4000
+    trials: int | None = 4000  # periods of a search, evenly spaced in frequency; None: the whole grid, an error beyond its budget
     candidates: int = 1
     least_snr: float = 6.0
     least_cadences: int = 200
@@ -42,7 +42,7 @@ def analyze(curve: DataFrame, settings: Settings = Settings()) -> dict[str, Data
     prep = prepare.normalize(prepare.segments(enough.filter("exclusion_flags = 0"), s.gap_days))
     flat = search.detrended(prep, s.window_days).select("target_id", "cadence", "flux_detrended")
     series = prep.join(flat, ["target_id", "cadence"]).withColumnsRenamed({"flux_norm": "flux_delivered", "flux_detrended": "flux_norm"})
-    found = search.candidates(series, "flux_norm", s.candidates, s.least_snr, least=s.least_period, largest=s.most_period, least_duration=s.least_hours / 24, most_duration=s.most_hours / 24, durations=s.durations, budget=s.budget)
+    found = search.candidates(series, "flux_norm", s.candidates, s.least_snr, least=s.least_period, largest=s.most_period, least_duration=s.least_hours / 24, most_duration=s.most_hours / 24, durations=s.durations, trials=s.trials)
     fits = search.refined(series, found)
     spectral = search.lomb_scargle_best(series, s.least_period).select("target_id", F.col("best_period").alias("ls_period"), F.col("peak_power").alias("ls_power"))
     snr = found.filter("candidate = 1").select("target_id", "snr")

@@ -81,7 +81,7 @@ def planted(spark, d):
     return x.withColumn("flux_norm", (1 + (F.col("flux_norm") - 1) * 0.002) * dip).drop("epoch", "period", "duration")
 
 
-GRID = {"least": 15.0, "largest": 65.0, "least_duration": 3.0, "most_duration": 7.0, "durations": 4, "budget": 1500}
+GRID = {"least": 15.0, "largest": 65.0, "least_duration": 3.0, "most_duration": 7.0, "durations": 4, "trials": 1500}
 
 
 @query()

@@ -49,17 +49,21 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; without that setting only a local master gets a temporary one."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage: rows go to the shared folder of ``spark.checkpoint.dir``, which a lost executor doesn't take along.
+    """Compute once and cut the lineage: rows go to the shared folder, which a lost executor doesn't take along.
 
-    Without that setting only a local master may use a temporary folder. Spark deletes the files of
-    tables out of use where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    Spark deletes the files of tables out of use where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starfold import session
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the session's checkpoint folder; a temporary one where there is none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder under the session's shared one."""
+    return f"{session.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:

@@ -73,7 +73,7 @@ def signal(days=25, noise=3e-4, seed=1):
 
 def test_two_signals_are_found():
     t, x = signal()
-    found = kernels.find_candidates(t, x, None, 2, 6.0, 1.0, 12.0, 0.05, 0.25, budget=3000)
+    found = kernels.find_candidates(t, x, None, 2, 6.0, 1.0, 12.0, 0.05, 0.25, trials=3000)
     assert sorted(round(c["period"], 1) for c in found) == [2.5, 6.0]
     assert all(c["events"] >= 2 and len(c["aliases"]) == 2 for c in found)
 
@@ -228,8 +228,28 @@ def test_analysis_end_to_end(spark):
     t, x = signal(12)
     rows = [(k, i, float(a), float(b) * 1000, 0) for k in (1, 2) for i, (a, b) in enumerate(zip(t, x, strict=True))] + [(3, i, float(i), 5.0, 0) for i in range(20)]
     c = spark.createDataFrame(rows, "target_id long, cadence long, time_days double, flux double, quality long")
-    out = analyze(c, Settings(least_period=1.0, most_period=6.0, budget=1500, durations=5, window_days=1.5))
+    out = analyze(c, Settings(least_period=1.0, most_period=6.0, trials=1500, durations=5, window_days=1.5))
     assert {r["target_id"]: r["status"] for r in out["status"].collect()} == {1: "ok", 2: "ok", 3: "insufficient_data"}
     fits_ = {r["target_id"]: r for r in out["fits"].collect()}
     assert set(fits_) == {1, 2} and abs(fits_[1]["period"] - 2.5) < 0.02
     assert out["features"].count() == 2
+
+
+def test_a_period_grid_over_budget_is_an_error_unless_a_coarser_one_is_asked_for():
+    t = np.linspace(0, 30, 3000)
+    x = 1 - 0.01 * (np.abs(kernels.phase(t, 1.0, 3.0)) < 0.1)
+    with pytest.raises(ValueError, match="exceed the budget"):
+        kernels.find_candidates(t, x, None, 1, 5.0, 1.0, 10.0, 0.1, 0.3, budget=50)
+    found = kernels.find_candidates(t, x, None, 1, 5.0, 1.0, 10.0, 0.1, 0.3, budget=50, trials=800)
+    assert abs(found[0]["period"] - 3.0) < 0.05
+
+
+def test_events_reach_intervals_however_wide_their_uncertainty(spark):
+    events = spark.createDataFrame([(1, 0.0, 1.0, 0.1, 700.0, 0.0)], "id int, epoch double, period double, duration double, epoch_error double, period_error double")
+    intervals = spark.createDataFrame([(1, 1000.5, 1000.6)], "id int, start double, stop double")
+    assert cohort.events_in_intervals(events, intervals, "id").first()["cycle"] == 301
+
+
+def test_medians_of_arrays(spark):
+    row = spark.createDataFrame([([3.0, 1.0, 2.0, 10.0],), ([],)], "v array<double>").select(prepare.median_of(F.col("v")).alias("m"), prepare.mad_of(F.col("v")).alias("d")).collect()
+    assert row[0]["m"] == 2.5 and abs(row[0]["d"] - 1.4826) < 1e-9 and row[1]["m"] is None
