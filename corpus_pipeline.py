@@ -6,7 +6,6 @@ and returns a DataFrame; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from starfold.llm import jaccard, langid, packing, quality, repeats
 from starfold.llm.common import fold_of
-from starfold.session import ship
+from starfold.session import shared_folder, ship
 
 #: A document is rejected if its main language has less than this share of it, or if it has no letter.
 LEAST_SHARE = 0.5
@@ -81,8 +80,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each one's rows written to the shared checkpoint folder and read again by the next."""
     ship(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = f"{shared or tempfile.mkdtemp(prefix='spark-pipeline-')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starfold.session import materialize  # noqa: F401  the operators take it from here
+
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,17 +91,6 @@ def spare_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder, which a lost executor doesn't take along."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def even_keys(spark: SparkSession, parts: int) -> np.ndarray:
     """Integers, one for each partition, that ``repartition(parts, column)`` deals to it: a hash of 0 .. parts - 1 would leave gaps.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starfold.llm import bpe, embedding_dedup, jaccard, langid, nearest, packing, quality, repeats, token_counts, toxicity
@@ -16,6 +16,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _held(out: Column) -> Column:
+    """``held_out``; a row with a null id is in no fold, so it isn't held out (nor learned from)."""
+    return F.coalesce(out, F.lit(False)).alias("held_out")
+
+
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids, and give digests of both."""
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -58,7 +63,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of(F.col("doc_id"), 5) == 0
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels").filter(~held_out))
     scored = toxicity.score(docs, model).drop("text")
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", _held(held_out), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +82,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of(F.col("doc_id"), 4) == 2
     model = quality.fit(docs, _read(spark, sf_dir, "labels").filter(~held_out))
     scored = quality.score(docs, model).drop("text")
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", _held(held_out), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +100,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_of(F.col("doc_id"), 5) == 0
     model = langid.fit(docs.filter(~held_out))
     found = langid.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out.alias("held_out"), *langid.first_language(F.col("languages")))
+    return found.select("doc_id", _held(held_out), *langid.first_language(F.col("languages")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
