@@ -231,7 +231,7 @@ def packed_signatures(found: list[np.ndarray], names: list[int], parts: int) ->
     place = np.repeat(np.arange(len(found), dtype=np.uint16), [len(f) for f in found])
     part = (signs % np.uint64(parts)).astype(np.int32)
     short = (signs // np.uint64(parts)).astype(np.uint32)
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")  # 16 bits sort by radix
     part, short, place = part[order], short[order], place[order]
     cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist()
     sets = np.array(names, np.int64)
