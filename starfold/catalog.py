@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starfold.queries import QUERIES, SQL, Query, cohort, curves, metrics, searches, studies
+from starfold.queries import QUERIES, SQL, Query, cohort, curves, labels, metrics, searches, studies
 
 
 def queries() -> dict[str, Query]:

@@ -12,10 +12,10 @@ CLASS_OF = {"PC": "transit_like", "CP": "transit_like", "KP": "transit_like", "E
 CONFIRMING, REJECTING = ("PC", "CP", "KP"), ("APC", "FP", "FA")
 
 
-def map_disposition(first: Column, second: Column) -> Column:
+def map_disposition(first: Column, second: Column, classes: dict[str, str] = CLASS_OF) -> Column:
     """(label, status) of a catalog's disposition and its follow-up's."""
     a, b = F.upper(F.trim(first)), F.coalesce(F.upper(F.trim(second)), F.lit(""))
-    label = F.create_map(*[F.lit(x) for pair in CLASS_OF.items() for x in pair])[a]
+    label = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])[a]
     out = lambda name, status: F.struct(F.lit(name).cast("string").alias("label") if not isinstance(name, Column) else name.alias("label"), F.lit(status).alias("status"))
     return (
         F.when(label.isNull(), out(None, "unsupported_tess_disposition"))
@@ -107,7 +107,7 @@ def prior_partitions(*assignments: DataFrame) -> DataFrame:
 SHARES = (("train", 0.7), ("validation", 0.1), ("calibration", 0.1), ("test", 0.1))
 
 
-def stable_partition(groups: DataFrame, group: str, label: str, seed: str) -> DataFrame:
+def stable_partition(groups: DataFrame, group: str, label: str, seed: str, shares: tuple[tuple[str, float], ...] = SHARES) -> DataFrame:
     """Deal the groups of each label to the splits, in the order of a salted hash, by largest remainders.
 
     Splits end at ranks, and ranks come from counts of hash ranges, so no label is sorted in one task: ranks
@@ -119,13 +119,13 @@ def stable_partition(groups: DataFrame, group: str, label: str, seed: str) -> Da
     before = ranges.withColumn("_before", F.sum("_n").over(Window.partitionBy(label).orderBy("_range")) - F.col("_n")).withColumn("_total", F.sum("_n").over(Window.partitionBy(label)))
     rank = F.row_number().over(Window.partitionBy(label, "_range").orderBy("_h", group)) + F.col("_before")
     x = rows.join(before, [label, "_range"]).withColumn("_rank", rank)
-    whole = [F.floor(F.col("_total") * share + 1e-9).cast("bigint") for _, share in SHARES]
+    whole = [F.floor(F.col("_total") * share + 1e-9).cast("bigint") for _, share in shares]
     rest = F.col("_total") - sum(whole[1:], whole[0])
-    part = [F.round(F.col("_total") * share - w, 6) for (_, share), w in zip(SHARES, whole, strict=True)]
-    order = F.transform(F.array_sort(F.array(*[F.struct((-p).alias("p"), F.lit(name).alias("name")) for p, (name, _) in zip(part, SHARES, strict=True)])), lambda s: s["name"])
-    extra = [F.when(F.array_position(order, name) <= rest, 1).otherwise(0) for name, _ in SHARES]
+    part = [F.round(F.col("_total") * share - w, 6) for (_, share), w in zip(shares, whole, strict=True)]
+    order = F.transform(F.array_sort(F.array(*[F.struct((-p).alias("p"), F.lit(name).alias("name")) for p, (name, _) in zip(part, shares, strict=True)])), lambda s: s["name"])
+    extra = [F.when(F.array_position(order, name) <= rest, 1).otherwise(0) for name, _ in shares]
     split, end = None, F.lit(0)
-    for (name, _), w, e in zip(SHARES, whole, extra, strict=True):
+    for (name, _), w, e in zip(shares, whole, extra, strict=True):
         end = end + w + e
         split = F.when(F.col("_rank") <= end, name) if split is None else split.when(F.col("_rank") <= end, name)
     return x.select(group, label, split.alias("split"))
