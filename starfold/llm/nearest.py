@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starfold.llm.vectors import chi_square_quantile, matrix, usable
+from starfold.session import materialize
 
 
 def projections(dimension: int, width: int, seed: int = 20) -> np.ndarray:
@@ -79,44 +80,62 @@ class Cells:
 
 
 class Tree:
-    """One cell's vectors, their projections, and the leaves' boxes."""
+    """One part of a cell: its vectors, their projections, and the boxes of the leaves of its kd-tree."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray, leaf: int = 64):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors, points = ids[order], vectors[order], points[order]
-        self.leaves = split(points, np.arange(len(ids)), leaf)
-        self.low = np.array([points[rows].min(axis=0) for rows in self.leaves])
-        self.high = np.array([points[rows].max(axis=0) for rows in self.leaves])
+        self.ids, self.vectors, self.points = ids[order], vectors[order], points[order]
+        self.leaves = split(self.points, np.arange(len(ids)), leaf)
+        self.low = np.array([self.points[rows].min(axis=0) for rows in self.leaves])
+        self.high = np.array([self.points[rows].max(axis=0) for rows in self.leaves])
 
-    def nearest(self, own: int, vector: np.ndarray, point: np.ndarray, k: int, factor: float, bound: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest found; leaves come in order of their distance until the test holds.
+    def nearest(self, own: int, vector: np.ndarray, point: np.ndarray, k: int, factor: float, bound: float, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the k nearest found. Neighbours come by projected distance and are verified, ``step`` at a time, until the next one fails the test.
 
-        ``bound`` is a k-th distance known already.
+        A leaf is opened once every projected neighbour nearer than its box is verified. ``bound`` is a k-th distance known already.
         """
         gap = np.maximum(np.maximum(self.low - point, point - self.high), 0)
         square = (gap * gap).sum(axis=1)
         best_id, best = np.empty(0, np.int64), np.empty(0)
         kth = bound
-        for leaf in np.argsort(square, kind="stable"):
-            if square[leaf] > factor * kth * kth:
-                break
+        seen, waiting = np.empty(0), np.empty(0, np.int64)  # projected squares, ascending, and their rows
+        for leaf in [*np.argsort(square, kind="stable").tolist(), -1]:
+            edge = square[leaf] if leaf >= 0 else np.inf
+            while len(seen) and seen[0] <= edge:
+                if seen[0] > factor * kth * kth:
+                    return best_id, best
+                n = min(step, int(np.searchsorted(seen, edge, "right")))
+                rows, seen, waiting = waiting[:n], seen[n:], waiting[n:]
+                difference = self.vectors[rows] - vector
+                distance = np.sqrt((difference * difference).sum(axis=1))
+                ids = self.ids[rows]
+                good = (ids != own) & (distance <= kth)
+                if good.any():
+                    best_id, best = np.concatenate([best_id, ids[good]]), np.concatenate([best, distance[good]])
+                    order = np.lexsort((best_id, best))[:k]
+                    best_id, best = best_id[order], best[order]
+                    if len(best) == k:
+                        kth = min(kth, float(best[-1]))
+            if leaf < 0 or edge > factor * kth * kth:
+                return best_id, best
             rows = self.leaves[leaf]
-            difference = self.vectors[rows] - vector
-            distance = np.sqrt((difference * difference).sum(axis=1))
-            ids = self.ids[rows]
-            good = (ids != own) & (distance <= kth)
-            if not good.any():
-                continue
-            best_id, best = np.concatenate([best_id, ids[good]]), np.concatenate([best, distance[good]])
-            order = np.lexsort((best_id, best))[:k]
-            best_id, best = best_id[order], best[order]
-            if len(best) == k:
-                kth = min(kth, float(best[-1]))
+            off = self.points[rows] - point
+            seen, waiting = np.concatenate([seen, (off * off).sum(axis=1)]), np.concatenate([waiting, rows])
+            order = np.argsort(seen, kind="stable")
+            seen, waiting = seen[order], waiting[order]
         return best_id, best
 
 
-#: Rows of a cell on average, cells at most, sampled rows to place the cells by, queries that meet a cell in one task.
-CELL_ROWS, MOST_CELLS, SAMPLE_ROWS, QUERY_BLOCK = 8000, 4096, 20_000, 2000
+#: Rows of a cell on average and of a part of it, cells at most, sampled rows to place the cells by, queries that meet a part in one task.
+CELL_ROWS, PART_ROWS, MOST_CELLS, SAMPLE_ROWS, QUERY_BLOCK = 8000, 16_000, 4096, 20_000, 4000
+
+
+def _by_cell(rows: DataFrame, cells: int, size: int) -> np.ndarray:
+    """How many parts of ``size`` rows each cell needs; one number a cell comes to the driver, and there are at most MOST_CELLS cells."""
+    parts = np.ones(cells, np.int64)
+    for cell, n in rows.groupBy("cell").agg(F.count("*")).collect():
+        parts[cell] = -(-n // size)
+    return parts
 
 
 def search(candidates: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, width: int = 10, confidence: float = 0.98) -> DataFrame:
@@ -126,7 +145,9 @@ def search(candidates: DataFrame, queries: DataFrame, key: str = "vec_id", vecto
     returned. Unusable vectors (see ``usable``) and null keys take no part on either side; rows
     that repeat a key and vector count once. Other columns aren't read. The cells are placed by a bounded
     sample, but every candidate is indexed. A query first searches its own cell; its k-th distance
-    there says which other cells the stopping test still asks for.
+    there says which other cells the stopping test still asks for. A cell of many rows, such as one of equal vectors, is
+    dealt by hashed key to parts, each of which answers all of the cell's queries; only where a cell has more queries than
+    fit into a task are its rows copied, once for each block of them.
     """
     columns = [F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")]
     rows = usable(candidates.select(*columns).dropna(subset=["id"]), "vector")
@@ -141,9 +162,7 @@ def search(candidates: DataFrame, queries: DataFrame, key: str = "vec_id", vecto
     factor = chi_square_quantile(confidence, width)
     asked = queries.select(*columns).dropna(subset=["id"]).filter(F.size("vector") == points.shape[1])
     asked = usable(asked, "vector")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((cells, plane))
+    shared = rows.sparkSession.sparkContext.broadcast((cells, plane))
 
     def place(stream):
         cells, plane = shared.value
@@ -168,38 +187,41 @@ def search(candidates: DataFrame, queries: DataFrame, key: str = "vec_id", vecto
 
     hits = "query_id long, vec_id long, score double"
     schema = "cell long, id long, vector array<double>"
-    indexed = rows.mapInArrow(place, schema).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    home = asked.mapInArrow(place, schema).distinct().select("cell", block, "id", "vector", F.lit(1e300).alias("bound"))
+    placed = rows.mapInArrow(place, schema)
+    home = asked.mapInArrow(place, schema).distinct().withColumn("bound", F.lit(1e300))
+    parts = _by_cell(placed, len(cells.low), PART_ROWS)
+    h = F.xxhash64("id")
 
     def meet(asking: DataFrame) -> DataFrame:
-        return indexed.groupBy("cell", "block").cogroup(asking.groupBy("cell", "block")).applyInArrow(lambda a, b: visit(a, b), hits)
+        of = lambda sizes: F.get(F.array(*[F.lit(int(n)) for n in sizes]), F.col("cell").cast("int"))
+        blocks = _by_cell(asking, len(parts), QUERY_BLOCK)
+        every = lambda sizes: F.explode(F.sequence(F.lit(0), of(sizes) - 1)) if sizes.max() > 1 else F.lit(0)
+        one = lambda sizes: F.pmod(h, of(sizes)).cast("int") if sizes.max() > 1 else F.lit(0)
+        left = placed.withColumn("part", one(parts)).withColumn("block", every(blocks))
+        right = asking.withColumn("block", one(blocks)).withColumn("part", every(parts))
+        keys = ["cell", "part", "block"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: visit(a, b), hits)
 
     def ranked(found: DataFrame) -> DataFrame:
-        """The k nearest of each query; one short array a query, merged before the shuffle."""
-        pair = F.struct("score", "vec_id")
-        best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(pair)), 1, k).alias("best"))
-        return best
+        """The k nearest of each query; one short array a query."""
+        return found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("score", "vec_id"))), 1, k).alias("best"))
 
-    first = meet(home)
-    known = ranked(first).select(F.col("query_id").alias("id"), F.when(F.size("best") >= k, F.element_at("best", k)["score"]).otherwise(1e300).alias("bound"))
+    first = materialize(ranked(meet(home)))
+    known = first.select(F.col("query_id").alias("id"), F.when(F.size("best") >= k, F.element_at("best", k)["score"]).otherwise(1e300).alias("bound"))
 
     def route(stream):
         cells, plane = shared.value
         for batch in stream:
-            out = {"cell": [], "row": []}
             vectors, bounds, homes = matrix(batch.column(2)), batch.column(3).to_pylist(), batch.column(0).to_pylist()
             for i, x in enumerate(vectors):
                 # a bound of no use (too few rows at home) leads to all cells
                 more = cells.reached(x @ plane, factor * bounds[i] * bounds[i] if bounds[i] < 1e300 else np.inf)
                 more = more[more != homes[i]]
-                out["cell"].append(more)
-                out["row"].append(np.full(len(more), i))
-            if out["row"]:
-                part = batch.take(pa.array(np.concatenate(out["row"])))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out["cell"]).astype(np.int64)), part.column(1), part.column(2), part.column(3)], names=["cell", "id", "vector", "bound"])
+                part = batch.take(pa.array(np.full(len(more), i)))
+                yield pa.RecordBatch.from_arrays([pa.array(more.astype(np.int64)), part.column(1), part.column(2), part.column(3)], names=["cell", "id", "vector", "bound"])
 
     again = home.drop("bound").join(known, "id", "left").select("cell", "id", "vector", F.coalesce("bound", F.lit(1e300)).alias("bound"))
-    routed = again.mapInArrow(route, "cell long, id long, vector array<double>, bound double").select("cell", block, "id", "vector", "bound")
-    best = ranked(first.union(meet(routed)))
+    routed = again.mapInArrow(route, "cell long, id long, vector array<double>, bound double")
+    seen = first.select("query_id", F.explode("best").alias("x")).select("query_id", "x.vec_id", "x.score")
+    best = ranked(seen.union(meet(routed)))
     return best.select("query_id", F.posexplode("best").alias("rank", "found")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("found.vec_id").alias("vec_id"), F.col("found.score").alias("score"))

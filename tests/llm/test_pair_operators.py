@@ -152,8 +152,11 @@ def vectors_table(spark, n=400, seed=1):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rank string"), x
 
 
-def test_nearest_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("part,block", [(16_000, 4000), (20, 3)])
+def test_nearest_against_brute_force(spark, monkeypatch, part, block):
     monkeypatch.setattr(nearest, "CELL_ROWS", 64)
+    monkeypatch.setattr(nearest, "PART_ROWS", part)  # cells go in parts
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", block)  # and so do their queries
     table, x = vectors_table(spark)
     full = np.vstack([x, x[0]])
     ids = np.array([*range(len(x)), 1004])
@@ -174,6 +177,32 @@ def test_nearest_against_brute_force(spark, monkeypatch):
     assert nearest.search(few, few, k=5).count() == 6
 
 
+def test_nearest_takes_many_equal_vectors(spark, monkeypatch):
+    """A third of the rows in one point: they are dealt to parts, and ties go by the smaller key."""
+    monkeypatch.setattr(nearest, "CELL_ROWS", 50)
+    monkeypatch.setattr(nearest, "PART_ROWS", 30)
+    x = np.random.default_rng(4).normal(size=(400, 8))
+    x[100:240] = x[100]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = nearest.search(table, table.filter("vec_id IN (100, 239, 7)"), k=4).toPandas()
+    got = {q: g.sort_values("rank")["vec_id"].tolist() for q, g in out.groupby("query_id")}
+    assert got[100] == [101, 102, 103, 104] and got[239] == [100, 101, 102, 103]
+    d = np.sqrt(((x - x[7]) ** 2).sum(axis=1))
+    d[7] = np.inf
+    assert len(set(got[7]) & set(np.lexsort((np.arange(400), d))[:4].tolist())) >= 3
+
+
+def test_tree_verifies_neighbours_until_the_test_holds():
+    """With projections that keep every distance, the search is exact and ends early."""
+    x = np.random.default_rng(5).normal(size=(3000, 3))
+    tree = nearest.Tree(np.arange(3000), x, x)
+    for q in range(0, 3000, 300):
+        found, distance = tree.nearest(q, x[q], x[q], 5, 1.0, 1e300)
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert found.tolist() == np.argsort(d)[:5].tolist() and np.allclose(distance, np.sort(d)[:5])
+
+
 def test_chi_square():
     assert chi_square_cdf(3.841459, 1) == pytest.approx(0.95, abs=1e-6)
     assert chi_square_quantile(0.95, 10) == pytest.approx(18.307038, abs=1e-4)
