@@ -89,23 +89,28 @@ class Tree:
         self.low = np.array([self.points[rows].min(axis=0) for rows in self.leaves])
         self.high = np.array([self.points[rows].max(axis=0) for rows in self.leaves])
 
-    def nearest(self, own: int, vector: np.ndarray, point: np.ndarray, k: int, factor: float, bound: float, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest found. Neighbours come by projected distance and are verified, ``step`` at a time, until the next one fails the test.
+    def nearest(self, own: int, vector: np.ndarray, point: np.ndarray, k: int, factor: float, bound: float, leaves: int = 32, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the k nearest found. Neighbours come by projected distance and are verified until the next one fails the test.
 
-        A leaf is opened once every projected neighbour nearer than its box is verified. ``bound`` is a k-th distance known already.
+        ``leaves`` leaves are opened once every projected neighbour nearer than their boxes is verified; neighbours are
+        verified ``step`` at a time, then twice as many. ``bound`` is a k-th distance known already.
         """
         gap = np.maximum(np.maximum(self.low - point, point - self.high), 0)
         square = (gap * gap).sum(axis=1)
         best_id, best = np.empty(0, np.int64), np.empty(0)
         kth = bound
-        seen, waiting = np.empty(0), np.empty(0, np.int64)  # projected squares, ascending, and their rows
-        for leaf in [*np.argsort(square, kind="stable").tolist(), -1]:
-            edge = square[leaf] if leaf >= 0 else np.inf
-            while len(seen) and seen[0] <= edge:
-                if seen[0] > factor * kth * kth:
+        turn = np.argsort(square, kind="stable")
+        turn = turn[square[turn] <= factor * kth * kth]
+        far, waiting = np.empty(0), np.empty(0, np.int64)  # projected squares of opened rows that aren't verified
+        for at in range(0, len(turn) + leaves, leaves):
+            edge = min(square[turn[at]] if at < len(turn) else np.inf, factor * kth * kth)
+            now = far <= edge
+            order = np.argsort(far[now], kind="stable")
+            ready, rows_ready = far[now][order], waiting[now][order]
+            while len(ready):
+                if ready[0] > factor * kth * kth:
                     return best_id, best
-                n = min(step, int(np.searchsorted(seen, edge, "right")))
-                rows, seen, waiting = waiting[:n], seen[n:], waiting[n:]
+                rows, ready, rows_ready, step = rows_ready[:step], ready[step:], rows_ready[step:], min(2 * step, 512)
                 difference = self.vectors[rows] - vector
                 distance = np.sqrt((difference * difference).sum(axis=1))
                 ids = self.ids[rows]
@@ -116,13 +121,14 @@ class Tree:
                     best_id, best = best_id[order], best[order]
                     if len(best) == k:
                         kth = min(kth, float(best[-1]))
-            if leaf < 0 or edge > factor * kth * kth:
+            if at >= len(turn) or square[turn[at]] > factor * kth * kth:
                 return best_id, best
-            rows = self.leaves[leaf]
+            rows = np.concatenate([self.leaves[leaf] for leaf in turn[at : at + leaves]])
             off = self.points[rows] - point
-            seen, waiting = np.concatenate([seen, (off * off).sum(axis=1)]), np.concatenate([waiting, rows])
-            order = np.argsort(seen, kind="stable")
-            seen, waiting = seen[order], waiting[order]
+            more = np.einsum("ij,ij->i", off, off)
+            far, waiting = np.concatenate([far[~now], more]), np.concatenate([waiting[~now], rows])
+            near = far <= factor * kth * kth
+            far, waiting = far[near], waiting[near]
         return best_id, best
 
 
