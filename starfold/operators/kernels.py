@@ -32,13 +32,28 @@ def biweight_trend(t: np.ndarray, x: np.ndarray, use: np.ndarray, window: float)
     return out
 
 
-def detrend(t: np.ndarray, x: np.ndarray, segment: np.ndarray, window: float, masked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def interpolated_trend(t: np.ndarray, x: np.ndarray, use: np.ndarray, window: float) -> np.ndarray:
+    """The biweight trend where a whole window has usable points, interpolated elsewhere: near the ends, and within masked stretches.
+
+    Up to three points are their own trend; with fewer than three usable ones, or without a whole window, the median is.
+    """
+    if len(t) <= 3:
+        return x.astype(float)
+    whole = (t > t[0] + window / 2) & (t < t[-1] - window / 2)
+    tt = t[use]
+    good = whole & (np.searchsorted(tt, t + window / 2, "right") > np.searchsorted(tt, t - window / 2, "left"))
+    if use.sum() < 3 or not good.any():
+        return np.full(len(t), np.median(x))
+    return np.interp(t, t[good], biweight_trend(t, x, use, window)[good])
+
+
+def detrend(t: np.ndarray, x: np.ndarray, segment: np.ndarray, window: float, masked: np.ndarray | None = None, interpolate: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(flux / trend, trend), by segment; trends that aren't positive count as 1."""
     trend = np.ones(len(t))
     use = np.ones(len(t), bool) if masked is None else ~masked
     for s in np.unique(segment):
         at = segment == s
-        trend[at] = biweight_trend(t[at], x[at], use[at], window)
+        trend[at] = (interpolated_trend if interpolate else biweight_trend)(t[at], x[at], use[at], window)
     trend = np.where(trend > 0, trend, 1.0)
     return x / trend, trend
 

@@ -27,23 +27,32 @@ def by_target(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schem
     return spread(df, "target_id").groupBy("target_id").applyInPandas(run, schema)
 
 
-def detrended(prep: DataFrame, window: float, masked: str | None = None) -> DataFrame:
-    """(target_id, cadence, time_days, segment_id, flux_detrended, trend): biweight trend within segments."""
+def detrended(prep: DataFrame, window: float | str, masked: str | None = None, interpolate: bool = False) -> DataFrame:
+    """(target_id, cadence, time_days, segment_id, flux_detrended, trend): biweight trend within segments.
+
+    ``window`` is in days, or names the column that has each target's. Masked cadences don't shape the trend; ``interpolate`` takes
+    it from both sides where a window isn't whole or has masked cadences only, instead of from the cadence itself.
+    """
 
     def work(p: pd.DataFrame) -> pd.DataFrame:
         mask = p[masked].to_numpy(bool) if masked else None
-        flux, trend = K.detrend(p["time_days"].to_numpy(), p["flux_norm"].to_numpy(), p["segment_id"].to_numpy(), window, mask)
+        days = float(p[window].iloc[0]) if isinstance(window, str) else window
+        flux, trend = K.detrend(p["time_days"].to_numpy(), p["flux_norm"].to_numpy(), p["segment_id"].to_numpy(), days, mask, interpolate)
         return p[["target_id", "cadence", "time_days", "segment_id"]].assign(flux_detrended=flux, trend=trend)
 
     return by_target(prep, work, "target_id long, cadence long, time_days double, segment_id long, flux_detrended double, trend double")
 
 
-def two_pass(prep: DataFrame, candidates: DataFrame, window: float) -> DataFrame:
-    """A second trend that the candidates' events don't pull down: wider than three of the longest durations."""
+def two_pass(prep: DataFrame, candidates: DataFrame, window: float, interpolate: bool = True) -> DataFrame:
+    """A second trend that the candidates' events don't pull down: for each target three of its own longest durations wide, half a day at least.
+
+    Targets without candidates keep ``window`` and the first pass's trend.
+    """
     from starfold.operators.transit import transit_mask
 
-    widest = candidates.agg(F.max("duration")).first()[0] or 0.0
-    return detrended(transit_mask(prep, candidates), max(3 * widest, 0.5, window), "masked")
+    own = candidates.groupBy("target_id").agg(F.greatest(3 * F.max("duration"), F.lit(0.5)).alias("window_days"))
+    x = transit_mask(prep, candidates).join(own, "target_id", "left").withColumn("window_days", F.coalesce("window_days", F.lit(float(window))))
+    return detrended(x, "window_days", "masked", interpolate)
 
 
 def lomb_scargle_best(prep: DataFrame, least_period: float, samples: int = 5) -> DataFrame:

@@ -28,7 +28,17 @@ def biweight_trend(spark, d):
     return rounded(X.detrended(wide_prep(spark, d), 3.0).select("target_id", "cadence", "trend", "flux_detrended"))
 
 
-@query()
+@query(f"""{WIDE_PREP}, c AS (SELECT DISTINCT c_custkey AS target_id, greatest(3 * 0.3::DOUBLE, 0.5) AS w FROM customer),
+ x AS (SELECT p.*, flux_norm AS f, coalesce(w, 3.0) / 2 AS h, w IS NOT NULL AND abs((time_days - 1.3 + 2.35) - 4.7::DOUBLE * floor((time_days - 1.3 + 2.35) / 4.7::DOUBLE) - 2.35) <= 0.225 AS hid FROM prep p LEFT JOIN c USING (target_id)),
+ s AS (SELECT target_id, segment_id, count(*) AS n, count(*) FILTER (NOT hid) AS used, min(time_days) AS t0, max(time_days) AS t1, median(f) AS mid FROM x GROUP BY 1, 2),
+ near AS (SELECT a.target_id, a.cadence, b.f AS y FROM x a JOIN x b ON a.target_id = b.target_id AND a.segment_id = b.segment_id AND NOT b.hid AND b.time_days BETWEEN a.time_days - a.h AND a.time_days + a.h),
+ m AS (SELECT target_id, cadence, median(y) AS m FROM near GROUP BY 1, 2), d AS (SELECT target_id, cadence, any_value(m) AS m, median(abs(y - m)) AS s FROM near JOIN m USING (target_id, cadence) GROUP BY 1, 2),
+ w AS (SELECT target_id, cadence, d.m, d.s, y, CASE WHEN s < 1e-12 THEN 0 WHEN abs((y - m) / (6 * s)) < 1 THEN (1 - ((y - m) / (6 * s)) ** 2) ** 2 ELSE 0 END AS w FROM near JOIN d USING (target_id, cadence)),
+ t AS (SELECT target_id, cadence, CASE WHEN any_value(s) < 1e-12 OR sum(w) = 0 THEN any_value(m) ELSE sum(w * y) / sum(w) END AS v FROM w GROUP BY 1, 2),
+ g AS (SELECT x.target_id, x.segment_id, x.cadence, time_days, f, n, used, mid, CASE WHEN v IS NOT NULL AND time_days > t0 + h AND time_days < t1 - h THEN {{'t': time_days, 'v': v}} END AS good FROM x JOIN s USING (target_id, segment_id) LEFT JOIN t ON t.target_id = x.target_id AND t.cadence = x.cadence),
+ i AS (SELECT *, last_value(good IGNORE NULLS) OVER (PARTITION BY target_id, segment_id ORDER BY time_days, cadence ROWS UNBOUNDED PRECEDING) AS a, first_value(good IGNORE NULLS) OVER (PARTITION BY target_id, segment_id ORDER BY time_days, cadence ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM g),
+ r AS (SELECT *, CASE WHEN n <= 3 THEN f WHEN used < 3 OR (a IS NULL AND b IS NULL) THEN mid WHEN a IS NULL THEN b.v WHEN b IS NULL OR b.t = a.t THEN a.v ELSE a.v + (b.v - a.v) * (time_days - a.t) / (b.t - a.t) END AS trend FROM i)
+ SELECT target_id, cadence, time_days, segment_id, round(CASE WHEN trend > 0 THEN trend ELSE 1 END, 6) AS trend, round(f / CASE WHEN trend > 0 THEN trend ELSE 1 END, 6) AS flux_detrended FROM (SELECT target_id, cadence, round(time_days, 6) AS time_days, segment_id, f, trend FROM r)""")
 def two_pass_detrend(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("target_id"), F.lit(1.3).alias("epoch"), F.lit(4.7).alias("period"), F.lit(0.3).alias("duration"))
     return rounded(X.two_pass(wide_prep(spark, d), c, 3.0))

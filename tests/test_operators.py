@@ -253,3 +253,28 @@ def test_events_reach_intervals_however_wide_their_uncertainty(spark):
 def test_medians_of_arrays(spark):
     row = spark.createDataFrame([([3.0, 1.0, 2.0, 10.0],), ([],)], "v array<double>").select(prepare.median_of(F.col("v")).alias("m"), prepare.mad_of(F.col("v")).alias("d")).collect()
     assert row[0]["m"] == 2.5 and abs(row[0]["d"] - 1.4826) < 1e-9 and row[1]["m"] is None
+
+
+def test_trend_bridges_masked_stretches():
+    t = np.arange(0.0, 10.0, 0.1)
+    x = 1 + 0.01 * t
+    hidden = (t > 4) & (t < 6)
+    dip = np.where(hidden, x - 0.2, x)
+    segment = np.zeros(len(t), int)
+    _, own = kernels.detrend(t, dip, segment, 1.0, hidden)
+    flat, trend = kernels.detrend(t, dip, segment, 1.0, hidden, interpolate=True)
+    inside = (t > 4.6) & (t < 5.4)
+    assert np.allclose(own[inside], dip[inside])  # without points the cadence itself
+    assert np.allclose(trend[inside], x[inside], atol=5e-3) and (flat[inside] < 0.9).all()
+    _, whole = kernels.detrend(t, dip, segment, 1.0, np.ones(len(t), bool), interpolate=True)
+    assert np.allclose(whole, np.median(dip))
+    assert np.allclose(kernels.interpolated_trend(t[:3], x[:3], np.ones(3, bool), 1.0), x[:3])
+
+
+def test_second_pass_takes_each_targets_own_window(spark):
+    rows = [(k, i, i * 0.1, 0, 1 + 0.05 * float(np.sin(np.pi * i * 0.1))) for k in (1, 2, 3) for i in range(100)]
+    prep = spark.createDataFrame(rows, "target_id long, cadence long, time_days double, segment_id long, flux_norm double")
+    found = spark.createDataFrame([(1, 50.0, 100.0, 0.1), (2, 50.0, 100.0, 1.5)], "target_id long, epoch double, period double, duration double")
+    out = search.two_pass(prep, found, 0.5).toPandas()
+    spread = out.groupby("target_id")["trend"].std()
+    assert spread[2] < 0.8 * spread[1] and abs(spread[3] - spread[1]) < 1e-12
