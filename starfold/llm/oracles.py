@@ -2,6 +2,23 @@
 
 from __future__ import annotations
 
+#: CRC32 of a text's bytes, in SQL: its table by the polynomial's rule, then one step a byte.
+_CRC32 = """crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+   lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+ sized AS (SELECT doc_id, source, octet_length(b) + 16 AS size,
+   xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(b), '..'), lambda x: ('0x' || x)::BIGINT)),
+     lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS text_crc32
+   FROM (SELECT doc_id, source, encode(coalesce(text, '')) AS b FROM documents), crc_table)"""
+
+OP13_SHARDING = f"""WITH {_CRC32},
+ keyed AS (SELECT *, coalesce('=' || source, '') AS stratum,
+   ('0x' || substr(md5(concat_ws('|', '13', doc_id::VARCHAR, size::VARCHAR, text_crc32::VARCHAR)), 1, 15))::BIGINT AS h FROM sized),
+ ranked AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id NULLS FIRST, size, text_crc32) - 0.5::DOUBLE)
+   / count(*) OVER (PARTITION BY stratum) AS share FROM keyed),
+ placed AS (SELECT *, row_number() OVER (ORDER BY share, stratum) - 1 AS place, count(*) OVER () AS total FROM ranked)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (place * 40 // total)::INTEGER AS shard,
+ (place - ((place * 40 // total) * total + 39) // 40)::BIGINT AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_sharding": OP13_SHARDING}

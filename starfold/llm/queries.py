@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import bpe, embedding_dedup, jaccard, langid, nearest, packing, quality, repeats, token_counts, toxicity
+from starfold.llm import bpe, embedding_dedup, jaccard, langid, nearest, packing, quality, repeats, sharding, token_counts, toxicity
 from starfold.llm.common import fold_of
 
 
@@ -103,6 +103,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held(held_out), *langid.first_language(F.col("languages")))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deal all documents into 40 shards of equal counts, each with its share of every source."""
+    docs = _read(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = docs.select("doc_id", "source", (F.length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    found = sharding.interleave(rows, 40, stratum="source", key=["doc_id", "size", "text_crc32"])
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_roundtrip, op2_nearest, op3_token_counts, op4_suffix_dedup, op5_toxicity, op6_ngram_jaccard, op7_embedding_dedup, op8_quality, op9_packing, op10_language]
+    found = [op1_bpe_roundtrip, op2_nearest, op3_token_counts, op4_suffix_dedup, op5_toxicity, op6_ngram_jaccard, op7_embedding_dedup, op8_quality, op9_packing, op10_language, op13_sharding]
     return {f.__name__: f for f in found}
