@@ -19,6 +19,25 @@ OP13_SHARDING = f"""WITH {_CRC32},
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (place * 40 // total)::INTEGER AS shard,
  (place - ((place * 40 // total) * total + 39) // 40)::BIGINT AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed"""
 
+#: Containment by comparing each candidate with all longer ones, as text between spaces.
+OP12_COLLOCATIONS = r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+ totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+ grams AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda s: array_to_string(w[s:s + m - 1], ' '))) AS phrase
+   FROM words, range(1, 5) t(m) WHERE len(w) >= m),
+ f AS (SELECT lang, phrase, m, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+ cuts AS (SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+   FROM f, range(1, 4) t(k) WHERE k < m),
+ scored AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, 2000000::HUGEINT * c.a // (x.f + y.f)::HUGEINT AS score, k
+   FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest),
+ lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ kept AS (SELECT * FROM lowest c WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.lang = c.lang AND g.m > len(string_split(c.phrase, ' '))
+   AND contains(' ' || g.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * g.f >= 80 * c.a)),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_sharding": OP13_SHARDING}
+    return {"op12_collocations": OP12_COLLOCATIONS, "op13_sharding": OP13_SHARDING}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import bpe, embedding_dedup, jaccard, langid, nearest, packing, quality, repeats, sharding, token_counts, toxicity
+from starfold.llm import bpe, collocations, embedding_dedup, jaccard, langid, nearest, packing, quality, repeats, sharding, token_counts, toxicity
 from starfold.llm.common import fold_of
 
 
@@ -103,6 +103,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held(held_out), *langid.first_language(F.col("languages")))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of every language, of 2 to 4 words that occur 30 times."""
+    return collocations.collocations(_read(spark, sf_dir, "documents"), least=30, longest=4, top=2000)
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deal all documents into 40 shards of equal counts, each with its share of every source."""
     docs = _read(spark, sf_dir, "documents")
@@ -113,5 +118,5 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_roundtrip, op2_nearest, op3_token_counts, op4_suffix_dedup, op5_toxicity, op6_ngram_jaccard, op7_embedding_dedup, op8_quality, op9_packing, op10_language, op13_sharding]
+    found = [op1_bpe_roundtrip, op2_nearest, op3_token_counts, op4_suffix_dedup, op5_toxicity, op6_ngram_jaccard, op7_embedding_dedup, op8_quality, op9_packing, op10_language, op12_collocations, op13_sharding]
     return {f.__name__: f for f in found}
