@@ -19,6 +19,18 @@ OP13_SHARDING = f"""WITH {_CRC32},
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (place * 40 // total)::INTEGER AS shard,
  (place - ((place * 40 // total) * total + 39) // 40)::BIGINT AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed"""
 
+#: All anchors against all rows.
+OP11_HARD_NEGATIVES = """WITH good AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+   list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS score FROM good a JOIN good b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+ positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+ met AS (SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+   row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS rank
+   FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score::BIGINT AS positive_score, negative_score::BIGINT AS negative_score FROM met WHERE rank <= 5"""
+
 #: Containment by comparing each candidate with all longer ones, as text between spaces.
 OP12_COLLOCATIONS = r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
@@ -40,4 +52,4 @@ FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_collocations": OP12_COLLOCATIONS, "op13_sharding": OP13_SHARDING}
+    return {"op11_hard_negatives": OP11_HARD_NEGATIVES, "op12_collocations": OP12_COLLOCATIONS, "op13_sharding": OP13_SHARDING}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm import bpe, collocations, embedding_dedup, jaccard, langid, nearest, packing, quality, repeats, sharding, token_counts, toxicity
+from starfold.llm import bpe, collocations, embedding_dedup, hard_negatives, jaccard, langid, nearest, packing, quality, repeats, sharding, token_counts, toxicity
 from starfold.llm.common import fold_of
 
 
@@ -103,6 +103,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held(held_out), *langid.first_language(F.col("languages")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth vector's five best of its label, five of other labels that score nearly as much; some labels are moved first."""
+    rows = _read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 strongest phrases of every language, of 2 to 4 words that occur 30 times."""
     return collocations.collocations(_read(spark, sf_dir, "documents"), least=30, longest=4, top=2000)
@@ -118,5 +126,5 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe_roundtrip, op2_nearest, op3_token_counts, op4_suffix_dedup, op5_toxicity, op6_ngram_jaccard, op7_embedding_dedup, op8_quality, op9_packing, op10_language, op12_collocations, op13_sharding]
+    found = [op1_bpe_roundtrip, op2_nearest, op3_token_counts, op4_suffix_dedup, op5_toxicity, op6_ngram_jaccard, op7_embedding_dedup, op8_quality, op9_packing, op10_language, op11_hard_negatives, op12_collocations, op13_sharding]
     return {f.__name__: f for f in found}
