@@ -135,8 +135,10 @@ def _count_level(n: int, below, bits: int):
 
         for batch in stream:
             for lang, shard, words, ids in zip(*(batch.column(c).to_pylist() for c in ("lang", "shard", "words", "ids")), strict=True):
+                if not words:
+                    continue
                 ids = np.frombuffer(ids, np.int32)
-                hashes = _word_hashes(lang, words)[ids] if words else np.zeros(0, np.uint64)
+                hashes = _word_hashes(lang, words)[ids]
                 keep = _whole(ids, n)
                 if frequent is not None:
                     part = _has(frequent, _places(_grams(hashes, n - 1), shard, bits))
@@ -163,9 +165,9 @@ def _count_phrases(most: int, union, bits: int):
         frequent = np.frombuffer(union.value, np.uint8)
         for batch in stream:
             for lang, words, ids in zip(*(batch.column(c).to_pylist() for c in ("lang", "words", "ids")), strict=True):
-                ids = np.frombuffer(ids, np.int32)
                 if not words:
                     continue
+                ids = np.frombuffer(ids, np.int32)
                 hashes, words = _word_hashes(lang, words)[ids], words.decode().split(" ")
                 for n in range(1, most + 1):
                     grams = _grams(hashes, n)
