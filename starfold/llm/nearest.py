@@ -80,24 +80,24 @@ class Cells:
 
 
 class Tree:
-    """One part of a cell: its vectors, their projections, and the boxes of the leaves of its kd-tree."""
+    """One part of a cell: its vectors, their projections, and the boxes of the leaves of its kd-tree. ``names`` tell rows apart, ids may repeat."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray, leaf: int = 64):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors, self.points = ids[order], vectors[order], points[order]
+    def __init__(self, ids: np.ndarray, names: np.ndarray, vectors: np.ndarray, points: np.ndarray, leaf: int = 64):
+        order = np.lexsort((names, ids))
+        self.ids, self.names, self.vectors, self.points = ids[order], names[order], vectors[order], points[order]
         self.leaves = split(self.points, np.arange(len(ids)), leaf)
         self.low = np.array([self.points[rows].min(axis=0) for rows in self.leaves])
         self.high = np.array([self.points[rows].max(axis=0) for rows in self.leaves])
 
     def nearest(self, own: int, vector: np.ndarray, point: np.ndarray, k: int, factor: float, bound: float, leaves: int = 32, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest found. Neighbours come by projected distance and are verified until the next one fails the test.
+        """Places and distances of the k nearest found, without the row named ``own``; equal distances go by id. Neighbours come by projected distance and are verified until the next one fails the test.
 
         ``leaves`` leaves are opened once every projected neighbour nearer than their boxes is verified; neighbours are
         verified ``step`` at a time, then twice as many. ``bound`` is a k-th distance known already.
         """
         gap = np.maximum(np.maximum(self.low - point, point - self.high), 0)
         square = (gap * gap).sum(axis=1)
-        best_id, best = np.empty(0, np.int64), np.empty(0)
+        best_at, best = np.empty(0, np.int64), np.empty(0)
         kth = bound
         turn = np.argsort(square, kind="stable")
         turn = turn[square[turn] <= factor * kth * kth]
@@ -109,27 +109,26 @@ class Tree:
             ready, rows_ready = far[now][order], waiting[now][order]
             while len(ready):
                 if ready[0] > factor * kth * kth:
-                    return best_id, best
+                    return best_at, best
                 rows, ready, rows_ready, step = rows_ready[:step], ready[step:], rows_ready[step:], min(2 * step, 512)
                 difference = self.vectors[rows] - vector
                 distance = np.sqrt((difference * difference).sum(axis=1))
-                ids = self.ids[rows]
-                good = (ids != own) & (distance <= kth)
+                good = (self.names[rows] != own) & (distance <= kth)
                 if good.any():
-                    best_id, best = np.concatenate([best_id, ids[good]]), np.concatenate([best, distance[good]])
-                    order = np.lexsort((best_id, best))[:k]
-                    best_id, best = best_id[order], best[order]
+                    best_at, best = np.concatenate([best_at, rows[good]]), np.concatenate([best, distance[good]])
+                    order = np.lexsort((best_at, best))[:k]  # rows lie in the order of their ids
+                    best_at, best = best_at[order], best[order]
                     if len(best) == k:
                         kth = min(kth, float(best[-1]))
             if at >= len(turn) or square[turn[at]] > factor * kth * kth:
-                return best_id, best
+                return best_at, best
             rows = np.concatenate([self.leaves[leaf] for leaf in turn[at : at + leaves]])
             off = self.points[rows] - point
             more = np.einsum("ij,ij->i", off, off)
             far, waiting = np.concatenate([far[~now], more]), np.concatenate([waiting[~now], rows])
             near = far <= factor * kth * kth
             far, waiting = far[near], waiting[near]
-        return best_id, best
+        return best_at, best
 
 
 #: Rows of a cell on average and of a part of it, cells at most, sampled rows to place the cells by, queries that meet a part in one task.
@@ -145,19 +144,21 @@ def _by_cell(rows: DataFrame, cells: int, size: int) -> np.ndarray:
 
 
 def search(candidates: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, width: int = 10, confidence: float = 0.98) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's ``k`` nearest candidates found by Euclidean distance, its own key left out.
+    """(query_id, rank, vec_id, score): each query's ``k`` nearest candidates found by Euclidean distance, itself left out.
 
     Ranks start at 1; equal distances go by the smaller key; fewer than ``k`` candidates are all
     returned. Unusable vectors (see ``usable``) and null keys take no part on either side; rows
-    that repeat a key and vector count once. Other columns aren't read. The cells are placed by a bounded
+    that repeat a key and vector count once. Rows of one key with different vectors are rows of their own: each can be
+    found, by the others too, and as queries each has its own ranks under that key. Other columns aren't read. The cells are placed by a bounded
     sample, but every candidate is indexed. A query first searches its own cell; its k-th distance
     there says which other cells the stopping test still asks for. A cell of many rows, such as one of equal vectors, is
     dealt by hashed key to parts, each of which answers all of the cell's queries; only where a cell has more queries than
     fit into a task are its rows copied, once for each block of them.
     """
     columns = [F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")]
-    rows = usable(candidates.select(*columns).dropna(subset=["id"]), "vector")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("vector").toPandas()
+    row = F.xxhash64("id", "vector").alias("row")
+    rows = usable(candidates.select(*columns).dropna(subset=["id"]), "vector").select("id", row, "vector")
+    sample = rows.orderBy(F.xxhash64("id"), "id", "row").limit(SAMPLE_ROWS).select("vector").toPandas()
     shape = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
     if sample.empty:
         return rows.sparkSession.createDataFrame([], shape)
@@ -167,36 +168,35 @@ def search(candidates: DataFrame, queries: DataFrame, key: str = "vec_id", vecto
     cells = Cells.fit(points @ plane, width, min(MOST_CELLS, -(-total // CELL_ROWS)))
     factor = chi_square_quantile(confidence, width)
     asked = queries.select(*columns).dropna(subset=["id"]).filter(F.size("vector") == points.shape[1])
-    asked = usable(asked, "vector")
+    asked = usable(asked, "vector").select("id", row, "vector")
     shared = rows.sparkSession.sparkContext.broadcast((cells, plane))
 
     def place(stream):
         cells, plane = shared.value
         for batch in stream:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(cells.of(matrix(batch.column(1)) @ plane)), batch.column(0), batch.column(1)], names=["cell", "id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(cells.of(matrix(batch.column(2)) @ plane)), *batch.columns], names=["cell", "id", "row", "vector"])
 
     def visit(table: pa.Table, asking: pa.Table) -> pa.Table:
         plane = shared.value[1]
-        found = {"query_id": [], "vec_id": [], "score": []}
+        found = {"query": [], "query_id": [], "vec_id": [], "row": [], "score": []}
         if table.num_rows and asking.num_rows:
-            ids, at = np.unique(table["id"].to_numpy(), return_index=True)
+            names, at = np.unique(table["row"].to_numpy(), return_index=True)  # rows equal in id and vector
             vectors = matrix(table["vector"])[at]
-            tree = Tree(ids, vectors, vectors @ plane)
+            tree = Tree(table["id"].to_numpy()[at], names, vectors, vectors @ plane)
             wanted = matrix(asking["vector"])
-            for own, x, bound in zip(asking["id"].to_pylist(), wanted, asking["bound"].to_pylist(), strict=True):
+            for own, of, x, bound in zip(asking["row"].to_pylist(), asking["id"].to_pylist(), wanted, asking["bound"].to_pylist(), strict=True):
                 near, distance = tree.nearest(own, x, x @ plane, k, factor, bound)
-                found["query_id"].append(np.full(len(near), own))
-                found["vec_id"].append(near)
-                found["score"].append(distance)
+                for column, values in zip(found.values(), (np.full(len(near), own), np.full(len(near), of), tree.ids[near], tree.names[near], distance), strict=True):
+                    column.append(values)
         return pa.table({n: pa.array(np.concatenate(v) if v else [], pa.float64() if n == "score" else pa.int64()) for n, v in found.items()})
 
-    hits = "query_id long, vec_id long, score double"
-    schema = "cell long, id long, vector array<double>"
+    hits = "query long, query_id long, vec_id long, row long, score double"
+    schema = "cell long, id long, row long, vector array<double>"
     placed = rows.mapInArrow(place, schema)
     home = asked.mapInArrow(place, schema).distinct().withColumn("bound", F.lit(1e300))
     parts = _by_cell(placed, len(cells.low), PART_ROWS)
-    h = F.xxhash64("id")
+    h = F.xxhash64("row")
 
     def meet(asking: DataFrame) -> DataFrame:
         of = lambda sizes: F.get(F.array(*[F.lit(int(n)) for n in sizes]), F.col("cell").cast("int"))
@@ -210,24 +210,24 @@ def search(candidates: DataFrame, queries: DataFrame, key: str = "vec_id", vecto
 
     def ranked(found: DataFrame) -> DataFrame:
         """The k nearest of each query; one short array a query."""
-        return found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("score", "vec_id"))), 1, k).alias("best"))
+        return found.groupBy("query", "query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("score", "vec_id", "row"))), 1, k).alias("best"))
 
     first = materialize(ranked(meet(home)))
-    known = first.select(F.col("query_id").alias("id"), F.when(F.size("best") >= k, F.element_at("best", k)["score"]).otherwise(1e300).alias("bound"))
+    known = first.select(F.col("query").alias("row"), F.when(F.size("best") >= k, F.element_at("best", k)["score"]).otherwise(1e300).alias("bound"))
 
     def route(stream):
         cells, plane = shared.value
         for batch in stream:
-            vectors, bounds, homes = matrix(batch.column(2)), batch.column(3).to_pylist(), batch.column(0).to_pylist()
+            vectors, bounds, homes = matrix(batch.column(3)), batch.column(4).to_pylist(), batch.column(0).to_pylist()
             for i, x in enumerate(vectors):
                 # a bound of no use (too few rows at home) leads to all cells
                 more = cells.reached(x @ plane, factor * bounds[i] * bounds[i] if bounds[i] < 1e300 else np.inf)
                 more = more[more != homes[i]]
                 part = batch.take(pa.array(np.full(len(more), i)))
-                yield pa.RecordBatch.from_arrays([pa.array(more.astype(np.int64)), part.column(1), part.column(2), part.column(3)], names=["cell", "id", "vector", "bound"])
+                yield pa.RecordBatch.from_arrays([pa.array(more.astype(np.int64)), *part.columns[1:]], names=["cell", "id", "row", "vector", "bound"])
 
-    again = home.drop("bound").join(known, "id", "left").select("cell", "id", "vector", F.coalesce("bound", F.lit(1e300)).alias("bound"))
-    routed = again.mapInArrow(route, "cell long, id long, vector array<double>, bound double")
-    seen = first.select("query_id", F.explode("best").alias("x")).select("query_id", "x.vec_id", "x.score")
+    again = home.drop("bound").join(known, "row", "left").select("cell", "id", "row", "vector", F.coalesce("bound", F.lit(1e300)).alias("bound"))
+    routed = again.mapInArrow(route, "cell long, id long, row long, vector array<double>, bound double")
+    seen = first.select("query", "query_id", F.explode("best").alias("x")).select("query", "query_id", "x.vec_id", "x.row", "x.score")
     best = ranked(seen.union(meet(routed)))
     return best.select("query_id", F.posexplode("best").alias("rank", "found")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("found.vec_id").alias("vec_id"), F.col("found.score").alias("score"))
