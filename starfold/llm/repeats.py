@@ -17,11 +17,12 @@ windows have equal anchors at equal places. Windows in a row with one anchor for
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,23 +205,23 @@ def deep_shallow_sort(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 #: Groups up to this size are compared by walking the suffix order; larger ones by reach.
 SMALL_GROUP = 12
 
-Row = tuple[int, int, int, int, int, bytes]
+Row = tuple[int, int, int, int, int, bytes, int]
 
 
-def windows_seen_before(rows: list[Row], length: int, gram: int) -> list[tuple[int, int, int]]:
-    """(doc, begin, end) of stretches covered by windows that an earlier row also has.
+def windows_seen_before(rows: list[Row], length: int, gram: int) -> list[tuple[int, int, int, int]]:
+    """(doc, tag, begin, end) of stretches covered by windows that an earlier row also has.
 
-    Rows are runs (doc, place of the anchor, first, last, begin of bytes, bytes). A window is given
+    Rows are runs (doc, place of the anchor, first, last, begin of bytes, bytes, tag); doc and tag name a document. A window is given
     by how far it reaches to the left of its anchor, ``reach``: rows that agree for ``length - reach``
     bytes from the anchor on stand together in suffix order, and those of them with equal bytes to
     the left have the same window. All rows are ordered at once; those of one anchor agree for
     ``gram`` bytes, so they are neighbours.
     """
-    rows = list({r[:2]: r for r in rows}.values())
+    rows = list({(r[0], r[6], r[1]): r for r in rows}.values())
     order, common = deep_shallow_sort([r[5][r[1] - r[4] : r[1] - r[4] + length] for r in rows])
     starts = np.append(np.flatnonzero(common < gram), len(rows)).tolist()
     order, common = order.tolist(), common.tolist()
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         group = [rows[i] for i in order[a:b]]
         if 1 < b - a <= SMALL_GROUP:
@@ -230,10 +231,10 @@ def windows_seen_before(rows: list[Row], length: int, gram: int) -> list[tuple[i
     return out
 
 
-def _walk(group: list[Row], common: list[int], length: int) -> Iterator[tuple[int, int, int]]:
+def _walk(group: list[Row], common: list[int], length: int) -> Iterator[tuple[int, int, int, int]]:
     """Each row with those behind it in suffix order, as long as what they share to the right can still do."""
     left = [r[5][: r[1] - r[4]][::-1] for r in group]
-    for i, (doc, place, first, last, _, _) in enumerate(group):
+    for i, (doc, place, first, last, _, _, tag) in enumerate(group):
         right = length
         for j in range(i + 1, len(group)):
             right = min(right, common[j])
@@ -243,13 +244,13 @@ def _walk(group: list[Row], common: list[int], length: int) -> Iterator[tuple[in
             low = max(length - right, place - last, other[1] - other[3])
             high = min(place - first, other[1] - other[2])
             if low <= high and (high := min(high, common_prefix(left[i], left[j]))) >= low:
-                later = max((doc, place), other[:2])
-                yield later[0], later[1] - high, later[1] - low + length
+                later = max((doc, tag, place), (other[0], other[6], other[1]))
+                yield later[0], later[1], later[2] - high, later[2] - low + length
 
 
-def _by_reach(group: list[Row], common: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
+def _by_reach(group: list[Row], common: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
     """For every reach, rows that agree to the right and to the left; all but the first have the window again."""
-    docs, place, first, last = (np.array([r[k] for r in group]) for k in range(4))
+    docs, place, first, last, tags = (np.array([r[k] for r in group]) for k in (0, 1, 2, 3, 6))
     lowest, highest = place - last, place - first
     width = int(highest.max())
     left = np.zeros((len(group), max(width, 1)), np.uint8)  # bytes to the left of the anchor, nearest first
@@ -257,7 +258,7 @@ def _by_reach(group: list[Row], common: np.ndarray, length: int) -> Iterator[tup
         before = np.frombuffer(r[5][: r[1] - r[4]], np.uint8)[::-1][:width]
         left[i, : len(before)] = before
     rank = np.empty(len(group), np.int64)
-    rank[np.lexsort((place, docs))] = np.arange(len(group))
+    rank[np.lexsort((place, tags, docs))] = np.arange(len(group))
     found = np.zeros((len(group), width + 1), bool)
     left_key = np.zeros(len(group), np.uint64)
     for reach in range(width + 1):
@@ -274,15 +275,16 @@ def _by_reach(group: list[Row], common: np.ndarray, length: int) -> Iterator[tup
     for i in np.flatnonzero(found.any(axis=1)):
         edge = np.diff(np.concatenate([[0], found[i].astype(np.int8), [0]]))
         for low, high in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1, strict=True):
-            yield int(docs[i]), int(place[i] - high), int(place[i] - low + length)
+            yield int(docs[i]), int(tags[i]), int(place[i] - high), int(place[i] - low + length)
 
 
 #: Different runs of one anchor that are ordered in one task; those of an anchor with more are dealt by single windows.
 ANCHOR_RUNS = 20_000
 
-_RUN = [("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("place", "<u4"), ("before", "u1"), ("after", "u1")]
-_CUT = [("doc", "<i8"), ("begin", "<u4"), ("end", "<u4")]
-_ASK = [("anchor", "<u8"), ("doc", "<i8"), ("place", "<u4"), ("before", "u1"), ("after", "u1"), ("hot", "u1")]
+#: A document is a key and a tag: 0, or a digest of its text where rows repeat the key.
+_RUN = [("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("place", "<u4"), ("before", "u1"), ("after", "u1")]
+_CUT = [("doc", "<i8"), ("tag", "<i8"), ("begin", "<u4"), ("end", "<u4")]
+_ASK = [("anchor", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("place", "<u4"), ("before", "u1"), ("after", "u1"), ("hot", "u1")]
 
 
 def _columns(values: dict[str, np.ndarray], kind: list, part: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -307,12 +309,12 @@ def _unpacked(blobs: list[bytes], kind: list) -> dict[str, np.ndarray]:
 
 def _earlier(runs: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Runs that come first with their content, and those that repeat such a run elsewhere; the same run given twice is neither."""
-    order = np.lexsort((runs["place"], runs["doc"], runs["content"], runs["anchor"]))
-    anchor, content, doc, place = (runs[n][order] for n in ("anchor", "content", "doc", "place"))
+    order = np.lexsort((runs["place"], runs["tag"], runs["doc"], runs["content"], runs["anchor"]))
+    anchor, content, doc, tag, place = (runs[n][order] for n in ("anchor", "content", "doc", "tag", "place"))
     new = np.ones(len(order), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
     lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.empty(0, np.int64)
-    return order[new], order[(doc != doc[lead]) | (place != place[lead])]
+    return order[new], order[(doc != doc[lead]) | (tag != tag[lead]) | (place != place[lead])]
 
 
 #: Bits that tell which documents have rows to meet: one megabyte, sent to every executor.
@@ -323,8 +325,12 @@ def _bit(doc: np.ndarray) -> np.ndarray:
     return (mix64(doc.astype(np.int64).view(np.uint64) + np.uint64(77)) >> np.uint64(64 - DOC_BITS)).astype(np.int64)
 
 
-def _doc_part(doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return keys[(mix64(doc.astype(np.int64).view(np.uint64)) % np.uint64(len(keys))).astype(np.int64)]
+def _doc_part(doc: np.ndarray, tag: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return keys[(mix64(doc.astype(np.int64).view(np.uint64) + mix64(tag.astype(np.int64).view(np.uint64))) % np.uint64(len(keys))).astype(np.int64)]
+
+
+def _tag(data: bytes | memoryview) -> int:
+    return xxhash.xxh3_64_intdigest(data) >> 1
 
 
 def _anchor_part(anchor: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -342,8 +348,8 @@ def _cuts(runs: dict[str, np.ndarray], rows: np.ndarray, length: int, keys: np.n
     """Removals of whole runs, for the parts of their documents."""
     if len(rows):
         place = runs["place"][rows].astype(np.int64)
-        values = {"doc": runs["doc"][rows], "begin": place - runs["before"][rows], "end": place - runs["after"][rows] + length}
-        yield from _out("cut", _columns(values, _CUT, _doc_part(values["doc"], keys)))
+        values = {"doc": runs["doc"][rows], "tag": runs["tag"][rows], "begin": place - runs["before"][rows], "end": place - runs["after"][rows] + length}
+        yield from _out("cut", _columns(values, _CUT, _doc_part(values["doc"], values["tag"], keys)))
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -356,13 +362,14 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[new], end[last]
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, gram: int = 36, anchor_runs: int = ANCHOR_RUNS, whole_characters: bool = False) -> DataFrame:
-    """(key, n_bytes, spans, kept) of every row: the stretches removed, and the bytes left.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, gram: int = 36, anchor_runs: int = ANCHOR_RUNS, whole_characters: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """(key, n_bytes, spans, kept) of every row and its columns in ``carry``: the stretches removed, and the bytes left.
 
     A byte goes if a window of ``length`` bytes (at most 255 more than ``gram``) that covers it also
     starts earlier. Null and empty texts have no bytes; texts shorter than ``length`` stay whole.
-    The key is a long and names a document: rows that repeat a key and its text are one document
-    and get the same result. Rows with a null key stay whole and remove nothing. Other columns
+    The key is a long; rows that repeat a key and its text are one document
+    and get the same result. Rows that repeat a key with other texts are documents of their own, in an order that the
+    digests of their texts decide. Rows with a null key stay whole and remove nothing. Other columns
     aren't read. No window is skipped, whatever its anchor's number of runs. With ``whole_characters``
     a removed stretch shrinks to the characters that lie in it as a whole, so that what is left is text.
     """
@@ -370,9 +377,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     parts = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a task holds its runs
     keys = even_keys(spark, parts)
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    more = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
+    carried = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"), F.struct(*(more or [F.lit(0).alias("none")])).alias("carried"))
     schema = "part int, kind string, data binary"
 
     def runs_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated = np.unpackbits(repeats_bits.value).view(bool)
         for whole in stream:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
@@ -382,7 +392,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     if doc is None or len(data) < length:
                         continue
                     runs = Runs(data, length, gram)
-                    for n, v in (("anchor", runs.anchor), ("content", runs.content), ("doc", np.full(len(runs.place), doc)), ("place", runs.place), ("before", runs.place - runs.first), ("after", runs.place - runs.last)):
+                    tag = _tag(value.as_buffer()) if repeated[_bit(np.int64(doc))] else 0
+                    for n, v in (("anchor", runs.anchor), ("content", runs.content), ("doc", np.full(len(runs.place), doc)), ("tag", np.full(len(runs.place), tag)), ("place", runs.place), ("before", runs.place - runs.first), ("after", runs.place - runs.last)):
                         found[n].append(v)
                 if not found["doc"]:
                     continue
@@ -415,9 +426,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             return
         _, group, counts = np.unique(anchor, return_inverse=True, return_counts=True)
         several = counts[group] > 1
-        values = {n: runs[n][left][several] for n in ("anchor", "doc", "place", "before", "after")} | {"hot": counts[group][several] > anchor_runs}
+        values = {n: runs[n][left][several] for n in ("anchor", "doc", "tag", "place", "before", "after")} | {"hot": counts[group][several] > anchor_runs}
         if several.any():
-            yield from _out("ask", _columns(values, _ASK, _doc_part(values["doc"], keys)))
+            yield from _out("ask", _columns(values, _ASK, _doc_part(values["doc"], values["tag"], keys)))
 
     def fetch(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes of runs asked for; windows of anchors with very many runs go one by one."""
@@ -442,18 +453,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 low, high = np.searchsorted(asked["doc"], doc, "left"), np.searchsorted(asked["doc"], doc, "right")
                 if low == high:
                     continue
-                data = texts[i].as_buffer().to_pybytes()
+                data = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
+                tag = batch.column(4)[i].as_py()
                 for k in range(low, high):
+                    if asked["tag"][k] != tag:
+                        continue
                     place = int(asked["place"][k])
                     first, last = place - int(asked["before"][k]), place - int(asked["after"][k])
                     if asked["hot"][k]:
                         names = rolling(np.frombuffer(data, np.uint8)[first : last + length], length)
                         n = len(names)
-                        for name, v in (("anchor", names), ("content", mix64(names)), ("doc", np.full(n, doc)), ("place", np.arange(first, last + 1)), ("before", np.zeros(n)), ("after", np.zeros(n))):
+                        for name, v in (("anchor", names), ("content", mix64(names)), ("doc", np.full(n, doc)), ("tag", np.full(n, tag)), ("place", np.arange(first, last + 1)), ("before", np.zeros(n)), ("after", np.zeros(n))):
                             windows[name].append(v)
                     else:
                         anchor = int(asked["anchor"][k])
-                        packed.setdefault(int(keys[anchor % parts]), []).append((doc, place, first, last, data[first : last + length]))
+                        packed.setdefault(int(keys[anchor % parts]), []).append((doc, place, first, last, data[first : last + length], tag))
             yield from _out("context", ((p, pickle.dumps(c, 5)) for p, c in packed.items()))
             if windows["doc"]:
                 values = {n: np.concatenate(v) for n, v in windows.items()}
@@ -466,13 +480,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         members: list[Row] = []
         for x in blobs_of(stream, "context"):
             if isinstance(x, bytes):
-                members += [(doc, place, first, last, first, data) for doc, place, first, last, data in pickle.loads(x)]
+                members += [(doc, place, first, last, first, data, tag) for doc, place, first, last, data, tag in pickle.loads(x)]
             else:
                 yield x
         cuts = windows_seen_before(members, length, gram)
         if cuts:
-            values = dict(zip(("doc", "begin", "end"), np.array(cuts, np.int64).T, strict=True))
-            yield from _out("cut", _columns(values, _CUT, _doc_part(values["doc"], keys)))
+            values = dict(zip(("doc", "tag", "begin", "end"), np.array(cuts, np.int64).T, strict=True))
+            yield from _out("cut", _columns(values, _CUT, _doc_part(values["doc"], values["tag"], keys)))
 
     def finish(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts: dict[str, np.ndarray] | None = None
@@ -480,6 +494,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         for batch in stream:
             texts = batch.column(3).cast(pa.binary())
             out: list[tuple] = []
+            at: list[int] = []
             for i, kind in enumerate(batch.column(0).to_pylist()):
                 if kind == 0:
                     blobs.append(batch.column(2)[i].as_py())
@@ -491,24 +506,26 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 doc, value = batch.column(1)[i].as_py(), texts[i]
                 data = value.as_buffer().to_pybytes() if value.is_valid else b""
                 low, high = (np.searchsorted(cuts["doc"], doc, side) for side in ("left", "right")) if doc is not None else (0, 0)
-                begin, end = merged(cuts["begin"][low:high], cuts["end"][low:high])
+                own = cuts["tag"][low:high] == batch.column(4)[i].as_py()
+                begin, end = merged(cuts["begin"][low:high][own], cuts["end"][low:high][own])
                 if whole_characters and len(begin):
                     starts = np.append(np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80), len(data))
                     begin, end = starts[np.searchsorted(starts, begin, "left")], starts[np.searchsorted(starts, end, "right") - 1]
                 spans = list(zip(begin.tolist(), end.tolist(), strict=True))
                 places = [0, *(x for s in spans for x in s), len(data)]
+                at.append(i)
                 out.append((doc, len(data), [{"begin": b, "end": e} for b, e in spans], b"".join([data[a:b] for a, b in zip(places[::2], places[1::2], strict=True)])))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc", "n_bytes", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)), batch.column(5).take(pa.array(at))], names=["doc", "n_bytes", "spans", "kept", "carried"])
 
-    def bits_of(kind: list):
-        """The documents named in blobs, as set bits; pieces that are all zero aren't sent."""
+    def bits_of(documents):
+        """The documents of batches, as set bits; pieces that are all zero aren't sent."""
 
         def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.zeros(1 << DOC_BITS, bool)
             for batch in stream:
-                bits[_bit(_unpacked(batch.column(0).to_pylist(), kind)["doc"])] = True
+                bits[_bit(documents(batch.column(0)))] = True
             yield from pieces(np.packbits(bits))
 
         return run
@@ -525,19 +542,22 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 bits[at : at + 4096] |= np.frombuffer(piece, np.uint8)
         yield from pieces(bits)
 
-    def concerned(blobs: DataFrame, kind: list):
+    def concerned(found: DataFrame, documents):
         """A broadcast of 2**DOC_BITS bits, whatever the corpus; a bit set by another document only costs a look."""
-        found = blobs.select("data").mapInArrow(lean(bits_of(kind)), "at int, bits binary").repartition(8, "at").mapInArrow(lean(joined), "at int, bits binary")
+        found = found.mapInArrow(lean(bits_of(documents)), "at int, bits binary").repartition(8, "at").mapInArrow(lean(joined), "at int, bits binary")
         bits = np.zeros((1 << DOC_BITS) // 8, np.uint8)
         for at, piece in found.collect():
             bits[at : at + 4096] = np.frombuffer(piece, np.uint8)
         return spark.sparkContext.broadcast(bits)
 
-    def placed(bits, wanted: bool):
+    def in_blobs(kind: list):
+        return lambda column: _unpacked(column.to_pylist(), kind)["doc"]
+
+    def placed(bits, wanted: bool, of: DataFrame):
         """Rows whose document has its bit set, or those that haven't, with their part."""
 
         def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known_bits = np.unpackbits(bits.value).view(bool)
+            known_bits, repeated = np.unpackbits(bits.value).view(bool), np.unpackbits(repeats_bits.value).view(bool)
             for batch in stream:
                 doc = batch.column(0)
                 number = pa.compute.fill_null(doc, 0).to_numpy()
@@ -545,28 +565,38 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 batch = batch.filter(pa.array(named == wanted))
                 n = batch.num_rows
                 if n:
-                    part = _doc_part(number[named == wanted], keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), batch.column(0), pa.nulls(n, pa.binary()), batch.column(1), pa.array(part)], names=["kind", "doc", "data", "text", "part"])
-
-        return rows.mapInArrow(lean(run), "kind int, doc long, data binary, text string, part int")
-
-    def of_documents(blobs: DataFrame, bits, work, out: str) -> DataFrame:
+                    number = number[named == wanted]
+                    tag, texts = np.zeros(n, np.int64), batch.column(1).cast(pa.binary())
+                    for i in np.flatnonzero(repeated[_bit(number)]).tolist():
+                        tag[i] = _tag(texts[i].as_buffer() or b"") if texts[i].is_valid else 0
+                    part = _doc_part(number, tag, keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), batch.column(0), pa.nulls(n, pa.binary()), batch.column(1), pa.array(tag), *batch.columns[2:], pa.array(part)], names=names)
+
+        struct = [f"carried {of.schema['carried'].dataType.simpleString()}"] if "carried" in of.columns else []
+        names = ["kind", "doc", "data", "text", "tag", *of.columns[2:], "part"]
+        return of.mapInArrow(lean(run), ", ".join(["kind int, doc long, data binary, text string, tag long", *struct, "part int"]))
+
+    def of_documents(blobs: DataFrame, bits, work, out: str, of: DataFrame) -> DataFrame:
         """The documents concerned meet the rows for their part, which come first."""
-        first = blobs.select(F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc"), "data", F.lit(None).cast("string").alias("text"), "part")
-        met = first.union(placed(bits, True)).repartition(parts, "part").sortWithinPartitions("kind")
-        return met.select("kind", "doc", "data", "text").mapInArrow(lean(work), out)
+        second = placed(bits, True, of)
+        nothing = {f.name: F.lit(None).cast(f.dataType) for f in second.schema.fields}
+        first = blobs.select(*[c.alias(n) for n, c in (nothing | {"kind": F.lit(0), "data": F.col("data"), "part": F.col("part")}).items()])
+        met = first.union(second).repartition(parts, "part").sortWithinPartitions("kind")
+        return met.drop("part").mapInArrow(lean(work), out)
 
     def dealt(blobs: DataFrame, work) -> DataFrame:
         return blobs.repartition(parts, "part").mapInArrow(lean(work), schema)
 
+    repeats_bits = concerned(rows.groupBy("doc").count().filter("count > 1 and doc is not null").select("doc"), lambda column: column.to_numpy())
     firsts = materialize(dealt(rows.mapInArrow(lean(runs_of), schema), lambda s: first_runs(s, False)))
     ask = firsts.filter("kind = 'ask'")
-    fetched = of_documents(ask, concerned(ask, _ASK), fetch, schema)
+    fetched = of_documents(ask, concerned(ask.select("data"), in_blobs(_ASK)), fetch, schema, rows)
     compared = materialize(dealt(dealt(fetched, lambda s: first_runs(s, True)), compare))
     cut = firsts.filter("kind = 'cut'").union(compared.filter("kind = 'cut'"))
-    bits = concerned(cut, _CUT)
-    result = "doc long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary"
-    whole = placed(bits, False).select(
-        "doc", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.from_json(F.lit("[]"), "array<struct<begin:long,end:long>>").alias("spans"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("kept")
+    bits = concerned(cut.select("data"), in_blobs(_CUT))
+    result = f"doc long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary, carried {carried.schema['carried'].dataType.simpleString()}"
+    whole = placed(bits, False, carried).select(
+        "doc", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.from_json(F.lit("[]"), "array<struct<begin:long,end:long>>").alias("spans"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("kept"), "carried"
     )
-    return of_documents(cut, bits, finish, result).union(whole).withColumnRenamed("doc", key)
+    found = of_documents(cut, bits, finish, result, carried).union(whole)
+    return found.select(F.col("doc").alias(key), "n_bytes", "spans", "kept", *[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(carry)])

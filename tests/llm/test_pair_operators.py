@@ -134,6 +134,27 @@ def test_repeats_are_exact(spark, anchor_runs):
     assert repeats.remove_repeats(docs.limit(0), length=40, gram=16).count() == 0
 
 
+@pytest.mark.parametrize("anchor_runs", [20_000, 1])
+def test_rows_of_one_key_with_other_texts_are_documents_of_their_own(spark, anchor_runs):
+    """The plain version orders documents by key and by the digest of their text."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop é") for _ in range(n))
+    a, b, c = text(330), text(330), text(90)
+    rows = [(1, a), (2, a), (2, b), (3, b + c), (3, c + a[:200]), (3, c), (3, b + c), (4, a[50:150] + text(40)), (4, b), (2, b), (None, a), (5, None), (5, c * 3)]
+    names = {(i, t): (i, repeats._tag((t or "").encode())) for i, t in rows if i is not None}
+    expected = removed_by_brute_force({n: (t or "").encode() for (i, t), n in names.items()}, 100)
+    docs = spark.createDataFrame([(i, t, n, "x") for n, (i, t) in enumerate(rows)], "doc_id long, text string, row int, `n.bytes` string").repartition(3)
+    out = repeats.remove_repeats(docs, anchor_runs=anchor_runs, carry=["row", "n.bytes"]).collect()
+    assert sorted(r["row"] for r in out) == list(range(len(rows))) and all(r["n.bytes"] == "x" for r in out)
+    for r in out:
+        i, t = rows[r["row"]]
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        keep = ~expected[names[i, t]] if i is not None else np.ones(len(data), bool)
+        assert r["doc_id"] == i and bytes(r["kept"]) == data[keep].tobytes(), r["row"]
+    kept = {r["row"]: bytes(r["kept"]).decode() for r in out}
+    assert kept[0] == a and kept[1] == "" and kept[2] == b  # the text that repeats nothing is whole
+
+
 def test_deep_shallow_sorting_sorts():
     rng = random.Random(2)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 120))) for _ in range(300)] + [b"ab" * 40 + bytes([60 + i % 5]) for i in range(30)] + [b"ab" * 40] * 3
@@ -192,10 +213,30 @@ def test_nearest_takes_many_equal_vectors(spark, monkeypatch):
     assert len(set(got[7]) & set(np.lexsort((np.arange(400), d))[:4].tolist())) >= 3
 
 
+def test_rows_of_one_key_with_other_vectors_are_rows_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "CELL_ROWS", 50)
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 0.0, 1.1]), (9, [0.0, 0.0, 1.0]), (7, [0.0, 1.0, 0.9]), (9, [0.0, 0.0, 1.0])]
+    out = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[2:3], "vec_id long, embedding array<double>"), k=10).collect()
+    got = [(r["rank"], r["vec_id"], round(r["score"], 6)) for r in sorted(out, key=lambda r: r["rank"])]
+    assert got == [(1, 5, 0.1), (2, 7, round(np.sqrt(1.01), 6)), (3, 5, round(np.sqrt(2), 6))]
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 6))
+    ids = np.arange(300) // 2  # each id has two vectors
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    out = nearest.search(table, table.filter("vec_id % 50 = 0"), k=4, confidence=0.9999).collect()
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in out)
+    expected = []
+    for q in np.flatnonzero(ids % 50 == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        expected += [(int(ids[q]), k + 1, int(ids[i]), round(float(d[i]), 9)) for k, i in enumerate(np.lexsort((ids, d))[:4])]
+    assert len(set(found) & set(expected)) >= 0.95 * len(expected) and len(found) == len(expected)
+
+
 def test_tree_verifies_neighbours_until_the_test_holds():
     """With projections that keep every distance, the search is exact and ends early."""
     x = np.random.default_rng(5).normal(size=(3000, 3))
-    tree = nearest.Tree(np.arange(3000), x, x)
+    tree = nearest.Tree(np.arange(3000), np.arange(3000), x, x)
     for q in range(0, 3000, 300):
         found, distance = tree.nearest(q, x[q], x[q], 5, 1.0, 1e300)
         d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
