@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from starfold.llm import jaccard, langid, packing, quality, repeats
 from starfold.llm.common import fold_of
-from starfold.session import shared_folder, ship
+from starfold.session import materialize, shared_folder, ship
 
 #: A document is rejected if its main language has less than this share of it, or if it has no letter.
 LEAST_SHARE = 0.5
@@ -42,19 +42,31 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles with a similarity of 0.8 or more, the one with the smallest id stays."""
+    """Of documents linked by five-word shingles with a similarity of 0.8 or more, the one with the smallest id stays.
+
+    A document is a row: rows that repeat an id with other texts are compared like any others, and of rows
+    that repeat id and text one stays. A null id comes after all others.
+    """
     ship(spark)
-    found = jaccard.join_components(docs, jaccard.Threshold(8, 10), width=5)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_row"))
+    found = jaccard.join_components(rows, jaccard.Threshold(8, 10), width=5, key="_row").select("_row", "component_id").distinct()
+    ids = rows.select("_row", "doc_id")
+    first = found.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    stays = rows.join(first.select("first._row"), "_row", "left_semi")
+    repeated = materialize(ids.groupBy("_row").count().filter("count > 1"))
+    if repeated.limit(1).count():
+        stays = stays.join(repeated, "_row", "left_anti").union(stays.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
+    return stays.select(*COLUMNS)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Characters all of whose bytes are covered by 100-byte strings that occur earlier go; a document left without text goes."""
+    """Characters all of whose bytes are covered by 100-byte strings that occur earlier go; a document left without text goes.
+
+    Rows that repeat an id with other texts are documents of their own; one with a null id stays whole.
+    """
     ship(spark)
-    cleaned = repeats.remove_repeats(docs, length=100, whole_characters=True).select("doc_id", F.col("kept").cast("string").alias("_text")).dropDuplicates(["doc_id"])
-    joined = docs.select("doc_id", "lang", "source").join(cleaned, "doc_id")
-    return joined.filter(F.length("_text") > 0).select("doc_id", F.col("_text").alias("text"), "lang", "source", F.length("_text").cast("long").alias("n_chars"))
+    cleaned = repeats.remove_repeats(docs, length=100, whole_characters=True, carry=["lang", "source"]).withColumn("text", F.col("kept").cast("string"))
+    return cleaned.filter(F.length("text") > 0).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
