@@ -4,7 +4,9 @@ The corpus is dealt to a few shards. If a phrase occurs ``least`` times in all,
 shards it occurs at least ``least / k`` times; so the union of what the shards find at
 that lower support misses nothing. A shard is no task: it grows with the corpus, so its phrases
 are counted by many tasks and a shuffle, level by level, a phrase only where both its
-shorter parts are frequent in the same shard. What was found is sent to the tasks as bits at hashed
+shorter parts are frequent in the same shard. A shard that doesn't find a phrase holds it less often than the lower support,
+which bounds the phrase's whole count: phrases that can't reach ``least`` are left out of the union and of longer phrases.
+What was found is sent to the tasks as bits at hashed
 places, of a size that doesn't grow with the data; two phrases at one place
 cost a needless count and never a result, since the last count is by the phrase itself.
 """
@@ -27,7 +29,7 @@ from starfold.session import materialize, shared_folder
 #: Shards of the corpus, at most 16; binary digits of a filter's places (16 MB); words of a chunk, more only where one document's piece has more.
 SHARDS, FILTER_BITS, CHUNK_WORDS = 10, 27, 1 << 19
 #: Different phrases that a task holds before it sends its counts on.
-HELD = 3_000_000
+HELD = 2_000_000
 #: A hot language's phrases are ranked in this many parts before the parts' best are ranked together.
 RANK_PARTS = 32
 
@@ -121,10 +123,10 @@ def _counts(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _count_level(n: int, below, bits: int):
-    """Chunks -> (gram, n): a task's counts of ``n`` words in a row, where the shard's filter has both parts of n - 1 words."""
+    """Chunks -> (gram, n): a task's counts of ``n`` words in a row, where the filters of the shard and of the union have both parts of n - 1 words."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = None if below is None else np.frombuffer(below.value, np.uint8)
+        frequent = None if below is None else np.frombuffer(below.value, np.uint8).reshape(2, -1)
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,8 @@ def _count_level(n: int, below, bits: int):
                 hashes = _word_hashes(lang, words)[ids]
                 keep = _whole(ids, n)
                 if frequent is not None:
-                    part = _has(frequent, _places(_grams(hashes, n - 1), shard, bits))
+                    grams = _grams(hashes, n - 1)
+                    part = _has(frequent[0], _places(grams, shard, bits)) & _has(frequent[1], _places(grams, None, bits))
                     keep &= part[: len(keep)] & part[1:]
                 if keep.any():
                     held.append(np.unique(_grams(hashes, n)[keep] | np.uint64(shard), return_counts=True))
@@ -189,19 +192,18 @@ def _count_phrases(most: int, union, bits: int):
     return lean(run)
 
 
-def _filters(frequent: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of the shards' filter and of the union's, of frequent grams with their shards; at most 2 ** (bits - 5) longs come to the driver, whatever the data."""
+def _filters(frequent: DataFrame, possible: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the grams frequent in a shard, and of those possible in all, as two rows; at most 2 ** (bits - 5) longs come to the driver, whatever the data."""
     gram = F.col("gram")
-    head = F.shiftrightunsigned(gram, 64 - bits + 4)
-    local = F.shiftleft(head, 4).bitwiseOR(gram.bitwiseAND(F.lit(15)))
-    both = F.explode(F.array(F.struct(F.lit(0).alias("kind"), local.alias("place")), F.struct(F.lit(1).alias("kind"), F.shiftrightunsigned(gram, 64 - bits).alias("place"))))
-    places = frequent.select(both.alias("x")).select("x.kind", "x.place")
-    words = places.groupBy("kind", F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-    found = words.toArrow()
+    head = F.shiftleft(F.shiftrightunsigned(gram, 64 - bits + 4), 4)
+    local = frequent.select(F.lit(0).alias("kind"), head.bitwiseOR(gram.bitwiseAND(F.lit(15))).alias("place"))
+    every = possible.select(F.lit(1).alias("kind"), F.shiftrightunsigned(gram, 64 - bits).alias("place"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+    found = local.union(every).groupBy("kind", F.shiftright("place", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     kind, word, value = (found[c].to_numpy() for c in ("kind", "word", "bits"))
     out = np.zeros((2, 1 << (bits - 6)), np.int64)
     out[kind, word] = value
-    return out[0].view(np.uint8), out[1].view(np.uint8)
+    return out.view(np.uint8)
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int = 4, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -220,12 +222,14 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = 4, lang: str =
     union, below = np.zeros(1 << (bits - 3), np.uint8), None
     for n in range(1, longest + 1):
         counted = chunks.select("lang", "shard", "words", "ids").mapInArrow(_count_level(n, below, bits), "gram long, n long")
-        frequent = counted.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= local)
-        shards, together = _filters(frequent, bits)
-        union |= together
+        frequent = materialize(counted.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= local))
+        elsewhere = (F.lit(SHARDS) - F.count("n")) * (local - 1)  # at most, in shards where it isn't frequent
+        possible = frequent.groupBy(F.col("gram").bitwiseAND(F.lit(~15)).alias("gram")).agg((F.sum("n") + elsewhere).alias("most")).filter(F.col("most") >= least)
+        found = _filters(frequent, possible, bits)
+        union |= found[1]
         if below is not None:
             below.destroy()
-        below = spark.sparkContext.broadcast(shards.tobytes())
+        below = spark.sparkContext.broadcast(found.tobytes())
     every = spark.sparkContext.broadcast(union.tobytes())
     phrases = chunks.select("lang", "words", "ids").mapInArrow(_count_phrases(longest, every, bits), "lang string, phrase string, n long")
     found = phrases.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
