@@ -51,28 +51,78 @@ def _value(text: str) -> object:
     return text or None
 
 
+def has_end(block: bytes) -> bool:
+    """Whether one of a block's cards ends the header."""
+    return any(block[at : at + CARD].rstrip() == b"END" for at in range(0, len(block), CARD))
+
+
+def padded(size: int) -> int:
+    return -(-size // BLOCK) * BLOCK
+
+
+def unit_size(header: dict[str, object]) -> int:
+    """Bytes of a unit's data, without padding."""
+    axes = [int(header.get(f"NAXIS{k + 1}", 0)) for k in range(int(header.get("NAXIS", 0)))]
+    return (int(np.prod(axes)) if axes else 0) * abs(int(header.get("BITPIX", 8))) // 8 + int(header.get("PCOUNT", 0))
+
+
 def hdus(data: bytes) -> Iterator[tuple[dict[str, object], bytes]]:
     """Header and data of each unit."""
     at = 0
     while at < len(data):
         header, start = parse_header(data, at)
-        axes = [int(header.get(f"NAXIS{k + 1}", 0)) for k in range(int(header.get("NAXIS", 0)))]
-        size = (int(np.prod(axes)) if axes else 0) * abs(int(header.get("BITPIX", 8))) // 8 + int(header.get("PCOUNT", 0))
+        size = unit_size(header)
         yield header, data[start : start + size]
-        at = start + -(-size // BLOCK) * BLOCK
+        at = start + padded(size)
 
 
-def table_columns(header: dict[str, object], data: bytes) -> dict[str, np.ndarray]:
-    """Columns of a binary table by name; a repeat count gives a second axis."""
+#: Bytes of the column letters that aren't plain numbers: complex numbers, and descriptors of variable arrays.
+OTHER_BYTES = {"C": 8, "M": 16, "P": 8, "Q": 16}
+
+
+def row_type(header: dict[str, object]) -> np.dtype:
+    """A binary table's row; a repeat count gives a second axis, and columns that aren't plain numbers are bytes."""
     fields = []
     for k in range(1, int(header["TFIELDS"]) + 1):
-        repeat, letter = re.match(r"(\d*)([A-Z])", str(header[f"TFORM{k}"])).groups()
-        n = int(repeat or 1)
+        form = re.match(r"\s*(\d*)([A-Z])", str(header[f"TFORM{k}"]))
+        if form is None or form[2] not in {"A", "X", *NUMBERS, *OTHER_BYTES}:
+            raise ValueError(f"unknown column type {header[f'TFORM{k}']!r}")
+        n, letter = int(form[1] or 1), form[2]
         name = str(header.get(f"TTYPE{k}", f"COLUMN{k}")).strip()
-        fields.append((name, f"S{n}") if letter == "A" else (name, NUMBERS[letter]) if n == 1 else (name, NUMBERS[letter], (n,)))
-    kind = np.dtype({"names": [f[0] for f in fields], "formats": [f[1:] if len(f) > 2 else f[1] for f in fields]})
+        if letter in NUMBERS:
+            fields.append((name, NUMBERS[letter] if n == 1 else (NUMBERS[letter], (n,))))
+        else:
+            fields.append((name, f"S{n}" if letter == "A" else f"V{-(-n // 8) if letter == 'X' else n * OTHER_BYTES[letter]}"))
+    kind = np.dtype({"names": [f[0] for f in fields], "formats": [f[1] for f in fields]})
+    if kind.itemsize != int(header["NAXIS1"]):
+        raise ValueError(f"columns take {kind.itemsize} bytes a row, not {header['NAXIS1']}")
+    return kind
+
+
+def scaled(header: dict[str, object], k: int, values: np.ndarray) -> np.ndarray:
+    """Values of column ``k`` in the machine's byte order, scaled and shifted where the header says so."""
+    values = values.astype(values.dtype.newbyteorder("="))
+    scale, zero = header.get(f"TSCAL{k}", 1), header.get(f"TZERO{k}", 0)
+    if (scale, zero) == (1, 0):
+        return values
+    whole = values.dtype.kind in "iu" and scale == 1 and float(zero).is_integer()
+    return values.astype(np.int64) + int(zero) if whole else values * float(scale) + float(zero)
+
+
+def table_columns(header: dict[str, object], data: bytes) -> dict[str, np.ndarray]:
+    """Columns of a binary table by name."""
+    kind = row_type(header)
     rows = np.frombuffer(data, kind, int(header["NAXIS2"]))
-    return {name: rows[name].astype(rows[name].dtype.newbyteorder("=")) for name in kind.names}
+    return {name: scaled(header, k, rows[name]) for k, name in enumerate(kind.names, 1)}
+
+
+def finite(value: object) -> float | None:
+    """A header's number as a double; null if it isn't a finite one."""
+    try:
+        number = float(value)  # type: ignore[arg-type]
+    except (TypeError, ValueError):
+        return None
+    return number if np.isfinite(number) else None
 
 
 def time_reference(header: dict[str, object]) -> float | None:
@@ -81,17 +131,29 @@ def time_reference(header: dict[str, object]) -> float | None:
     return None if parts == [None, None] else sum(float(p) for p in parts if p is not None)
 
 
+def time_axis_fault(primary: dict[str, object], extension: dict[str, object]) -> str | None:
+    """Why times aren't dynamical days from a stated origin; null if they are. Both units count where both are given."""
+    either = lambda name: extension.get(name) if extension.get(name) is not None else primary.get(name)
+    if str(either("TIMESYS") or "").strip() != "TDB":
+        return "time system isn't TDB"
+    origin = time_reference({k: either(k) for k in ("BJDREFI", "BJDREFF")})
+    if origin is None or not 2.4e6 <= origin <= 2.6e6:
+        return "time reference is missing or out of range"
+    at = next((k for k in range(1, int(extension.get("TFIELDS", 0)) + 1) if str(extension.get(f"TTYPE{k}")).strip() == "TIME"), 1)
+    units = [str(u).strip().lower() for u in (either("TIMEUNIT"), extension.get(f"TUNIT{at}")) if u is not None]
+    if not units:
+        return "no time unit"
+    for unit in units:
+        shifted = re.fullmatch(r"bjd\s*-\s*(\d+(?:\.\d+)?)", unit)
+        if unit not in ("d", "day", "days") and not (shifted and abs(float(shifted[1]) - origin) < 1e-7):
+            return f"time unit {unit!r} isn't days"
+    return None
+
+
 def check_time_axis(header: dict[str, object]) -> None:
     """Dynamical time, an origin within reason, and days as its unit."""
-    origin = time_reference(header)
-    unit = str(header.get("TIMEUNIT") or header.get("TUNIT1") or "").strip()
-    shifted = re.fullmatch(r"BJD\s*-\s*([\d.]+)", unit)
-    if str(header.get("TIMESYS", "")).strip() != "TDB":
-        raise ValueError("time system isn't TDB")
-    if origin is None or not 2.4e6 <= origin <= 2.6e6:
-        raise ValueError("time reference is missing or out of range")
-    if unit not in ("d", "day", "days") and not (shifted and abs(float(shifted[1]) - origin) < 1e-7):
-        raise ValueError(f"time unit {unit!r} isn't days")
+    if fault := time_axis_fault({}, header):
+        raise ValueError(fault)
 
 
 def checksum_status(data: bytes, header: dict[str, object]) -> str:
