@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starfold.queries import QUERIES, SQL, Query, cohort, curves, labels, metrics, searches, sources, studies
+from starfold.queries import QUERIES, SQL, Query, cohort, curves, labels, metrics, searches, sources, streams, studies
 
 
 def queries() -> dict[str, Query]:

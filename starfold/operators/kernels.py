@@ -9,15 +9,15 @@ import numpy as np
 MAD = 1.4826
 
 
-def biweight_trend(t: np.ndarray, x: np.ndarray, use: np.ndarray, window: float) -> np.ndarray:
+def biweight_trend(t: np.ndarray, x: np.ndarray, use: np.ndarray, window: float, at: np.ndarray | None = None) -> np.ndarray:
     """One-step Tukey biweight (c = 6) of the usable points within half a window, both ends included.
 
-    Without points the flux itself; without scatter the median.
+    Without points the flux itself; without scatter the median. Where ``at`` is given, the trend is found there only.
     """
     out = x.astype(float).copy()
     tt, xx = t[use], x[use]
     low, high = np.searchsorted(tt, t - window / 2, "left"), np.searchsorted(tt, t + window / 2, "right")
-    for i in range(len(t)):
+    for i in range(len(t)) if at is None else at:
         near = xx[low[i] : high[i]]
         if not len(near):
             continue
