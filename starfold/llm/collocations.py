@@ -28,8 +28,10 @@ from starfold.session import materialize, shared_folder
 
 #: Shards of the corpus, at most 16; binary digits of a filter's places (16 MB); words of a chunk, more only where one document's piece has more.
 SHARDS, FILTER_BITS, CHUNK_WORDS = 10, 27, 1 << 19
+#: Binary digits of a phrase's hash: two bytes less of each row that is shuffled.
+GRAM_BITS = 48
 #: Different phrases that a task holds before it sends its counts on.
-HELD = 2_000_000
+HELD = 1_000_000
 #: A hot language's phrases are ranked in this many parts before the parts' best are ranked together.
 RANK_PARTS = 32
 
@@ -86,19 +88,19 @@ def _word_hashes(lang: str, words: bytes) -> np.ndarray:
 
 
 def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A hash for the ``n`` words from each place on; its last 4 binary digits are left for a shard's number."""
+    """A hash of 48 binary digits for the ``n`` words from each place on; its last 4 are left for a shard's number."""
     size = max(0, len(hashes) - n + 1)
     out = np.full(size, n, np.uint64)
     for k in range(n):
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + size])
-    return out & ~np.uint64(15)
+    return (out >> np.uint64(64 - GRAM_BITS)) & ~np.uint64(15)
 
 
 def _places(grams: np.ndarray, shard: int | None, bits: int) -> np.ndarray:
     """The place of a gram in the filter of one shard, or of all together."""
     if shard is None:
-        return (grams >> np.uint64(64 - bits)).astype(np.int64)
-    return ((grams >> np.uint64(64 - bits + 4)) << np.uint64(4)).astype(np.int64) | shard
+        return (grams >> np.uint64(GRAM_BITS - bits)).astype(np.int64)
+    return ((grams >> np.uint64(GRAM_BITS - bits + 4)) << np.uint64(4)).astype(np.int64) | shard
 
 
 def _has(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -195,9 +197,9 @@ def _count_phrases(most: int, union, bits: int):
 def _filters(frequent: DataFrame, possible: DataFrame, bits: int) -> np.ndarray:
     """Bits of the grams frequent in a shard, and of those possible in all, as two rows; at most 2 ** (bits - 5) longs come to the driver, whatever the data."""
     gram = F.col("gram")
-    head = F.shiftleft(F.shiftrightunsigned(gram, 64 - bits + 4), 4)
+    head = F.shiftleft(F.shiftright(gram, GRAM_BITS - bits + 4), 4)
     local = frequent.select(F.lit(0).alias("kind"), head.bitwiseOR(gram.bitwiseAND(F.lit(15))).alias("place"))
-    every = possible.select(F.lit(1).alias("kind"), F.shiftrightunsigned(gram, 64 - bits).alias("place"))
+    every = possible.select(F.lit(1).alias("kind"), F.shiftright(gram, GRAM_BITS - bits).alias("place"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
     found = local.union(every).groupBy("kind", F.shiftright("place", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     kind, word, value = (found[c].to_numpy() for c in ("kind", "word", "bits"))
