@@ -15,23 +15,36 @@ def biweight_trend(t: np.ndarray, x: np.ndarray, use: np.ndarray, window: float,
     Without points the flux itself; without scatter the median. Where ``at`` is given, the trend is found there only.
     """
     out = x.astype(float).copy()
-    tt, xx = t[use], x[use]
-    low, high = np.searchsorted(tt, t - window / 2, "left"), np.searchsorted(tt, t + window / 2, "right")
-    for i in range(len(t)) if at is None else at:
-        near = xx[low[i] : high[i]]
-        if not len(near):
-            continue
-        m = np.median(near)
-        s = np.median(np.abs(near - m))
-        if s < 1e-12:
-            out[i] = m
-            continue
-        u = (near - m) / (6 * s)
-        w = np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0)
-        out[i] = (w * near).sum() / w.sum() if w.sum() > 0 else m
+    tt, xx = t[use], x[use].astype(float)
+    rows = np.arange(len(t)) if at is None else np.asarray(at)
+    low, high = np.searchsorted(tt, t[rows] - window / 2, "left"), np.searchsorted(tt, t[rows] + window / 2, "right")
+    some = high > low
+    rows, low, count = rows[some], low[some], (high - low)[some]
+    start = 0
+    while start < len(rows):
+        stop = start + max(1, _WINDOWS_AT_ONCE // int(count[start : start + 256].max()))
+        stop = min(stop, start + 256, len(rows))
+        c, each = count[start:stop], np.arange(stop - start)
+        column = np.arange(int(c.max()))[None]
+        inside = column < c[:, None]
+        near = xx[np.minimum(low[start:stop, None] + column, len(xx) - 1)]
+        middle = lambda v: 0.5 * (v[each, (c - 1) // 2] + v[each, c // 2])  # noqa: B023, E731
+        m = middle(np.sort(np.where(inside, near, np.inf), axis=1))
+        off = near - m[:, None]
+        s = middle(np.sort(np.where(inside, np.abs(off), np.inf), axis=1))
+        u = off / (6 * np.maximum(s, 1e-12))[:, None]
+        w = np.where(inside & (np.abs(u) < 1), (1 - u * u) ** 2, 0.0)
+        total = w.sum(axis=1)
+        flat = (s < 1e-12) | (total <= 0)
+        out[rows[start:stop]] = np.where(flat, m, (w * near).sum(axis=1) / np.where(flat, 1.0, total))
+        start = stop
     return out
 
 
+#: Values of windows that are held at once.
+_WINDOWS_AT_ONCE = 1 << 17
+
+
 def interpolated_trend(t: np.ndarray, x: np.ndarray, use: np.ndarray, window: float) -> np.ndarray:
     """The biweight trend where a whole window has usable points, interpolated elsewhere: near the ends, and within masked stretches.
 
@@ -64,13 +77,19 @@ def duration_grid(least: float, most: float, count: int, least_period: float) ->
     return np.geomspace(least, top if top > least else 1.5 * least, count)
 
 
-def period_grid(baseline: float, least: float, most: float, least_duration: float, factor: float = 1.0, budget: int | None = None) -> np.ndarray:
-    """Periods, rising, uniform in frequency with steps of factor * duration / baseline**2."""
-    step = factor * least_duration / baseline**2
-    n = int(np.floor((1 / least - 1 / most) / step)) + 1
+def period_count(baseline: float, least: float, most: float, least_duration: float, factor: float = 1.0) -> int:
+    """How many periods ``period_grid`` has."""
+    if not baseline > 0 or most < least:
+        return 0
+    return int(np.floor((1 / least - 1 / most) / (factor * least_duration / baseline**2))) + 1
+
+
+def period_grid(baseline: float, least: float, most: float, least_duration: float, factor: float = 1.0, budget: int | None = None, at: slice = slice(None)) -> np.ndarray:
+    """Periods, rising, uniform in frequency with steps of factor * duration / baseline**2; ``at`` picks a part of them."""
+    n = period_count(baseline, least, most, least_duration, factor)
     if budget is not None and n > budget + 1:
         raise ValueError(f"{n} trial periods exceed the budget of {budget}")
-    return (1 / (1 / least - np.arange(n) * step))[: max(n, 0)]
+    return 1 / (1 / least - np.arange(n)[at] * (factor * least_duration / baseline**2)) if n else np.zeros(0)
 
 
 @dataclass
@@ -85,39 +104,98 @@ class Bls:
     snr: float
 
 
-def box_least_squares(t: np.ndarray, x: np.ndarray, error: np.ndarray | None, periods: np.ndarray, durations: np.ndarray, oversample: int = 3) -> Bls:
-    """Weighted box search: for each period the box, over phase and duration, of largest likelihood gain.
+def _time_cells(t: np.ndarray, w: np.ndarray, wx: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over cells of time, each at the weighted mean of its times; ``t`` is in order."""
+    cell = np.floor((t - t[0]) / width)
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    if len(starts) == len(t):
+        return t, w, wx
+    sums = np.add.reduceat(w, starts)
+    return np.add.reduceat(w * t, starts) / sums, sums, np.add.reduceat(wx, starts)
 
-    Phase bins are a fraction of the least duration; boxes are runs of bins, wrapped around. Only dips count.
+
+#: Of what is held at once: cells times periods, and phase bins times periods.
+_CELLS_AT_ONCE, _BINS_AT_ONCE = 1 << 19, 1 << 18
+
+
+def box_powers(t: np.ndarray, x: np.ndarray, error: np.ndarray | None, periods: np.ndarray, durations: np.ndarray, oversample: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(power, depth, duration, epoch) at each period: of the box, over phase and duration, of largest likelihood gain.
+
+    Phase bins are the least duration over ``oversample`` wide, the last of a period narrower; boxes are runs of bins, wrapped
+    around. Cadences are summed first over cells of half a bin in time. Only dips count; equal gains go to the
+    shorter duration, then to the earlier phase. Many periods are folded at once, so a call costs about cells times periods.
     """
-    w = np.ones(len(x)) if error is None else 1 / np.maximum(error, 1e-12) ** 2
+    order = np.argsort(t, kind="stable")
+    t, x = t[order], x[order]
+    w = np.ones(len(x)) if error is None else 1 / np.maximum(error[order], 1e-12) ** 2
     w = w / w.sum()
-    mean = (w * x).sum()
-    wx = w * (x - mean)
-    n_out = [np.zeros(len(periods)) for _ in range(4)]
-    power, depth, width, epoch = n_out
-    step = durations.min() / oversample
-    t0 = t.min()
-    for k, p in enumerate(periods):
-        bins = max(int(np.ceil(p / step)), 4)
-        at = np.minimum(((t - t0) % p / p * bins).astype(int), bins - 1)
-        sw, sx = np.bincount(at, w, bins), np.bincount(at, wx, bins)
-        cw, cx = np.concatenate([[0], np.cumsum(np.tile(sw, 2))]), np.concatenate([[0], np.cumsum(np.tile(sx, 2))])
-        for d in durations:
-            m = max(int(round(d / p * bins)), 1)
-            if m >= bins:
-                continue
-            a, b = cw[m : m + bins] - cw[:bins], cx[m : m + bins] - cx[:bins]
-            good = (a > 1e-9) & (a < 1 - 1e-9) & (b < 0)
-            gain = np.where(good, b * b / np.where(good, a * (1 - a), 1), 0)
-            i = int(np.argmax(gain))
-            if gain[i] > power[k]:
-                power[k], depth[k], width[k], epoch[k] = gain[i], -b[i] / (a[i] * (1 - a[i])), d, t0 + ((i + m / 2) / bins * p) % p
+    step, t0 = durations.min() / oversample, t[0]
+    tt, w, wx = _time_cells(t, w, w * (x - (w * x).sum()), step / 2)
+    tt = tt - t0
+    runs = np.maximum(np.rint(durations / step).astype(int), 1)
+    bins = np.maximum(np.ceil(periods / step - 1e-9).astype(int), 1)
+    power, depth, width, epoch = (np.zeros(len(periods)) for _ in range(4))
+    at_once = max(1, _CELLS_AT_ONCE // len(tt))
+    weights, fluxes = np.tile(w, at_once), np.tile(wx, at_once)
+    lo = 0
+    while lo < len(periods):
+        hi = min(lo + at_once, len(periods))
+        hi = max(lo + 1, min(hi, lo + _BINS_AT_ONCE // (int(bins[lo:hi].max()) + int(runs.max()))))
+        p, n = periods[lo:hi], bins[lo:hi]
+        k, most = hi - lo, int(n.max())
+        stride = most + int(runs.max())
+        cycle = np.multiply.outer(1 / p, tt)
+        cycle -= np.floor(cycle)
+        cycle *= (p / step)[:, None]
+        at = cycle.astype(np.int32)
+        np.minimum(at, (n - 1).astype(np.int32)[:, None], out=at)
+        at += (np.arange(k, dtype=np.int32) * stride)[:, None]
+        at = at.ravel()
+        wrap = np.arange(stride)[None] % n[:, None]
+        sums = []
+        for v in (weights, fluxes):
+            own = np.bincount(at, v[: len(at)], k * stride).reshape(k, stride)
+            total = np.zeros((k, stride + 1))
+            np.cumsum(np.take_along_axis(own, wrap, axis=1), axis=1, out=total[:, 1:])
+            sums.append(total)
+        cw, cx = sums
+        beyond = np.arange(most)[None] >= n[:, None]
+        rows = np.arange(k)
+        for d, m in zip(durations, runs, strict=True):
+            a, b = cw[:, m : m + most] - cw[:, :most], cx[:, m : m + most] - cx[:, :most]
+            room = a * (1 - a)
+            bad = (room <= 1e-9) | (b >= 0) | beyond
+            bad[m >= n] = True
+            room[bad] = 1.0
+            gain = b * b
+            gain /= room
+            gain[bad] = 0.0
+            i = gain.argmax(axis=1)
+            g = gain[rows, i]
+            better = np.flatnonzero(g > power[lo:hi])
+            if len(better):
+                j, r = i[better], better + lo
+                power[r], width[r] = g[better], d
+                depth[r] = -b[better, j] / room[better, j]
+                epoch[r] = (t0 + (j + m / 2) * step) % periods[r]
+        lo = hi
+    return power, depth, width, epoch
+
+
+def box_snr(t: np.ndarray, x: np.ndarray, period: float, epoch: float, duration: float, depth: float) -> float:
+    """The depth over the scatter of as many cadences as lie in events."""
+    inside = np.abs((t - epoch + period / 2) % period - period / 2) <= duration / 2
+    noise = x.std() / np.sqrt(max(inside.sum(), 1))
+    return max(float(depth / noise), 0.0) if noise > 0 else 0.0
+
+
+def box_least_squares(t: np.ndarray, x: np.ndarray, error: np.ndarray | None, periods: np.ndarray, durations: np.ndarray, oversample: int = 3) -> Bls:
+    """The periodogram of ``box_powers``, with its peak's efficiency and SNR."""
+    power, depth, width, epoch = box_powers(t, x, error, periods, durations, oversample)
     best = int(np.argmax(power))
     spread = power.std()
-    inside = np.abs((t - epoch[best] + periods[best] / 2) % periods[best] - periods[best] / 2) <= width[best] / 2
-    noise = x.std() / np.sqrt(max(inside.sum(), 1))
-    return Bls(periods, power, depth, width, epoch, best, (power[best] - power.mean()) / spread if spread > 0 else 0.0, max(depth[best] / noise, 0.0) if noise > 0 else 0.0)
+    snr = box_snr(t, x, periods[best], epoch[best], width[best], depth[best])
+    return Bls(periods, power, depth, width, epoch, best, (power[best] - power.mean()) / spread if spread > 0 else 0.0, snr)
 
 
 def lomb_scargle(t: np.ndarray, x: np.ndarray, frequencies: np.ndarray, error: np.ndarray | None = None) -> np.ndarray:
@@ -310,35 +388,106 @@ def fit_physical(t: np.ndarray, x: np.ndarray, error: np.ndarray, epoch: float,
     return found, float((r * r).sum() + 5 * np.log(len(t))), good
 
 
-def find_candidates(t: np.ndarray, x: np.ndarray, error: np.ndarray | None, most: int, least_snr: float, least: float, largest: float, least_duration: float, most_duration: float, durations: int = 8, budget: int | None = 4000, trials: int | None = None) -> list[dict]:
-    """Up to ``most`` dips: search, measure, hide, search again; ends below the SNR or under 100 open cadences (half, if fewer than 200).
+@dataclass(frozen=True)
+class Grid:
+    """Trial periods and durations (days) of a search. ``largest`` null: half the baseline. ``budget``: periods at most, null: any number."""
 
-    A grid of more periods than ``budget`` is an error. ``trials`` asks for a coarser search instead: at most
-    so many periods, evenly spaced in frequency over the same range.
-    """
+    least: float = 0.3
+    largest: float | None = None
+    least_duration: float = 0.5 / 24
+    most_duration: float = 12.0 / 24
+    durations: int = 15
+    factor: float = 5.0
+    budget: int | None = None
+
+    def top(self, baseline: float) -> float:
+        return max(self.least + 0.1, 0.5 * baseline) if self.largest is None else self.largest
+
+    def count(self, baseline: float) -> int:
+        return period_count(baseline, self.least, self.top(baseline), self.least_duration, self.factor)
+
+    def periods(self, baseline: float, at: slice = slice(None)) -> np.ndarray:
+        return period_grid(baseline, self.least, self.top(baseline), self.least_duration, self.factor, None, at)
+
+    def widths(self) -> np.ndarray:
+        return duration_grid(self.least_duration, self.most_duration, self.durations, self.least)
+
+    def fault(self, cadences: int, baseline: float, fewest: int) -> str | None:
+        """Why a series isn't searched."""
+        if cadences < fewest:
+            return "too_few_cadences"
+        if not baseline > 0 or not self.count(baseline):
+            return "no_trial_periods"
+        return "grid_exceeds_budget" if self.budget is not None and self.count(baseline) > self.budget + 1 else None
+
+
+@dataclass
+class Peak:
+    """The largest power of a part of a periodogram, and the sums that parts add up to; parts join to what the whole would give."""
+
+    power: float = 0.0
+    period: float = 0.0
+    epoch: float = 0.0
+    duration: float = 0.0
+    depth: float = 0.0
+    n: int = 0
+    total: float = 0.0
+    squares: float = 0.0
+
+    @classmethod
+    def of(cls, t: np.ndarray, x: np.ndarray, error: np.ndarray | None, periods: np.ndarray, durations: np.ndarray) -> Peak:
+        power, depth, width, epoch = box_powers(t, x, error, periods, durations)
+        if not len(power):
+            return cls()
+        k = int(np.argmax(power))
+        return cls(float(power[k]), float(periods[k]), float(epoch[k]), float(width[k]), float(depth[k]), len(power), float(power.sum()), float((power * power).sum()))
+
+    def joined(self, later: Peak) -> Peak:
+        """This part and one of longer periods; equal powers go to the shorter period."""
+        first = self if self.power >= later.power else later
+        return Peak(first.power, first.period, first.epoch, first.duration, first.depth, self.n + later.n, self.total + later.total, self.squares + later.squares)
+
+    def sde(self) -> float:
+        mean = self.total / max(self.n, 1)
+        spread = np.sqrt(max(self.squares / max(self.n, 1) - mean * mean, 0.0))
+        return float((self.power - mean) / spread) if spread > 1e-12 * max(self.power, 1e-300) else 0.0
+
+
+def next_candidate(t: np.ndarray, x: np.ndarray, hidden: np.ndarray, peak: Peak, number: int, least_snr: float) -> tuple[dict | None, np.ndarray, np.ndarray]:
+    """(candidate, flux, hidden): the peak as a candidate with its events hidden, or nothing if it isn't one."""
+    snr = box_snr(t, x, peak.period, peak.epoch, peak.duration, peak.depth) if peak.power > 0 else 0.0
+    if peak.power <= 0 or snr < least_snr:
+        return None, x, hidden
+    near = phase(t, peak.epoch, peak.period)
+    cycle = np.rint((t - peak.epoch) / peak.period).astype(int)
+    _, counts = np.unique(cycle[np.abs(near) <= peak.duration / 2], return_counts=True)
+    events = int((counts >= 3).sum())
+    flags = ["single_event"] if events <= 1 else ["weak_events"] if events < 3 else []
+    found = {"candidate": number, "period": peak.period, "epoch": peak.epoch, "duration": peak.duration, "depth": peak.depth, "events": events, "snr": snr, "sde": peak.sde(), "aliases": [round(peak.period / 2, 6), round(2 * peak.period, 6)], "flags": flags}
+    mask = np.abs(near) <= 0.75 * peak.duration
+    return found, np.where(mask, 1.0, x), hidden | mask
+
+
+def enough_open(hidden: np.ndarray) -> bool:
+    """A search goes on while 100 cadences are open; half of them, if there are fewer than 200."""
+    return int((~hidden).sum()) >= min(100, len(hidden) // 2)
+
+
+def find_candidates(t: np.ndarray, x: np.ndarray, error: np.ndarray | None, most: int, least_snr: float, grid: Grid, fewest: int = 50) -> tuple[list[dict], str]:
+    """Up to ``most`` dips of one series, and its status: search, measure, hide, search again; ends below the SNR."""
+    baseline = float(np.ptp(t)) if len(t) else 0.0
+    if fault := grid.fault(len(t), baseline, fewest):
+        return [], fault
     y, hidden, out = x.copy(), np.zeros(len(t), bool), []
-    grid = duration_grid(least_duration, most_duration, durations, least)
-    periods = period_grid(float(np.ptp(t)), least, largest, least_duration, budget=budget if trials is None else None)
-    if trials is not None and len(periods) > trials:
-        periods = 1 / np.linspace(1 / periods[0], 1 / periods[-1], trials)
+    periods, widths = grid.periods(baseline), grid.widths()
     for k in range(most):
-        if (~hidden).sum() < min(100, len(t) // 2):
+        if not enough_open(hidden):
             break
-        b = box_least_squares(t, y, error, periods, grid)
-        p, e, d, depth = (float(v[b.best]) for v in (b.periods, b.epoch, b.duration, b.depth))
-        if b.power[b.best] <= 0 or b.snr < least_snr:
+        found, y, hidden = next_candidate(t, y, hidden, Peak.of(t, y, error, periods, widths), k + 1, least_snr)
+        if found is None:
             break
-        near = phase(t, e, p)
-        inside = np.abs(near) <= d / 2
-        cycle = np.rint((t - e) / p).astype(int)
-        _, counts = np.unique(cycle[inside], return_counts=True)
-        events = int((counts >= 3).sum())
-        flags = ["single_event"] if events <= 1 else ["weak_events"] if events < 3 else []
-        out.append({"candidate": k + 1, "period": p, "epoch": e, "duration": d, "depth": depth, "events": events, "snr": b.snr, "sde": b.sde, "aliases": [round(p / 2, 6), round(2 * p, 6)], "flags": flags})
-        mask = np.abs(near) <= 0.75 * d
-        y = np.where(mask, 1.0, y)
-        hidden |= mask
-    return out
+        out.append(found)
+    return out, "searched"
 
 
 def lttb(t: np.ndarray, x: np.ndarray, count: int) -> np.ndarray:

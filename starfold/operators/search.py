@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from starfold.functions import series as S
 from starfold.operators import kernels as K
@@ -74,16 +77,80 @@ def lomb_scargle_best(prep: DataFrame, least_period: float, samples: int = 5) ->
 
 
 CANDIDATE = "target_id long, candidate int, period double, epoch double, duration double, depth double, events int, snr double, sde double, aliases array<double>, flags array<string>"
+_FOUND = CANDIDATE.split(", ", 1)[1].replace(", ", ",").replace(" ", ":")
+_SERIES = "target_id long, n long, t binary, x binary, error binary, hidden binary"
+_STATE = f"{_SERIES}, status string, open boolean, found array<struct<{_FOUND}>>"
+_PEAK = ("power", "period", "epoch", "duration", "depth", "n", "total", "squares")
 
+#: Trial periods that a task searches for one target: a series goes once to each block of its grid.
+PERIOD_BLOCK = 8192
 
-def candidates(prep: DataFrame, flux: str = "flux_norm", most: int = 2, least_snr: float = 6.0, **grid) -> DataFrame:
-    """Up to ``most`` periodic dips of each target; see ``kernels.find_candidates`` for the grid."""
 
-    def work(p: pd.DataFrame) -> pd.DataFrame:
-        found = K.find_candidates(p["time_days"].to_numpy(), p[flux].to_numpy(), None, most, least_snr, **grid) if len(p) >= 50 else []
-        return pd.DataFrame([{"target_id": p["target_id"].iloc[0]} | c for c in found], columns=[c.split()[0] for c in CANDIDATE.split(", ")])
+def searched(prep: DataFrame, flux: str = "flux_norm", most: int = 2, least_snr: float = 6.0, grid: K.Grid = K.Grid(), error: str | None = None, fewest: int = 50) -> DataFrame:
+    """(target_id, status, found): every target once, with its candidates, or why it wasn't searched: ``too_few_cadences``,
+    ``no_trial_periods`` or ``grid_exceeds_budget``; one target's fault leaves the others alone.
+
+    A series is packed into one row. In each of ``most`` rounds it goes once to every block of PERIOD_BLOCK trial periods, which are tasks
+    of their own; their peaks meet again by target, where the best becomes a candidate and its events are hidden.
+    """
+    size = PERIOD_BLOCK
+    whole, partial = (to_arrow_schema(_parse_datatype_string(s)) for s in (_STATE, _PARTIAL))
+
+    def pack(p: pd.DataFrame) -> pd.DataFrame:
+        part = lambda c: p[c].to_numpy(float).tobytes()
+        baseline = float(np.ptp(p["time_days"])) if len(p) else 0.0
+        fault = grid.fault(len(p), baseline, fewest)
+        row = {"target_id": p["target_id"].iloc[0], "n": 0 if fault else grid.count(baseline), "t": part("time_days"), "x": part(flux), "error": part(error) if error else None, "hidden": np.zeros(len(p), bool).tobytes(), "status": fault or "searched", "open": not fault, "found": []}
+        return pd.DataFrame([row])
 
-    return by_target(prep, work, CANDIDATE)
+    def series(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        number = lambda c: np.frombuffer(row[c], float)
+        return number("t"), number("x"), number("error") if row["error"] is not None else None
+
+    def peaks(stream):
+        widths = grid.widths()
+        for batch in stream:
+            for row in batch.to_pylist():
+                peak = K.Peak()
+                if row["open"]:
+                    t, x, e = series(row)
+                    at = slice(row["block"] * size, (row["block"] + 1) * size)
+                    peak = K.Peak.of(t, x, e, grid.periods(float(np.ptp(t)), at), widths)
+                if row["block"]:  # the first block carries the series on
+                    row |= {c: None for c in ("t", "x", "error", "hidden", "found", "status")}
+                yield pa.RecordBatch.from_pylist([row | {f"p_{k}": getattr(peak, k) for k in _PEAK}], schema=partial)
+
+    def measure(number: int):
+        def run(table: pa.Table) -> pa.Table:
+            rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+            state = {k: v for k, v in rows[0].items() if k != "block" and not k.startswith("p_")}
+            if state["open"]:
+                peak = K.Peak()
+                for r in rows:
+                    peak = peak.joined(K.Peak(*(r[f"p_{k}"] for k in _PEAK)))
+                t, x, _ = series(state)
+                found, x, hidden = K.next_candidate(t, x, np.frombuffer(state["hidden"], bool), peak, number, least_snr)
+                state |= {"x": x.tobytes(), "hidden": hidden.tobytes(), "found": state["found"] + ([found] if found else []), "open": found is not None and K.enough_open(hidden)}
+            return pa.Table.from_pylist([state], schema=whole)
+
+        return run
+
+    parts = int(prep.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    state = by_target(prep, pack, _STATE)
+    for number in range(1, most + 1):
+        blocks = F.explode(F.sequence(F.lit(0), F.when(F.col("open"), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / size).cast("int"))).otherwise(0)))
+        dealt = state.withColumn("block", blocks).repartition(parts, "target_id", "block")
+        state = spread(dealt.mapInArrow(peaks, _PARTIAL), "target_id").groupBy("target_id").applyInArrow(measure(number), _STATE)
+    return state.select("target_id", "status", "found")
+
+
+_PARTIAL = f"{_STATE}, block int, " + ", ".join(f"p_{k} {'long' if k == 'n' else 'double'}" for k in _PEAK)
+
+
+def candidates(prep: DataFrame, flux: str = "flux_norm", most: int = 2, least_snr: float = 6.0, grid: K.Grid = K.Grid(), error: str | None = None, fewest: int = 50) -> DataFrame:
+    """Up to ``most`` periodic dips of each target, a row each; ``searched`` says what became of the others."""
+    found = searched(prep, flux, most, least_snr, grid, error, fewest)
+    return found.select("target_id", F.explode("found").alias("c")).select("target_id", "c.*")
 
 
 def _noise(x: np.ndarray) -> np.ndarray:

@@ -52,10 +52,9 @@ def injection_trials(trials: DataFrame, days: float, per_day: int, noise: float,
                 rng = np.random.default_rng(int(r.trial_id))
                 t = np.linspace(0, days, int(days * per_day))
                 x = K.trapezoid(t, 0.3 * r.period, r.period, r.depth, 0.2, 0.2) + rng.normal(0, noise, len(t))
-                try:
-                    found = K.find_candidates(t, x, None, 1, least_snr, 1.0, days / 2, 0.1, 0.3, durations=3, trials=400)
-                except ValueError as why:
-                    rows.append((r.trial_id, r.period, r.depth, None, None, str(why), False))
+                found, status = K.find_candidates(t, x, None, 1, least_snr, K.Grid(1.0, days / 2, 0.1, 0.3, 3))
+                if status != "searched":
+                    rows.append((r.trial_id, r.period, r.depth, None, None, status, False))
                     continue
                 best = found[0] if found else None
                 near = bool(best and any(abs(best["period"] / (k * r.period) - 1) < 0.02 for k in (0.5, 1, 2)))

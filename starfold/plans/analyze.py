@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starfold.operators import prepare, search, transit
+from starfold.operators.kernels import Grid
 
 
 @dataclass(frozen=True)
@@ -17,11 +18,12 @@ class Settings:
     quality_mask: int = 0x0BEE
     window_days: float = 0.75
     least_period: float = 0.3
-    most_period: float = 15.0
+    most_period: float | None = None  # half the series' length
     least_hours: float = 0.5
     most_hours: float = 12.0
     durations: int = 15
-    trials: int | None = 4000  # periods of a search, evenly spaced in frequency; None: the whole grid, an error beyond its budget
+    frequency_factor: float = 5.0
+    most_trials: int | None = None  # a target whose grid has more periods isn't searched, and its status says so
     candidates: int = 1
     least_snr: float = 6.0
     least_cadences: int = 200
@@ -30,9 +32,10 @@ class Settings:
 
 
 def analyze(curve: DataFrame, settings: Settings = Settings()) -> dict[str, DataFrame]:
-    """``status``, ``prepared``, ``candidates``, ``fits`` and ``features`` of all targets, lazily.
+    """``status``, ``prepared``, ``search``, ``candidates``, ``fits`` and ``features`` of all targets, lazily.
 
-    Targets with too few cadences, or over too short a time, have the status insufficient_data and go no further.
+    Targets with too few cadences, or over too short a time, have the status insufficient_data and go no further;
+    ``search`` has one row for each of the others, with what it found or why it wasn't searched.
     """
     s = settings
     flagged = prepare.quality_flags(curve, s.quality_mask, s.sigma)
@@ -42,7 +45,9 @@ def analyze(curve: DataFrame, settings: Settings = Settings()) -> dict[str, Data
     prep = prepare.normalize(prepare.segments(enough.filter("exclusion_flags = 0"), s.gap_days))
     flat = search.detrended(prep, s.window_days).select("target_id", "cadence", "flux_detrended")
     series = prep.join(flat, ["target_id", "cadence"]).withColumnsRenamed({"flux_norm": "flux_delivered", "flux_detrended": "flux_norm"})
-    found = search.candidates(series, "flux_norm", s.candidates, s.least_snr, least=s.least_period, largest=s.most_period, least_duration=s.least_hours / 24, most_duration=s.most_hours / 24, durations=s.durations, trials=s.trials)
+    grid = Grid(s.least_period, s.most_period, s.least_hours / 24, s.most_hours / 24, s.durations, s.frequency_factor, s.most_trials)
+    outcome = search.searched(series, "flux_norm", s.candidates, s.least_snr, grid)
+    found = outcome.select("target_id", F.explode("found").alias("c")).select("target_id", "c.*")
     fits = search.refined(series, found)
     spectral = search.lomb_scargle_best(series, s.least_period).select("target_id", F.col("best_period").alias("ls_period"), F.col("peak_power").alias("ls_power"))
     snr = found.filter("candidate = 1").select("target_id", "snr")
@@ -50,4 +55,4 @@ def analyze(curve: DataFrame, settings: Settings = Settings()) -> dict[str, Data
     for c in ("centroid_column", "centroid_row"):
         if c not in series.columns:
             series = series.withColumn(c, F.lit(None).cast("double"))
-    return {"status": status, "prepared": series, "candidates": found, "fits": fits, "features": transit.feature_vector(transit.folded(series, known))}
+    return {"status": status, "prepared": series, "search": outcome, "candidates": found, "fits": fits, "features": transit.feature_vector(transit.folded(series, known))}

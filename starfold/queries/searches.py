@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from starfold.functions import series as S
+from starfold.operators import kernels as K
 from starfold.operators import prepare as P
 from starfold.operators import search as X
 from starfold.queries import query
@@ -91,24 +92,25 @@ def planted(spark, d):
     return x.withColumn("flux_norm", (1 + (F.col("flux_norm") - 1) * 0.002) * dip).drop("epoch", "period", "duration")
 
 
-GRID = {"least": 15.0, "largest": 65.0, "least_duration": 3.0, "most_duration": 7.0, "durations": 4, "trials": 1500}
+#: Every trial period of the grid: some 20,000 for a curve of seven years.
+GRID = K.Grid(least=15.0, largest=65.0, least_duration=3.0, most_duration=7.0, durations=4)
 
 
 @query()
 def candidate_search(spark, d):
-    return rounded(X.candidates(planted(spark, d), most=2, **GRID))
+    return rounded(X.candidates(planted(spark, d), most=2, grid=GRID))
 
 
 @query()
 def trapezoid_fit(spark, d):
     p = planted(spark, d)
-    return rounded(X.refined(p, X.candidates(p, most=1, **GRID)))
+    return rounded(X.refined(p, X.candidates(p, most=1, grid=GRID)))
 
 
 @query()
 def bootstrap_intervals(spark, d):
     p = planted(spark, d)
-    return rounded(X.bootstrap(p, X.refined(p, X.candidates(p, most=1, **GRID)), replicates=12))
+    return rounded(X.bootstrap(p, X.refined(p, X.candidates(p, most=1, grid=GRID)), replicates=12))
 
 
 @query()

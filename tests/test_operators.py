@@ -1,5 +1,7 @@
 """Light-curve operators on small inputs with known results."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -73,7 +75,8 @@ def signal(days=25, noise=3e-4, seed=1):
 
 def test_two_signals_are_found():
     t, x = signal()
-    found = kernels.find_candidates(t, x, None, 2, 6.0, 1.0, 12.0, 0.05, 0.25, trials=3000)
+    found, status = kernels.find_candidates(t, x, None, 2, 6.0, kernels.Grid(1.0, 12.0, 0.05, 0.25, 8))
+    assert status == "searched"
     assert sorted(round(c["period"], 1) for c in found) == [2.5, 6.0]
     assert all(c["events"] >= 2 and len(c["aliases"]) == 2 for c in found)
 
@@ -228,20 +231,24 @@ def test_analysis_end_to_end(spark):
     t, x = signal(12)
     rows = [(k, i, float(a), float(b) * 1000, 0) for k in (1, 2) for i, (a, b) in enumerate(zip(t, x, strict=True))] + [(3, i, float(i), 5.0, 0) for i in range(20)]
     c = spark.createDataFrame(rows, "target_id long, cadence long, time_days double, flux double, quality long")
-    out = analyze(c, Settings(least_period=1.0, most_period=6.0, trials=1500, durations=5, window_days=1.5))
+    out = analyze(c, Settings(least_period=1.0, most_period=6.0, durations=5, window_days=1.5))
     assert {r["target_id"]: r["status"] for r in out["status"].collect()} == {1: "ok", 2: "ok", 3: "insufficient_data"}
     fits_ = {r["target_id"]: r for r in out["fits"].collect()}
     assert set(fits_) == {1, 2} and abs(fits_[1]["period"] - 2.5) < 0.02
     assert out["features"].count() == 2
 
 
-def test_a_period_grid_over_budget_is_an_error_unless_a_coarser_one_is_asked_for():
+def test_a_period_grid_over_budget_is_a_status():
     t = np.linspace(0, 30, 3000)
     x = 1 - 0.01 * (np.abs(kernels.phase(t, 1.0, 3.0)) < 0.1)
+    grid = kernels.Grid(1.0, 10.0, 0.1, 0.3, 8)
+    assert kernels.find_candidates(t, x, None, 1, 5.0, replace(grid, budget=50)) == ([], "grid_exceeds_budget")
+    assert kernels.find_candidates(t[:40], x[:40], None, 1, 5.0, grid) == ([], "too_few_cadences")
+    assert kernels.find_candidates(np.ones(99), np.ones(99), None, 1, 5.0, grid) == ([], "no_trial_periods")
+    found, status = kernels.find_candidates(t, x, None, 1, 5.0, grid)
+    assert status == "searched" and abs(found[0]["period"] - 3.0) < 0.05
     with pytest.raises(ValueError, match="exceed the budget"):
-        kernels.find_candidates(t, x, None, 1, 5.0, 1.0, 10.0, 0.1, 0.3, budget=50)
-    found = kernels.find_candidates(t, x, None, 1, 5.0, 1.0, 10.0, 0.1, 0.3, budget=50, trials=800)
-    assert abs(found[0]["period"] - 3.0) < 0.05
+        kernels.period_grid(30, 1.0, 10.0, 0.1, budget=50)
 
 
 def test_events_reach_intervals_however_wide_their_uncertainty(spark):
