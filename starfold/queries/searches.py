@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from starfold.functions import series as S
+from starfold.functions import tables
 from starfold.operators import kernels as K
 from starfold.operators import prepare as P
 from starfold.operators import search as X
-from starfold.queries import query
+from starfold.queries import SQL, query
 from starfold.queries.curves import EVENTS_PREP, EVENTS_SQL, FOLD_SQL, LINEITEM_SQL, lineitem_fold, rounded, supplier_candidates
 from starfold.sources.tables import events_curve, lineitem_curve, table
 from starfold.streaming import sessions as stream
@@ -201,6 +202,14 @@ def combined_preparation(spark, d):
     return rounded(X.stitch(c.withColumn("flux_norm", F.col("flux") / F.col("_m"))).select("target_id", "product_id", "cadence", "flux_norm", "place"))
 
 
+@query(SQL["biweight_trend"])
+def table_function_trend(spark, d):
+    """The trend by its table function, from SQL."""
+    wide_prep(spark, d).createOrReplaceTempView("starfold_wide_prep")
+    call = "sliding_trend(TABLE(starfold_wide_prep) PARTITION BY target_id ORDER BY (time_days, cadence), key => 'target_id', flux => 'flux_norm', id => 'cadence', window => 3.0D, gap => 2.0D)"
+    return rounded(tables.register(spark).sql(f"SELECT target_id, row AS cadence, trend, flux_detrended FROM {call}"))
+
+
 # --- streams ----------------------------------------------------------------------------
 
 
