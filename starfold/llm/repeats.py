@@ -362,6 +362,17 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[new], end[last]
 
 
+#: Bytes of text whose runs a task holds, as long as that asks for no more than MORE_PARTS times the session's shuffle partitions.
+PART_BYTES, MORE_PARTS = 8 << 20, 8
+
+
+def _parts(rows: DataFrame) -> int:
+    """As many parts as the session shuffles to, and more where the texts ask for it."""
+    own = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return max(own, min(MORE_PARTS * own, -(-size // PART_BYTES)))
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, gram: int = 36, anchor_runs: int = ANCHOR_RUNS, whole_characters: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """(key, n_bytes, spans, kept) of every row and its columns in ``carry``: the stretches removed, and the bytes left.
 
@@ -374,9 +385,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     a removed stretch shrinks to the characters that lie in it as a whole, so that what is left is text.
     """
     spark = docs.sparkSession
-    parts = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a task holds its runs
-    keys = even_keys(spark, parts)
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    parts = _parts(rows)
+    keys = even_keys(spark, parts)
     more = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
     carried = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"), F.struct(*(more or [F.lit(0).alias("none")])).alias("carried"))
     schema = "part int, kind string, data binary"
