@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starfold.functions import series as S
 from starfold.operators.cohort import map_disposition
 
 #: What the columns of events and labels say.
@@ -138,3 +139,17 @@ def label_dispositions(products: DataFrame, dispositions: DataFrame, eclipses: D
     x = g.join(eclipses.select("product_id", F.col("label").alias("eclipse_label")), "product_id", "left")
     clash = F.coalesce(F.col("label") != F.col("eclipse_label"), F.lit(False))
     return x.select("product_id", "label", "label_status", "matches", "same_sector", "eclipse_label", clash.alias("cross_catalog_class_conflict"))
+
+
+def printed_planets(archive: DataFrame, reference: str = "2457000") -> DataFrame:
+    """Planets for ``transit_events`` from an archive's printed numbers: (target_id, record_id, period, epoch_bjd, hours), all text but the ids.
+
+    The origin is taken off in decimal, before any rounding to binary; the bounds are half of the last printed digit
+    of the period and of the epoch. Text that isn't a number is null, and so is its bound's planet's ephemeris.
+    """
+    number = lambda c: F.trim(F.col(c)).try_cast("decimal(38,18)")
+    bound = lambda c: F.when(number(c).isNotNull(), S.rounding_uncertainty(F.col(c))).otherwise(0.0)
+    return archive.select(
+        "target_id", "record_id", number("period").cast("double").alias("period"), (number("epoch_bjd") - F.lit(reference).cast("decimal(38,18)")).cast("double").alias("epoch"),
+        number("hours").cast("double").alias("hours"), bound("period").alias("period_bound"), bound("epoch_bjd").alias("epoch_bound"),
+    )

@@ -102,6 +102,39 @@ def label_dispositions(spark, d):
     return L.label_dispositions(timed_products(spark, d), rows, L.label_eclipses(timed_products(spark, d), catalog_records(spark, d)))
 
 
+# Planets as an archive prints them: periods with 1 to 4 decimals, some in scientific notation, epochs with 2 to 5, some texts that are no numbers.
+PRINTED_SQL = PLANET_SQL.replace("""1.7::DOUBLE + c_custkey % 31 + k AS period, 2.2::DOUBLE + c_custkey % 19 AS epoch""", """CASE WHEN c_custkey % 23 <> 5 THEN (CAST((2 + c_custkey % 31 + k) * power(10, 1 + c_custkey % 4) AS BIGINT) + c_custkey % 7) / power(10, 1 + c_custkey % 4) END AS period,
+  (CAST((3 + c_custkey % 19) * power(10, 2 + c_custkey % 4) AS BIGINT) + c_custkey % 9) / power(10, 2 + c_custkey % 4) AS epoch""").replace("0.0005::DOUBLE AS period_bound, 0.05::DOUBLE AS epoch_bound", "CASE WHEN c_custkey % 23 <> 5 THEN 0.5 * power(10, -(1 + c_custkey % 4)) ELSE 0 END AS period_bound, 0.5 * power(10, -(2 + c_custkey % 4)) AS epoch_bound").replace("WHERE verified AND hours IS NOT NULL)", "WHERE verified AND hours IS NOT NULL AND period IS NOT NULL)").replace("WHEN hours IS NULL THEN 'unlabeled_transit_ephemeris_incomplete'", "WHEN hours IS NULL OR period IS NULL THEN 'unlabeled_transit_ephemeris_incomplete'").replace("record_id IS NOT NULL AND hours IS NULL)", "record_id IS NOT NULL AND (hours IS NULL OR period IS NULL))")
+
+
+def printed_archive(spark, d):
+    """The numbers of ``PRINTED_SQL`` as text: digits put together, never printed from a double."""
+    c, k = F.col("c_custkey"), F.col("k")
+    x = table(spark, d, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("k")).filter(c % 3 != k)
+
+    def digits(whole, decimals, last, scientific):
+        plain = F.concat(whole.cast("string"), F.lit("."), F.lpad(last.cast("string"), decimals, "0"))
+        power = F.concat(whole.cast("string"), F.lpad(last.cast("string"), decimals, "0"), F.lit("E-"), decimals.cast("string"))
+        return F.when(scientific, power).otherwise(plain)
+
+    period = digits(2 + c % 31 + k, (1 + c % 4).cast("int"), c % 7, c % 5 == 0)
+    epoch = digits(2457003 + c % 19, (2 + c % 4).cast("int"), c % 9, F.lit(False))
+    return x.select(c.alias("target_id"), (c * 2 + k).alias("record_id"), F.when(c % 23 == 5, "unknown").otherwise(period).alias("period"), epoch.alias("epoch_bjd"), F.when(c % 9 != k, " 5.0 ").alias("hours"))
+
+
+@query(f"WITH {PRINTED_SQL} SELECT target_id, record_id, round(period, 9) AS period, round(epoch, 9) AS epoch, hours, round(period_bound, 9) AS period_bound, round(epoch_bound, 9) AS epoch_bound FROM pl")
+def printed_ephemerides(spark, d):
+    """Periods, epochs and their bounds from printed digits."""
+    return rounded(L.printed_planets(printed_archive(spark, d)), 9)
+
+
+@query(f"WITH {PRINTED_SQL} SELECT product_id, record_id, event_match_status, cycle, round(epoch + cycle * period, 6) AS event_time FROM ev")
+def printed_transit_events(spark, d):
+    """Transits in intervals, each widened by what the printed digits leave open."""
+    events = L.transit_events(timed_products(spark, d), L.printed_planets(printed_archive(spark, d)))
+    return rounded(events.select("product_id", "record_id", "event_match_status", "cycle", "event_time"))
+
+
 # Records of the freezing job: labels by eclipses and by transits, with their events; every 41st product lacks a checksum.
 FREEZE_SQL = """rows AS (SELECT 'hosts' AS cohort, product_id, o_custkey AS target_id, label, CASE WHEN product_id % 41 <> 0 THEN 'sum' || product_id END AS sha256, CASE WHEN product_id % 10 > 0 THEN 'a' || product_id % 3 END AS event FROM {transits} JOIN orders ON o_orderkey = product_id
   UNION ALL SELECT 'binaries', product_id, o_custkey, label, CASE WHEN product_id % 41 <> 0 THEN 'sum' || product_id || CASE WHEN product_id % 29 = 0 THEN 'x' ELSE '' END END, CASE WHEN product_id % 7 > 0 THEN 'b' || product_id % 2 END FROM {eclipses} JOIN orders ON o_orderkey = product_id)"""

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starfold.operators import gates
 from starfold.plans.labeling import label_transits
 from starfold.queries import query
 from starfold.session import shared_folder
-from starfold.sources import fits_source
+from starfold.sources import fits_source, publish
 from starfold.sources.tables import EVENTS_SQL, events_curve, table
 
 
@@ -102,3 +103,28 @@ def fits_labels(spark, d):
     planets = table(spark, d, "supplier").select(k.cast("string").alias("target_id"), k.alias("record_id"), (3.0 + k % 17).alias("period"), (k % 29 - 100.0).alias("epoch"), (2.0 + k % 5).alias("hours"), zero.alias("period_bound"), zero.alias("epoch_bound"))
     intervals = fits_source.product_intervals(read.option("rows", "files").load(path), stated(spark, d))
     return label_transits(intervals, planets).select("product_id", "label", "label_status")
+
+
+@query("SELECT o_orderkey AS product_id, CAST(o_custkey AS VARCHAR) AS target_id, 1 + o_orderkey % 13 AS sector, 'same' AS again, 'refused' AS changed FROM orders")
+def frozen_inventory(spark, d):
+    """An inventory is frozen; found again in another order it is the same, and with a row changed it is refused."""
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k.alias("product_id"), F.col("o_custkey").cast("string").alias("target_id"), (1 + k % 13).alias("sector"), F.current_timestamp().alias("found_at"))
+    target = f"{shared_folder(spark)}/frozen-{uuid.uuid4().hex}"
+    first = publish.freeze(rows, target, leave_out=["found_at"])
+    again = "same" if publish.freeze(rows.orderBy(F.desc("product_id")), target) == first else "differs"
+    try:
+        publish.freeze(rows.withColumn("sector", F.when(F.col("product_id") == 1, 99).otherwise(F.col("sector"))), target)
+        changed = "accepted"
+    except publish.FrozenDiffers:
+        changed = "refused"
+    return publish.read_frozen(spark, target).drop("found_at").withColumns({"again": F.lit(again), "changed": F.lit(changed)})
+
+
+@query(f"WITH {PRODUCTS_SQL} SELECT product_id, target_id, count(*) AS n, round(max(time_days), 6) AS last FROM products GROUP BY ALL")
+def gated_products(spark, d):
+    """Gates on single rows, on neighbours and on repeats in front of an aggregation."""
+    x = products(spark, d)
+    x = gates.require_rows(x, a_time=F.col("time_days").isNotNull(), a_flux=F.col("flux").isNotNull())
+    x = gates.strictly_increasing(gates.unique(x, "product_id", "cadence"), ["product_id"], "time_days", "time_days")
+    return x.groupBy("product_id", "target_id").agg(F.count("*").alias("n"), F.round(F.max("time_days"), 6).alias("last"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from starfold.operators import joint as J
 from starfold.operators import studies as Y
 from starfold.operators import transit as T
 from starfold.queries import query
 from starfold.queries.curves import FOLD_SQL, PARTS, lineitem_fold, lineitem_prep, rounded, supplier_candidates
 from starfold.queries.searches import planted
-from starfold.sources.tables import events_curve, table
+from starfold.sources.tables import EVENTS_SQL, events_curve, table
 
 
 @query()
@@ -119,3 +120,59 @@ def span_intersection(spark, d):
     return rounded(x.select("target_id", "first", "second", F.greatest("alo", "blo").alias("low"), F.least("ahi", "bhi").alias("high")))
 
 
+# --- joint fits: products are a user's events of one kind, most of them fit to be fitted -----------
+
+JOINT_SQL = f"""WITH {EVENTS_SQL}, cad AS (SELECT target_id, product_id, CASE WHEN target_id % 7 = 3 THEN cadence ELSE epoch_us(ts) END AS cadence, time_days,
+   CASE WHEN target_id % 8 = 5 THEN flux ELSE 1 + (flux - floor(flux)) / 100 END AS flux, CASE WHEN target_id % 9 = 4 AND product_id = 'click' THEN NULL WHEN target_id % 10 = 6 AND quality = 3 THEN 0.0 WHEN target_id % 5 > 0 THEN 0.1 END AS flux_error
+   FROM curve JOIN events ON event_id = cadence),
+ kinds AS (SELECT DISTINCT target_id, product_id FROM cad WHERE target_id % 6 <> 1 OR product_id = 'click'),
+ prod AS (SELECT target_id, product_id, CASE WHEN target_id % 11 = 2 THEN 0.0 WHEN target_id % 12 = 7 THEN 2.0 WHEN target_id % 13 = 9 THEN 40.0 WHEN target_id % 2 = 0 THEN 0.0001 ELSE 0.02 END AS exposure_days FROM kinds
+   UNION ALL SELECT target_id, 'zoom', 0.001 FROM kinds WHERE target_id % 17 = 3 GROUP BY 1 UNION ALL SELECT target_id, product_id, 0.0001 FROM kinds WHERE target_id % 19 = 8 AND product_id = 'click'),
+ step AS (SELECT *, time_days - lag(time_days) OVER (PARTITION BY target_id, product_id ORDER BY cadence) AS step FROM cad),
+ g AS (SELECT target_id, product_id, count(*) AS n, count(*) FILTER (NOT isfinite(time_days) OR NOT isfinite(flux)) AS odd, median(flux) AS mid, min(step) AS least, max(time_days) - min(time_days) AS span, count(flux_error) AS errors,
+   count(*) FILTER (flux_error IS NOT NULL AND NOT (isfinite(flux_error) AND flux_error > 0)) AS bad FROM step GROUP BY 1, 2),
+ named AS (SELECT target_id, product_id, count(*) AS times, min(exposure_days) AS e FROM prod GROUP BY 1, 2),
+ fault AS (SELECT target_id, product_id, coalesce(n, 0) AS n, errors > 0 AS with_error, CASE WHEN times > 1 THEN 'duplicate_product_id' WHEN n IS NULL THEN 'no_cadences' WHEN odd > 0 THEN 'not_finite' WHEN mid NOT BETWEEN 0.95 AND 1.05 THEN 'not_normalized'
+   WHEN least <= 0 THEN 'time_not_increasing' WHEN e IS NULL OR NOT e > 0 THEN 'exposure_not_positive' WHEN n > 1 AND e >= span THEN 'exposure_exceeds_span' WHEN n > 1 AND least < e THEN 'exposures_overlap_within'
+   WHEN bad > 0 OR errors NOT IN (0, n) THEN 'flux_error_invalid' END AS fault FROM named LEFT JOIN g USING (target_id, product_id))"""
+
+
+def joint_inputs(spark, d):
+    k, kind = F.col("target_id"), F.col("product_id")
+    e = table(spark, d, "events").select(F.col("event_id").alias("cadence"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    cad = events_curve(spark, d).join(e, "cadence").select(
+        k, kind, F.when(k % 7 == 3, F.col("cadence")).otherwise(F.col("us")).alias("cadence"), "time_days", F.when(k % 8 == 5, F.col("flux")).otherwise(1 + (F.col("flux") - F.floor("flux")) / 100).alias("flux"),
+        F.when((k % 9 == 4) & (kind == "click"), None).when((k % 10 == 6) & (F.col("quality") == 3), 0.0).when(k % 5 > 0, 0.1).alias("flux_error"),
+    )
+    kinds = cad.select(k, kind).distinct().filter((k % 6 != 1) | (kind == "click"))
+    exposure = F.when(k % 11 == 2, 0.0).when(k % 12 == 7, 2.0).when(k % 13 == 9, 40.0).when(k % 2 == 0, 0.0001).otherwise(0.02)
+    more = kinds.filter(k % 17 == 3).select(k, F.lit("zoom"), F.lit(0.001)).distinct()
+    twice = kinds.filter((k % 19 == 8) & (kind == "click")).select(k, kind, F.lit(0.0001))
+    return cad, kinds.select(k, kind, exposure.alias("exposure_days")).union(more).union(twice)
+
+
+@query(JOINT_SQL + " SELECT * FROM fault")
+def joint_product_faults(spark, d):
+    return J.product_faults(*joint_inputs(spark, d))
+
+
+@query(JOINT_SQL + """, t AS (SELECT target_id, count(*) AS products, min({'product_id': product_id, 'fault': fault}) FILTER (fault IS NOT NULL) AS first, count(*) FILTER (with_error) AS with_error FROM fault GROUP BY 1),
+ spans AS (SELECT c.target_id, row_number() OVER () AS id, time_days - exposure_days / 2 AS s, time_days + exposure_days / 2 AS e FROM cad c JOIN prod USING (target_id, product_id)),
+ crossing AS (SELECT DISTINCT a.target_id FROM spans a JOIN spans b ON a.target_id = b.target_id AND a.id <> b.id AND a.s < b.e AND b.s < a.e),
+ x AS (SELECT t.*, CASE WHEN products < 2 THEN 'fewer_than_two_products' WHEN first IS NOT NULL THEN first.fault WHEN with_error > 0 AND with_error < products THEN 'mixed_flux_error' WHEN c.target_id IS NOT NULL THEN 'exposures_overlap_across' ELSE 'valid' END AS status FROM t LEFT JOIN crossing c ON c.target_id = t.target_id)
+ SELECT target_id, products, CASE WHEN status = first.fault THEN first.product_id END AS product_id, status FROM x""")
+def joint_validation(spark, d):
+    """The SQL compares all pairs of exposures; the query keeps a running maximum."""
+    return J.joint_status(*joint_inputs(spark, d))
+
+
+@query(JOINT_SQL + """, e AS (SELECT c_custkey AS target_id, 0.5 + c_custkey % 4 AS epoch, 3.0 + c_custkey % 6 AS period, 0.4::DOUBLE AS duration FROM customer),
+ x AS (SELECT c.target_id, c.product_id, time_days, epoch, period, abs((time_days - epoch + period / 2) - period * floor((time_days - epoch + period / 2) / period) - period / 2) < (duration + exposure_days) / 2 AS inside FROM cad c JOIN e USING (target_id) JOIN (SELECT target_id, product_id, min(exposure_days) AS exposure_days FROM prod GROUP BY 1, 2) p USING (target_id, product_id)),
+ cov AS (SELECT target_id, product_id, count(*) FILTER (inside) AS i, count(*) FILTER (NOT inside) AS o, coalesce(list_sort(list(DISTINCT CAST(round_even((time_days - epoch) / period, 0) AS BIGINT)) FILTER (inside)), []) AS c FROM x GROUP BY 1, 2)
+ SELECT target_id, product_id, CASE WHEN i = 0 THEN 'no_event' WHEN i < 3 OR o < 3 THEN 'insufficient_data' ELSE 'fitted' END AS status, CAST(len(c) AS BIGINT) AS cycles, array_to_string(c, ',') AS seen FROM cov""")
+def joint_coverage(spark, d):
+    cad, prod = joint_inputs(spark, d)
+    k = F.col("c_custkey")
+    e = table(spark, d, "customer").select(k.alias("target_id"), (0.5 + k % 4).alias("epoch"), (3.0 + k % 6).alias("period"), F.lit(0.4).alias("duration"))
+    x = J.event_coverage(cad, e, prod.groupBy("target_id", "product_id").agg(F.min("exposure_days").alias("exposure_days")))
+    return x.select("target_id", "product_id", "status", F.size("cycles").cast("bigint").alias("cycles"), F.array_join(F.col("cycles").cast("array<string>"), ",").alias("seen"))
