@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from starfold.functions import series as S
 from starfold.operators.cohort import map_disposition
+from starfold.plans.freezing import valid_event
 
 #: What the columns of events and labels say.
 ECLIPSE, TRANSIT = "eclipse_like", "transit_like"
@@ -153,3 +154,47 @@ def printed_planets(archive: DataFrame, reference: str = "2457000") -> DataFrame
         "target_id", "record_id", number("period").cast("double").alias("period"), (number("epoch_bjd") - F.lit(reference).cast("decimal(38,18)")).cast("double").alias("epoch"),
         number("hours").cast("double").alias("hours"), bound("period").alias("period_bound"), bound("epoch_bjd").alias("epoch_bound"),
     )
+
+
+def combined_labels(dispositions: DataFrame) -> DataFrame:
+    """(product_id, label, label_status, eclipse_label, disposition_label): the two catalogs' labels of ``label_dispositions`` as one, with its status.
+
+    Labels that differ leave the product without one.
+    """
+    e, t = F.col("eclipse_label"), F.col("label")
+    status = (
+        F.when(e != t, "unlabeled_conflicting_eb_and_toi_proxy_classes")
+        .when(e.isNotNull() & t.isNotNull(), "both_catalog_overlays_same_class")
+        .when(e.isNotNull(), "eb_catalog_proxy_only")
+        .when(t.isNotNull(), "toi_catalog_proxy_only")
+        .otherwise("unlabeled_in_both_catalog_overlays")
+    )
+    label = F.when(e.isNull() | t.isNull() | (e == t), F.coalesce(e, t))
+    return dispositions.select("product_id", label.alias("label"), status.alias("label_status"), "eclipse_label", t.alias("disposition_label"))
+
+
+def _events(rows: DataFrame, catalog: Column, label: str) -> DataFrame:
+    event = valid_event(F.col("period"), F.col("epoch"), F.col("hours"))
+    found = rows.select("product_id", F.lit(label).alias("class_label"), catalog.alias("catalog"), F.coalesce(F.col("record_id").cast("string"), F.lit("unknown")).alias("record_id"), event.alias("event"))
+    return found.filter("event IS NOT NULL").select("product_id", "class_label", "catalog", "record_id", "event.*")
+
+
+def event_records(transits: DataFrame, eclipses: DataFrame, dispositions: DataFrame) -> DataFrame:
+    """(product_id, class_label, catalog, record_id, period, epoch, hours): events that a cohort can be frozen with; epochs are those of the inputs.
+
+    From ``transit_events`` and ``eclipse_events`` those inside their product's interval; from ``dispositions``
+    (product_id, target_id, record_id, sector_match, disposition, followup, period, epoch, hours) planets in the product's sector. Events without a positive
+    period or a finite epoch are none, and a duration of more than 48 hours is unknown.
+    """
+    a = _events(transits.filter(F.col("event_match_status") == TRANSIT_INSIDE), F.lit("confirmed_planets"), TRANSIT)
+    b = _events(eclipses.filter(F.col("event_match_status") == ECLIPSE_INSIDE), F.concat(F.lit("eb:"), F.coalesce(F.col("catalog").cast("string"), F.lit("catalog"))), ECLIPSE)
+    planet = map_disposition(F.col("disposition"), F.col("followup"), CLASSES)["label"] == TRANSIT
+    c = _events(dispositions.filter(F.col("sector_match") & planet), F.lit("dispositions"), TRANSIT)
+    return a.unionByName(b).unionByName(c).distinct()
+
+
+def freeze_rows(labels: DataFrame, events: DataFrame, cohort: str) -> DataFrame:
+    """Records for ``freezing.freeze``: labels (product_id, target_id, sha256, label) of a cohort with their events of the same class, null without one."""
+    own = events.select("product_id", F.col("class_label").alias("label"), F.struct("catalog", "record_id", "period", "epoch", "hours").alias("event"))
+    x = labels.join(own, ["product_id", "label"], "left")
+    return x.select(F.lit(cohort).alias("cohort"), "product_id", "target_id", "sha256", "label", "event")

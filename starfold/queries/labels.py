@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from starfold.operators import cohort as C
 from starfold.plans import freezing as Z
 from starfold.plans import labeling as L
+from starfold.plans.freezing import merge_products
 from starfold.queries import query
 from starfold.queries.curves import rounded
 from starfold.sources.tables import table
@@ -95,11 +96,54 @@ DISPOSITION_SQL = """dis AS (SELECT c_custkey AS target_id, c_custkey * 2 + k AS
 
 @query(f"WITH {ECLIPSE_SQL}, {DISPOSITION_SQL} SELECT t.product_id, t.label, t.label_status, t.matches, t.same_sector, e.label AS eclipse_label, coalesce(t.label <> e.label, false) AS cross_catalog_class_conflict FROM toi t LEFT JOIN ecl_label e USING (product_id)")
 def label_dispositions(spark, d):
+    rows = dispositions(spark, d)
+    return L.label_dispositions(timed_products(spark, d), rows, L.label_eclipses(timed_products(spark, d), catalog_records(spark, d)))
+
+
+def dispositions(spark, d):
     c, k = F.col("c_custkey"), F.col("k")
     x = table(spark, d, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("k")).filter(c % 4 > k)
     m, n = (c + k) % 8, (c + k) % 6
-    rows = x.select(c.alias("target_id"), (c * 2 + k).alias("record_id"), F.array(c % 7 + 1 + k, c % 5 + 6).alias("sectors"), F.when(m == 0, "zz").when(m < 5, "PC").otherwise("EB").alias("disposition"), F.when(n == 0, "FP").when(n == 1, "CP").alias("followup"))
-    return L.label_dispositions(timed_products(spark, d), rows, L.label_eclipses(timed_products(spark, d), catalog_records(spark, d)))
+    return x.select(c.alias("target_id"), (c * 2 + k).alias("record_id"), F.array(c % 7 + 1 + k, c % 5 + 6).alias("sectors"), F.when(m == 0, "zz").when(m < 5, "PC").otherwise("EB").alias("disposition"), F.when(n == 0, "FP").when(n == 1, "CP").alias("followup"))
+
+
+@query(f"""WITH {ECLIPSE_SQL}, {DISPOSITION_SQL} SELECT t.product_id, CASE WHEN t.label <> e.label THEN NULL ELSE coalesce(e.label, t.label) END AS label, CASE WHEN t.label <> e.label THEN 'unlabeled_conflicting_eb_and_toi_proxy_classes'
+ WHEN t.label = e.label THEN 'both_catalog_overlays_same_class' WHEN e.label IS NOT NULL THEN 'eb_catalog_proxy_only' WHEN t.label IS NOT NULL THEN 'toi_catalog_proxy_only' ELSE 'unlabeled_in_both_catalog_overlays' END AS label_status,
+ e.label AS eclipse_label, t.label AS disposition_label FROM toi t LEFT JOIN ecl_label e USING (product_id)""")
+def combined_labels(spark, d):
+    """Two catalogs' labels of each product as one."""
+    return L.combined_labels(label_dispositions(spark, d))
+
+
+EVENTS_OF_SQL = f"""found AS (SELECT product_id, 'transit_like' AS class_label, 'confirmed_planets' AS catalog, record_id, period, epoch, hours FROM (WITH {PLANET_SQL} SELECT * FROM ev) WHERE event_match_status = 'transit_window_overlaps_product_interval'
+  UNION ALL SELECT product_id, 'eclipse_like', 'eb:' || coalesce(CAST(catalog AS VARCHAR), 'catalog'), record_id, period, epoch, hours FROM (WITH {ECLIPSE_SQL} SELECT * FROM ev) WHERE event_match_status = 'primary_eclipse_ephemeris_overlaps_product_interval'
+  UNION ALL SELECT product_id, 'transit_like', 'dispositions', record_id, CASE WHEN record_id % 5 > 0 THEN 1.5::DOUBLE + record_id % 12 ELSE 0 END, 0.25::DOUBLE + record_id % 8, 3.0::DOUBLE * (record_id % 20) FROM (WITH {TIMED_SQL}, {DISPOSITION_SQL} SELECT prod.*, mapped.record_id, mapped FROM prod JOIN mapped USING (target_id) WHERE list_contains(sectors, sector)) WHERE mapped = 'transit_like'),
+ events_of AS (SELECT DISTINCT product_id, class_label, catalog, CAST(record_id AS VARCHAR) AS record_id, period, epoch, CASE WHEN hours > 0 AND hours <= 48 THEN hours END AS hours FROM found WHERE period > 0 AND epoch IS NOT NULL)"""
+
+
+def matched_events(spark, d):
+    products, k = timed_products(spark, d), F.col("record_id")
+    near = products.join(dispositions(spark, d), "target_id").withColumn("sector_match", F.array_contains("sectors", F.col("sector")))
+    near = near.select("product_id", "target_id", "record_id", "sector_match", "disposition", "followup", F.when(k % 5 > 0, 1.5 + k % 12).otherwise(0.0).alias("period"), (0.25 + k % 8).alias("epoch"), (3.0 * (k % 20)).alias("hours"))
+    return L.event_records(L.transit_events(products, planets(spark, d)), L.eclipse_events(products, catalog_records(spark, d)), near)
+
+
+@query(f"WITH {EVENTS_OF_SQL} SELECT product_id, class_label, catalog, record_id, round(period, 9) AS period, round(epoch, 9) AS epoch, hours FROM events_of")
+def event_records(spark, d):
+    """Events of three catalogs that a cohort can be frozen with."""
+    return rounded(matched_events(spark, d), 9)
+
+
+@query(f"""WITH {EVENTS_OF_SQL}, tra AS (SELECT product_id, label FROM (WITH {PLANET_SQL} SELECT * FROM tra_label)), ecl AS (SELECT product_id, label FROM (WITH {ECLIPSE_SQL} SELECT * FROM ecl_label)),
+ rows AS (SELECT product_id, label FROM tra UNION ALL SELECT product_id, label FROM ecl), g AS (SELECT product_id, min(label) AS label, min(label) <> max(label) AS clash FROM rows WHERE label IS NOT NULL GROUP BY 1),
+ n AS (SELECT product_id, count(DISTINCT (class_label, catalog, record_id, period, epoch, hours)) AS events FROM events_of JOIN rows USING (product_id) WHERE class_label = rows.label GROUP BY 1)
+ SELECT product_id, label, coalesce(events, 0) AS events, CASE WHEN clash THEN 'label_conflict' WHEN coalesce(events, 0) = 0 THEN 'no_valid_event_ephemeris' END AS reason FROM g LEFT JOIN n USING (product_id)""")
+def merged_products(spark, d):
+    """Labeled products of two cohorts with the events that they are frozen with."""
+    events, owner = matched_events(spark, d), timed_products(spark, d).select("product_id", "target_id", F.sha2(F.col("product_id").cast("string"), 256).alias("sha256"))
+    a = L.freeze_rows(label_transits(spark, d).join(owner, "product_id"), events, "hosts")
+    b = L.freeze_rows(label_eclipses(spark, d).join(owner, "product_id"), events, "binaries")
+    return merge_products(a.unionByName(b)).select("product_id", "label", "events", "reason")
 
 
 # Planets as an archive prints them: periods with 1 to 4 decimals, some in scientific notation, epochs with 2 to 5, some texts that are no numbers.

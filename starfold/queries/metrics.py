@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from starfold.operators import classify
 from starfold.operators import metrics as M
 from starfold.queries import query
 from starfold.queries.curves import rounded
@@ -119,3 +120,21 @@ def imputation_bounds(spark, d):
 def grouped_bootstrap(spark, d):
     """Interval of the accuracy over 500 draws of languages; hashes differ between engines, so it has no SQL."""
     return M.grouped_bootstrap(predictions(spark, d), "lang", 500)
+
+
+#: Newton steps in the inverse temperature, each over all rows.
+TEMPERATURE_SQL = """WITH RECURSIVE x AS (SELECT [l_quantity / 8.0::DOUBLE, l_extendedprice / 12000.0::DOUBLE, l_discount * 60.0::DOUBLE] AS z, CASE WHEN l_orderkey % 5 < 3 THEN CASE WHEN l_quantity / 8 >= l_extendedprice / 12000 AND l_quantity / 8 >= l_discount * 60 THEN 0 WHEN l_extendedprice / 12000 >= l_discount * 60 THEN 1 ELSE 2 END ELSE l_linenumber % 3 END AS y FROM lineitem),
+ s AS (SELECT list_max(z) AS top, z[1] - list_max(z) AS a, z[2] - list_max(z) AS b, z[3] - list_max(z) AS c, z[y + 1] - list_max(z) AS own FROM x),
+ steps AS (SELECT 0 AS k, 1.0::DOUBLE AS t UNION ALL SELECT k + 1, t - (SELECT avg((a * exp(t * a) + b * exp(t * b) + c * exp(t * c)) / (exp(t * a) + exp(t * b) + exp(t * c)) - own) /
+   avg((a * a * exp(t * a) + b * b * exp(t * b) + c * c * exp(t * c)) / (exp(t * a) + exp(t * b) + exp(t * c)) - ((a * exp(t * a) + b * exp(t * b) + c * exp(t * c)) / (exp(t * a) + exp(t * b) + exp(t * c))) ** 2) FROM s) FROM steps WHERE k < 14),
+ best AS (SELECT t FROM steps WHERE k = 14)
+ SELECT round(1 / t, 6) AS temperature, round((SELECT avg(ln(exp(a) + exp(b) + exp(c)) - own) FROM s), 6) AS loss_before, round((SELECT avg(ln(exp(t * a) + exp(t * b) + exp(t * c)) - t * own) FROM s), 6) AS loss_after FROM best"""
+
+
+@query(TEMPERATURE_SQL)
+def temperature_scaling(spark, d):
+    """The temperature of three scores of every line, of which two fifths have another class."""
+    a, b, c = F.col("l_quantity") / 8, F.col("l_extendedprice") / 12000, F.col("l_discount") * 60
+    most = F.when((a >= b) & (a >= c), 0).when(b >= c, 1).otherwise(2)
+    rows = table(spark, d, "lineitem").select(F.array(a, b, c).cast("array<double>").alias("logits"), F.when(F.col("l_orderkey") % 5 < 3, most).otherwise(F.col("l_linenumber") % 3).alias("label"))
+    return rounded(spark.createDataFrame([classify.temperature(rows, "logits", "label")], "temperature double, loss_before double, loss_after double"))

@@ -64,7 +64,7 @@ def freeze(rows: DataFrame, target: str, leave_out: Sequence[str] = ()) -> dict[
         aside = f"{target.rstrip('/')}.{uuid.uuid4().hex}.part"
         rows.write.parquet(aside)
         written = digest(spark.read.parquet(aside), leave_out) | {"left_out": sorted(leave_out)}
-        _write_text(spark, f"{aside}/{STATEMENT}", json.dumps(written, indent=2, sort_keys=True) + "\n")
+        write_text(spark, f"{aside}/{STATEMENT}", json.dumps(written, indent=2, sort_keys=True) + "\n")
         try:
             rename(spark, aside, target)
             return written
@@ -81,7 +81,8 @@ def freeze(rows: DataFrame, target: str, leave_out: Sequence[str] = ()) -> dict[
     return there
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small new file, in any store."""
     _, at = _files(spark, path)
     out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, False)
     try:
