@@ -88,7 +88,7 @@ PERIOD_BLOCK = 8192
 
 def searched(prep: DataFrame, flux: str = "flux_norm", most: int = 2, least_snr: float = 6.0, grid: K.Grid = K.Grid(), error: str | None = None, fewest: int = 50) -> DataFrame:
     """(target_id, status, found): every target once, with its candidates, or why it wasn't searched: ``too_few_cadences``,
-    ``no_trial_periods`` or ``grid_exceeds_budget``; one target's fault leaves the others alone.
+    ``no_trial_periods`` or ``grid_exceeds_budget``; one target's fault leaves the others alone. Cadences without a finite time and flux take no part.
 
     A series is packed into one row. In each of ``most`` rounds it goes once to every block of PERIOD_BLOCK trial periods, which are tasks
     of their own; their peaks meet again by target, where the best becomes a candidate and its events are hidden.
@@ -97,10 +97,12 @@ def searched(prep: DataFrame, flux: str = "flux_norm", most: int = 2, least_snr:
     whole, partial = (to_arrow_schema(_parse_datatype_string(s)) for s in (_STATE, _PARTIAL))
 
     def pack(p: pd.DataFrame) -> pd.DataFrame:
+        target = p["target_id"].iloc[0]
+        p = p[np.isfinite(p["time_days"].to_numpy(float)) & np.isfinite(p[flux].to_numpy(float))]
         part = lambda c: p[c].to_numpy(float).tobytes()
         baseline = float(np.ptp(p["time_days"])) if len(p) else 0.0
         fault = grid.fault(len(p), baseline, fewest)
-        row = {"target_id": p["target_id"].iloc[0], "n": 0 if fault else grid.count(baseline), "t": part("time_days"), "x": part(flux), "error": part(error) if error else None, "hidden": np.zeros(len(p), bool).tobytes(), "status": fault or "searched", "open": not fault, "found": []}
+        row = {"target_id": target, "n": 0 if fault else grid.count(baseline), "t": part("time_days"), "x": part(flux), "error": part(error) if error else None, "hidden": np.zeros(len(p), bool).tobytes(), "status": fault or "searched", "open": not fault, "found": []}
         return pd.DataFrame([row])
 
     def series(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from starfold.functions import series as S
 from starfold.functions import tables
+from starfold.operators import injection as J
 from starfold.operators import kernels as K
 from starfold.operators import prepare as P
 from starfold.operators import search as X
 from starfold.queries import SQL, query
-from starfold.queries.curves import EVENTS_PREP, EVENTS_SQL, FOLD_SQL, LINEITEM_SQL, lineitem_fold, rounded, supplier_candidates
+from starfold.queries.curves import EVENTS_PREP, EVENTS_SQL, FOLD_SQL, LINEITEM_PREP, LINEITEM_SQL, lineitem_fold, rounded, supplier_candidates
 from starfold.sources.tables import events_curve, lineitem_curve, table
 from starfold.streaming import sessions as stream
 
@@ -119,6 +120,39 @@ def permutation_pvalue(spark, d):
     return rounded(X.permutation_test(wide_prep(spark, d), 20, 20, 19))
 
 
+# --- signals planted in the suppliers' own curves, quieted ------------------------------
+
+PERIODS, DEPTHS = (21.0, 34.0), (0.02, 0.05)
+TRIALS_SQL = """trial AS (SELECT s_suppkey || '_' || CASE WHEN i = 4 THEN 'control' ELSE 'p' || i // 2 || '_d' || i % 2 END AS trial_id, s_suppkey AS target_id, [21.0, 21.0, 34.0, 34.0, NULL][i + 1]::DOUBLE AS period, [0.02, 0.05, 0.02, 0.05, NULL][i + 1]::DOUBLE AS depth FROM supplier, range(5) r(i)),
+ planned AS (SELECT *, CAST('0x' || substr(sha256('study:' || trial_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS share FROM trial)"""
+
+
+def quiet_curves(spark, d):
+    prep = P.prepared(lineitem_curve(spark, d), 12.0, sigma=2.0, mask=4)
+    return prep.select("target_id", "cadence", "time_days", (1 + (F.col("flux_norm") - 1) * 0.002).alias("flux_norm"))
+
+
+@query(f"""{LINEITEM_PREP}, {TRIALS_SQL}, c AS (SELECT target_id, time_days, 1 + (flux_norm - 1) * 0.002 AS x FROM prep), st AS (SELECT target_id, min(time_days) AS t0 FROM c GROUP BY 1),
+ y AS (SELECT trial_id, p.target_id, period, depth, time_days, x, t0 + share * period AS e FROM planned p JOIN st USING (target_id) JOIN c USING (target_id)),
+ z AS (SELECT *, CASE WHEN period IS NULL THEN x ELSE x * (1 - depth * greatest(0, least(1, (2.5 - abs((time_days - e + period / 2) - period * floor((time_days - e + period / 2) / period) - period / 2)) / 0.5))) END AS f FROM y)
+ SELECT trial_id, target_id, count(*) AS n, round(any_value(e), 6) AS truth_epoch, round(sum(f), 4) AS flux_sum, round(min(f), 6) AS lowest FROM z GROUP BY 1, 2""")
+def injection_curves(spark, d):
+    """Every supplier's curve with each of four signals, and without one."""
+    c = quiet_curves(spark, d)
+    x = J.injected(c, J.trials(table(spark, d, "supplier").select(F.col("s_suppkey").alias("target_id")), PERIODS, DEPTHS, "study"), 5.0)
+    return x.groupBy("trial_id", "target_id").agg(F.count("*").alias("n"), F.round(F.max("truth_epoch"), 6).alias("truth_epoch"), F.round(F.sum("flux_norm"), 4).alias("flux_sum"), F.round(F.min("flux_norm"), 6).alias("lowest"))
+
+
+@query()
+def injection_recovery(spark, d):
+    """The study of all trials, in blocks, by signal and band of SNR."""
+    c = quiet_curves(spark, d)
+    planned = J.trials(table(spark, d, "supplier").select(F.col("s_suppkey").alias("target_id")), PERIODS, DEPTHS, "study")
+    work = lambda part: J.searched_trials(c, part, 5.0, K.Grid(18.0, 60.0, 4.0, 7.0, 3), least_snr=6.0, hours=30.0)
+    outcomes, _ = J.run_study(planned, stream.shared_folder(spark, "study"), 2, work)
+    return J.recovery(outcomes)
+
+
 # --- pixels: embeddings as 8 x 8 stamps -------------------------------------------------
 
 PIXEL_SQL = """frames AS (SELECT CAST(label // 2 AS BIGINT) AS target_id, vec_id AS frame, label % 2 = 1 AS in_event, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings WHERE embedding IS NOT NULL),
