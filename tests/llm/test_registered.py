@@ -11,6 +11,7 @@ import tiktoken
 import tokenizers
 
 import __spark_entry__ as entry
+from starfold.llm import bpe, token_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -115,8 +116,9 @@ def test_op6(run, texts):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == {d: (len(sets[d]), reached[d]) for d in docs}
 
 
-def test_op7(spark, run):
-    table = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+def plain_links(spark, folder):
+    """(rows, number of links, links) by comparing all pairs of a label."""
+    table = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
     good = {}
     for r in table:
         v = r["embedding"]
@@ -125,15 +127,67 @@ def test_op7(spark, run):
             if np.isfinite(v).all() and v.any():
                 good[r["vec_id"]] = (r["label"], v / np.sqrt((v * v).sum()))
     links = [(a, b) for a in good for b in good if a < b and good[a][0] == good[b][0] and good[a][1] @ good[b][1] >= 0.93]
+    return table, len(links), links
+
+
+def test_op7(spark, run, folder=SF):
+    table, _, links = plain_links(spark, folder)
     reached = components([r["vec_id"] for r in table], links)
     count = {r["vec_id"]: 0 for r in table}
     for pair in links:
         for v in pair:
             count[v] += 1
-    rows = run("op7_embedding_dedup")
+    rows = run("op7_embedding_dedup", folder)
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in rows} == {v: (count[v], reached[v], reached[v] == v) for v in count}
 
 
+@pytest.fixture(scope="module")
+def planted_vectors(spark, tmp_path_factory):
+    """The given vectors, and clusters around some of them: chains, groups, copies, clusters that two labels share."""
+    folder = tmp_path_factory.mktemp("vectors")
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rng = np.random.default_rng(9)
+    rows, new = [tuple(r) for r in table.collect()], 10_000
+    for i, (_, v, label) in enumerate(rows[:40]):
+        at = np.array(v, float)
+        for k in range(3 + i % 9):
+            noise = rng.normal(size=len(at)) * np.linalg.norm(at) * (0.02 if i % 3 else 0.25) / np.sqrt(len(at))
+            at = at + noise if i % 4 == 0 else np.array(v, float) + noise  # chains drift away from their start
+            rows.append((new, at.tolist(), label if i % 5 else (label + k % 2) % 10))
+            new += 1
+    rows += [(new + k, v, label) for k, (_, v, label) in enumerate(rows[:15])]
+    rows += [(new + 100, None, 1), (new + 101, [0.0] * len(rows[0][1]), 1), (new + 102, rows[0][1], None), (new + 103, [float("nan"), *rows[0][1][1:]], rows[0][2])]
+    spark.createDataFrame(rows, table.schema).write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+def test_op7_on_planted_clusters(spark, run, planted_vectors):
+    assert plain_links(spark, planted_vectors)[1] > 400
+    test_op7(spark, run, planted_vectors)
+
+
+def test_op3(run, texts):
+    ranks = dict(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    library = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    expected = {}
+    for doc, text in texts.items():
+        of_byte = np.repeat(np.arange(len(text)), [len(c.encode()) for c in text]) if text else np.empty(0, int)
+        spans = token_counts.lines(text)
+        counts, at = [0] * len(spans), 0
+        for token in library.encode_ordinary(text):
+            size = len(library.decode_single_token_bytes(token))
+            chars = {int(c) for c in of_byte[at : at + size]}
+            at += size
+            shares = [sum(a <= c < b for c in chars) for a, b in spans]
+            counts[int(np.argmax(shares))] += 1
+        for k, ((a, b), n) in enumerate(zip(spans, counts, strict=True)):
+            expected[doc, k] = (a, b, n)
+    rows = run("op3_token_counts")
+    got = {(r["doc_id"], r["section"]): (r["start"], r["stop"], r["n_tokens"]) for r in rows}
+    assert set(got) == set(expected) and len(rows) == len(got)
+    assert sum(got[k] != v for k, v in expected.items()) == 0
+
+
 def test_op9(run, texts):
     library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     expected, total = {}, 0
