@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from starfold.functions import series as S
 from starfold.operators.cohort import stable_partition
+from starfold.session import materialize
 
 #: The shares of the splits, in the order in which they are dealt, and the classes.
 SPLITS = (("train", 0.7), ("calibration", 0.1), ("selection", 0.1), ("fresh_holdout", 0.1))
@@ -50,7 +51,7 @@ def freeze(records: DataFrame, prior: DataFrame, seed: str) -> DataFrame:
     ``prior`` has (target_id, splits): targets that were only ever in train stay there, those in another split are left out.
     New targets are dealt within each class by ``stable_partition``. Targets with products of both classes are left out whole.
     """
-    merged = merge_products(records)
+    merged = materialize(merge_products(records))  # labels and all behind them once, not once for each use
     clean = F.col("reason").isNull()
     by_target = merged.filter(clean).groupBy("target_id").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
     targets = by_target.join(prior.select("target_id", F.col("splits").alias("_prior")), "target_id", "left")
