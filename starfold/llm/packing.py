@@ -6,11 +6,12 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,42 +20,60 @@ from pyspark.sql import types as T
 from starfold.llm.common import lean, others, small, spare_name, worker_memory
 
 
-#: Characters of text whose words are looked up together, and bytes of a word's entry besides its text and ids.
-AT_ONCE, ENTRY = 1_000_000, 220
+#: Bytes of text whose words are looked up together, and bytes of a word's entry besides its text and ids.
+AT_ONCE, ENTRY = 8_000_000, 220
 #: Whether all letters are of Latin-1.
 LATIN = re.compile("[\x00-\xff]*").fullmatch
 
 
+def _stops_apart(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words, a last ``.`` or ``,`` after a letter of Latin-1 as a word of its own; and which words had one."""
+    wide = pa.types.is_large_string(words.type)
+    at = np.frombuffer(words.buffers()[1], np.int64 if wide else np.int32)[words.offset : words.offset + len(words) + 1]
+    if not len(words) or at[0] == at[-1]:
+        return words, np.zeros(len(words), bool)
+    byte = np.frombuffer(words.buffers()[2], np.uint8)
+    last = byte[np.maximum(at[1:] - 1, 0)]
+    ends = np.flatnonzero(((last == 0x2E) | (last == 0x2C)) & (np.diff(at) > 1))
+    before, ahead = byte[at[ends + 1] - 2], byte[np.maximum(at[ends + 1] - 3, 0)]
+    letter = ((before | 0x20) >= 0x61) & ((before | 0x20) <= 0x7A) & (before < 0x80)
+    letter |= (ahead == 0xC3) & (before >= 0x80) & (before < 0xC0) & (before != 0x97) & (before != 0xB7)  # but for the signs of times and division
+    ends = ends[letter]
+    had = np.zeros(len(words), bool)
+    had[ends] = True
+    return type(words).from_buffers(len(words) + len(ends), pa.py_buffer(np.insert(at, ends + 1, at[ends + 1] - 1)), words.buffers()[2]), had
+
+
 class WordTokenizer:
     """Packed ids of a ``tokenizers`` file whose pre-tokens never hold white space and end in tokens of their own.
 
-    Such a text's ids are those of its words, and a word's those of its pre-tokens. The distinct pre-tokens of many
-    texts that aren't remembered go to the library together, and the tokens that end pre-tokens tell whose ids are
+    Such a text's ids are those of its words, and a word's those of its pre-tokens. Arrow cuts many texts into words
+    and numbers the distinct ones; only these are looked up, and their ids then go to every place of theirs at once. The
+    distinct pre-tokens that aren't remembered go to the library together, and the tokens that end pre-tokens tell whose ids are
     whose. Words and pre-tokens are remembered in two generations of ``limit`` bytes, so that what is asked for again outlives the rest.
     With ``added``, the file's added tokens get their own ids, as by the library's default, and texts that hold
     one go whole to the library; else they are spelled as ordinary text.
     """
 
-    _separators = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
+    _separators = r"[\x{1c}-\x{1f}]"  # white space to Arrow, not to the tokenizer
+    _others = r"[^\x{0}-\x{ff}]"
 
-    def __init__(self, spec: str, pattern: str, limit: int = 24_000_000, added: bool = False):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    def __init__(self, spec: str, pattern: str, limit: int = 96_000_000, added: bool = False):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(spec)
         described = json.loads(spec)
         self.added = [t["content"] for t in described.get("added_tokens") or []] if added else []
         if not added:
             self.tokenizer.encode_special_tokens = True
-        self.joint = Tokenizer.from_str(spec)  # the same model, for pre-tokens that are normalized and cut already
-        self.joint.encode_special_tokens = True
-        self.joint.normalizer = normalizers.Sequence([])
+        self.joint = Tokenizer(self.tokenizer.model)  # the same model, for pre-tokens that are normalized and cut already
         self.joint.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(described["model"]["end_of_word_suffix"])]] = True
         self.split = regex.compile(pattern).findall
         self.limit, self.used = limit, 0
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     def _library(self, text: str) -> bytes:
@@ -73,10 +92,10 @@ class WordTokenizer:
         packed = ids.astype("<u4").tobytes()
         return [packed[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
-    def _recall(self, words: set[str]) -> list[str]:
-        """Bring back what the old generation has of the words, and return the others."""
+    def _recall(self, words: Iterable[str]) -> list[str]:
+        """Bring back what the old generation has of the words, which the new one lacks, and return the others."""
         known, old, new = self.known, self.old, []
-        for word in words.difference(known):
+        for word in words:
             if (ids := old.get(word)) is None:
                 new.append(word)
             else:
@@ -84,18 +103,19 @@ class WordTokenizer:
                 self.used += ENTRY + len(word) + len(ids)
         return new
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words that the new generation lacks."""
         known = self.known
-        whole, cut = set(), {}
+        whole, cut = [], {}
         for word in self._recall(words):
             if not (word.isascii() or LATIN(word)):
                 known[word] = ids = self._library(word)
                 self.used += ENTRY + 4 * len(word) + len(ids)
             elif len(pieces := self._pieces(word)) == 1:
-                whole.add(word)
+                whole.append(word)
             else:
                 cut[word] = pieces
-        alone = self._recall(whole.union(*cut.values()))
+        alone = list(set(whole).union(self._recall(set().union(*cut.values()).difference(known, whole))))
         for at in range(0, len(alone), 1000):
             some = alone[at : at + 1000]
             found = self._resolve(some)
@@ -105,34 +125,59 @@ class WordTokenizer:
             known[word] = ids = b"".join([known[p] for p in pieces])
             self.used += ENTRY + len(word) + len(ids)
 
+    def _ids(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, words))
+        if missing := [i for i, ids in enumerate(found) if ids is None]:
+            self._learn([words[i] for i in missing])
+            for i in missing:
+                found[i] = self.known[words[i]]
+        if self.used > self.limit:
+            self.old, self.known, self.used = self.known, {"": b""}, 0
+        return found
+
     def encode(self, text: str | None) -> bytes:
-        return next(self.encode_all([text]))
+        return next(self.encode_all(pa.array([text], pa.string())))
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        at = 0
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Packed ids of each text."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+        at, done = 0, 0
         while at < len(texts):
-            size, end = 0, at
-            while end < len(texts) and size < AT_ONCE:
-                size += len(texts[end] or "")
-                end += 1
-            yield from self._encode_some(texts[at:end])
-            at = end
-
-    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if text and (self._separators.search(text) or any(t in text for t in self.added)):
-                cut.append(None)
-            elif not text or text.isascii() or LATIN(text):
-                cut.append(text.lower().split() if text else [])
-            else:  # the library normalizes words with other letters
-                cut.append([w.lower() if w.isascii() or LATIN(w) else w for w in text.split()])
-        self._learn(set().union(*filter(None, cut)))
-        get = self.known.__getitem__
-        out = [self._library(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut, strict=True)]
-        if self.used > self.limit:
-            self.old, self.known, self.used = self.known, {}, 0
-        return out
+            end = min(len(texts), int(np.searchsorted(ends, done + AT_ONCE)) + 1)
+            yield from self._encode_some(texts.slice(at, end - at))
+            at, done = end, int(ends[end - 1])
+
+    def _encode_some(self, texts: pa.Array) -> Iterator[bytes]:
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, self._separators)
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        parted = pc.if_else(whole, pa.scalar("", texts.type), texts)
+        other = pc.match_substring_regex(parted, self._others)
+        mixed = pc.any(other).as_py()
+        lower = pc.utf8_lower(parted)
+        if mixed:  # the library normalizes words with other letters
+            lower = pc.if_else(other, parted, lower)
+        cut = pc.utf8_split_whitespace(lower)
+        texts_end = np.cumsum(pc.list_value_length(cut).to_numpy())
+        words, added = _stops_apart(cut.flatten())
+        texts_end += np.concatenate(([0], np.cumsum(added)))[texts_end]
+        numbered = words.dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if mixed:
+            words = [w.lower() if w.isascii() or LATIN(w) else w for w in words]
+        found = self._ids(words)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        places = numbered.indices.to_numpy()
+        lengths = size[places]
+        ends = np.cumsum(lengths)
+        source = np.repeat(start[places] - (ends - lengths), lengths)
+        source += np.arange(len(source))
+        ids = np.frombuffer(b"".join(found), "<u4")[source].tobytes()
+        stops = 4 * np.concatenate(([0], ends))[texts_end]
+        for i, alone in enumerate(whole.to_numpy(zero_copy_only=False).tolist()):
+            yield self._library(texts[i].as_py()) if alone else ids[stops[i - 1] if i else 0 : stops[i]]
 
 
 #: Fixed value: the pre-token pattern of the word-end tokenizer's file.
@@ -159,9 +204,9 @@ def pieces(docs: DataFrame, spec: str, text: str = "text", end_id: int = 1, capa
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_memory(("words", zlib.crc32(shared.value.encode()), pattern, added), lambda: WordTokenizer(shared.value, pattern, added=added))
-        for batch in small(stream):
+        for batch in small(stream, 4096):
             rows, out = [], {n: [] for n in made}
-            for i, body in enumerate(tokenizer.encode_all(batch.column(batch.schema.get_field_index(text)).to_pylist())):
+            for i, body in enumerate(tokenizer.encode_all(batch.column(batch.schema.get_field_index(text)))):
                 ids = body + tail
                 for k, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start : start + 4 * capacity]

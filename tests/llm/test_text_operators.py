@@ -85,6 +85,29 @@ def test_pieces_equal_the_library(spark, texts):
     assert sorted(got.values()) == expected
 
 
+def test_words_are_looked_up_once_without_their_stops():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    words = packing.WordTokenizer(spec, packing.WORD_PATTERN)
+    empty = pa.array([None, "", " "], pa.string())
+    assert list(words.encode_all(empty)) == [b""] * 3 and list(words.encode_all(empty[:0])) == []
+    list(words.encode_all(pa.array(["Stem stem. STEM,", "stem, stem"])))
+    assert set(words.known) == {"", "stem", ".", ","}  # not "stem." and "stem," besides
+    library = Tokenizer.from_str(spec)
+    library.encode_special_tokens = True
+    parts = ["a", "B", "é", "É", "×", "÷", ".", ",", "..", "«", "'s", "'", "1", "²", " ", "\n", "\x1c", "\xa0", "日", "Σ", "\u0301", "é,", "À.", "ā.", "×.", "²,"]
+    draw = np.random.default_rng(3)
+    texts = ["".join(parts[i] for i in draw.integers(0, len(parts), draw.integers(0, 12))) for _ in range(3000)]
+    few = packing.WordTokenizer(spec, packing.WORD_PATTERN, limit=20_000)  # generations change often
+    for kind in (pa.string(), pa.large_string()):
+        rows = pa.array(["before.", *texts], kind)[1:]
+        got = [b for at in range(0, len(rows), 250) for b in few.encode_all(rows[at : at + 250])]
+        assert got == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_packing_gives_added_tokens_their_ids(spark, tmp_path):
     from tokenizers import Tokenizer
 
