@@ -116,10 +116,16 @@ def worker_memory(name: tuple, make: Callable):
     return _held[1]
 
 
-def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same work, after which its worker gives the memory that it no longer uses back to the system."""
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work, after which its worker gives the memory that it no longer uses back to the system.
+
+    Unless it ``keeps`` the worker's memory, what other work left there goes before it begins: Spark uses a worker for many jobs.
+    """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        global _held
+        if not keeps:
+            _held = None
         yield from work(stream)
         gc.collect()
         pa.default_memory_pool().release_unused()

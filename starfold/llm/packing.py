@@ -6,7 +6,7 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from starfold.llm.common import lean, others, small, spare_name, worker_memory
 
 
-#: Bytes of text whose words are looked up together, and bytes of a word's entry besides its text and ids.
-AT_ONCE, ENTRY = 8_000_000, 220
+#: Bytes of text whose words are looked up together.
+AT_ONCE = 4_000_000
 #: Whether all letters are of Latin-1.
 LATIN = re.compile("[\x00-\xff]*").fullmatch
 
@@ -44,13 +44,53 @@ def _stops_apart(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return type(words).from_buffers(len(words) + len(ends), pa.py_buffer(np.insert(at, ends + 1, at[ends + 1] - 1)), words.buffers()[2]), had
 
 
+def _within(words: pa.Array, those: pa.Array) -> np.ndarray:
+    """The place of each word in ``those``, or -1."""
+    return pc.fill_null(pc.index_in(words, value_set=those), -1).to_numpy().astype(np.int64)
+
+
+def _gather(ids: np.ndarray, stops: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the entries ``at``, one entry after the other, and where each begins, with the end. Entry i has ids[stops[i] : stops[i + 1]]."""
+    out = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(stops[at + 1] - stops[at], out=out[1:])
+    source = np.repeat(stops[at] - out[:-1], np.diff(out))
+    source += np.arange(len(source))
+    return ids[source], out
+
+
+class _Words:
+    """Distinct words and their ids as Arrow and numpy columns, some 40 bytes a word; a dict takes over 100."""
+
+    def __init__(self):
+        self.words, self.ids, self.stops = pa.array([""]), np.empty(0, "<u4"), np.zeros(2, np.int64)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.words.to_pylist())
+
+    @property
+    def used(self) -> int:
+        return self.words.nbytes + self.ids.nbytes + self.stops.nbytes
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        return _within(words, self.words)
+
+    def add(self, words: pa.Array, ids: np.ndarray, stops: np.ndarray) -> int:
+        """Append words that aren't here yet; the place of the first."""
+        first = len(self.words)
+        self.words = pa.concat_arrays([self.words, words])
+        self.stops = np.concatenate([self.stops, stops[1:] + len(self.ids)])
+        self.ids = np.concatenate([self.ids, ids])
+        return first
+
+
 class WordTokenizer:
     """Packed ids of a ``tokenizers`` file whose pre-tokens never hold white space and end in tokens of their own.
 
     Such a text's ids are those of its words, and a word's those of its pre-tokens. Arrow cuts many texts into words
     and numbers the distinct ones; only these are looked up, and their ids then go to every place of theirs at once. The
     distinct pre-tokens that aren't remembered go to the library together, and the tokens that end pre-tokens tell whose ids are
-    whose. Words and pre-tokens are remembered in two generations of ``limit`` bytes, so that what is asked for again outlives the rest.
+    whose. Words and pre-tokens are remembered in columns, which Arrow searches, of two generations of ``limit`` bytes, so that
+    what is asked for again outlives the rest.
     With ``added``, the file's added tokens get their own ids, as by the library's default, and texts that hold
     one go whole to the library; else they are spelled as ordinary text.
     """
@@ -58,7 +98,7 @@ class WordTokenizer:
     _separators = r"[\x{1c}-\x{1f}]"  # white space to Arrow, not to the tokenizer
     _others = r"[^\x{0}-\x{ff}]"
 
-    def __init__(self, spec: str, pattern: str, limit: int = 96_000_000, added: bool = False):
+    def __init__(self, spec: str, pattern: str, limit: int = 16_000_000, added: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -72,9 +112,7 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(described["model"]["end_of_word_suffix"])]] = True
         self.split = regex.compile(pattern).findall
-        self.limit, self.used = limit, 0
-        self.known: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.limit, self.known, self.old = limit, _Words(), _Words()
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -92,47 +130,57 @@ class WordTokenizer:
         packed = ids.astype("<u4").tobytes()
         return [packed[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
-    def _recall(self, words: Iterable[str]) -> list[str]:
-        """Bring back what the old generation has of the words, which the new one lacks, and return the others."""
-        known, old, new = self.known, self.old, []
-        for word in words:
-            if (ids := old.get(word)) is None:
-                new.append(word)
-            else:
-                known[word] = ids
-                self.used += ENTRY + len(word) + len(ids)
-        return new
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of words that the new generation lacks."""
-        known = self.known
-        whole, cut = [], {}
-        for word in self._recall(words):
+    def _recall(self, words: pa.Array) -> np.ndarray:
+        """Places of the words in the new generation, after what only the old one has is brought back; -1 for those that neither has."""
+        at = self.known.find(words)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            rest = words.take(pa.array(missing))
+            some = rest.unique()
+            there = self.old.find(some)
+            if (there >= 0).any():
+                some = some.filter(pa.array(there >= 0))
+                first = self.known.add(some, *_gather(self.old.ids, self.old.stops, there[there >= 0]))
+                back = _within(rest, some)
+                at[missing] = np.where(back < 0, -1, first + back)
+        return at
+
+    def _learn(self, words: pa.Array) -> int:
+        """Remember words that neither generation has, and their pre-tokens; the place of the first word."""
+        new, whole, cut, found = words.to_pylist(), [], {}, {}
+        for word in new:
             if not (word.isascii() or LATIN(word)):
-                known[word] = ids = self._library(word)
-                self.used += ENTRY + 4 * len(word) + len(ids)
+                found[word] = self._library(word)
             elif len(pieces := self._pieces(word)) == 1:
                 whole.append(word)
             else:
                 cut[word] = pieces
-        alone = list(set(whole).union(self._recall(set().union(*cut.values()).difference(known, whole))))
-        for at in range(0, len(alone), 1000):
-            some = alone[at : at + 1000]
-            found = self._resolve(some)
-            known.update(zip(some, found, strict=True))
-            self.used += sum(map(len, some)) + sum(map(len, found)) + ENTRY * len(some)
-        for word, pieces in cut.items():
-            known[word] = ids = b"".join([known[p] for p in pieces])
-            self.used += ENTRY + len(word) + len(ids)
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        found = list(map(self.known.get, words))
-        if missing := [i for i, ids in enumerate(found) if ids is None]:
-            self._learn([words[i] for i in missing])
-            for i in missing:
-                found[i] = self.known[words[i]]
-        if self.used > self.limit:
-            self.old, self.known, self.used = self.known, {"": b""}, 0
+        pieces = list(set().union(*cut.values()).difference(whole))
+        at = self._recall(pa.array(pieces, pa.string()))
+        alone = [p for p, k in zip(pieces, at.tolist(), strict=True) if k < 0]
+        resolve = whole + alone
+        for k in range(0, len(resolve), 1000):
+            some = resolve[k : k + 1000]
+            found.update(zip(some, self._resolve(some), strict=True))
+        ids, stops = self.known.ids, self.known.stops
+        known = {p: ids[stops[k] : stops[k + 1]].tobytes() for p, k in zip(pieces, at.tolist(), strict=True) if k >= 0}
+        found |= {word: b"".join([known[p] if p in known else found[p] for p in parts]) for word, parts in cut.items()}
+        new += [p for p in alone if p not in cut]
+        packed = [found[w] for w in new]
+        stops = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
+        return self.known.add(pa.array(new, pa.string()), np.frombuffer(b"".join(packed), "<u4"), stops)
+
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, one word after the other, and where each begins, with the end."""
+        at = self._recall(words)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            rest = words.take(pa.array(missing))
+            new = rest.unique()
+            at[missing] = self._learn(new) + _within(rest, new)
+        found = _gather(self.known.ids, self.known.stops, at)
+        if self.known.used > self.limit:
+            self.old, self.known = self.known, _Words()
         return found
 
     def encode(self, text: str | None) -> bytes:
@@ -163,21 +211,14 @@ class WordTokenizer:
         words, added = _stops_apart(cut.flatten())
         texts_end += np.concatenate(([0], np.cumsum(added)))[texts_end]
         numbered = words.dictionary_encode()
-        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        distinct = numbered.dictionary.cast(pa.string())
         if mixed:
-            words = [w.lower() if w.isascii() or LATIN(w) else w for w in words]
-        found = self._ids(words)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        start = np.cumsum(size) - size
+            distinct = pa.array([w.lower() if w.isascii() or LATIN(w) else w for w in distinct.to_pylist()], pa.string())
         places = numbered.indices.to_numpy()
-        lengths = size[places]
-        ends = np.cumsum(lengths)
-        source = np.repeat(start[places] - (ends - lengths), lengths)
-        source += np.arange(len(source))
-        ids = np.frombuffer(b"".join(found), "<u4")[source].tobytes()
-        stops = 4 * np.concatenate(([0], ends))[texts_end]
+        ids, stops = _gather(*self._ids(distinct), places)
+        stops = stops[np.concatenate(([0], texts_end))]
         for i, alone in enumerate(whole.to_numpy(zero_copy_only=False).tolist()):
-            yield self._library(texts[i].as_py()) if alone else ids[stops[i - 1] if i else 0 : stops[i]]
+            yield self._library(texts[i].as_py()) if alone else ids[stops[i] : stops[i + 1]].tobytes()
 
 
 #: Fixed value: the pre-token pattern of the word-end tokenizer's file.
@@ -217,7 +258,7 @@ def pieces(docs: DataFrame, spec: str, text: str = "text", end_id: int = 1, capa
             made_columns = [pa.array(out[n], {"piece": pa.int32(), "ids": pa.binary()}.get(n, pa.int64())) for n in made]
             yield pa.RecordBatch.from_arrays([*(kept.columns if kept else []), *made_columns], names=[*keep, *made])
 
-    return docs.mapInArrow(lean(run), schema)
+    return docs.mapInArrow(lean(run, keeps=True), schema)
 
 
 class _Stock:

@@ -108,6 +108,33 @@ def test_words_are_looked_up_once_without_their_stops():
         assert got == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_remembered_words_stay_small_and_other_work_drops_them():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from starfold.llm import common
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        words = packing.WordTokenizer(f.read(), packing.WORD_PATTERN)
+    count = 60_000
+    texts = pa.array([" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576 % 26)}" for i in range(at, at + 1000)) for at in range(0, count, 1000)])
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    first = list(map(zlib.crc32, words.encode_all(texts)))
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert len(set(words.known)) == count + 1 and held < 60 * count
+    assert list(map(zlib.crc32, words.encode_all(texts))) == first
+
+    common.worker_memory(("test", "words"), lambda: words)
+    assert list(common.lean(iter, keeps=True)(iter([1]))) == [1]
+    assert common.worker_memory(("test", "words"), object) is words
+    assert list(common.lean(iter)(iter([1]))) == [1]
+    assert common.worker_memory(("test", "words"), object) is not words
+    common.worker_memory(("test",), object)
+
+
 def test_packing_gives_added_tokens_their_ids(spark, tmp_path):
     from tokenizers import Tokenizer
 
