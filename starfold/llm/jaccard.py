@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starfold.llm.common import WordHashes, even_keys, lean, materialize, mix64, shingle_hashes, small, words_of
+from starfold.llm.common import even_keys, lean, materialize, mix64, shingle_sets, small
 from starfold.llm.components import connected_components
 
 
@@ -43,6 +43,13 @@ class Threshold:
             low, band = high, band + 1
         return band
 
+    def bands(self, sizes: np.ndarray) -> np.ndarray:
+        """``band`` of every size."""
+        lows = [1]
+        while lows[-1] <= sizes.max(initial=0):
+            lows.append(self.largest(len(lows) - 1) + 1)
+        return np.maximum(np.searchsorted(lows, sizes, "right") - 1, 0)
+
     def largest(self, band: int) -> int:
         """The largest size in a band."""
         low = 1
@@ -92,39 +99,46 @@ def plan(threshold: Threshold, band: int, effort: float) -> tuple[int, int, int]
     return n1 + (SPARE_PARTS if n1 > SPARE_PARTS else 0), n2, k2
 
 
-def signatures(elements: np.ndarray, threshold: Threshold, effort: float = 1.0) -> np.ndarray:
-    """Hashes shared by every pair of linked, unequal sets; ``elements`` are distinct hashes.
+def signatures_of(elements: np.ndarray, sizes: np.ndarray, threshold: Threshold, effort: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places): hashes shared by every pair of linked, unequal sets, each with its set's place in ``sizes``.
 
-    A set signs for its own band as the smaller one of a pair, and for the band below as the larger one.
+    ``elements`` holds the sets, of distinct hashes, one after the other. A set signs for its own band as the smaller
+    one of a pair, and for the band below as the larger one. Sets of a band are signed together.
     """
-    out = []
-    own = threshold.band(len(elements))
-    for band in (own, own - 1):
-        if band < 0 or (shape := plan(threshold, band, effort)) is None:
+    own = threshold.bands(sizes)
+    order = np.argsort(own, kind="stable")
+    own, held = own[order], sizes[order]
+    starts = np.concatenate([[0], np.cumsum(held)])
+    elements = elements[np.repeat((np.cumsum(sizes) - sizes)[order] - starts[:-1], held) + np.arange(starts[-1])]
+    signs, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for band in sorted({*own.tolist()} | {*(own[own > 0] - 1).tolist()}):
+        if (shape := plan(threshold, band, effort)) is None:
             continue
         n1, n2, k2 = shape
-        salted = mix64(elements ^ np.uint64(band * 2654435761 + 97))
-        small = (salted % np.uint64(n1 * n2)).astype(np.int64)
-        values = mix64(salted)
-        sums = np.zeros(n1 * n2, np.uint64)
-        order = np.argsort(small, kind="stable")
-        counts = np.bincount(small, minlength=n1 * n2)
-        filled = np.flatnonzero(counts)
-        starts = np.cumsum(counts) - counts
-        if len(elements):
-            sums[filled] = np.add.reduceat(values[order], starts[filled])
-        sums, counts = sums.reshape(n1, n2), counts.reshape(n1, n2)
+        a, b = np.searchsorted(own, band), np.searchsorted(own, band + 1, "right")
+        salted = mix64(elements[starts[a] : starts[b]] ^ np.uint64(band * 2654435761 + 97))
+        small = (salted % np.uint64(n1 * n2)).astype(np.int64) + np.repeat(np.arange(b - a) * (n1 * n2), held[a:b])
+        sums = np.zeros((b - a) * n1 * n2, np.uint64)
+        np.add.at(sums, small, mix64(salted))
+        sums, empty = sums.reshape(-1, n1, n2), np.bincount(small, minlength=len(sums)).reshape(-1, n1, n2) == 0
+        mixed = mix64(sums + np.arange(n2, dtype=np.uint64))
         choices = np.array(list(combinations(range(n2), n2 - k2)))
-        held = counts[:, choices].sum(axis=2)
-        tagged = np.zeros((n1, len(choices)), np.uint64)
-        for c in range(choices.shape[1]):
-            part = choices[:, c]
-            tagged += mix64(sums[:, part] + part.astype(np.uint64))
-        signs = mix64(tagged + np.arange(n1 * len(choices), dtype=np.uint64).reshape(n1, -1) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
-        bare = held == 0
-        spare = SPARE_PARTS if n1 > SPARE_PARTS and plan(threshold, band, effort)[0] != scheme(threshold.differences(band), threshold.largest(band), effort)[0] else 0
-        out.append(signs[~bare] if bare.any(axis=1).sum() <= spare else signs.ravel())
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+        tagged = np.zeros((b - a, n1, len(choices)), np.uint64)
+        bare = np.ones(tagged.shape, bool)
+        for part in choices.T:
+            tagged += mixed[:, :, part]
+            bare &= empty[:, :, part]
+        found = mix64(tagged + np.arange(n1 * len(choices), dtype=np.uint64).reshape(n1, -1) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1))
+        spare = SPARE_PARTS if n1 > SPARE_PARTS and shape[0] != scheme(threshold.differences(band), threshold.largest(band), effort)[0] else 0
+        kept = ~bare | (bare.any(axis=2).sum(axis=1) > spare)[:, None, None]
+        signs.append(found[kept])
+        places.append(np.repeat(order[a:b], kept.sum(axis=(1, 2))))
+    return np.concatenate(signs), np.concatenate(places)
+
+
+def signatures(elements: np.ndarray, threshold: Threshold, effort: float = 1.0) -> np.ndarray:
+    """The distinct signatures of one set."""
+    return np.unique(signatures_of(elements, np.array([len(elements)]), threshold, effort)[0])
 
 
 def histogram(elements: np.ndarray) -> bytes:
@@ -225,21 +239,22 @@ BLOCK_SETS = 8192
 SIGNED_ROWS = 512
 
 
-def packed_signatures(found: list[np.ndarray], names: list[int], parts: int) -> tuple[np.ndarray, list[bytes]]:
+def packed_signatures(signs: np.ndarray, places: np.ndarray, names: np.ndarray, parts: int) -> tuple[np.ndarray, list[bytes]]:
     """(part, blob) for each part: signatures by remainder; of the rest 32 bits are kept, and a clash costs one comparison."""
-    signs = np.concatenate(found)
-    place = np.repeat(np.arange(len(found), dtype=np.uint16), [len(f) for f in found])
     part = (signs % np.uint64(parts)).astype(np.int32)
     short = (signs // np.uint64(parts)).astype(np.uint32)
-    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")  # 16 bits sort by radix
-    part, short, place = part[order], short[order], place[order]
-    cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist()
-    sets = np.array(names, np.int64)
-    blobs = []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        used, at = np.unique(place[a:b], return_inverse=True)
-        blobs.append(np.uint32(b - a).tobytes() + short[a:b].tobytes() + sets[used].tobytes() + at.astype(np.uint16).tobytes())
-    return part[cuts[:-1]], blobs
+    order = np.argsort(places.astype(np.uint16), kind="stable")  # 16 bits sort by radix
+    order = order[np.argsort(part.astype(np.uint16)[order] if parts <= 1 << 16 else part[order], kind="stable")]
+    part, short, place = part[order], short[order], places[order]
+    first = np.diff(part, prepend=-1) != 0
+    new = first | (np.diff(place, prepend=-1) != 0)
+    rank = np.cumsum(new) - 1
+    cuts = np.append(np.flatnonzero(first), len(part))
+    used = names[place[new]]
+    bounds = np.append(rank[cuts[:-1]], len(used))
+    at = (rank - np.repeat(bounds[:-1], np.diff(cuts))).astype(np.uint16)
+    each = zip(cuts[:-1].tolist(), cuts[1:].tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
+    return part[cuts[:-1]], [np.uint32(b - a).tobytes() + short[a:b].tobytes() + used[c:d].tobytes() + at[a:b].tobytes() for a, b, c, d in each]
 
 
 def unpacked_signatures(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -265,6 +280,12 @@ def _bursts(found: Iterator[tuple[int, np.ndarray]], rows: int) -> Iterator[list
 
 def meetings(signs: np.ndarray, sets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(name, sets) of every different group of sets that share a signature."""
+    order = np.argsort(signs)
+    signs = signs[order]
+    alone = np.ones(len(signs) + 1, bool)
+    alone[1:-1] = signs[1:] != signs[:-1]
+    shared = ~(alone[1:] & alone[:-1])  # most signatures are of one set
+    signs, sets = signs[shared], sets[order[shared]]
     order = np.lexsort((sets, signs))
     signs, sets = signs[order], sets[order]
     new = np.ones(len(signs), bool)
@@ -302,27 +323,24 @@ def join_components(docs: DataFrame, threshold: Threshold, width: int, key: str
     keys = even_keys(spark, parts)
 
     def sign(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         seen: set[int] = set()
-        for batch in small(stream, SIGNED_ROWS):
+        for batch in small(stream, SIGNED_ROWS, heavy=1):
             if len(seen) > 500_000:
                 seen.clear()
-            set_keys, set_sizes, shapes, found, names = [], [], [], [], []
-            for value in batch.column(1):
-                elements = shingle_hashes(hashes.of(words_of(value.as_py())), width)
-                name = set_key(elements)
-                set_keys.append(name)
-                set_sizes.append(len(elements))
-                shapes.append(None)
-                if len(elements) and name not in seen:
+            elements, sizes = shingle_sets(batch.column(1), width)
+            names = set_keys(elements, sizes)
+            ends = np.cumsum(sizes)
+            shapes: list[bytes | None] = [None] * batch.num_rows
+            for i, name in enumerate(names.tolist()):
+                if sizes[i] and name not in seen:
                     seen.add(name)
-                    shapes[-1] = histogram(elements)
-                    found.append(signatures(elements, threshold, effort))
-                    names.append(name)
+                    shapes[i] = histogram(elements[ends[i] - sizes[i] : ends[i]])
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(keys[np.arange(n) % parts]), batch.column(0), pa.array(set_keys, pa.int64()), pa.array(set_sizes, pa.int64()), pa.array(shapes, pa.binary())], names=["part", "doc", "set", "size", "data"])
-            if found:
-                part, blobs = packed_signatures(found, names, parts)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[np.arange(n) % parts]), batch.column(0), pa.array(names), pa.array(sizes), pa.array(shapes, pa.binary())], names=["part", "doc", "set", "size", "data"])
+            fresh = np.array([shape is not None for shape in shapes], bool)
+            if fresh.any():
+                signs, places = signatures_of(elements[np.repeat(fresh, sizes)], sizes[fresh], threshold, effort)
+                part, blobs = packed_signatures(signs, places, names[fresh], parts)
                 empty = pa.nulls(len(blobs), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(keys[part]), empty, empty, empty, pa.array(blobs, pa.binary())], names=["part", "doc", "set", "size", "data"])
 
@@ -388,12 +406,11 @@ def join_components(docs: DataFrame, threshold: Threshold, width: int, key: str
     blocks = members.groupBy("family").agg(F.ceil(F.sum("size") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
 
     def reread(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in small(stream):
-            found = [shingle_hashes(hashes.of(words_of(t.as_py())), width) for t in batch.column(3)]
-            same = [set_key(e) == s for e, s in zip(found, batch.column(0).to_pylist(), strict=True)]  # a repeated key can have another text
-            kept = batch.filter(pa.array(same, pa.bool_()))
-            packed = [e.tobytes() for e, good in zip(found, same, strict=True) if good]
+        for batch in small(stream, heavy=3):
+            found, sizes = shingle_sets(batch.column(3), width)
+            same = set_keys(found, sizes) == batch.column(0).to_numpy()  # a repeated key can have another text
+            kept = batch.filter(pa.array(same))
+            packed = [e.tobytes() for e, good in zip(np.split(found, np.cumsum(sizes)[:-1]), same.tolist(), strict=True) if good]
             yield pa.RecordBatch.from_arrays([*kept.columns[:3], pa.array(packed, pa.binary())], names=["set", "family", "blocks", "elements"])
 
     wanted = members.join(blocks, "family").select("set", "family", "blocks", "doc")
@@ -422,9 +439,18 @@ def join_components(docs: DataFrame, threshold: Threshold, width: int, key: str
     )
 
 
+def set_keys(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set; ``elements`` holds the sets one after the other. The empty set has 0."""
+    out = np.zeros(len(sizes), np.int64)
+    filled = np.flatnonzero(sizes)
+    if len(filled):
+        mixed = mix64(elements)
+        starts = (np.cumsum(sizes) - sizes)[filled]
+        of = np.stack([np.add.reduceat(mixed, starts), np.bitwise_xor.reduceat(mixed, starts), sizes[filled].astype(np.uint64)], axis=1)
+        out[filled] = mix64(of * np.array([1, 31, 961], np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+    return out
+
+
 def set_key(elements: np.ndarray) -> int:
     """A 64-bit name of a set."""
-    if not len(elements):
-        return 0
-    mixed = mix64(elements)
-    return int(mix64(np.stack([mixed.sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed), np.uint64(len(mixed))]) * np.array([1, 31, 961], np.uint64)).sum(dtype=np.uint64).view(np.int64))
+    return int(set_keys(elements, np.array([len(elements)]))[0])

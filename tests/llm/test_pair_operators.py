@@ -5,9 +5,10 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from starfold.llm import embedding_dedup, jaccard, nearest, repeats
+from starfold.llm import common, embedding_dedup, jaccard, nearest, repeats
 from starfold.llm.components import connected_components, smallest_reachable
 from starfold.llm.vectors import chi_square_cdf, chi_square_quantile
 
@@ -80,6 +81,40 @@ def test_signatures_meet_for_every_linked_pair():
                 assert len(np.intersect1d(jaccard.signatures(a, t), jaccard.signatures(b, t)))
 
 
+def test_sets_are_hashed_and_signed_by_batches(monkeypatch):
+    """A batch of 400 texts takes as many passes over arrays as its size bands ask for, not as its texts do, with each text's own results."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["Aa", "b", "\xe9\x1c", "long-word-of-bytes", "\0"]) + str(rng.randrange(300)) for _ in range(rng.choice([0, 1, 3, 4, 60, 61, 300]))) for _ in range(396)]
+    texts += [None, "", " \t\n\x0b\f\r ", "x" * 100_000 + " Y"]
+    passes = []
+    for module in (common, jaccard):
+        monkeypatch.setattr(module, "mix64", lambda x, mix=common.mix64: passes.append(1) or mix(x))
+    t = jaccard.Threshold(85, 100)
+    column = pa.array(["left out", *texts, "left out"]).slice(1, len(texts))
+    elements, sizes = common.shingle_sets(column, 4)
+    names = jaccard.set_keys(elements, sizes)
+    signs, places = jaccard.signatures_of(elements, sizes, t, 1.5)
+    assert len(passes) < 120
+    known, sets = {}, np.split(elements, np.cumsum(sizes)[:-1])
+    for i, text in enumerate(texts):
+        words = (text or "").encode().lower().split()
+        shingles = frozenset(tuple(words[k : k + 4]) for k in range(max(1, len(words) - 3))) if words else frozenset()
+        assert len(sets[i]) == len(shingles) and (sets[i][1:] > sets[i][:-1]).all()
+        assert known.setdefault(shingles, sets[i].tolist()) == sets[i].tolist()
+        assert np.array_equal(common.shingle_sets(column.slice(i, 1), 4)[0], sets[i]) and jaccard.set_key(sets[i]) == names[i]
+        assert np.array_equal(np.unique(signs[places == i]), jaccard.signatures(sets[i], t, 1.5))
+    assert len(set(map(tuple, known.values()))) == len(known)
+    part, blobs = jaccard.packed_signatures(signs, places, names, 5)
+    found = {(p, s, n) for p, blob in zip(part.tolist(), blobs, strict=True) for s, n in zip(*(c.tolist() for c in jaccard.unpacked_signatures(blob)), strict=True)}
+    assert found == {(s % 5, s // 5 % 2**32, n) for s, n in zip(signs.tolist(), names[places].tolist(), strict=True)}
+
+
+def test_batches_end_by_rows_and_by_bytes():
+    batch = pa.record_batch([pa.array(["xxx", None, "y" * 9, "", "z"])], names=["text"])
+    assert [b.num_rows for b in common.small(iter([batch, batch.slice(1, 3), batch.slice(0, 0)]), 100, heavy=0, most=5)] == [2, 1, 2, 1, 1, 1]
+    assert [b.num_rows for b in common.small(iter([batch]), 2, heavy=0)] == [b.num_rows for b in common.small(iter([batch]), 2)] == [2, 2, 1]
+
+
 def test_histograms_never_part_a_linked_pair():
     rng = np.random.default_rng(6)
     t = jaccard.Threshold(8, 10)
