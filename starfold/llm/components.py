@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starfold.llm.common import materialize
@@ -38,6 +38,10 @@ def _forest(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(root[apart]), pa.array(node[apart])], names=["low", "high"])
 
 
+def _link(low: str, high: Column) -> Column:
+    return F.struct(F.col(low).alias("low"), high.alias("high"))
+
+
 def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component): for every node of a link, the smallest node that links lead to; longs.
 
@@ -48,14 +52,14 @@ def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
     """
     edges = links.select(F.col(left).cast("long").alias("low"), F.col(right).cast("long").alias("high")).dropna().filter("low <> high")
     edges = materialize(edges.mapInArrow(_forest, "low long, high long").distinct())
-    while True:
-        state = edges.agg(F.count("*").alias("n"), F.count_distinct("high").alias("m")).first()
-        if state["n"] == state["m"] and not edges.join(edges.select(F.col("low").alias("high")).distinct(), "high", "left_semi").limit(1).count():
+    while True:  # a link's low end is always less than its high one
+        ends = edges.select(F.inline(F.array(_link("low", F.lit(0)), _link("high", F.lit(1))))).groupBy("low").agg(F.sum("high").alias("above"), F.count("*").alias("links"))
+        if not ends.filter("above > 0 and links > 1").count():
             break
-        both = edges.union(edges.select(F.col("high").alias("low"), F.col("low").alias("high")))
+        both = edges.select(F.inline(F.array(_link("low", F.col("high")), _link("high", F.col("low")))))
         least = both.groupBy("low").agg(F.least(F.min("high"), F.first("low")).alias("root"))
-        large = both.filter("high > low").join(least, "low").select(F.col("root").alias("low"), "high").distinct()
+        large = edges.join(least, "low").select(F.col("root").alias("low"), "high").distinct()
         least = large.groupBy("high").agg(F.min("low").alias("root"))
         small = large.join(least, "high")
-        edges = materialize(small.select(F.col("root").alias("low"), "high").union(small.select(F.col("root").alias("low"), F.col("low").alias("high"))).filter("low <> high").distinct())
+        edges = materialize(small.select(F.inline(F.array(_link("root", F.col("high")), _link("root", F.col("low"))))).filter("low <> high").distinct())
     return edges.select(F.col("high").alias("node"), F.col("low").alias("component")).union(edges.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct())

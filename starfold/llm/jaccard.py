@@ -293,19 +293,37 @@ def meetings(signs: np.ndarray, sets: np.ndarray) -> Iterator[tuple[int, np.ndar
     signs, sets = signs[new], sets[new]
     starts = np.flatnonzero(np.diff(signs, prepend=~signs[:1]))
     ends = np.append(starts[1:], len(signs))
-    several = ends - starts > 1
+    sizes = ends - starts
     named = set()
-    for a, b in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
+    whole = (sizes > 1) & (sizes <= BLOCK_SETS)
+    names = set_keys(sets[np.repeat(whole, sizes)].view(np.uint64), sizes[whole])
+    names, first = np.unique(names, return_index=True)
+    for name, a, b in zip(names.tolist(), starts[whole][first].tolist(), ends[whole][first].tolist(), strict=True):
+        named.add(name)
+        yield name, sets[a:b]
+    large = sizes > BLOCK_SETS
+    for a, b in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
         blocks = [sets[k : min(k + BLOCK_SETS, b)] for k in range(a, b, BLOCK_SETS)]
         for i in range(len(blocks)):
-            for j in range(i + (len(blocks) > 1), len(blocks)):
-                members = blocks[i] if i == j else np.concatenate([blocks[i], blocks[j]])
+            for j in range(i + 1, len(blocks)):
+                members = np.concatenate([blocks[i], blocks[j]])
                 name = set_key(members.view(np.uint64))
                 if name not in named:
                     named.add(name)
                     yield name, members
 
 
+#: Bytes of text whose signatures a task sorts in memory.
+PART_BYTES = 4 << 20
+
+
+def _parts(rows: DataFrame) -> int:
+    """As many parts as the session shuffles to, and more where the texts ask for it."""
+    own = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return max(own, -(-size // PART_BYTES))
+
+
 def join_components(docs: DataFrame, threshold: Threshold, width: int, key: str = "doc_id", text: str = "text", effort: float = 1.5) -> DataFrame:
     """(key, n_shingles, component_id) for every row: the smallest key reachable by links.
 
@@ -318,8 +336,7 @@ def join_components(docs: DataFrame, threshold: Threshold, width: int, key: str
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a task sorts its signatures in memory
-
+    parts = _parts(rows)
     keys = even_keys(spark, parts)
 
     def sign(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

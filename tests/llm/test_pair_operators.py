@@ -36,6 +36,32 @@ def test_connected_components(spark):
     assert (root == 0).all() and len(node) == 200
 
 
+def test_components_of_random_links_in_few_tasks(spark):
+    """A link is read once for its two ends: no stage of a round has twice the partitions; results as by brute force."""
+    rng = random.Random(21)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(k + 1, k) for k in range(1000, 1060)]
+    tasks, found = stages_of(spark, lambda: {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long").repartition(40), "a", "b").groupBy("node", "component").count().collect()})
+    assert found == components({n for a, b in links if a != b for n in (a, b)}, links)
+    assert tasks.count(2 * 6) <= 1  # the result's own union
+
+
+def stages_of(spark, work):
+    """The number of tasks of every stage that the work ran, and what it returned; no partitions are merged meanwhile."""
+    group, held = f"stages-{random.random()}", {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = work()
+        seen = spark.sparkContext.statusTracker()
+        infos = [seen.getStageInfo(s) for job in seen.getJobIdsForGroup(group) for s in seen.getJobInfo(job).stageIds]
+        return [i.numTasks for i in infos if i and i.numCompletedTasks], out
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def family_texts(rng):
     base = [[f"w{rng.randrange(3000)}" for _ in range(rng.randrange(1, 120))] for _ in range(12)]
     texts = []
@@ -67,6 +93,39 @@ def test_jaccard_join_is_exact(spark, num, den, width, monkeypatch):
     assert jaccard.join_components(docs.limit(0), jaccard.Threshold(num, den), width).count() == 0
 
 
+def test_jaccard_parts_follow_the_texts(spark, monkeypatch):
+    """Small texts go in the session's shuffle partitions, not in a multiple of them; large ones in as many as they ask for, with the same rows."""
+    texts = family_texts(random.Random(5))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    run = lambda: sorted(map(tuple, jaccard.join_components(docs, jaccard.Threshold(85, 100), 4).collect()))
+    few, found = stages_of(spark, run)
+    assert 2 <= len(few) and max(few) <= 2 * 6
+    monkeypatch.setattr(jaccard, "PART_BYTES", -(-sum(len((t or "").encode()) for t in texts) // 19))
+    more, again = stages_of(spark, run)
+    assert 19 in more and again == found
+
+
+def test_meetings_are_named_together(monkeypatch):
+    """Thousands of meetings take a few passes over arrays, not some for each; the same groups as by a plain grouping."""
+    rng = np.random.default_rng(31)
+    signs, sets = rng.integers(0, 9000, 40_000).astype(np.uint32), rng.integers(-(2**62), 2**62, 3000)[rng.integers(0, 3000, 40_000)]
+    signs, sets = np.append(signs, [20_000] * 12 + [30_000] * 2), np.append(sets, [*range(12), 1, 2])
+    passes = []
+    monkeypatch.setattr(jaccard, "mix64", lambda x, mix=common.mix64: passes.append(1) or mix(x))
+    groups = {}
+    for sign, name in zip(signs.tolist(), sets.tolist(), strict=True):
+        groups.setdefault(sign, set()).add(name)
+    expected = {tuple(sorted(g)) for g in groups.values() if len(g) > 1}
+    found = list(jaccard.meetings(signs, sets))
+    assert len(found) == len(expected) > 5000 and {tuple(m.tolist()) for _, m in found} == expected
+    assert len(passes) < 10
+    assert all(name == jaccard.set_key(m.view(np.uint64)) for name, m in found[:50])
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 5)
+    pairs = {frozenset(p) for _, m in jaccard.meetings(signs[-14:], sets[-14:]) for p in np.array(np.meshgrid(m, m)).reshape(2, -1).T.tolist()}
+    assert all(frozenset((a, b)) in pairs for a in range(12) for b in range(12))
+    assert list(jaccard.meetings(np.arange(3, dtype=np.uint32), np.arange(3))) == list(jaccard.meetings(np.empty(0, np.uint32), np.empty(0, np.int64))) == []
+
+
 def test_signatures_meet_for_every_linked_pair():
     rng = np.random.default_rng(4)
     t = jaccard.Threshold(85, 100)
