@@ -99,9 +99,11 @@ def cross_partition_leak(spark, d):
 
 @query("SELECT user_id AS target_id, min(ts) FILTER (event_type = 'click') IS NOT NULL AS clicked, arg_max(event_id, value) AS best_event, round(max(value), 6) AS best_value FROM events GROUP BY 1")
 def best_match_pick(spark, d):
-    """The best of each target's matches by its score."""
+    """The best of each target's matches by its score, the first of equal ones; a match without an id or a score is none."""
     e = table(spark, d, "events")
-    return rounded(e.groupBy(F.col("user_id").alias("target_id")).agg((F.count_if(F.col("event_type") == "click") > 0).alias("clicked"), F.max_by("event_id", "value").alias("best_event"), F.max("value").alias("best_value")))
+    score = F.when(F.col("event_id").isNotNull() & F.col("value").isNotNull(), F.struct("value", -F.col("event_id")))
+    clicked = F.min(F.when(F.col("event_type") == "click", F.col("ts"))).isNotNull()
+    return rounded(e.groupBy(F.col("user_id").alias("target_id")).agg(clicked.alias("clicked"), F.max_by("event_id", score).alias("best_event"), F.max("value").alias("best_value")))
 
 
 @query("SELECT user_id AS target_id, event_type AS product_id, round(min(x), 6) AS low, round(max(x), 6) AS high FROM (SELECT *, (epoch_us(ts) - 1704067200000000) / 86400e6 AS x FROM events) GROUP BY 1, 2 HAVING max(x) > min(x)")
