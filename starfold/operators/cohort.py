@@ -58,8 +58,8 @@ def events_in_intervals(events: DataFrame, intervals: DataFrame, on: str, sigmas
     bound = sigmas * F.hypot(F.col("epoch_error"), n * F.col("period_error")) if sigmas else F.col("epoch_error") + n * F.col("period_error")
     at = F.col("epoch") + F.col("cycle") * F.col("period")
     x = x.withColumns({"event_time": at, "bound": bound})
-    reach = F.col("duration") / 2 + F.col("bound")
-    hit = x.filter((F.col("event_time") - reach <= F.col("stop")) & (F.col("event_time") + reach >= F.col("start")))
+    half = F.col("duration") / 2  # taken off before the bound: at an interval's very end another order rounds to the other side
+    hit = x.filter((F.col("event_time") - half - F.col("bound") <= F.col("stop")) & (F.col("event_time") + half + F.col("bound") >= F.col("start")))
     keys = [c for c in pairs.columns if c not in ("epoch", "period", "duration", "epoch_error", "period_error")]
     return hit.groupBy(*keys).agg(F.min_by(F.struct("cycle", "event_time", "bound"), "cycle").alias("e")).select(*keys, "e.cycle", "e.event_time", "e.bound")
 

@@ -1,9 +1,11 @@
-"""Equal scores: what the queries' SQL says of them."""
+"""Equal scores and events at an interval's very end: what the queries' SQL says of them."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from starfold import catalog
+from starfold.operators import cohort
 
 
 def test_the_first_of_equal_matches_is_picked(spark, tmp_path):
@@ -22,3 +24,17 @@ def test_a_pick_does_not_depend_on_the_rows_order(spark, tmp_path):
     rows.repartition(5, "event_id").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["target_id"]: r["best_event"] for r in catalog.queries()["best_match_pick"](spark, str(tmp_path)).collect()}
     assert got == {0: 1, 1: 0}
+
+
+@pytest.mark.parametrize("epoch,period,day,cycle", [(3.1 + 13, 5.37 + 3, 2313, 275), (3.1 + 10, 5.37 + 10, 4235, 275), (3.1, 5.37, 20, 4)])
+def test_an_event_at_an_intervals_end_is_judged_as_in_sql(spark, epoch, period, day, cycle):
+    """Half a duration is taken off first and then the bound; with both summed up before, the first case, from sf0.1, would meet its interval and the second wouldn't."""
+    start, stop = day + 0.137, day + 4.637
+    events = spark.createDataFrame([(1, epoch, period, 0.2, 0.003, 0.0004)], "id int, epoch double, period double, duration double, epoch_error double, period_error double")
+    got = cohort.events_in_intervals(events, spark.createDataFrame([(1, start, stop)], "id int, start double, stop double"), "id").collect()
+    expected = []
+    for n in range(cycle - 9, cycle + 10):
+        at, bound = epoch + n * period, 0.003 + abs(n) * 0.0004
+        if at - 0.1 - bound <= stop and at + 0.1 + bound >= start:
+            expected.append(n)
+    assert [r["cycle"] for r in got] == expected[:1]
