@@ -46,3 +46,31 @@ def test_grids_that_do_not_drift_are_folded_whole():
     assert K.drifting_powers(t, xs, None, periods[::-1], widths) is None
     assert K.drifting_powers(t, xs, None, np.linspace(15, 65, len(periods)), widths) is None
     assert K.drifting_powers(t, xs, None, periods[::200], widths) is None
+
+
+def test_a_step_calls_its_model_once_for_all_slopes():
+    calls = []
+
+    def model(q):
+        calls.append(np.shape(q))
+        return K._columns(q)[0] * np.linspace(0, 1, 50) + K._columns(q)[1]
+
+    p, good = K.bounded_fit(model, np.array([0.5, 0.5]), np.array([0.0, 0.0]), np.array([9.0, 9.0]), 2 + 3 * np.linspace(0, 1, 50), np.ones(50), soft=False)
+    assert good and p == pytest.approx([3.0, 2.0], abs=1e-4)
+    assert sum(len(c) == 3 for c in calls) * 2 >= len(calls) / 5  # slopes of a step in one call, with tries beside
+
+
+def test_the_physical_model_integrates_touching_disks_only(monkeypatch):
+    asked = []
+    plain = np.polynomial.legendre.leggauss
+    monkeypatch.setattr(np.polynomial.legendre, "leggauss", lambda n: asked.append(n) or plain(n))
+    K._nodes.cache_clear()
+    z = np.linspace(0, 3, 301)
+    flux = K.occulted_flux(z, 0.1, 0.3, 0.2)
+    assert (flux[z >= 1.1] == 1).all() and (flux[z < 1.09] < 1).all()
+    rows = K.occulted_flux(np.tile(z, 2), np.repeat([0.1, 0.2], 301), 0.3, 0.2)
+    assert np.array_equal(rows[:301], flux) and np.array_equal(rows[301:], K.occulted_flux(z, 0.2, 0.3, 0.2))
+    assert asked == [32]
+    t = np.linspace(0, 9, 100)
+    both = K.physical_model(t, *K._columns(np.array([[0.5, 3.0, 0.1, 9.0, 89.0], [0.6, 3.1, 0.12, 8.0, 88.0]])), 0.3, 0.2)
+    assert np.array_equal(both[0], K.physical_model(t, 0.5, 3.0, 0.1, 9.0, 89.0, 0.3, 0.2)) and np.array_equal(both[1], K.physical_model(t, 0.6, 3.1, 0.12, 8.0, 88.0, 0.3, 0.2))
