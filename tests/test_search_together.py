@@ -48,6 +48,16 @@ def test_grids_that_do_not_drift_are_folded_whole():
     assert K.drifting_powers(t, xs, None, periods[::200], widths) is None
 
 
+def test_fits_together_take_the_steps_of_fits_alone():
+    t, xs = long_curve(8, True, 1)
+    error = np.full(len(t), 1e-3)
+    many = np.stack([xs[0] + np.random.default_rng(k).normal(0, 2e-3, len(t)) for k in range(6)])
+    together = K.fit_trapezoids(t, many, error, 4.0, 21.3, 0.01, 5.0)
+    assert together == [K.fit_trapezoid(t, x, error, 4.0, 21.3, 0.01, 5.0) for x in many]
+    fit = together[0]
+    assert np.array_equal(K.block_bootstrap(t, xs[0], error, fit, 3, 5, 6), np.concatenate([K.block_bootstrap(t, xs[0], error, fit, 3, s) for s in (5, 6)]))
+
+
 def test_a_step_calls_its_model_once_for_all_slopes():
     calls = []
 
