@@ -65,7 +65,7 @@ def searched_trials(curve: DataFrame, planned: DataFrame, duration: float, grid:
     key = F.xxhash64("trial_id")
     rows = injected(curve, planned, duration, flux=flux, **shape)
     truth = rows.groupBy("trial_id").agg(F.max("truth_epoch").alias("truth_epoch"))
-    found = X.searched(rows.select(key.alias("target_id"), "cadence", "time_days", F.col(flux)), flux, 1, least_snr, grid)
+    found = X.searched(rows.select(key.alias("target_id"), F.xxhash64("target_id").alias("kin"), "cadence", "time_days", F.col(flux)), flux, 1, least_snr, grid, kin="kin")
     best = found.select(F.col("target_id").alias("_key"), "status", F.get("found", F.lit(0)).alias("c"))
     x = planned.join(truth, "trial_id", "left").withColumn("_key", key).join(best, "_key", "left")
     p, tp = F.col("c.period"), F.col("period")

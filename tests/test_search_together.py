@@ -2,8 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from starfold.operators import injection as J
 from starfold.operators import kernels as K
+from starfold.operators import search as X
 
 #: As of the long curves: seven years, periods of weeks.
 GRID = K.Grid(least=15.0, largest=65.0, least_duration=3.0, most_duration=7.0, durations=4)
@@ -48,6 +51,20 @@ def test_grids_that_do_not_drift_are_folded_whole():
     assert K.drifting_powers(t, xs, None, periods[::200], widths) is None
 
 
+def test_trials_of_a_target_are_folded_together(spark):
+    rng = np.random.default_rng(7)
+    rows = [(target, i, float(a), float(1 + rng.normal() * 1e-3)) for target in (1, 2, 3) for i, a in enumerate(np.sort(rng.uniform(0, 2400, 200)))]
+    curve = spark.createDataFrame(rows, "target_id long, cadence long, time_days double, flux_norm double").repartition(3)
+    planned = J.trials(curve.select("target_id"), (21.0, 34.0), (0.02,), "s")
+    got = {r["trial_id"]: r for r in J.searched_trials(curve, planned, 5.0, GRID, hours=30.0).collect()}
+    rows = J.injected(curve, planned, 5.0).select(F.xxhash64("trial_id").alias("target_id"), "trial_id", "cadence", "time_days", "flux_norm")
+    alone = {r["target_id"]: r for r in X.searched(rows, most=1, least_snr=6.0, grid=GRID).collect()}
+    for key, trial in {(r[0], r[1]) for r in rows.select("target_id", "trial_id").distinct().collect()}:
+        found = alone[key]["found"]
+        assert got[trial]["detected"] == bool(found) and got[trial]["matched"] == (not trial.endswith("control"))
+        assert not found or (got[trial]["period"], got[trial]["depth"], got[trial]["snr"]) == pytest.approx((found[0]["period"], found[0]["depth"], found[0]["snr"]), rel=1e-9)
+
+
 def test_fits_together_take_the_steps_of_fits_alone():
     t, xs = long_curve(8, True, 1)
     error = np.full(len(t), 1e-3)
