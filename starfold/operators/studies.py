@@ -42,23 +42,30 @@ def joint_fits(curve: DataFrame, candidates: DataFrame, flux: str = "flux_norm",
 TRIAL = "trial_id long, period double, depth double, found double, snr double, status string, matched boolean"
 
 
+#: Trials whose series, all at the same times, are searched together.
+_TRIALS_AT_ONCE = 512
+
+
 def injection_trials(trials: DataFrame, days: float, per_day: int, noise: float, least_snr: float = 6.0) -> DataFrame:
     """A noisy series with a planted dip for each trial (trial_id, period, depth), searched blindly; a failure is a row with its reason."""
 
+    t, grid = np.linspace(0, days, int(days * per_day)), K.Grid(1.0, days / 2, 0.1, 0.3, 3)
+
     def run(parts):
         for part in parts:
             rows = []
-            for r in part.itertuples():
-                rng = np.random.default_rng(int(r.trial_id))
-                t = np.linspace(0, days, int(days * per_day))
-                x = K.trapezoid(t, 0.3 * r.period, r.period, r.depth, 0.2, 0.2) + rng.normal(0, noise, len(t))
-                found, status = K.find_candidates(t, x, None, 1, least_snr, K.Grid(1.0, days / 2, 0.1, 0.3, 3))
-                if status != "searched":
-                    rows.append((r.trial_id, r.period, r.depth, None, None, status, False))
-                    continue
-                best = found[0] if found else None
-                near = bool(best and any(abs(best["period"] / (k * r.period) - 1) < 0.02 for k in (0.5, 1, 2)))
-                rows.append((r.trial_id, r.period, r.depth, best and best["period"], best and best["snr"], "detected" if best else "nothing", near))
+            for lo in range(0, len(part), _TRIALS_AT_ONCE):
+                some = part.iloc[lo : lo + _TRIALS_AT_ONCE]
+                period, depth = (some[c].to_numpy(float)[:, None] for c in ("period", "depth"))
+                xs = K.trapezoid(t, 0.3 * period, period, depth, 0.2, 0.2)
+                xs += np.array([np.random.default_rng(int(k)).normal(0, noise, len(t)) for k in some["trial_id"]]).reshape(xs.shape)
+                for r, (found, status) in zip(some.itertuples(), K.first_candidates(t, xs, None, least_snr, grid), strict=True):
+                    if status != "searched":
+                        rows.append((r.trial_id, r.period, r.depth, None, None, status, False))
+                        continue
+                    best = found[0] if found else None
+                    near = bool(best and any(abs(best["period"] / (k * r.period) - 1) < 0.02 for k in (0.5, 1, 2)))
+                    rows.append((r.trial_id, r.period, r.depth, best and best["period"], best and best["snr"], "detected" if best else "nothing", near))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in TRIAL.split(", ")])
 
     return spread(trials.select("trial_id", "period", "depth"), "trial_id").mapInPandas(run, TRIAL)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from starfold.operators import injection as J
 from starfold.operators import kernels as K
 from starfold.operators import search as X
+from starfold.operators import studies as Y
 
 #: As of the long curves: seven years, periods of weeks.
 GRID = K.Grid(least=15.0, largest=65.0, least_duration=3.0, most_duration=7.0, durations=4)
@@ -51,6 +52,37 @@ def test_grids_that_do_not_drift_are_folded_whole():
     assert K.drifting_powers(t, xs, None, periods[::200], widths) is None
 
 
+@pytest.mark.parametrize("error", [None, 1])
+def test_series_at_the_same_times_share_their_folds(error, monkeypatch):
+    monkeypatch.setattr(K, "_SERIES_AT_ONCE", 9000)
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.uniform(0, 12, 200))
+    xs = np.stack([K.trapezoid(t, 0.5, p, 0.01, 0.2, 0.2) + rng.normal(0, 1e-3, 200) for p in (1.7, 2.6, 3.5, 4.4, 5.3)])
+    error = error and rng.uniform(1, 2, 200)
+    grid = K.Grid(1.0, 6.0, 0.1, 0.3, 3)
+    periods = np.append(grid.periods(float(np.ptp(t))), [0.05, 0.2, 7.0])
+    want = np.array([K.box_powers(t, x, error, periods, grid.widths())[0] for x in xs])
+    assert np.allclose(K.shared_powers(t, xs, error, periods, grid.widths()), want, rtol=1e-10, atol=1e-18)
+    alone = [K.find_candidates(t, x, error, 1, 6.0, grid) for x in xs]
+    for (a, said), (b, status) in zip(K.first_candidates(t, xs, error, 6.0, grid), alone, strict=True):
+        assert said == status == "searched" and len(a) == len(b) == 1
+        assert all(a[0][k] == pytest.approx(v, rel=1e-9) if isinstance(v, float) else a[0][k] == v for k, v in b[0].items())
+    assert K.first_candidates(t[:40], xs[:, :40], None, 6.0, grid) == [([], "too_few_cadences")] * 5
+
+
+def test_trials_are_those_searched_alone(spark, monkeypatch):
+    monkeypatch.setattr(Y, "_TRIALS_AT_ONCE", 7)
+    trials = spark.range(40).select(F.col("id").alias("trial_id"), (1.7 + F.col("id") % 5 * 0.9).alias("period"), (0.002 + F.col("id") % 4 * 0.003).alias("depth"))
+    got = {r["trial_id"]: r for r in Y.injection_trials(trials, 12.0, 30, 0.001).collect()}
+    t, grid = np.linspace(0, 12.0, 360), K.Grid(1.0, 6.0, 0.1, 0.3, 3)
+    for k in range(40):
+        period, depth = 1.7 + k % 5 * 0.9, 0.002 + k % 4 * 0.003
+        x = K.trapezoid(t, 0.3 * period, period, depth, 0.2, 0.2) + np.random.default_rng(k).normal(0, 0.001, 360)
+        found, _ = K.find_candidates(t, x, None, 1, 6.0, grid)
+        assert (got[k]["found"], got[k]["snr"]) == pytest.approx((found[0]["period"], found[0]["snr"])) if found else got[k]["status"] == "nothing"
+    assert len(got) == 40
+
+
 def test_trials_of_a_target_are_folded_together(spark):
     rng = np.random.default_rng(7)
     rows = [(target, i, float(a), float(1 + rng.normal() * 1e-3)) for target in (1, 2, 3) for i, a in enumerate(np.sort(rng.uniform(0, 2400, 200)))]
