@@ -30,8 +30,8 @@ from starfold.session import materialize, shared_folder
 SHARDS, FILTER_BITS, CHUNK_WORDS = 10, 27, 1 << 19
 #: Binary digits of a phrase's hash: two bytes less of each row that is shuffled.
 GRAM_BITS = 48
-#: Different phrases that a task holds before it sends its counts on.
-HELD = 1_000_000
+#: Different phrases that a task holds before it sends its counts on; how many new ones it gathers before they are merged, and in how many ranges.
+HELD, GATHERED, RANGES = 3_000_000, 500_000, 16
 #: A hot language's phrases are ranked in this many parts before the parts' best are ranked together.
 RANK_PARTS = 32
 
@@ -124,19 +124,45 @@ def _counts(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[starts], np.add.reduceat(counts, starts)
 
 
+class _Tally:
+    """Counts of grams, in order. Ranges of grams are merged one by one, so that a merge copies a small part of what is held."""
+
+    def __init__(self):
+        self.ranges: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(RANGES)]
+        self.merged = self.gathered = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        edges = np.arange(1, RANGES, dtype=np.uint64) * np.uint64((1 << GRAM_BITS) // RANGES)
+        at = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+        for held, lo, hi in zip(self.ranges, at[:-1], at[1:], strict=True):
+            if hi > lo:
+                held.append((keys[lo:hi], counts[lo:hi]))
+        self.gathered += len(keys)
+
+    def merge(self) -> None:
+        for held in self.ranges:
+            if len(held) > 1:
+                held[:] = [_counts(held)]
+        self.merged, self.gathered = sum(len(k) for held in self.ranges for k, _ in held), 0
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """All counts, which are held no longer."""
+        self.merge()
+        for held in self.ranges:
+            for keys, counts in held:
+                for at in range(0, len(keys), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(counts[part])], names=["gram", "n"])
+            held.clear()
+        self.merged = 0
+
+
 def _count_level(n: int, below, bits: int):
     """Chunks -> (gram, n): a task's counts of ``n`` words in a row, where the filters of the shard and of the union have both parts of n - 1 words."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = None if below is None else np.frombuffer(below.value, np.uint8).reshape(2, -1)
-        held, size = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys, counts = _counts(held)
-            for at in range(0, len(keys), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(counts[part])], names=["gram", "n"])
-
+        tally = _Tally()
         for batch in stream:
             for lang, shard, words, ids in zip(*(batch.column(c).to_pylist() for c in ("lang", "shard", "words", "ids")), strict=True):
                 if not words:
@@ -149,16 +175,12 @@ def _count_level(n: int, below, bits: int):
                     part = _has(frequent[0], _places(grams, shard, bits)) & _has(frequent[1], _places(grams, None, bits))
                     keep &= part[: len(keep)] & part[1:]
                 if keep.any():
-                    held.append(np.unique(_grams(hashes, n)[keep] | np.uint64(shard), return_counts=True))
-                    size += len(held[-1][0])
-                if size >= HELD:
-                    held[:] = [_counts(held)]
-                    size = len(held[0][0])
-                    if size >= HELD // 2:
-                        yield from flush()
-                        held, size = [], 0
-        if held:
-            yield from flush()
+                    tally.add(*np.unique(_grams(hashes, n)[keep] | np.uint64(shard), return_counts=True))
+                if tally.gathered >= GATHERED:
+                    tally.merge()
+                if tally.merged >= HELD:
+                    yield from tally.batches()
+        yield from tally.batches()
 
     return lean(run)
 
@@ -223,7 +245,8 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = 4, lang: str =
     local = -(-least // SHARDS)
     union, below = np.zeros(1 << (bits - 3), np.uint8), None
     for n in range(1, longest + 1):
-        counted = chunks.select("lang", "shard", "words", "ids").mapInArrow(_count_level(n, below, bits), "gram long, n long")
+        # tasks have counted already: dealt by gram before they are summed, rows aren't held in a second table of each task
+        counted = chunks.select("lang", "shard", "words", "ids").mapInArrow(_count_level(n, below, bits), "gram long, n long").repartition("gram")
         frequent = materialize(counted.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= local))
         elsewhere = (F.lit(SHARDS) - F.count("n")) * (local - 1)  # at most, in shards where it isn't frequent
         possible = frequent.groupBy(F.col("gram").bitwiseAND(F.lit(~15)).alias("gram")).agg((F.sum("n") + elsewhere).alias("most")).filter(F.col("most") >= least)
